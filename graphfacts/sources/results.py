@@ -50,14 +50,14 @@ def violation_tags(results: DataFrame) -> DataFrame:
 def histogram(results: DataFrame) -> DataFrame:
     """``(kind, tag, n, percent)``: apps per violation tag (an app counts once), occurrences per warning,
     verified and failed apps; percentages of all apps."""
-    total = results.agg(F.count(F.lit(1)).alias("total"))
+    total = results.agg(F.lit(1).alias("one"), F.count(F.lit(1)).alias("total"))
     tags = violation_tags(results).groupBy("tag").agg(F.count_distinct("graph_id").alias("n")).select(F.lit("violation").alias("kind"), "tag", "n")
     warned = results.select(F.explode("app.`Warning Report`").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
     status = verified(results).groupBy(F.when(F.col("verified"), "verified").otherwise("failed").alias("tag")).agg(F.count(F.lit(1)).alias("n"))
     rows = tags.unionByName(warned.select(F.lit("warning").alias("kind"), "tag", "n")).unionByName(
         status.select(F.lit("status").alias("kind"), "tag", "n"))
     # total is exactly one row
-    return rows.join(F.broadcast(total), F.lit(True)).select("kind", "tag", "n", F.round(F.col("n") * 100 / F.col("total"), 4).alias("percent"))
+    return rows.withColumn("one", F.lit(1)).join(F.broadcast(total), "one").select("kind", "tag", "n", F.round(F.col("n") * 100 / F.col("total"), 4).alias("percent"))
 
 
 def resolution(results: DataFrame) -> DataFrame:

@@ -27,8 +27,10 @@ def read_table(spark: SparkSession, path: str, comment: str | None = "#", delimi
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
     kept = _kept(lines, comment)
-    first = kept.orderBy("file", "at").limit(1).first()  # one line
-    if first is None:
+    # within one block the lines keep their order, so the smallest (file, block, row) is the first line
+    first = kept.withColumn("row", F.monotonically_increasing_id()).agg(
+        F.min_by("value", F.struct("file", "at", "row")).alias("value")).first()
+    if first.value is None:
         raise ValueError(f"no heading line in {path}")
     heading = [t for t in re.split(r"\s+" if delimiter is None else f"[{re.escape(delimiter)}]+", first.value) if t]
     cells = kept.filter(F.col("value") != first.value).select(_split(F.col("value"), delimiter).alias("c"))
