@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphfacts.operators import graph
 from graphfacts.operators.graph import G
 from graphfacts.plans import tables
-from graphfacts.plans.fixpoint import fixpoint
+from graphfacts.plans.fixpoint import fixpoint, hops_for
 
 FACT = [G, "node", "fact"]
 
@@ -41,13 +41,14 @@ def may(edges: DataFrame, gen: DataFrame, kill_node: DataFrame | None = None, ki
     if backward:
         edges = graph.invert(edges)
         kill_edge = None if kill_edge is None else graph.invert(kill_edge)
-    edges = tables.materialize(edges.select(G, "src", "dst").distinct())
+    arcs = tables.write(edges.select(G, "src", "dst").distinct())
+    edges = arcs.df
 
     def step(new, _):
         moved = _across(edges, new, kill_edge)
         return moved if kill_node is None else moved.join(kill_node.select(*FACT), FACT, "left_anti")
 
-    out = fixpoint(gen.select(*FACT), step)
+    out = fixpoint(gen.select(*FACT), step, hops=hops_for(arcs))
     return Flow(_across(edges, out, kill_edge).distinct(), out)
 
 
@@ -59,7 +60,8 @@ def shrink(candidates: DataFrame, edges: DataFrame, keep: DataFrame) -> DataFram
     """
     candidates = tables.materialize(candidates.select(*FACT).distinct())
     open_ = tables.materialize(candidates.join(keep.select(*FACT), FACT, "left_anti"))
-    edges = tables.materialize(edges.select(G, "src", "dst").distinct())
+    arcs = tables.write(edges.select(G, "src", "dst").distinct())
+    edges = arcs.df
     lacking = (
         open_.withColumnRenamed("node", "dst").join(edges, [G, "dst"])
         .join(candidates.withColumnRenamed("node", "src"), [G, "src", "fact"], "left_anti")
@@ -68,7 +70,7 @@ def shrink(candidates: DataFrame, edges: DataFrame, keep: DataFrame) -> DataFram
     def step(new, _):
         return _across(edges, new, None).join(open_, FACT, "left_semi")
 
-    return candidates.join(fixpoint(lacking, step), FACT, "left_anti")
+    return candidates.join(fixpoint(lacking, step, hops=hops_for(arcs)), FACT, "left_anti")
 
 
 def must(edges: DataFrame, gen: DataFrame, entries: DataFrame, kill_node: DataFrame | None = None,
@@ -141,7 +143,8 @@ def killing_flow(edges: DataFrame, gen: DataFrame, writes: DataFrame, targets: D
     The facts carry their target along, so the kill is one anti join on (node, target) and the quadratic
     relation of definitions that kill one another is never built.
     """
-    edges = tables.materialize(edges.select(G, "src", "dst").distinct())
+    arcs = tables.write(edges.select(G, "src", "dst").distinct())
+    edges = arcs.df
     writes = tables.materialize(writes.select(G, "node", "target").distinct())
     seed = gen.join(targets.select(G, "fact", "target").distinct(), [G, "fact"]).select(*FACT, "target")
 
@@ -152,7 +155,7 @@ def killing_flow(edges: DataFrame, gen: DataFrame, writes: DataFrame, targets: D
     def step(new, _):
         return across(new).join(writes, [G, "node", "target"], "left_anti")
 
-    out = fixpoint(seed, step)
+    out = fixpoint(seed, step, hops=hops_for(arcs))
     return Flow(across(out).select(*FACT).distinct(), out.select(*FACT))
 
 

@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphfacts.plans import tables
-from graphfacts.plans.fixpoint import LimitExceeded, fixpoint
+from graphfacts.plans.fixpoint import LimitExceeded, fixpoint, hops_for
 
 G = "graph_id"
 
 
-def _ends(edges: DataFrame) -> DataFrame:
-    """The two columns that traversal needs, computed once as a table."""
-    return tables.materialize(edges.select(G, "src", "dst").distinct())
+def _ends(edges: DataFrame) -> tables.Written:
+    """The columns that traversal needs, computed once as a table."""
+    return tables.write(edges.select(G, "src", "dst").distinct())
 
 
 def invert(edges: DataFrame) -> DataFrame:
@@ -36,26 +36,24 @@ def reachable(edges: DataFrame, sources: DataFrame, accept: DataFrame | None = N
     """
     if accept is not None:
         edges = edges.join(accept.select(G, F.col("id").alias("dst")), [G, "dst"], "left_semi")
-    edges = _ends(edges)
+    arcs = _ends(edges)
+    onward = arcs.df.withColumnRenamed("src", "id")
 
     def step(new, _):
-        return new.join(edges.withColumnRenamed("src", "id"), [G, "id"]).select(
-            G, F.col("dst").alias("id")
-        )
+        return new.join(onward, [G, "id"]).select(G, F.col("dst").alias("id"))
 
-    return fixpoint(sources.select(G, "id"), step)
+    return fixpoint(sources.select(G, "id"), step, hops=hops_for(arcs))
 
 
 def reachable_from_each(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """``(graph_id, source, id)`` for every source separately, the source included."""
-    edges = _ends(edges)
+    arcs = _ends(edges)
+    onward = arcs.df.withColumnRenamed("src", "id")
 
     def step(new, _):
-        return new.join(edges.withColumnRenamed("src", "id"), [G, "id"]).select(
-            G, "source", F.col("dst").alias("id")
-        )
+        return new.join(onward, [G, "id"]).select(G, "source", F.col("dst").alias("id"))
 
-    return fixpoint(sources.select(G, F.col("id").alias("source"), "id"), step)
+    return fixpoint(sources.select(G, F.col("id").alias("source"), "id"), step, hops=hops_for(arcs))
 
 
 def backward_closure(edges: DataFrame, targets: DataFrame) -> DataFrame:
@@ -76,15 +74,17 @@ def within_hops(edges: DataFrame, sources: DataFrame, hops: int | None) -> DataF
     ``parent`` is the smallest predecessor one hop nearer, null at the sources; ``hops`` bounds the
     search (None: to the end).
     """
-    edges = _ends(edges)
-    seed = sources.select(G, "id", F.lit(0).alias("hop"), F.lit(None).cast(edges.schema["src"].dataType).alias("parent"))
+    arcs = _ends(edges)
+    onward = arcs.df.withColumnRenamed("src", "id")
+    start = F.struct(F.lit(0).alias("hop"), F.lit(None).cast(arcs.schema["src"].dataType).alias("parent"))
 
     def step(new, _):
-        return new.drop("parent").join(edges.withColumnRenamed("src", "id"), [G, "id"]).select(
-            G, F.col("dst").alias("id"), (F.col("hop") + 1).alias("hop"), F.col("id").alias("parent")
-        )
+        return new.join(onward, [G, "id"]).select(
+            G, F.col("dst").alias("id"), F.struct((F.col("via.hop") + 1).alias("hop"), F.col("id").alias("parent")).alias("via"))
 
-    return fixpoint(seed, step, [G, "id"], rounds=hops)
+    found = fixpoint(sources.select(G, "id", start.alias("via")), step, [G, "id"], rounds=hops,
+                     hops=1 if hops is not None else hops_for(arcs))
+    return found.select(G, "id", "via.hop", "via.parent")
 
 
 # --- views ---------------------------------------------------------------------------------------
@@ -120,20 +120,17 @@ def prune(nodes: DataFrame, edges: DataFrame, predicate: Column) -> tuple[DataFr
 
 def project(edges: DataFrame, members: DataFrame) -> DataFrame:
     """Edges a→b between members joined by a path whose inner nodes are all non-members."""
-    edges = _ends(edges)
+    arcs = _ends(edges)
     members = tables.materialize(members.select(G, "id").distinct())
-    outside = edges.join(members.select(G, F.col("id").alias("src")), [G, "src"], "left_anti")
-    outside = tables.materialize(outside)
-    seed = edges.join(members.select(G, F.col("id").alias("src")), [G, "src"], "left_semi").select(G, "src", "dst")
+    outside = arcs.df.join(members.select(G, F.col("id").alias("src")), [G, "src"], "left_anti")
+    onward = tables.materialize(outside.select(G, F.col("src").alias("dst"), F.col("dst").alias("to")))
+    seed = arcs.df.join(members.select(G, F.col("id").alias("src")), [G, "src"], "left_semi").select(G, "src", "dst")
 
     def step(new, _):
-        return new.join(outside.select(G, F.col("src").alias("dst"), F.col("dst").alias("to")), [G, "dst"]).select(
-            G, "src", F.col("to").alias("dst")
-        )
+        return new.join(onward, [G, "dst"]).select(G, "src", F.col("to").alias("dst"))
 
-    return fixpoint(seed, step).join(members.select(G, F.col("id").alias("dst")), [G, "dst"], "left_semi").select(
-        G, "src", "dst"
-    )
+    return fixpoint(seed, step, hops=hops_for(arcs)).join(
+        members.select(G, F.col("id").alias("dst")), [G, "dst"], "left_semi").select(G, "src", "dst")
 
 
 def contract(nodes: DataFrame, edges: DataFrame, missing: DataFrame) -> DataFrame:
@@ -312,7 +309,7 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return new.join(spread, [G, "id"]).select(G, F.col("dst").alias("id"), "colour")
 
         colours = tables.materialize(
-            fixpoint(endpoints(e).withColumn("colour", F.col("id")), lower, [G, "id"], better="colour"))
+            fixpoint(endpoints(e).withColumn("colour", F.col("id")), lower, [G, "id"], better="colour", hops=hops_for(left)))
         same = (
             e.join(colours.select(G, F.col("id").alias("src"), F.col("colour").alias("component")), [G, "src"])
             .join(colours.select(G, F.col("id").alias("dst"), F.col("colour").alias("component")), [G, "dst", "component"])
@@ -324,7 +321,7 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return new.join(same, [G, "id", "component"]).select(G, F.col("src").alias("id"), "component")
 
         heads = colours.filter("id = colour").select(G, "id", F.col("colour").alias("component"))
-        whole = fixpoint(heads, back)
+        whole = fixpoint(heads, back, hops=hops_for(left))
         found = whole if found is None else found.unionByName(whole)
         rest = e
         for end in ("src", "dst"):
@@ -353,7 +350,7 @@ def topological_levels(nodes: DataFrame, edges: DataFrame, bottom_up: bool = Fal
 def dag_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Longest distance from a root of an acyclic graph, by peeling: a node is ready in the round after
     its last predecessor, so every edge is looked at once. Raises on a cycle."""
-    edges = _ends(edges)
+    edges = _ends(edges).df
     todo = tables.materialize(edges.groupBy(G, F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("need")))
     ready = tables.write(roots(nodes.select(G, "id").distinct(), edges).withColumn("level", F.lit(0)))
     levels, gone = [ready], []

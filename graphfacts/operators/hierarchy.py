@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphfacts.operators.graph import G
 from graphfacts.plans import tables
-from graphfacts.plans.fixpoint import fixpoint
+from graphfacts.plans.fixpoint import fixpoint, hops_for
 
 
 def supertypes(extends: DataFrame, implements: DataFrame | None = None) -> DataFrame:
@@ -23,7 +23,8 @@ def ancestors(up: DataFrame, classes: DataFrame | None = None, proper: bool = Fa
 
     ``classes(graph_id, cls)`` restricts the walk to the classes asked for.
     """
-    up = tables.materialize(up.select(G, "sub", "sup").distinct())
+    stored = tables.write(up.select(G, "sub", "sup").distinct())
+    up = stored.df
     if classes is None:
         classes = up.select(G, F.explode(F.array("sub", "sup")).alias("cls"))
     seed = classes.select(G, "cls", F.col("cls").alias("ancestor"), F.lit(0).alias("distance"))
@@ -32,7 +33,7 @@ def ancestors(up: DataFrame, classes: DataFrame | None = None, proper: bool = Fa
         return new.join(up.select(G, F.col("sub").alias("ancestor"), "sup"), [G, "ancestor"]).select(
             G, "cls", F.col("sup").alias("ancestor"), (F.col("distance") + 1).alias("distance"))
 
-    found = fixpoint(seed, step, [G, "cls", "ancestor"])
+    found = fixpoint(seed, step, [G, "cls", "ancestor"], hops=hops_for(stored))
     return found.filter("distance > 0") if proper else found
 
 

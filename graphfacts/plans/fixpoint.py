@@ -22,6 +22,9 @@ FAN_IN = 8
 # table can then be broadcast to the known rows, which are scanned but not shuffled.
 STAGE_ROWS = 2_000_000
 
+# Constant sides of at most this many rows are cheap to join several times in one round.
+SMALL_SIDE = 1_000_000
+
 Step = Callable[[DataFrame, DataFrame], DataFrame]
 
 
@@ -69,6 +72,7 @@ def solve(
     pick: dict[str, Callable[[str], Column]] | None = None,
     better: str | None = None,
     distinct: bool = True,
+    hops: int = 1,
     rounds: int | None = None,
     max_rounds: int = 100_000,
     max_rows: int | None = None,
@@ -81,6 +85,9 @@ def solve(
               its ``pick`` is ``F.min``, a larger one if it is ``F.max``. Without it the first
               arrival stays.
     distinct  False when ``step`` can never produce a known row (growing paths).
+    hops      apply ``step`` that many times per round before the result is compared and written. It
+              saves rounds where the constant side is small (see :func:`hops_for`); every ``pick``
+              must be a minimum or maximum that is right across hops.
     rounds    stop after that many rounds although more would follow (``complete`` tells).
     max_rounds, max_rows  guards that raise :class:`LimitExceeded`.
     """
@@ -89,7 +96,7 @@ def solve(
     rest = [c for c in names if c not in keys]
     pick = {c: (pick or {}).get(c, F.min) for c in rest}
 
-    kinds = {f.name: f.dataType for f in seed.schema.fields}
+    kinds = {f.name: f.dataType.simpleString() for f in seed.schema.fields}
 
     def squash(df: DataFrame) -> DataFrame:
         df = df.select(*[F.col(c).cast(kinds[c]).alias(c) for c in names])
@@ -113,6 +120,14 @@ def solve(
         gain = F.col(better) > F.col("_old") if pick[better] is F.max else F.col(better) < F.col("_old")
         return found.join(old, keys, "left").filter(F.col("_old").isNull() | gain).select(*names)
 
+    def candidates(new: DataFrame, known: DataFrame) -> DataFrame:
+        found = squash(step(new, known))
+        every = found
+        for _ in range(hops - 1):
+            found = squash(step(found, known))
+            every = every.unionAll(found)
+        return squash(every) if hops > 1 else every
+
     delta = tables.write(squash(seed))
     log = _Log(delta)
     done = 0
@@ -121,7 +136,7 @@ def solve(
             return Solution(current(log.df), done, False)
         if done >= max_rounds:
             raise LimitExceeded(f"no fixpoint after {max_rounds} rounds")
-        found = squash(step(delta.df, current(log.df)))
+        found = candidates(delta.df, current(log.df))
         delta = tables.write(unknown(found, log) if distinct else found)
         done += 1
         if delta.rows:
@@ -131,6 +146,15 @@ def solve(
     return Solution(current(log.df), done, True)
 
 
+def hops_for(side: tables.Written, hops: int = 3) -> int:
+    """Steps per round for a loop that joins its newest rows with ``side``.
+
+    A small side is broadcast to every hop, so more hops per round mean fewer writes. A large one is scanned
+    or shuffled per hop and the exact size of the newest rows, known after each write, is worth more.
+    """
+    return hops if side.rows <= SMALL_SIDE else 1
+
+
 def fixpoint(seed: DataFrame, step: Step, keys: Sequence[str] | None = None, **options) -> DataFrame:
     """:func:`solve`, result rows only."""
     return solve(seed, step, keys, **options).df

@@ -170,6 +170,9 @@ def with_views(body: str, recursive: str = "") -> str:
         if word in VIEWS:
             used += [v for v in _needs(word) if v not in used]
     used.sort(key=list(VIEWS).index)
+    own = re.match(r"\s*WITH (?:RECURSIVE )?", body)
+    if own:
+        recursive, body = (recursive + ", " if recursive else "") + body[own.end():], ""
     parts = [f"{v} AS MATERIALIZED ({VIEWS[v]})" for v in used]
     if recursive:
         parts.append(recursive)

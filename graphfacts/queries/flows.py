@@ -1 +1,249 @@
-"""placeholder"""
+"""Dataflow operators on supplier flow graphs and on the supergraph derived from them."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from graphfacts.operators import dataflow, graph, tabulation
+from graphfacts.operators.graph import G
+from graphfacts.plans import tables
+from graphfacts.queries import query
+from graphfacts.queries.classes import CLASSES
+
+ZERO = -1
+GEN = "SELECT graph_id, id AS node, id AS fact FROM supp_low"
+# nodes of another region than the fact's supplier, with a high balance, end the fact
+KILL = """SELECT h.graph_id, h.id AS node, l.id AS fact FROM supp_high h JOIN supp_low l ON l.graph_id = h.graph_id"""
+# an edge into a supplier of the fact's own nation does not carry it
+KILL_EDGE = """SELECT e.graph_id, e.src, e.dst, l.id AS fact FROM next2 e JOIN supp_nation n ON n.graph_id = e.graph_id AND n.id = e.dst
+               JOIN supp_nation m ON m.graph_id = e.graph_id AND m.key = n.key AND m.id <> e.dst JOIN supp_low l ON l.graph_id = m.graph_id AND l.id = m.id"""
+
+
+def may_sql(edges: str) -> str:
+    return f"""gen AS MATERIALIZED ({GEN}), kn AS MATERIALIZED ({KILL}), ke AS MATERIALIZED ({KILL_EDGE}), ed AS MATERIALIZED (SELECT graph_id, src, dst FROM {edges}),
+    f(graph_id, node, fact) AS (SELECT * FROM gen UNION SELECT f.graph_id, e.dst, f.fact FROM f JOIN ed e ON e.graph_id = f.graph_id AND e.src = f.node
+        WHERE (e.graph_id, e.src, e.dst, f.fact) NOT IN (SELECT (graph_id, src, dst, fact) FROM ke) AND (e.graph_id, e.dst, f.fact) NOT IN (SELECT (graph_id, node, fact) FROM kn))"""
+
+
+IN = """SELECT DISTINCT f.graph_id, e.dst AS node, f.fact FROM f JOIN ed e ON e.graph_id = f.graph_id AND e.src = f.node
+        WHERE (e.graph_id, e.src, e.dst, f.fact) NOT IN (SELECT (graph_id, src, dst, fact) FROM ke)"""
+
+
+def _parts(s):
+    return tables.materialize(s.next2), s.sql(GEN), tables.materialize(s.sql(KILL)), tables.materialize(s.sql(KILL_EDGE))
+
+
+@query("k1_accumulate", "SELECT * FROM f",
+       "f(graph_id, node, fact) AS (SELECT graph_id, id, id FROM supp_low UNION SELECT f.graph_id, e.dst, f.fact FROM f JOIN next2 e ON e.graph_id = f.graph_id AND e.src = f.node)")
+def _(s):
+    return dataflow.accumulate(s.next2, s.sql(GEN))
+
+
+@query("k2_k3_may_out", "SELECT * FROM f", may_sql("next2"))
+def _(s):
+    e, gen, kn, ke = _parts(s)
+    return dataflow.may(e, gen, kn, ke).out
+
+
+@query("k2_v2_may_in", IN, may_sql("next2"))
+def _(s):
+    e, gen, kn, ke = _parts(s)
+    return dataflow.may(e, gen, kn, ke).into
+
+
+# greatest solution by its complement: (node, fact) is lost at the root, over a killing edge, at a killing node
+MUST = f"""rc(graph_id, id) AS (SELECT graph_id, id FROM supp_root UNION SELECT r.graph_id, e.dst FROM rc r JOIN next2 e ON e.graph_id = r.graph_id AND e.src = r.id),
+    inside AS MATERIALIZED (SELECT DISTINCT * FROM rc), gen AS MATERIALIZED (SELECT g.* FROM ({GEN}) g JOIN inside i ON i.graph_id = g.graph_id AND i.id = g.node),
+    kn AS MATERIALIZED ({KILL}), ke AS MATERIALIZED ({KILL_EDGE}),
+    ed AS MATERIALIZED (SELECT e.graph_id, e.src, e.dst FROM next2 e JOIN inside i ON i.graph_id = e.graph_id AND i.id = e.src),
+    facts AS MATERIALIZED (SELECT DISTINCT graph_id, fact FROM gen),
+    lost(graph_id, node, fact) AS (
+        SELECT * FROM (SELECT r.graph_id, r.id AS node, f.fact FROM supp_root r JOIN facts f ON f.graph_id = r.graph_id
+        UNION SELECT k.graph_id, k.node, k.fact FROM kn k JOIN inside i ON i.graph_id = k.graph_id AND i.id = k.node
+        UNION SELECT k.graph_id, k.dst, k.fact FROM ke k JOIN inside i ON i.graph_id = k.graph_id AND i.id = k.src) z
+        WHERE (graph_id, node, fact) NOT IN (SELECT (graph_id, node, fact) FROM gen)
+        UNION SELECT l.graph_id, e.dst, l.fact FROM lost l JOIN ed e ON e.graph_id = l.graph_id AND e.src = l.node
+        WHERE (l.graph_id, e.dst, l.fact) NOT IN (SELECT (graph_id, node, fact) FROM gen))"""
+HELD = "SELECT i.graph_id, i.id AS node, f.fact FROM inside i JOIN facts f ON f.graph_id = i.graph_id WHERE (i.graph_id, i.id, f.fact) NOT IN (SELECT (graph_id, node, fact) FROM lost)"
+
+
+@query("k2_must_out", HELD, MUST)
+def _(s):
+    e, gen, kn, ke = _parts(s)
+    return dataflow.must(e, gen, s.supp_root, kn, ke).out
+
+
+@query("k4_boolean_may", """
+    SELECT n.graph_id, n.id, (n.graph_id, n.id) IN (SELECT (e.graph_id, e.dst) FROM next2 e JOIN f ON f.graph_id = e.graph_id AND f.id = e.src) AS before,
+           (n.graph_id, n.id) IN (SELECT (graph_id, id) FROM f) AS after FROM supp_nodes n""",
+       """f(graph_id, id) AS (SELECT graph_id, id FROM supp_low UNION SELECT f.graph_id, e.dst FROM f JOIN next2 e ON e.graph_id = f.graph_id AND e.src = f.id
+          WHERE (e.graph_id, e.dst) NOT IN (SELECT (graph_id, id) FROM supp_high))""")
+def _(s):
+    settings = s.supp_low.withColumn("value", F.lit(True)).unionByName(s.supp_high.withColumn("value", F.lit(False)))
+    return dataflow.boolean(s.supp_nodes, tables.materialize(s.next2), settings, s.supp_root)
+
+
+@query("k4_boolean_must", """
+    SELECT n.graph_id, n.id, (n.graph_id, n.id) NOT IN (SELECT (graph_id, id) FROM supp_root) AND NOT EXISTS (SELECT 1 FROM next2 e JOIN f ON f.graph_id = e.graph_id AND f.id = e.src
+        WHERE e.graph_id = n.graph_id AND e.dst = n.id AND (e.graph_id, e.src) IN (SELECT (graph_id, id) FROM rc)) AS before,
+        (n.graph_id, n.id) NOT IN (SELECT (graph_id, id) FROM f) AS after FROM (SELECT DISTINCT * FROM rc) n""",
+       """rc(graph_id, id) AS (SELECT graph_id, id FROM supp_root UNION SELECT r.graph_id, e.dst FROM rc r JOIN next2 e ON e.graph_id = r.graph_id AND e.src = r.id),
+       f(graph_id, id) AS (SELECT * FROM (SELECT graph_id, id FROM supp_root UNION SELECT graph_id, id FROM supp_high) WHERE (graph_id, id) NOT IN (SELECT (graph_id, id) FROM supp_low)
+          UNION SELECT f.graph_id, e.dst FROM f JOIN next2 e ON e.graph_id = f.graph_id AND e.src = f.id
+          WHERE (e.graph_id, f.id) IN (SELECT (graph_id, id) FROM rc) AND (e.graph_id, e.dst) NOT IN (SELECT (graph_id, id) FROM supp_low))""")
+def _(s):
+    settings = s.supp_low.withColumn("value", F.lit(True)).unionByName(s.supp_high.withColumn("value", F.lit(False)))
+    return dataflow.boolean(s.supp_nodes, tables.materialize(s.next2), settings, s.supp_root, meet="must")
+
+
+WRITES = "SELECT l.graph_id, l.id AS node, n.key AS target, l.id AS definition FROM supp_low l JOIN supp_nation n ON n.graph_id = l.graph_id AND n.id = l.id"
+
+
+def reaching_sql(edges: str, defs: str) -> str:
+    return f"""d AS MATERIALIZED ({defs}), ed AS MATERIALIZED ({edges}),
+    f(graph_id, node, fact, target) AS (SELECT graph_id, node, definition, target FROM d UNION SELECT f.graph_id, e.dst, f.fact, f.target FROM f
+        JOIN ed e ON e.graph_id = f.graph_id AND e.src = f.node WHERE (e.graph_id, e.dst, f.target) NOT IN (SELECT (graph_id, node, target) FROM d))"""
+
+
+@query("k5_reaching_definitions", "SELECT graph_id, node, fact FROM f", reaching_sql("SELECT graph_id, src, dst FROM next2", WRITES))
+def _(s):
+    return dataflow.reaching_definitions(tables.materialize(s.next2), s.sql(WRITES)).out
+
+
+@query("k6_interprocedural_definitions", "SELECT graph_id, node, fact FROM f",
+       reaching_sql("SELECT graph_id, src, dst FROM super WHERE label <> 'call_to_return'", "SELECT graph_id, node, target, definition FROM defs"))
+def _(s):
+    sup = tables.materialize(s.super)
+    return dataflow.reaching_definitions(sup, s.defs, cut=sup.filter("label = 'call_to_return'")).out
+
+
+def tabulation_sql(seeds: str = "super_seeds", unbalanced: bool = False, extra: str = "") -> str:
+    """Path edges as one keyed recursion; `recurring` is everything found so far."""
+    call = "SELECT p.*, e.dst AS callee FROM {p} p JOIN calls e ON e.graph_id = p.graph_id AND e.src = p.node"
+    leave = "SELECT p.graph_id, p.entry AS callee, p.d1 AS din, p.d2 AS dout, e.dst AS ret, e.call FROM {p} p JOIN rets e ON e.graph_id = p.graph_id AND e.src = p.node"
+    met = ("SELECT c.graph_id, c.entry, c.d1, x.ret, x.dout{s} FROM ({c}) c JOIN ({x}) x ON x.graph_id = c.graph_id AND x.callee = c.callee AND x.din = c.d2 AND x.call = c.node")
+    s, s0 = (", c.seeded", ", false") if unbalanced else ("", "")
+    names = "graph_id, entry, d1, node, d2" + (", seeded" if unbalanced else "")
+    rules = [
+        f"""SELECT m.graph_id, m.entry, m.d1, m.dst, m.d2{', m.seeded' if unbalanced else ''} FROM (SELECT p.*, e.dst, e.src AS at_src FROM pe p JOIN inner_ e ON e.graph_id = p.graph_id AND e.src = p.node) m
+            LEFT JOIN tgt t ON t.graph_id = m.graph_id AND t.fact = m.d2 LEFT JOIN wr w ON w.graph_id = m.graph_id AND w.src = m.at_src AND w.target = t.target WHERE w.src IS NULL""",
+        f"SELECT p.graph_id, p.entry, p.d1, e.dst, g.fact{', p.seeded' if unbalanced else ''} FROM pe p JOIN inner_ e ON e.graph_id = p.graph_id AND e.src = p.node JOIN super_gen g ON g.graph_id = p.graph_id AND g.src = e.src WHERE p.d2 = {ZERO}",
+        f"SELECT c.graph_id, c.callee, c.d2, c.callee, c.d2{s0} FROM ({call.format(p='pe')}) c",
+        met.format(s=s, c=call.format(p="pe"), x=leave.format(p="recurring.pe")),
+        met.format(s=s, c=call.format(p="recurring.pe"), x=leave.format(p="pe")),
+    ]
+    if unbalanced:
+        rules.append("SELECT p.graph_id, e.dst, p.d2, e.dst, p.d2, true FROM pe p JOIN rets e ON e.graph_id = p.graph_id AND e.src = p.node WHERE p.seeded")
+    step = " UNION ALL ".join(rules)
+    old = "AND NOT (o.seeded < n.seeded)" if unbalanced else ""
+    if unbalanced:
+        step = f"SELECT graph_id, entry, d1, node, d2, bool_or(seeded) AS seeded FROM ({step}) z(graph_id, entry, d1, node, d2, seeded) GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY 1, 2, 3, 4, 5")
+    else:
+        step = f"SELECT DISTINCT * FROM ({step}) z(graph_id, entry, d1, node, d2)"
+    return f"""inner_ AS MATERIALIZED (SELECT * FROM super WHERE label NOT IN ('call', 'return')), calls AS MATERIALIZED (SELECT * FROM super WHERE label = 'call'),
+    rets AS MATERIALIZED (SELECT * FROM super WHERE label = 'return'), tgt AS MATERIALIZED (SELECT graph_id, definition AS fact, target FROM defs),
+    wr AS MATERIALIZED (SELECT DISTINCT graph_id, node AS src, target FROM defs), {extra}
+    pe({names}) USING KEY (graph_id, entry, d1, node, d2) AS (SELECT graph_id, entry, d1, node, d2{', true' if unbalanced else ''} FROM {seeds} UNION
+        SELECT n.* FROM ({step}) n WHERE NOT EXISTS (SELECT 1 FROM recurring.pe o WHERE o.graph_id = n.graph_id AND o.entry = n.entry AND o.d1 = n.d1 AND o.node = n.node AND o.d2 = n.d2 {old}))"""
+
+
+def _flow(s):
+    return tabulation.redefine(
+        ZERO, s.super_gen, s.defs.select(G, F.col("node").alias("src"), "target"), s.defs.select(G, F.col("definition").alias("fact"), "target"))
+
+
+@query("k10_path_edges", "SELECT graph_id, entry, d1, node, d2 FROM pe", tabulation_sql())
+def _(s):
+    return tabulation.tabulate(s.super, s.super_seeds, flow=_flow(s)).df
+
+
+@query("k7_context_sensitive_definitions", f"SELECT DISTINCT graph_id, node, d2 AS fact FROM pe WHERE d2 <> {ZERO}", tabulation_sql())
+def _(s):
+    return tabulation.results(tabulation.tabulate(s.super, s.super_seeds, flow=_flow(s)).df, ZERO)
+
+
+MIDWAY = "SELECT l.graph_id, l.id * 10 AS entry, l.id AS d1, l.id * 10 + 4 AS node, l.id AS d2 FROM supp_low l"
+
+
+@query("k11_partially_balanced", "SELECT graph_id, entry, d1, node, d2 FROM pe", tabulation_sql("midway", True, f"midway AS MATERIALIZED ({MIDWAY}),"))
+def _(s):
+    return tabulation.tabulate(s.super, s.sql(MIDWAY), flow=_flow(s), unbalanced=True).df
+
+
+@query("k12_merge_facts", f"SELECT graph_id, node, min(d2) AS lowest, max(d2) AS highest, count(*) AS n FROM (SELECT DISTINCT graph_id, node, d2 FROM pe WHERE d2 <> {ZERO}) GROUP BY 1, 2", tabulation_sql())
+def _(s):
+    facts = tabulation.results(tabulation.tabulate(s.super, s.super_seeds, flow=_flow(s)).df, ZERO)
+    facts = facts.select(G, "node", F.col("fact").alias("lowest"), F.col("fact").alias("highest"), F.lit(1).alias("n"))
+    return tabulation.merge(facts, [G, "node"], [("lowest", F.min), ("highest", F.max), ("n", F.count)])
+
+
+@query("k13_reverse_supergraph", """
+    SELECT graph_id, dst AS src, src AS dst, label, call FROM super WHERE label NOT IN ('call', 'return')
+    UNION SELECT graph_id, dst, src, 'call', NULL FROM super WHERE label = 'return'
+    UNION SELECT c.graph_id, c.dst, c.src, 'return', r.dst FROM super c JOIN super r ON r.graph_id = c.graph_id AND r.label = 'return' AND r.call = c.src WHERE c.label = 'call'""")
+def _(s):
+    return tabulation.reverse(s.super)
+
+
+@query("k14_summaries", "SELECT graph_id, entry, d1, node AS exit, d2 FROM pe WHERE node % 10 = 5", tabulation_sql())
+def _(s):
+    paths = tabulation.tabulate(s.super, s.super_seeds, flow=_flow(s)).df
+    exits = s.supp_nodes.select(G, (F.col("id") * 10 + 5).alias("id"))
+    return tabulation.summaries(paths, exits)
+
+
+@query("k17_bounded_tabulation", "SELECT false AS complete")
+def _(s):
+    found = tabulation.tabulate(s.super, s.super_seeds, flow=_flow(s), rounds=3)
+    return found.df.limit(1).select(F.lit(found.complete).alias("complete"))
+
+
+PHI = "SELECT graph_id, src AS result, dst AS operand FROM dag23"
+USES = "SELECT graph_id, dst AS value, category <> 'PROMO' AS by_phi FROM dag23 JOIN part_nodes n ON n.id = src"
+
+
+@query("k8_dead_values", "SELECT graph_id, id AS value FROM part_nodes WHERE id NOT IN (SELECT id FROM r)",
+       f"r(id) AS (SELECT DISTINCT value FROM ({USES}) WHERE NOT by_phi UNION SELECT p.operand FROM r JOIN ({PHI}) p ON p.result = r.id)")
+def _(s):
+    return dataflow.dead_values(s.part_nodes.select(G, F.col("id").alias("value")), s.sql(USES), s.sql(PHI))
+
+
+@query("k9_def_use", """
+    SELECT 'li' AS graph_id, p_partkey AS value, p_size AS def_node, l_orderkey AS use_node FROM part LEFT JOIN lineitem ON l_partkey = p_partkey""")
+def _(s):
+    d = s.part.select(F.lit("li").alias(G), F.col("p_partkey").alias("value"), F.col("p_size").alias("node"))
+    return dataflow.def_use(d, s.lineitem.select(F.lit("li").alias(G), F.col("l_partkey").alias("value"), F.col("l_orderkey").alias("node")))
+
+
+@query("k9_use_counts", "SELECT 'cust' AS graph_id, c_custkey AS value, count(o_orderkey) AS uses FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 2")
+def _(s):
+    d = s.customer.select(F.lit("cust").alias(G), F.col("c_custkey").alias("value"))
+    return dataflow.use_counts(d, s.orders.select(F.lit("cust").alias(G), F.col("o_custkey").alias("value")))
+
+
+# values are customers' orders by priority: defined by finished orders, used by the others
+ORDER_FACTS = "SELECT 'lines' AS graph_id, o_orderkey AS node, o_orderpriority AS value, o_orderstatus AS st FROM orders"
+
+
+@query("k15_live_values", f"""
+    SELECT DISTINCT e.graph_id, e.src AS node, l.value FROM order_flow e JOIN l ON l.node = e.dst""",
+       f"""fx AS MATERIALIZED ({ORDER_FACTS}), l(node, value) AS (SELECT node, value FROM fx WHERE st = 'P' UNION
+           SELECT e.src, l.value FROM l JOIN order_flow e ON e.dst = l.node WHERE (e.src, l.value) NOT IN (SELECT (node, value) FROM fx WHERE st = 'F'))""")
+def _(s):
+    fx = tables.materialize(s.sql(ORDER_FACTS))
+    return dataflow.live_at(s.order_flow, fx.filter("st = 'F'"), fx.filter("st = 'P'"))
+
+
+VFLOW = "SELECT 'part' AS graph_id, src, dst FROM next1 WHERE graph_id = 'A'"
+KNOWN = "SELECT 'part' AS graph_id, id AS value, concat('P', cast(id AS string)) AS type FROM supp_low WHERE graph_id = 'A'"
+
+
+@query("k16_infer_types", """
+    SELECT 'part' AS graph_id, value, max_by(ancestor, depth) AS type FROM (
+        SELECT t.value, x.ancestor, count(*) AS n, any_value(d.depth) AS depth, any_value(t.size) AS size
+        FROM (SELECT node AS value, fact, count(*) OVER (PARTITION BY node) AS size FROM (SELECT DISTINCT node, fact FROM fl)) t
+        JOIN an x ON x.cls = t.fact JOIN (SELECT cls, count(*) AS depth FROM an GROUP BY 1) d ON d.cls = x.ancestor GROUP BY 1, 2)
+    WHERE n = size GROUP BY 2""",
+       CLASSES + f", fl(node, fact) AS (SELECT value, type FROM ({KNOWN}) UNION SELECT e.dst, f.fact FROM fl f JOIN ({VFLOW}) e ON e.src = f.node)")
+def _(s):
+    return dataflow.infer_types(s.sql(VFLOW), s.sql(KNOWN), s.extends)

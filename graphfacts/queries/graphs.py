@@ -132,17 +132,17 @@ def _(s):
 
 @query("g6_all_shortest_paths", """
     WITH RECURSIVE x AS MATERIALIZED (SELECT * FROM t),
-    p(graph_id, src, dst, at, path) AS (
+    p(graph_id, src, dst, cur, path) AS (
         SELECT e.graph_id, e.src, l.id, e.dst, CASE WHEN e.dst = l.id THEN [] ELSE [e.dst] END
         FROM next2 e JOIN supp_low l ON l.graph_id = e.graph_id JOIN supp_high h ON h.graph_id = e.graph_id AND h.id = e.src
         LEFT JOIN x a ON a.graph_id = e.graph_id AND a.src = e.dst AND a.dst = l.id
         JOIN x b ON b.graph_id = e.graph_id AND b.src = e.src AND b.dst = l.id WHERE b.d = 1 AND e.dst = l.id OR (b.d > 1 AND a.d + 1 = b.d)
         UNION ALL
         SELECT p.graph_id, p.src, p.dst, e.dst, CASE WHEN e.dst = p.dst THEN p.path ELSE list_append(p.path, e.dst) END
-        FROM p JOIN next2 e ON e.graph_id = p.graph_id AND e.src = p.at JOIN x b ON b.graph_id = p.graph_id AND b.src = p.at AND b.dst = p.dst
+        FROM p JOIN next2 e ON e.graph_id = p.graph_id AND e.src = p.cur JOIN x b ON b.graph_id = p.graph_id AND b.src = p.cur AND b.dst = p.dst
         LEFT JOIN x a ON a.graph_id = e.graph_id AND a.src = e.dst AND a.dst = p.dst
-        WHERE p.at <> p.dst AND ((b.d = 1 AND e.dst = p.dst) OR (b.d > 1 AND a.d + 1 = b.d)))
-    SELECT graph_id, src, dst, path FROM p WHERE at = dst""", shortest("t", "next2", "true"))
+        WHERE p.cur <> p.dst AND ((b.d = 1 AND e.dst = p.dst) OR (b.d > 1 AND a.d + 1 = b.d)))
+    SELECT graph_id, src, dst, path FROM p WHERE cur = dst""", shortest("t", "next2", "true"))
 def _(s):
     edges = tables.materialize(s.next2)
     pairs = s.supp_high.select(G, F.col("id").alias("src")).join(s.supp_low.select(G, F.col("id").alias("dst")), G)
@@ -152,9 +152,9 @@ def _(s):
 BIG = "(SELECT 'part' AS graph_id, p_partkey AS id FROM part WHERE p_size = 50)"
 
 
-@query("g7_simple_paths", "SELECT graph_id, path FROM p WHERE at = 0",
-       f"""p(graph_id, at, path) AS (SELECT graph_id, id, [id] FROM {BIG} UNION ALL
-           SELECT p.graph_id, e.dst, list_append(p.path, e.dst) FROM p JOIN dag23 e ON e.src = p.at WHERE NOT list_contains(p.path, e.dst))""")
+@query("g7_simple_paths", "SELECT graph_id, path FROM p WHERE cur = 0",
+       f"""p(graph_id, cur, path) AS (SELECT graph_id, id, [id] FROM {BIG} UNION ALL
+           SELECT p.graph_id, e.dst, list_append(p.path, e.dst) FROM p JOIN dag23 e ON e.src = p.cur WHERE NOT list_contains(p.path, e.dst))""")
 def _(s):
     sources = s.sql(f"SELECT * FROM {BIG} b")
     root = s.sql("SELECT 'part' AS graph_id, min(p_partkey) AS id FROM part")
@@ -266,11 +266,11 @@ def _(s):
     return graph.cycle_edges(tables.materialize(graph.strong_components(s.supp_nodes, edges)), edges)
 
 
-@query("g19_acyclic_paths", "SELECT graph_id, path FROM p WHERE (graph_id, at) IN (SELECT (graph_id, id) FROM supp_low)",
+@query("g19_acyclic_paths", "SELECT graph_id, path FROM p WHERE (graph_id, cur) IN (SELECT (graph_id, id) FROM supp_low)",
        closure("cl", "next2") + """, fwd AS MATERIALIZED (SELECT * FROM next2 WHERE (graph_id, dst, src) NOT IN (SELECT (graph_id, src, dst) FROM cl)),
-       p(graph_id, at, path) AS (SELECT graph_id, id, [id] FROM supp_nodes WHERE (graph_id, id) NOT IN (SELECT (graph_id, dst) FROM next2) UNION ALL
-          SELECT p.graph_id, e.dst, list_append(p.path, e.dst) FROM p JOIN fwd e ON e.graph_id = p.graph_id AND e.src = p.at
-          WHERE (p.graph_id, p.at) NOT IN (SELECT (graph_id, id) FROM supp_low))""")
+       p(graph_id, cur, path) AS (SELECT graph_id, id, [id] FROM supp_nodes WHERE (graph_id, id) NOT IN (SELECT (graph_id, dst) FROM next2) UNION ALL
+          SELECT p.graph_id, e.dst, list_append(p.path, e.dst) FROM p JOIN fwd e ON e.graph_id = p.graph_id AND e.src = p.cur
+          WHERE (p.graph_id, p.cur) NOT IN (SELECT (graph_id, id) FROM supp_low))""")
 def _(s):
     edges = tables.materialize(s.next2)
     return paths.acyclic_paths(s.supp_nodes, edges, graph.roots(s.supp_nodes, edges), s.supp_low, max_length=1000, max_paths=10_000_000)
