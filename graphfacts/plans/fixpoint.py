@@ -38,15 +38,29 @@ class LimitExceeded(RuntimeError):
     """A guard against runaway recursion was hit; no partial result is returned."""
 
 
-class _Log:
-    """Rows known so far, as a list of written tables merged in tiers."""
+class Log:
+    """Rows known so far, as a list of written tables merged in tiers.
 
-    def __init__(self, first: tables.Written):
+    ``keys`` identify a row, ``pick`` gives the aggregate of every other column, ``better`` names the column
+    in which a later row may improve an earlier one (see :func:`solve`).
+    """
+
+    def __init__(self, first: tables.Written, keys: Sequence[str] | None = None,
+                 pick: dict[str, Callable[[str], Column]] | None = None, better: str | None = None):
         self.spark, self.schema = first.spark, first.schema
+        self.names = first.schema.names
+        self.keys = list(keys or self.names)
+        self.pick = {c: (pick or {}).get(c, F.min) for c in self.names if c not in self.keys}
+        self.better = better
         self.runs: list[tuple[int, tables.Written]] = [(0, first)]
         self.rows = first.rows
+        # built once: a loop of many rounds should not assemble the same expressions again
+        self._typed = [F.col(f.name).cast(f.dataType.simpleString()).alias(f.name) for f in first.schema.fields]
+        self._picked = [f(c).alias(c) for c, f in self.pick.items()]
+        self._df: DataFrame | None = None
 
     def add(self, run: tables.Written) -> None:
+        self._df = None
         self.runs.append((0, run))
         self.rows += run.rows
         while len(self.runs) >= FAN_IN:
@@ -60,9 +74,32 @@ class _Log:
     def _read(self, runs: list[tuple[int, tables.Written]]) -> DataFrame:
         return tables.read_all(self.spark, self.schema, [w.path for _, w in runs])
 
+    def squash(self, df: DataFrame) -> DataFrame:
+        """One row per key, columns in order and of the right type."""
+        df = df.select(*self._typed)
+        if not self.pick:
+            return df.distinct()
+        return df.groupBy(*self.keys).agg(*self._picked).select(*self.names)
+
     @property
     def df(self) -> DataFrame:
-        return self._read(self.runs)
+        if self._df is None:
+            every = self._read(self.runs)
+            self._df = self.squash(every) if self.better else every
+        return self._df
+
+    def unknown(self, found: DataFrame) -> DataFrame:
+        """The squashed rows of ``found`` that are new or better."""
+        known = self.df
+        if self.rows > STAGE_ROWS:
+            found = tables.materialize(found)
+            known = known.join(found.select(*self.keys), self.keys, "left_semi")
+        if not self.better:
+            return found.join(known.select(*self.keys), self.keys, "left_anti")
+        b = self.better
+        old = known.select(*self.keys, F.col(b).alias("_old"))
+        gain = F.col(b) > F.col("_old") if self.pick[b] is F.max else F.col(b) < F.col("_old")
+        return found.join(old, self.keys, "left").filter(F.col("_old").isNull() | gain).select(*self.names)
 
 
 def solve(
@@ -91,34 +128,11 @@ def solve(
     rounds    stop after that many rounds although more would follow (``complete`` tells).
     max_rounds, max_rows  guards that raise :class:`LimitExceeded`.
     """
-    names = list(seed.columns)
-    keys = list(keys or names)
-    rest = [c for c in names if c not in keys]
-    pick = {c: (pick or {}).get(c, F.min) for c in rest}
-
-    kinds = {f.name: f.dataType.simpleString() for f in seed.schema.fields}
+    delta = tables.write(_one_per_key(seed, keys, pick) if distinct else seed)
+    log = Log(delta, keys, pick, better)
 
     def squash(df: DataFrame) -> DataFrame:
-        df = df.select(*[F.col(c).cast(kinds[c]).alias(c) for c in names])
-        if not distinct:
-            return df
-        if not rest:
-            return df.distinct()
-        return df.groupBy(*keys).agg(*[pick[c](c).alias(c) for c in rest]).select(*names)
-
-    def current(df: DataFrame) -> DataFrame:
-        return squash(df) if better else df
-
-    def unknown(found: DataFrame, log: _Log) -> DataFrame:
-        known = current(log.df)
-        if log.rows > STAGE_ROWS:
-            found = tables.materialize(found)
-            known = known.join(found.select(*keys), keys, "left_semi")
-        if not better:
-            return found.join(known.select(*keys), keys, "left_anti")
-        old = known.select(*keys, F.col(better).alias("_old"))
-        gain = F.col(better) > F.col("_old") if pick[better] is F.max else F.col(better) < F.col("_old")
-        return found.join(old, keys, "left").filter(F.col("_old").isNull() | gain).select(*names)
+        return log.squash(df) if distinct else df.select(*log.names)
 
     def candidates(new: DataFrame, known: DataFrame) -> DataFrame:
         found = squash(step(new, known))
@@ -128,22 +142,27 @@ def solve(
             every = every.unionAll(found)
         return squash(every) if hops > 1 else every
 
-    delta = tables.write(squash(seed))
-    log = _Log(delta)
     done = 0
     while delta.rows:
         if rounds is not None and done >= rounds:
-            return Solution(current(log.df), done, False)
+            return Solution(log.df, done, False)
         if done >= max_rounds:
             raise LimitExceeded(f"no fixpoint after {max_rounds} rounds")
-        found = candidates(delta.df, current(log.df))
-        delta = tables.write(unknown(found, log) if distinct else found)
+        found = candidates(delta.df, log.df)
+        delta = tables.write(log.unknown(found) if distinct else found)
         done += 1
         if delta.rows:
             log.add(delta)
         if max_rows is not None and log.rows > max_rows:
             raise LimitExceeded(f"more than {max_rows} rows")
-    return Solution(current(log.df), done, True)
+    return Solution(log.df, done, True)
+
+
+def _one_per_key(seed: DataFrame, keys: Sequence[str] | None, pick: dict[str, Callable[[str], Column]] | None) -> DataFrame:
+    rest = [c for c in seed.columns if keys and c not in keys]
+    if not rest:
+        return seed.distinct()
+    return seed.groupBy(*keys).agg(*[(pick or {}).get(c, F.min)(c).alias(c) for c in rest]).select(*seed.columns)
 
 
 def hops_for(side: tables.Written, hops: int = 3) -> int:

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from typing import NamedTuple
+from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +42,8 @@ def work_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
-class Written(NamedTuple):
+@dataclass(frozen=True)
+class Written:
     """A table on disk: where it is, what it holds, how many rows."""
 
     path: str
@@ -49,7 +51,7 @@ class Written(NamedTuple):
     rows: int
     spark: SparkSession
 
-    @property
+    @cached_property
     def df(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
 

@@ -147,34 +147,36 @@ def tabulation_sql(seeds: str = "super_seeds", unbalanced: bool = False, extra:
         SELECT n.* FROM ({step}) n WHERE NOT EXISTS (SELECT 1 FROM recurring.pe o WHERE o.graph_id = n.graph_id AND o.entry = n.entry AND o.d1 = n.d1 AND o.node = n.node AND o.d2 = n.d2 {old}))"""
 
 
-def _flow(s):
-    return tabulation.redefine(
-        ZERO, s.super_gen, s.defs.select(G, F.col("node").alias("src"), "target"), s.defs.select(G, F.col("definition").alias("fact"), "target"))
+def _problem(s, seeds, **options):
+    """Path edges of reaching definitions on the supergraph, facts shown by their definition."""
+    edges, flow = tabulation.redefine(s.super, s.defs)
+    fact = lambda c: F.when(F.col(c) == ZERO, tabulation.nothing()).otherwise(
+        F.struct(F.col("target").alias("target"), F.col(c).alias("definition")).cast(tabulation.DEFINITION)).alias(c)
+    seeds = seeds.join(s.defs.select(G, F.col("definition").alias("d1"), "target"), [G, "d1"], "left").select(G, "entry", fact("d1"), "node", fact("d2"))
+    found = tabulation.tabulate(edges, seeds, flow=flow, **options)
+    return found, found.df.select(G, "entry", F.col("d1.definition").alias("d1"), "node", F.col("d2.definition").alias("d2"))
 
 
 @query("k10_path_edges", "SELECT graph_id, entry, d1, node, d2 FROM pe", tabulation_sql())
 def _(s):
-    return tabulation.tabulate(s.super, s.super_seeds, flow=_flow(s)).df
+    return _problem(s, s.super_seeds)[1]
 
 
-@query("k7_context_sensitive_definitions", f"SELECT DISTINCT graph_id, node, d2 AS fact FROM pe WHERE d2 <> {ZERO}", tabulation_sql())
+@query("k7_k12_merged_definitions", f"SELECT graph_id, node, min(d2) AS lowest, max(d2) AS highest, count(*) AS n FROM (SELECT DISTINCT graph_id, node, d2 FROM pe WHERE d2 <> {ZERO}) GROUP BY 1, 2", tabulation_sql())
 def _(s):
-    return tabulation.results(tabulation.tabulate(s.super, s.super_seeds, flow=_flow(s)).df, ZERO)
+    facts = tabulation.results(_problem(s, s.super_seeds)[1], ZERO)
+    facts = facts.select(G, "node", F.col("fact").alias("lowest"), F.col("fact").alias("highest"), F.lit(1).alias("n"))
+    return tabulation.merge(facts, [G, "node"], [("lowest", F.min), ("highest", F.max), ("n", F.count)])
 
 
 MIDWAY = "SELECT l.graph_id, l.id * 10 AS entry, l.id AS d1, l.id * 10 + 4 AS node, l.id AS d2 FROM supp_low l"
 
 
-@query("k11_partially_balanced", "SELECT graph_id, entry, d1, node, d2 FROM pe", tabulation_sql("midway", True, f"midway AS MATERIALIZED ({MIDWAY}),"))
-def _(s):
-    return tabulation.tabulate(s.super, s.sql(MIDWAY), flow=_flow(s), unbalanced=True).df
-
-
-@query("k12_merge_facts", f"SELECT graph_id, node, min(d2) AS lowest, max(d2) AS highest, count(*) AS n FROM (SELECT DISTINCT graph_id, node, d2 FROM pe WHERE d2 <> {ZERO}) GROUP BY 1, 2", tabulation_sql())
+@query("k11_k14_unbalanced_summaries", "SELECT graph_id, entry, d1, node AS exit, d2 FROM pe WHERE node % 10 = 5",
+       tabulation_sql("midway", True, f"midway AS MATERIALIZED ({MIDWAY}),"))
 def _(s):
-    facts = tabulation.results(tabulation.tabulate(s.super, s.super_seeds, flow=_flow(s)).df, ZERO)
-    facts = facts.select(G, "node", F.col("fact").alias("lowest"), F.col("fact").alias("highest"), F.lit(1).alias("n"))
-    return tabulation.merge(facts, [G, "node"], [("lowest", F.min), ("highest", F.max), ("n", F.count)])
+    found = _problem(s, s.sql(MIDWAY), unbalanced=True)[1]
+    return tabulation.summaries(found, s.supp_nodes.select(G, (F.col("id") * 10 + 5).alias("id")))
 
 
 @query("k13_reverse_supergraph", """
@@ -185,21 +187,14 @@ def _(s):
     return tabulation.reverse(s.super)
 
 
-@query("k14_summaries", "SELECT graph_id, entry, d1, node AS exit, d2 FROM pe WHERE node % 10 = 5", tabulation_sql())
-def _(s):
-    paths = tabulation.tabulate(s.super, s.super_seeds, flow=_flow(s)).df
-    exits = s.supp_nodes.select(G, (F.col("id") * 10 + 5).alias("id"))
-    return tabulation.summaries(paths, exits)
-
-
 @query("k17_bounded_tabulation", "SELECT false AS complete")
 def _(s):
-    found = tabulation.tabulate(s.super, s.super_seeds, flow=_flow(s), rounds=3)
-    return found.df.limit(1).select(F.lit(found.complete).alias("complete"))
+    found, paths = _problem(s, s.super_seeds, rounds=3)
+    return paths.groupBy().agg(F.lit(found.complete).alias("complete"))
 
 
 PHI = "SELECT graph_id, src AS result, dst AS operand FROM dag23"
-USES = "SELECT graph_id, dst AS value, category <> 'PROMO' AS by_phi FROM dag23 JOIN part_nodes n ON n.id = src"
+USES = "SELECT n.graph_id, dst AS value, category <> 'PROMO' AS by_phi FROM dag23 JOIN part_nodes n ON n.id = src"
 
 
 @query("k8_dead_values", "SELECT graph_id, id AS value FROM part_nodes WHERE id NOT IN (SELECT id FROM r)",

@@ -1 +1,364 @@
-"""placeholder"""
+"""Call graph, points-to, dependence and slicing operators on facts derived from the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from graphfacts.operators import dataflow, graph, heap, hierarchy, program, slicing
+from graphfacts.operators.graph import G
+from graphfacts.plans import tables
+from graphfacts.queries import query
+from graphfacts.queries.classes import CLASSES, RESOLVED, TARGETS, TYPES, asked, up_classes, up_types
+from graphfacts.queries.graphs import closure, inverse, reach
+
+# --- entry points and call graphs -------------------------------------------------------------------------
+ENTRIES = "SELECT graph_id, method FROM methods WHERE is_static AND NOT is_abstract"
+
+
+@query("p1_entry_points", """
+    SELECT graph_id, method FROM methods WHERE NOT is_abstract AND cls IN (SELECT cls FROM classes WHERE loader = 'Application')
+    UNION SELECT graph_id, method FROM methods WHERE NOT is_abstract AND cls IN (SELECT a.cls FROM an a JOIN implements i ON i.iface = a.ancestor)""", TYPES)
+def _(s):
+    by_type = program.methods_of_subtypes(s.methods, up_types(s), s.implements.select(G, F.col("iface").alias("cls")))
+    return program.compose_entries(program.all_methods_of(s.methods, s.classes, "Application"), by_type, program.main_methods(s.methods))
+
+
+EDGES = "ce AS MATERIALIZED (SELECT DISTINCT s.graph_id, s.site, s.caller AS src, t.method AS dst FROM sites s JOIN tg t ON t.cls = s.declared_cls AND t.selector = s.selector)"
+
+
+@query("p2_hierarchy_call_graph", "SELECT graph_id, site, src, dst FROM ce WHERE src IN (SELECT id FROM live)",
+       ", ".join([CLASSES, RESOLVED, TARGETS, EDGES, f"e0 AS MATERIALIZED (SELECT graph_id, method AS id FROM ({ENTRIES}))", reach("live", "ce", "e0")]))
+def _(s):
+    return program.hierarchy_call_graph(s.sites, up_classes(s), s.methods, s.sql(ENTRIES))
+
+
+ALLOC = "SELECT graph_id, caller AS method, declared_cls AS type FROM sites WHERE selector = '<init>'"
+RECEIVERS = """rv AS MATERIALIZED (SELECT DISTINCT s.graph_id, s.caller AS src, b.cls AS receiver, m.method AS dst FROM sites s
+    JOIN an b ON b.ancestor = s.declared_cls JOIN (SELECT q.cls, q.selector, min_by(m.method, a.distance) AS method FROM
+        (SELECT DISTINCT b.cls, s.selector FROM sites s JOIN an b ON b.ancestor = s.declared_cls WHERE s.selector <> '<init>') q
+        JOIN an a ON a.cls = q.cls JOIN methods m ON m.cls = a.ancestor AND m.selector = q.selector GROUP BY 1, 2) r ON r.cls = b.cls AND r.selector = s.selector
+    JOIN methods m ON m.method = r.method AND NOT m.is_abstract WHERE s.selector <> '<init>')"""
+DIRECT = """SELECT s.graph_id, s.caller AS src, m.method AS dst FROM sites s JOIN methods m ON m.cls = s.declared_cls AND m.selector = '<init>' WHERE s.selector = '<init>'"""
+RTA = f"""dr AS MATERIALIZED (SELECT DISTINCT * FROM ({DIRECT})), al AS MATERIALIZED (SELECT DISTINCT * FROM ({ALLOC})),
+    t(kind, id) USING KEY (kind, id) AS (SELECT 'method', method FROM ({ENTRIES}) UNION
+        SELECT n.* FROM (SELECT DISTINCT * FROM (
+            SELECT 'method' AS kind, v.dst AS id FROM t JOIN rv v ON t.kind = 'method' AND v.src = t.id JOIN recurring.t c ON c.kind = 'class' AND c.id = v.receiver
+            UNION ALL SELECT 'method', v.dst FROM t JOIN rv v ON t.kind = 'class' AND v.receiver = t.id JOIN recurring.t m ON m.kind = 'method' AND m.id = v.src
+            UNION ALL SELECT 'method', d.dst FROM t JOIN dr d ON t.kind = 'method' AND d.src = t.id
+            UNION ALL SELECT 'class', a.type FROM t JOIN al a ON t.kind = 'method' AND a.method = t.id)) n
+        WHERE NOT EXISTS (SELECT 1 FROM recurring.t o WHERE o.kind = n.kind AND o.id = n.id))"""
+
+
+def _rta(s):
+    virtual = s.sites.filter("selector <> '<init>'")
+    receivers = tables.materialize(program.receiver_table(virtual, up_classes(s), s.methods))
+    return receivers, tables.materialize(program.rapid_type_analysis(receivers, s.sql(DIRECT), s.sql(ALLOC), s.sql(ENTRIES)))
+
+
+@query("p3_rapid_type_analysis", "SELECT 'part' AS graph_id, kind, id FROM t", ", ".join([CLASSES, RECEIVERS, RTA]))
+def _(s):
+    return _rta(s)[1]
+
+
+@query("p3_rapid_call_graph", """
+    SELECT DISTINCT graph_id, src, dst FROM rv WHERE src IN (SELECT id FROM t WHERE kind = 'method') AND receiver IN (SELECT id FROM t WHERE kind = 'class')""",
+       ", ".join([CLASSES, RECEIVERS, RTA]))
+def _(s):
+    return program.rapid_call_graph(*_rta(s)).select(G, "src", "dst").distinct()
+
+
+@query("p6_v5_call_strings", "SELECT * FROM c",
+       """cg AS MATERIALIZED (SELECT graph_id, src * 100 + rn AS site, src, dst FROM supp_rank WHERE rn <= 2),
+       c(graph_id, method, ctx) AS (SELECT graph_id, id, []::BIGINT[] FROM supp_high UNION
+          SELECT c.graph_id, g.dst, list_slice(list_prepend(g.site, c.ctx), 1, 2) FROM c JOIN cg g ON g.graph_id = c.graph_id AND g.src = c.method)""")
+def _(s):
+    cg = s.sql("SELECT graph_id, src * 100 + rn AS site, src, dst FROM supp_rank WHERE rn <= 2")
+    return program.call_strings(cg, s.supp_high.withColumnRenamed("id", "method"), 2)
+
+
+@query("p6_receiver_contexts", """
+    SELECT DISTINCT 'heap' AS graph_id, l_returnflag AS method, CASE WHEN l_returnflag = 'R' THEN concat('o', l_suppkey) END AS ctx FROM lineitem""")
+def _(s):
+    r = s.lineitem.select(F.lit("heap").alias(G), F.col("l_returnflag").alias("method"), F.concat(F.lit("o"), "l_suppkey").alias("obj"))
+    boxes = s.lineitem.filter("l_returnflag = 'R'").select(F.lit("heap").alias(G), F.col("l_returnflag").alias("method"))
+    return program.receiver_contexts(r, boxes)
+
+
+@query("p12_field_accesses", """
+    SELECT 'li' AS graph_id, l_partkey AS location, list_sort(list(DISTINCT l_orderkey) FILTER (l_linestatus = 'F')) AS reads,
+           list_sort(list(DISTINCT l_orderkey) FILTER (l_linestatus <> 'F')) AS writes FROM lineitem GROUP BY 2
+    HAVING count(*) FILTER (l_linestatus = 'F') > 0 AND count(*) FILTER (l_linestatus <> 'F') > 0""")
+def _(s):
+    a = s.lineitem.select(F.lit("li").alias(G), F.col("l_partkey").alias("location"), F.col("l_orderkey").alias("stmt"),
+                          F.when(F.col("l_linestatus") == "F", "read").otherwise("write").alias("kind"))
+    return program.field_accesses(a).filter("size(reads) > 0 and size(writes) > 0")
+
+
+@query("p17_supergraph", """
+    SELECT graph_id, src, dst, label, call FROM super WHERE label IN ('call', 'return', 'normal')
+    UNION SELECT graph_id, id * 10 + 1, id * 10 + 2, 'call_to_return', NULL FROM supp_nodes UNION SELECT graph_id, id * 10 + 3, id * 10 + 4, 'call_to_return', NULL FROM supp_nodes""")
+def _(s):
+    n = s.supp_nodes
+    at = lambda i: (F.col("id") * 10 + i)
+    blocks = n.select(G, F.explode(F.array(*[F.struct(at(i).alias("src"), at(i + 1).alias("dst")) for i in range(5)])).alias("e")).select(
+        G, "e.src", "e.dst", F.lit("normal").alias("label"))
+    calls = n.select(G, F.explode(F.array(at(1), at(3))).alias("block")).withColumn("site", F.col("block"))
+    cg = s.sql("SELECT graph_id, src * 10 + 2 * rn - 1 AS site, src, dst FROM supp_rank WHERE rn <= 2")
+    ends = lambda i: n.select(G, F.col("id").alias("method"), at(i).alias("id"))
+    return program.supergraph(blocks, calls, cg, ends(0), ends(5))
+
+
+@query("p22_type_based_points_to", """
+    SELECT DISTINCT s.graph_id, s.site AS var, a.cls FROM sites s JOIN an a ON a.ancestor = s.declared_cls WHERE a.cls IN (SELECT type FROM ({0}))""".format(ALLOC), CLASSES)
+def _(s):
+    declared = s.sites.select(G, F.col("site").alias("var"), F.col("declared_cls").alias("type"))
+    made = s.sql(ALLOC).select(G, F.col("type").alias("cls")).distinct()
+    return program.type_based_points_to(declared, up_classes(s), made)
+
+
+@query("j7_map_nodes", """
+    SELECT a.graph_id, concat(a.graph_id, a.id) AS id, b.id AS other FROM supp_nodes a LEFT JOIN (SELECT graph_id, concat('m', id) AS id, id AS method FROM supp_rich) b
+    ON b.graph_id = a.graph_id AND b.method = a.id""")
+def _(s):
+    a = s.supp_nodes.select(G, F.concat(G, "id").alias("id"), F.col("id").alias("method"))
+    return program.map_nodes(a, s.supp_rich.select(G, F.concat(F.lit("m"), "id").alias("id"), F.col("id").alias("method")), ["method"])
+
+
+# --- points-to -----------------------------------------------------------------------------------------------
+def facts(s) -> dict:
+    return {
+        "allocs": s.pt_allocs, "assigns": s.pt_assigns.withColumnRenamed("cast_type", "cast"), "loads": s.pt_loads, "stores": s.pt_stores,
+        "direct_calls": s.pt_direct, "virtual_calls": s.pt_virtual, "args": s.pt_args, "results": s.pt_results,
+        "params": s.pt_params, "returns": s.pt_returns, "dispatch": s.pt_dispatch}
+
+
+def solved(s) -> heap.PointsTo:
+    subtypes = up_classes(s).select(G, F.col("cls").alias("sub"), F.col("ancestor").alias("sup")).withColumn(G, F.lit("heap"))
+    return heap.points_to(facts(s), s.pt_entries, subtypes)
+
+
+# one keyed recursion over rows (k, a, b, c): pts(pointer, object, type), flow(dst, src, cast), call(site, target, caller), live(method)
+POINTS = CLASSES + """, f_al AS MATERIALIZED (SELECT * FROM pt_allocs), f_as AS MATERIALIZED (SELECT * FROM pt_assigns), f_ld AS MATERIALIZED (SELECT * FROM pt_loads),
+    f_st AS MATERIALIZED (SELECT * FROM pt_stores), f_vc AS MATERIALIZED (SELECT v.*, d.type, d.method AS target FROM pt_virtual v JOIN pt_dispatch d ON d.selector = v.selector),
+    pt(k, a, b, c) USING KEY (k, a, b, c) AS (SELECT 'live', method, '', '' FROM pt_entries UNION
+      SELECT n.* FROM (SELECT DISTINCT * FROM (
+        SELECT 'pts' AS k, f.var AS a, f.obj AS b, f.type AS c FROM pt JOIN f_al f ON pt.k = 'live' AND f.method = pt.a
+        UNION ALL SELECT 'flow', f.dst, f.src, coalesce(f.cast_type, '') FROM pt JOIN f_as f ON pt.k = 'live' AND f.method = pt.a
+        UNION ALL SELECT 'call', d.site, d.target, d.method FROM pt JOIN pt_direct d ON pt.k = 'live' AND d.method = pt.a
+        UNION ALL SELECT 'pts', f.a, p.b, p.c FROM pt f JOIN recurring.pt p ON f.k = 'flow' AND p.k = 'pts' AND p.a = f.b WHERE f.c = '' OR (p.c, f.c) IN (SELECT (cls, ancestor) FROM an)
+        UNION ALL SELECT 'pts', f.a, p.b, p.c FROM recurring.pt f JOIN pt p ON f.k = 'flow' AND p.k = 'pts' AND p.a = f.b WHERE f.c = '' OR (p.c, f.c) IN (SELECT (cls, ancestor) FROM an)
+        UNION ALL SELECT 'flow', l.dst, concat(p.b, '.', l.field), '' FROM pt p JOIN f_ld l ON p.k = 'pts' AND l.base = p.a
+        UNION ALL SELECT 'flow', concat(p.b, '.', l.field), l.src, '' FROM pt p JOIN f_st l ON p.k = 'pts' AND l.base = p.a
+        UNION ALL SELECT 'call', v.site, v.target, v.method FROM pt p JOIN f_vc v ON p.k = 'pts' AND v.receiver = p.a AND v.type = p.c
+        UNION ALL SELECT 'pts', r.var, p.b, p.c FROM pt p JOIN f_vc v ON p.k = 'pts' AND v.receiver = p.a AND v.type = p.c JOIN pt_params r ON r.method = v.target AND r.pos = 0
+        UNION ALL SELECT 'flow', r.var, a.var, '' FROM pt c JOIN pt_args a ON c.k = 'call' AND a.site = c.a JOIN pt_params r ON r.method = c.b AND r.pos = a.pos AND r.pos > 0
+        UNION ALL SELECT 'flow', a.var, r.var, '' FROM pt c JOIN pt_results a ON c.k = 'call' AND a.site = c.a JOIN pt_returns r ON r.method = c.b
+        UNION ALL SELECT 'live', c.b, '', '' FROM pt c WHERE c.k = 'call')) n
+      WHERE NOT EXISTS (SELECT 1 FROM recurring.pt o WHERE o.k = n.k AND o.a = n.a AND o.b = n.b AND o.c = n.c))"""
+PTS = "pts AS MATERIALIZED (SELECT 'heap' AS graph_id, a AS pk, b AS obj, c AS type FROM pt WHERE k = 'pts')"
+
+
+@query("p4_j4_p7_points_to", "SELECT 'heap' AS graph_id, a AS pk, b AS obj, c AS type FROM pt WHERE k = 'pts'", POINTS)
+def _(s):
+    return solved(s).points_to
+
+
+@query("p4_call_graph", "SELECT 'heap' AS graph_id, a AS site, c AS src, b AS dst FROM pt WHERE k = 'call'", POINTS)
+def _(s):
+    return solved(s).calls
+
+
+NAMED = """SELECT l_returnflag AS graph_id, l_suppkey AS method, l_orderkey AS site, p_type AS type, p_size < 5 AS is_string, p_size > 48 AS is_throwable,
+           p_size = 25 AS only_primitives FROM lineitem JOIN part ON p_partkey = l_partkey"""
+
+
+@query("p5_object_names", f"""
+    SELECT DISTINCT a.graph_id, a.method, a.site, a.type, CASE WHEN is_string OR is_throwable OR only_primitives THEN concat('type:', a.type)
+        WHEN c.n > 25 THEN concat('method:', a.method, '/', a.type) ELSE concat('site:', a.site) END AS obj
+    FROM ({NAMED}) a JOIN (SELECT graph_id, method, type, count(DISTINCT site) AS n FROM ({NAMED}) GROUP BY 1, 2, 3) c
+    ON c.graph_id = a.graph_id AND c.method = a.method AND c.type = a.type""")
+def _(s):
+    return heap.name_objects(s.sql(NAMED)).select(G, "method", "site", "type", "obj").distinct()
+
+
+@query("j4_type_filtered_assignment", """
+    SELECT DISTINCT a.graph_id, a.site AS dst, a.caller AS obj FROM sites a JOIN an x ON concat(x.cls, '.', regexp_extract(a.caller, '[a-z]+$', 0)) = a.caller AND x.ancestor IN ('P1', 'P5')
+    WHERE x.ancestor = CASE WHEN a.selector = 'ring' THEN 'P1' ELSE 'P5' END""", CLASSES)
+def _(s):
+    rows = s.sites.select(G, F.col("site").alias("dst"), F.col("caller").alias("obj"), F.regexp_extract("caller", "^(P[0-9]+)", 1).alias("type"),
+                          F.when(F.col("selector") == "ring", "P1").otherwise("P5").alias("filter"))
+    return heap.assignable_only(rows, up_classes(s).select(G, F.col("cls").alias("sub"), F.col("ancestor").alias("sup")))
+
+
+@query("p9_flows_to", "SELECT DISTINCT 'heap' AS graph_id, obj, pk FROM fl",
+       "ar AS MATERIALIZED (SELECT src, dst FROM pt_assigns), fl(obj, pk) AS (SELECT obj, var FROM pt_allocs UNION SELECT f.obj, e.dst FROM fl f JOIN ar e ON e.src = f.pk)")
+def _(s):
+    return heap.flows_to(s.pt_assigns, s.pt_allocs, s.pt_allocs)
+
+
+DEMAND = """bk AS MATERIALIZED (SELECT dst AS cur, src AS nxt FROM pt_assigns UNION SELECT dst, concat('field:', field) FROM pt_loads UNION SELECT concat('field:', field), src FROM pt_stores),
+    ak AS MATERIALIZED (SELECT receiver AS pk FROM pt_virtual), dm(pk, cur) AS (SELECT pk, pk FROM ak UNION SELECT d.pk, b.nxt FROM dm d JOIN bk b ON b.cur = d.cur)"""
+
+
+@query("p10_demand_points_to", """
+    SELECT 'heap' AS graph_id, a.pk, h.obj, CASE WHEN h.obj IS NULL THEN 'NOMOREREFINE' ELSE 'SUCCESS' END AS status FROM (SELECT DISTINCT pk FROM ak) a
+    LEFT JOIN (SELECT DISTINCT d.pk, l.obj FROM dm d JOIN pt_allocs l ON l.var = d.cur) h ON h.pk = a.pk""", DEMAND)
+def _(s):
+    return heap.demand_points_to(facts(s), s.pt_virtual.select(G, F.col("receiver").alias("pk")))
+
+
+@query("p10_demand_budget", "SELECT DISTINCT 'BUDGETEXCEEDED' AS status FROM pt_virtual")
+def _(s):
+    return heap.demand_points_to(facts(s), s.pt_virtual.select(G, F.col("receiver").alias("pk")), rounds=1).select("status").distinct()
+
+
+@query("p11_unsafe_casts", """
+    SELECT DISTINCT 'heap' AS graph_id, concat('cast', p.pk) AS cast_site, p.obj, p.type FROM pts p JOIN pt_virtual v ON v.receiver = p.pk WHERE (p.type, 'P1') NOT IN (SELECT (cls, ancestor) FROM an)""",
+       POINTS + ", " + PTS)
+def _(s):
+    casts = s.pt_virtual.select(G, F.concat(F.lit("cast"), "receiver").alias("cast_site"), F.col("receiver").alias("pk"), F.lit("P1").alias("target"))
+    subtypes = up_classes(s).select(F.lit("heap").alias(G), F.col("cls").alias("sub"), F.col("ancestor").alias("sup"))
+    return heap.unsafe_casts(casts, tables.materialize(solved(s).points_to), subtypes)
+
+
+# a simple heap relation for the operators that take a finished solution: supplier variables hold part objects
+HOLDS = "SELECT 'heap' AS graph_id, concat('s', cast(l_suppkey AS string)) AS pk, concat('o', cast(l_partkey AS string)) AS obj, concat('T', cast(l_linenumber AS string)) AS type FROM lineitem WHERE l_quantity > 45"
+OBJECTS = "SELECT DISTINCT graph_id, pk, obj FROM ({0})".format(HOLDS)
+FIELDS = "SELECT DISTINCT 'heap' AS graph_id, concat('o', cast(l_partkey AS string)) AS obj, concat('s', cast(l_suppkey AS string)) AS pk FROM lineitem WHERE l_quantity < 3"
+HEAP = f"SELECT graph_id, pk AS src, obj AS dst FROM ({HOLDS}) UNION SELECT graph_id, obj, pk FROM ({FIELDS})"
+POINTERS = """SELECT 'heap' AS graph_id, concat('s', cast(s_suppkey AS string)) AS pk, CASE WHEN s_acctbal < 0 THEN 'static' WHEN s_acctbal > 8000 THEN 'return' ELSE 'local' END AS kind,
+    CASE WHEN s_acctbal >= 0 THEN concat('n', cast(s_nationkey AS string)) END AS method FROM supplier"""
+LOWVARS = "SELECT 'heap' AS graph_id, concat('s', cast(s_suppkey AS string)) AS id FROM supplier WHERE s_acctbal < 0"
+
+
+@query("p8_heap_graph", f"SELECT DISTINCT * FROM ({HEAP})")
+def _(s):
+    return heap.heap_graph(s.sql(HOLDS), s.sql(FIELDS))
+
+
+@query("p8_reachable_objects", f"SELECT DISTINCT o.graph_id, o.obj, o.type FROM ({HOLDS}) o WHERE o.obj IN (SELECT id FROM r)",
+       f"hp AS MATERIALIZED ({HEAP}), lv AS MATERIALIZED ({LOWVARS}), " + reach("r", "hp", "lv"))
+def _(s):
+    h = tables.materialize(heap.heap_graph(s.sql(HOLDS), s.sql(FIELDS)))
+    return heap.reachable_objects(h, s.sql(HOLDS), s.sql(LOWVARS))
+
+
+@query("p16_thread_escape", f"SELECT DISTINCT o.graph_id, o.type FROM ({HOLDS}) o WHERE o.obj IN (SELECT id FROM r)",
+       f"hp AS MATERIALIZED ({HEAP}), lv AS MATERIALIZED ({LOWVARS}), " + reach("r", "hp", "lv"))
+def _(s):
+    h = tables.materialize(heap.heap_graph(s.sql(HOLDS), s.sql(FIELDS)))
+    return heap.thread_escape(h, s.sql(HOLDS), s.sql(LOWVARS))
+
+
+@query("p14_escapes", f"SELECT graph_id, obj, bool_or(pk IN (SELECT pk FROM ({POINTERS}) WHERE kind IN ('static', 'return'))) AS escapes FROM ({OBJECTS}) GROUP BY 1, 2")
+def _(s):
+    return heap.escapes(s.sql(HOLDS), s.sql(POINTERS), s.sql(HOLDS))
+
+
+REGION_CALLS = """SELECT 'heap' AS graph_id, concat('n', cast(a.n_nationkey AS string)) AS src, concat('n', cast(b.nxt AS string)) AS dst FROM nation a
+    JOIN (SELECT n_nationkey, lead(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS nxt FROM nation) b ON a.n_nationkey = b.n_nationkey WHERE nxt IS NOT NULL"""
+ASKED_OBJECTS = f"SELECT DISTINCT graph_id, obj FROM ({HOLDS}) WHERE type = 'T7'"
+
+
+@query("p15_may_be_live", """
+    SELECT 'heap' AS graph_id, obj, NULL AS method FROM al UNION ALL SELECT DISTINCT 'heap', obj, method FROM lv""",
+       f"""hp AS MATERIALIZED ({HEAP}), aq AS MATERIALIZED ({ASKED_OBJECTS}), ps AS MATERIALIZED ({POINTERS}), rc AS MATERIALIZED ({REGION_CALLS}),
+       hb(obj, id) AS (SELECT obj, obj FROM aq UNION SELECT h.obj, e.src FROM hb h JOIN hp e ON e.dst = h.id),
+       al AS MATERIALIZED (SELECT DISTINCT h.obj FROM hb h JOIN ps p ON p.pk = h.id WHERE p.kind = 'static'),
+       lv(obj, method) AS (SELECT h.obj, p.method FROM hb h JOIN ps p ON p.pk = h.id WHERE p.method IS NOT NULL AND h.obj NOT IN (SELECT obj FROM al)
+          UNION SELECT l.obj, c.dst FROM lv l JOIN rc c ON c.src = l.method)""")
+def _(s):
+    h = tables.materialize(heap.heap_graph(s.sql(HOLDS), s.sql(FIELDS)))
+    return heap.may_be_live(h, s.sql(POINTERS), s.sql(REGION_CALLS), s.sql(ASKED_OBJECTS))
+
+
+# --- mod / ref and dependence --------------------------------------------------------------------------------
+ACCESS = """SELECT 'heap' AS graph_id, concat('n', cast(s_nationkey AS string)) AS method, l_orderkey AS stmt, CASE WHEN l_returnflag = 'R' THEN 'write' ELSE 'read' END AS kind,
+    concat('s', cast(l_suppkey AS string)) AS base, concat('f', cast(l_linenumber AS string)) AS field FROM lineitem JOIN supplier ON s_suppkey = l_suppkey"""
+FEW = "SELECT DISTINCT graph_id, pk, obj FROM (SELECT 'heap' AS graph_id, concat('s', cast(s_suppkey AS string)) AS pk, concat('k', cast(s_nationkey AS string)) AS obj FROM supplier) x"
+TOUCHED = f"""tc AS MATERIALIZED (SELECT DISTINCT a.graph_id, a.method, a.stmt, a.kind, concat(h.obj, '.', a.field) AS loc FROM ({ACCESS}) a JOIN ({FEW}) h ON h.pk = a.base)"""
+
+
+def _touched(s):
+    return tables.materialize(heap.accessed_locations(s.sql(ACCESS), s.sql(FEW)))
+
+
+@query("p13_mod_ref", "SELECT DISTINCT 'heap' AS graph_id, method, kind, loc FROM m",
+       f"{TOUCHED}, rc AS MATERIALIZED ({REGION_CALLS}), m(method, kind, loc) AS (SELECT method, kind, loc FROM tc WHERE loc NOT LIKE '%.f7' UNION SELECT c.src, m.kind, m.loc FROM m JOIN rc c ON c.dst = m.method)")
+def _(s):
+    t = _touched(s)
+    skip = t.filter("loc like '%.f7'").select(G, "loc").distinct()
+    return heap.mod_ref(t, s.sql(REGION_CALLS), skip)
+
+
+# one location per (supplier, line number, part size): a write reaches the reads of the same location
+DEPEND = "SELECT 'li' AS graph_id, l_orderkey AS stmt, CASE WHEN l_returnflag = 'R' THEN 'write' ELSE 'read' END AS kind, concat(cast(l_suppkey AS string), '.', cast(l_linenumber AS string), '.', cast(l_quantity AS string)) AS loc FROM lineitem"
+
+
+@query("j2_heap_dependence", """
+    SELECT DISTINCT 'li' AS graph_id, w.l_orderkey AS src, r.l_orderkey AS dst FROM lineitem w JOIN lineitem r ON r.l_suppkey = w.l_suppkey AND r.l_linenumber = w.l_linenumber
+    AND r.l_quantity = w.l_quantity WHERE w.l_returnflag = 'R' AND r.l_returnflag <> 'R'""")
+def _(s):
+    return heap.heap_dependence(s.sql(DEPEND))
+
+
+# writes: orders; a flow of a customer's orders, each order writing the location of its priority
+WRITES = "SELECT 'lines' AS graph_id, o_orderkey AS stmt, 'write' AS kind, o_orderpriority AS loc FROM orders WHERE o_orderstatus <> 'O'"
+EXACT = "SELECT 'lines' AS graph_id, o_orderkey AS stmt, o_orderpriority AS loc FROM orders WHERE o_orderstatus = 'F'"
+
+
+@query("p19_heap_reaching_definitions", "SELECT DISTINCT 'lines' AS graph_id, e.dst AS node, f.stmt, f.loc FROM f JOIN order_flow e ON e.src = f.node",
+       f"""wr AS MATERIALIZED ({WRITES}), ex AS MATERIALIZED ({EXACT}), f(node, stmt, loc) AS (SELECT stmt, stmt, loc FROM wr UNION
+           SELECT e.dst, f.stmt, f.loc FROM f JOIN order_flow e ON e.src = f.node WHERE (e.dst, f.loc) NOT IN (SELECT (stmt, loc) FROM ex))""")
+def _(s):
+    return heap.heap_reaching_definitions(s.order_flow, s.sql(WRITES), s.sql(EXACT))
+
+
+# dependence edges between suppliers by line status and order position
+DATA = "SELECT graph_id, src, dst FROM next1"
+CONTROL = "SELECT graph_id, dst AS src, src AS dst FROM next1"
+HEAPDEP = "SELECT graph_id, src, dst FROM supp_rank WHERE rn = 2"
+BASE = "SELECT graph_id, src, dst FROM supp_rank WHERE rn = 3"
+
+
+def _dependence(s, drop=()):
+    return slicing.dependence_graph({"data": s.sql(DATA), "control": s.sql(CONTROL), "heap": s.sql(HEAPDEP), "base_pointer": s.sql(BASE)}, drop)
+
+
+@query("p18_dependence_graph", f"""
+    SELECT graph_id, src, dst, 'data' AS kind FROM ({DATA}) UNION SELECT graph_id, src, dst, 'control' FROM ({CONTROL}) UNION SELECT graph_id, src, dst, 'heap' FROM ({HEAPDEP})""")
+def _(s):
+    return _dependence(s, drop=("base_pointer",)).select(G, "src", "dst", "kind")
+
+
+@query("p21_thin_slice", "SELECT * FROM r", f"vf AS MATERIALIZED (SELECT graph_id, dst AS src, src AS dst FROM ({DATA}) UNION SELECT graph_id, dst, src FROM ({HEAPDEP})), " + reach("r", "vf", "supp_low"))
+def _(s):
+    return slicing.thin_slice(_dependence(s), s.sql(HEAPDEP), s.supp_low)
+
+
+@query("p21_context_insensitive_slice", "SELECT * FROM r",
+       f"vf AS MATERIALIZED (SELECT graph_id, dst AS src, src AS dst FROM (SELECT * FROM ({DATA}) UNION SELECT * FROM ({HEAPDEP}) UNION SELECT * FROM ({CONTROL}) UNION SELECT * FROM ({BASE}))), " + reach("r", "vf", "supp_high"))
+def _(s):
+    return slicing.context_insensitive_slice(_dependence(s), s.sql(HEAPDEP), s.supp_high)
+
+
+# context-sensitive slice: reachability through the supergraph along matched calls, from procedure entries
+SLICE = """calls AS MATERIALIZED (SELECT * FROM super WHERE label = 'call'), rets AS MATERIALIZED (SELECT * FROM super WHERE label = 'return'),
+    flat AS MATERIALIZED (SELECT * FROM super WHERE label NOT IN ('call', 'return')),
+    pe(graph_id, entry, node, seeded) USING KEY (graph_id, entry, node) AS (SELECT graph_id, id * 10, id * 10, true FROM supp_root UNION
+      SELECT n.* FROM (SELECT graph_id, entry, node, bool_or(seeded) AS seeded FROM (
+        SELECT p.graph_id, p.entry, e.dst, p.seeded FROM pe p JOIN flat e ON e.graph_id = p.graph_id AND e.src = p.node
+        UNION ALL SELECT p.graph_id, e.dst, e.dst, false FROM pe p JOIN calls e ON e.graph_id = p.graph_id AND e.src = p.node
+        UNION ALL SELECT p.graph_id, p.entry, r.dst, p.seeded FROM pe p JOIN calls e ON e.graph_id = p.graph_id AND e.src = p.node
+            JOIN recurring.pe x ON x.graph_id = p.graph_id AND x.entry = e.dst JOIN rets r ON r.graph_id = p.graph_id AND r.src = x.node AND r.call = p.node
+        UNION ALL SELECT p.graph_id, p.entry, r.dst, p.seeded FROM pe x JOIN calls e ON e.graph_id = x.graph_id AND e.dst = x.entry
+            JOIN recurring.pe p ON p.graph_id = x.graph_id AND p.node = e.src JOIN rets r ON r.graph_id = p.graph_id AND r.src = x.node AND r.call = p.node
+        UNION ALL SELECT p.graph_id, r.dst, r.dst, true FROM pe p JOIN rets r ON r.graph_id = p.graph_id AND r.src = p.node WHERE p.seeded) z(graph_id, entry, node, seeded) GROUP BY 1, 2, 3) n
+      WHERE NOT EXISTS (SELECT 1 FROM recurring.pe o WHERE o.graph_id = n.graph_id AND o.entry = n.entry AND o.node = n.node AND NOT (o.seeded < n.seeded)))"""
+
+
+@query("p20_forward_slice", "SELECT DISTINCT graph_id, node AS id FROM pe", SLICE)
+def _(s):
+    kind = F.when(F.col("label") == "call", "param").when(F.col("label") == "return", "return").otherwise("data")
+    dep = s.super.select(G, "src", "dst", kind.alias("kind"), F.when(F.col("label") == "call", F.col("src")).otherwise(F.col("call")).alias("call"))
+    return slicing.forward_slice(tables.materialize(dep), s.supp_root.select(G, (F.col("id") * 10).alias("id")))
