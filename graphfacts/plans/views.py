@@ -137,7 +137,27 @@ VIEWS: dict[str, str] = {
                     UNION ALL SELECT 'heap', concat('n', cast(n_nationkey AS string)), 1, concat('p', cast(n_nationkey AS string)) FROM nation""",
     "pt_returns": """SELECT 'heap' AS graph_id, concat('n', cast(n_nationkey AS string)) AS method, concat('p', cast(n_nationkey AS string)) AS var FROM nation""",
     "pt_dispatch": """SELECT 'heap' AS graph_id, concat('P', cast(s_suppkey AS string)) AS type, 'call' AS selector, concat('n', cast(s_nationkey AS string)) AS method FROM supplier""",
-    "pt_entries": """SELECT 'heap' AS graph_id, concat('n', cast(n_nationkey AS string)) AS method FROM nation WHERE n_regionkey = 0""",
+    "pt_entries": """SELECT 'heap' AS graph_id, concat('n', cast(min(n_nationkey) AS string)) AS method FROM nation GROUP BY n_regionkey""",
+    # components: parts of a kind, their callbacks the lines sold back
+    "callbacks": """
+        SELECT DISTINCT 'part' AS graph_id, concat('P', cast(l_partkey AS string)) AS component,
+               CASE p_type WHEN 'SMALL' THEN 'Activity' WHEN 'LARGE' THEN 'Service' WHEN 'PROMO' THEN 'IntentService' WHEN 'MEDIUM' THEN 'Application' ELSE 'BroadcastReceiver' END AS kind,
+               CASE WHEN p_type = 'MEDIUM' THEN CASE WHEN l_linenumber < 5 THEN 'onCreate' ELSE 'onTerminate' END
+                    WHEN p_type = 'SMALL' THEN CASE l_linenumber WHEN 1 THEN 'onCreate' WHEN 2 THEN 'onStart' WHEN 3 THEN 'onResume' WHEN 4 THEN 'onPause' WHEN 5 THEN 'onStop' WHEN 6 THEN 'onDestroy' ELSE 'onRestart' END
+                    WHEN p_type IN ('LARGE', 'PROMO') THEN CASE l_linenumber WHEN 1 THEN 'onCreate' WHEN 2 THEN 'onBind' WHEN 3 THEN 'onUnbind' WHEN 4 THEN 'onRebind' WHEN 5 THEN 'onDestroy'
+                         WHEN 6 THEN 'onStart' ELSE CASE WHEN p_type = 'PROMO' THEN 'onHandleIntent' ELSE 'onStartCommand' END END
+                    ELSE 'onReceive' END AS selector
+        FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R' AND l_quantity > 20""",
+    "held": """
+        SELECT DISTINCT 'part' AS graph_id, concat('P', cast(l_partkey AS string)) AS component, c.selector, concat('lock', cast(l_suppkey AS string)) AS lock,
+               l_linestatus = 'O' AS acquired, l_discount > 0.08 AS timed, l_tax > 0.06 AS is_async,
+               CASE WHEN l_tax > 0.02 THEN concat('P', cast(l_partkey AS string)) ELSE concat('P', cast(l_suppkey AS string)) END AS ctx
+        FROM lineitem JOIN callbacks c ON c.component = concat('P', cast(l_partkey AS string)) WHERE l_returnflag <> 'R'""",
+    # operations in the supergraph, lock and component by region
+    "lock_ops": """
+        SELECT n.graph_id, n.id * 10 + 2 AS block, concat('L', cast(n_regionkey AS string)) AS lock,
+               CASE WHEN s_acctbal < 0 THEN 'acquire' WHEN s_acctbal > 9500 THEN 'timed_acquire' ELSE 'release' END AS op, concat('N', cast(s_nationkey AS string)) AS ctx
+        FROM supp_nodes n JOIN supplier ON n.id = s_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE s_acctbal < 0 OR s_acctbal > 8000""",
     # signatures and result reports as texts built from the tables
     "signatures": """SELECT p_type AS graph_id, p_partkey AS method, concat('Lcom/', lower(p_type), '/a/', regexp_extract(p_name, '^[a-z]+', 0)) AS cls,
                             p_size > 10 AS is_public,
