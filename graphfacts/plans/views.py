@@ -38,7 +38,8 @@ VIEWS: dict[str, str] = {
     "supp_high": """SELECT n.graph_id, n.id FROM supp_nodes n JOIN supplier ON n.id = s_suppkey WHERE s_acctbal > 9000""",
     "supp_rich": """SELECT n.graph_id, n.id FROM supp_nodes n JOIN supplier ON n.id = s_suppkey WHERE s_acctbal > 3000""",
     "supp_root": "SELECT graph_id, min(id) AS id FROM supp_rich GROUP BY graph_id",
-    "supp_nation": """SELECT n.graph_id, n.id, cast(s_nationkey AS bigint) AS key FROM supp_nodes n JOIN supplier ON n.id = s_suppkey""",
+    "supp_nation": """SELECT n.graph_id, n.id, cast(s_nationkey AS bigint) AS key, n_regionkey AS region
+                      FROM supp_nodes n JOIN supplier ON n.id = s_suppkey JOIN nation ON n_nationkey = s_nationkey""",
     # every step between consecutive suppliers, labelled with the line status (null dst at the end)
     "step_pairs": """
         SELECT l_returnflag AS graph_id, l_suppkey AS src, l_linestatus AS label, l_linenumber AS nr,

@@ -172,7 +172,7 @@ def _(s):
 MIDWAY = "SELECT l.graph_id, l.id * 10 AS entry, l.id AS d1, l.id * 10 + 4 AS node, l.id AS d2 FROM supp_low l"
 
 
-@query("k11_k14_unbalanced_summaries", "SELECT graph_id, entry, d1, node AS exit, d2 FROM pe WHERE node % 10 = 5",
+@query("k11_k14_unbalanced_summaries", "SELECT graph_id, entry, d1, node AS exit, d2 FROM pe WHERE (graph_id, node) IN (SELECT (graph_id, id * 10 + 5) FROM supp_nodes)",
        tabulation_sql("midway", True, f"midway AS MATERIALIZED ({MIDWAY}),"))
 def _(s):
     found = _problem(s, s.sql(MIDWAY), unbalanced=True)[1]

@@ -121,13 +121,13 @@ def _(s):
 
 
 @F.pandas_udf("boolean")
-def _has_even_length(names_: pd.Series) -> pd.Series:
-    return names_.str.len() % 2 == 0
+def _sounds_right(texts: pd.Series) -> pd.Series:
+    return texts.str.contains("ing", regex=False) | texts.str.startswith("h")
 
 
-@query("f3_v1_user_predicate", "SELECT p_partkey, p_name FROM part WHERE len(p_name) % 2 = 0")
+@query("f3_v1_user_predicate", "SELECT p_partkey, p_name FROM part WHERE contains(p_name, 'ing') OR starts_with(p_name, 'h')")
 def _(s):
-    return relational.where(s.part.select("p_partkey", "p_name"), _has_even_length("p_name"))
+    return relational.where(s.part.select("p_partkey", "p_name"), _sounds_right("p_name"))
 
 
 @query("f4_view", "SELECT n_name, count(*) AS n FROM nation WHERE n_regionkey = 2 GROUP BY n_name")

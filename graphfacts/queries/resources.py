@@ -68,7 +68,7 @@ def _(s):
 
 
 # --- components ----------------------------------------------------------------------------------------------
-NATION_STARTS = """SELECT r.graph_id, r.rn AS op, a.key AS caller, b.key AS component, b.key % 2 = 0 AS resolved FROM supp_rank r
+NATION_STARTS = """SELECT r.graph_id, r.rn AS op, a.key AS caller, b.key AS component, b.key IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3) AS resolved FROM supp_rank r
     JOIN supp_nation a ON a.graph_id = r.graph_id AND a.id = r.src JOIN supp_nation b ON b.graph_id = r.graph_id AND b.id = r.dst WHERE r.rn = {0}"""
 CONSTRAINT = f"""cn AS MATERIALIZED (SELECT DISTINCT graph_id, caller AS src, component AS dst FROM (({NATION_STARTS.format(1)}) UNION ALL ({NATION_STARTS.format(2)})) WHERE resolved AND caller <> component)"""
 
@@ -243,16 +243,16 @@ def _(s):
 
 
 @query("l18_released_after", """
-    SELECT a.graph_id, a.id AS block, a.lock, coalesce(bool_or(p.ok), false) AS released FROM (SELECT l.graph_id, l.id, n.key % 5 AS lock FROM supp_low l JOIN supp_nation n ON n.graph_id = l.graph_id AND n.id = l.id) a
+    SELECT a.graph_id, a.id AS block, a.lock, coalesce(bool_or(p.ok), false) AS released FROM (SELECT l.graph_id, l.id, n.region AS lock FROM supp_low l JOIN supp_nation n ON n.graph_id = l.graph_id AND n.id = l.id) a
     LEFT JOIN (SELECT q.graph_id, q.id, q.lock, (q.graph_id, q.by, q.id) NOT IN (SELECT (graph_id, d, id) FROM av) AS ok FROM
-        (SELECT l.graph_id, l.id, n.key % 5 AS lock, h.id AS by FROM supp_low l JOIN supp_nation n ON n.graph_id = l.graph_id AND n.id = l.id
-         JOIN (SELECT h.graph_id, h.id, m.key % 5 AS lock FROM supp_rich h JOIN supp_nation m ON m.graph_id = h.graph_id AND m.id = h.id) h ON h.graph_id = l.graph_id AND h.lock = n.key % 5
+        (SELECT l.graph_id, l.id, n.region AS lock, h.id AS by FROM supp_low l JOIN supp_nation n ON n.graph_id = l.graph_id AND n.id = l.id
+         JOIN (SELECT h.graph_id, h.id, m.region AS lock FROM supp_rich h JOIN supp_nation m ON m.graph_id = h.graph_id AND m.id = h.id) h ON h.graph_id = l.graph_id AND h.lock = n.region
          JOIN rr ON rr.graph_id = l.graph_id AND rr.id = l.id) q) p ON p.graph_id = a.graph_id AND p.id = a.id GROUP BY 1, 2, 3""",
        """rr(graph_id, id) AS (SELECT graph_id, id FROM supp_root UNION SELECT r.graph_id, e.src FROM rr r JOIN next2 e ON e.graph_id = r.graph_id AND e.dst = r.id),
        av(graph_id, d, id) AS (SELECT l.graph_id, n.id, l.id FROM supp_root l JOIN supp_nodes n ON n.graph_id = l.graph_id WHERE n.id <> l.id UNION
           SELECT a.graph_id, a.d, e.src FROM av a JOIN next2 e ON e.graph_id = a.graph_id AND e.dst = a.id WHERE e.src <> a.d)""")
 def _(s):
-    lock = s.supp_nation.select(G, "id", (F.col("key") % 5).alias("lock"))
+    lock = s.supp_nation.select(G, "id", F.col("region").alias("lock"))
     op = lambda nodes, name: nodes.join(lock, [G, "id"]).select(G, F.col("id").alias("block"), "lock", F.lit(name).alias("op"))
     ops = tables.materialize(op(s.supp_low, "acquire").unionByName(op(s.supp_rich, "release")))
     return resource.released_after(tables.materialize(s.next2), s.supp_root, ops)
