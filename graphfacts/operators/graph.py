@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphfacts.plans import tables
+from graphfacts.plans import segments, tables
 from graphfacts.plans.fixpoint import LimitExceeded, fixpoint, hops_for
 
 G = "graph_id"
@@ -231,12 +231,10 @@ def explode_blocks(instructions: DataFrame, block_edges: DataFrame) -> DataFrame
 
 
 def predecessor_position(edges: DataFrame, order: Sequence[str] = ("src",)) -> DataFrame:
-    """Position, from 0, of each predecessor among those of its node.
-
-    Ranking inside one destination is a window over that destination's edges; Spark sorts and spills it.
-    """
-    w = Window.partitionBy(G, "dst").orderBy(*order)
-    return edges.select(G, "src", "dst", (F.row_number().over(w) - 1).alias("position"))
+    """Position, from 0, of each predecessor among those of its node; a node may have any number of them."""
+    keys = [G, "dst", *[c for c in order if c not in (G, "dst")]]
+    return segments.positions(edges.select(*dict.fromkeys([G, "src", "dst", *keys])), [G, "dst"], list(order), "position").select(
+        G, "src", "dst", "position")
 
 
 # --- components ----------------------------------------------------------------------------------
@@ -257,9 +255,8 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     pairs = tables.write(
         edges.filter("src <> dst").select(G, F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     )
-    last = None
-    while mark(pairs) != last:
-        last = mark(pairs)
+    last, now = None, mark(pairs)
+    while now != last:
         wide = both_ways(pairs.df)
         large = wide.join(minimum(wide), [G, "u"]).filter("v > u").select(G, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = tables.materialize(large.filter("u <> v"))
@@ -267,6 +264,7 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         small = large.join(low, [G, "u"]).select(
             G, F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         pairs = tables.write(small)
+        last, now = now, mark(pairs)
     stars = pairs.df.groupBy(G, F.col("u").alias("id")).agg(F.min("v").alias("component"))
     return nodes.select(G, "id").distinct().join(stars, [G, "id"], "left").withColumn(
         "component", F.coalesce("component", "id"))

@@ -140,15 +140,19 @@ def parameter_statistics(methods: DataFrame, parameters: DataFrame) -> DataFrame
     return m.join(p, G, "left").fillna(0, ["parameters"]).withColumn("mean", F.col("parameters") / F.col("methods"))
 
 
-def fields_read(methods: DataFrame, reads: DataFrame) -> DataFrame:
-    """``(graph_id, method, fields, n)``: distinct fields a method reads, [] where none."""
-    got = reads.groupBy(G, "method").agg(F.sort_array(F.collect_set("field")).alias("fields"))
-    return methods.select(G, "method").distinct().join(got, [G, "method"], "left").withColumn(
-        "n", F.when(F.col("fields").isNull(), 0).otherwise(F.size("fields")))
+def fields_read(reads: DataFrame) -> DataFrame:
+    """``(graph_id, method, field)``: the set of fields each method reads, one row per member."""
+    return reads.select(G, "method", "field").distinct()
 
 
-def mean_fields_read(per_method: DataFrame) -> DataFrame:
-    return per_method.groupBy(G).agg(F.avg("n").alias("mean"))
+def fields_read_counts(methods: DataFrame, reads: DataFrame) -> DataFrame:
+    """``(graph_id, method, n)``, 0 for methods that read none."""
+    counted = fields_read(reads).groupBy(G, "method").agg(F.count(F.lit(1)).alias("n"))
+    return methods.select(G, "method").distinct().join(counted, [G, "method"], "left").fillna(0, ["n"])
+
+
+def mean_fields_read(counts: DataFrame) -> DataFrame:
+    return counts.groupBy(G).agg(F.avg("n").alias("mean"))
 
 
 def interface_usage(signatures: DataFrame) -> DataFrame:
@@ -250,10 +254,15 @@ def collect_warnings(*parts: DataFrame) -> DataFrame:
 
 
 def field_accesses(accesses: DataFrame) -> DataFrame:
-    """``(graph_id, location, reads, writes)`` with the accessing statements as sorted arrays.
-    ``accesses(graph_id, location, stmt, kind)``; long locations stay in long form in ``accesses``."""
-    pick = lambda k: F.sort_array(F.collect_set(F.when(F.col("kind") == k, F.col("stmt"))))
-    return accesses.groupBy(G, "location").agg(pick("read").alias("reads"), pick("write").alias("writes"))
+    """The access map of fields, arrays and statics: ``(graph_id, location, kind, stmt)``, one row per member,
+    since a container field may be touched by any share of all statements."""
+    return accesses.select(G, "location", "kind", "stmt").distinct()
+
+
+def access_counts(accesses: DataFrame) -> DataFrame:
+    """``(graph_id, location, reads, writes)``: how many statements read and write each location."""
+    return field_accesses(accesses).groupBy(G, "location").agg(
+        F.count_if(F.col("kind") == "read").alias("reads"), F.count_if(F.col("kind") == "write").alias("writes"))
 
 
 def type_based_points_to(declared: DataFrame, closure: DataFrame, instantiated: DataFrame) -> DataFrame:

@@ -5,13 +5,13 @@ State of one resource: ``acquired``, ``timed``, ``is_async`` and the sorted arra
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphfacts.functions.scalars import flag_types
 from graphfacts.operators import dataflow, dominance, graph, hierarchy, paths, tabulation
 from graphfacts.operators.graph import G
-from graphfacts.plans import tables
+from graphfacts.plans import segments, tables
 from graphfacts.plans.fixpoint import fixpoint
 
 # Declared callback order per component kind (kind, from, to).
@@ -305,11 +305,13 @@ def released_after(edges: DataFrame, exits: DataFrame, operations: DataFrame) ->
     same lock? ``operations(graph_id, block, lock, op)`` within one method per ``graph_id``."""
     post = tables.materialize(dominance.post_dominators(edges, exits))
     got = operations.filter("op in ('acquire', 'timed_acquire')").select(G, F.col("block").alias("id"), "lock")
-    pairs = got.join(operations.filter("op = 'release'").select(G, "lock", F.col("block").alias("by")), [G, "lock"])
-    held = dominance.post_dominated(post, pairs.select(G, "id", "by").distinct())
-    ok = pairs.join(held, [G, "id", "by"], "left").groupBy(G, "id", "lock").agg(F.bool_or(F.coalesce("holds", F.lit(False))).alias("released"))
-    return got.distinct().join(ok, [G, "id", "lock"], "left").select(
-        G, F.col("id").alias("block"), "lock", F.coalesce("released", F.lit(False)).alias("released"))
+    released = operations.filter("op = 'release'").select(G, "lock", F.col("block").alias("dominator")).distinct()
+    # from each acquire to the nodes that post-dominate it, and only then to the releases among them
+    exits_met = post.select(G, "exit", "id").distinct().groupBy(G, "id").agg(F.count(F.lit(1)).alias("exits"))
+    hit = got.distinct().join(post, [G, "id"]).join(released, [G, "lock", "dominator"]).groupBy(G, "id", "lock", "dominator").agg(
+        F.count(F.lit(1)).alias("n")).join(exits_met, [G, "id"]).filter("n = exits").select(G, "id", "lock").distinct()
+    return got.distinct().join(hit.withColumn("ok", F.lit(True)), [G, "id", "lock"], "left").select(
+        G, F.col("id").alias("block"), "lock", F.coalesce("ok", F.lit(False)).alias("released"))
 
 
 def call_conditions(nodes: DataFrame, edges: DataFrame, entry: DataFrame, calls: DataFrame, controlling: DataFrame,
@@ -346,12 +348,12 @@ def states_in_log(events: DataFrame, by: list[str], order: list[str]) -> DataFra
 
     The state is the last operation so far; before the first one it is released.
     """
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last("op", ignorenulls=True).over(w)
+    out = segments.last_known(events, by, order, F.col("op"), "_last")
+    last = F.col("_last")
     acquired = F.coalesce(last.isin("acquire", "timed_acquire"), F.lit(False))
     timed = F.coalesce(last == "timed_acquire", F.lit(False))
-    return events.withColumns({"acquired": acquired, "timed": timed}).withColumn(
-        "state", describe(F.col("acquired"), F.col("timed"), F.lit(False)))
+    return out.withColumns({"acquired": acquired, "timed": timed}).withColumn(
+        "state", describe(F.col("acquired"), F.col("timed"), F.lit(False))).drop("_last")
 
 
 def open_at_end(events: DataFrame, by: list[str], order: list[str]) -> DataFrame:

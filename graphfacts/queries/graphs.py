@@ -50,7 +50,7 @@ DAG = ("dag AS (SELECT DISTINCT e.graph_id, a.component AS src, b.component AS d
 def _(s):
     edges = tables.materialize(s.next2)
     live = tables.materialize(graph.reachable(edges, s.supp_rich))
-    alarmed = graph.reaches(edges, s.supp_low).select(G, "id").distinct().withColumn("hit", F.lit(True))
+    alarmed = graph.backward_closure(edges, s.supp_low).withColumn("hit", F.lit(True))
     nodes = live.join(alarmed, [G, "id"], "left").groupBy(G).agg(F.count(F.lit(1)).alias("nodes"), F.count("hit").alias("alarmed"))
     kept = edges.join(live.withColumnRenamed("id", "src"), [G, "src"], "left_semi").groupBy(G).agg(F.count(F.lit(1)).alias("edges"))
     return nodes.join(kept, G).select(G, "nodes", "edges", "alarmed")

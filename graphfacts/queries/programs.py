@@ -84,14 +84,18 @@ def _(s):
     return program.receiver_contexts(r, boxes)
 
 
-@query("p12_field_accesses", """
-    SELECT 'li' AS graph_id, l_partkey AS location, list_sort(list(DISTINCT l_orderkey) FILTER (l_linestatus = 'F')) AS reads,
-           list_sort(list(DISTINCT l_orderkey) FILTER (l_linestatus <> 'F')) AS writes FROM lineitem GROUP BY 2
-    HAVING count(*) FILTER (l_linestatus = 'F') > 0 AND count(*) FILTER (l_linestatus <> 'F') > 0""")
+ACCESSES = "SELECT 'li' AS graph_id, l_partkey AS location, l_orderkey AS stmt, CASE WHEN l_linestatus = 'F' THEN 'read' ELSE 'write' END AS kind FROM lineitem"
+
+
+@query("p12_field_accesses", f"SELECT DISTINCT graph_id, location, kind, stmt FROM ({ACCESSES})")
+def _(s):
+    return program.field_accesses(s.sql(ACCESSES))
+
+
+@query("p12_access_counts", f"""
+    SELECT graph_id, location, count(DISTINCT stmt) FILTER (kind = 'read') AS reads, count(DISTINCT stmt) FILTER (kind = 'write') AS writes FROM ({ACCESSES}) GROUP BY 1, 2""")
 def _(s):
-    a = s.lineitem.select(F.lit("li").alias(G), F.col("l_partkey").alias("location"), F.col("l_orderkey").alias("stmt"),
-                          F.when(F.col("l_linestatus") == "F", "read").otherwise("write").alias("kind"))
-    return program.field_accesses(a).filter("size(reads) > 0 and size(writes) > 0")
+    return program.access_counts(s.sql(ACCESSES))
 
 
 @query("p17_supergraph", """

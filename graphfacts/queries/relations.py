@@ -220,14 +220,9 @@ def _(s):
 FIELDS = "SELECT graph_id, method, operand AS field FROM instructions WHERE kind = 'getfield'"
 
 
-@query("a3_fields_read", f"""
-    SELECT m.graph_id, m.method, f.fields, coalesce(CAST(len(f.fields) AS INTEGER), 0) AS n
-    FROM (SELECT DISTINCT graph_id, cls AS method FROM methods) m
-    LEFT JOIN (SELECT graph_id, method, list_sort(list(DISTINCT field)) AS fields FROM ({FIELDS}) GROUP BY 1, 2) f
-    ON m.graph_id = f.graph_id AND m.method = f.method""")
+@query("a3_fields_read", f"SELECT DISTINCT * FROM ({FIELDS})")
 def _(s):
-    m = s.methods.select("graph_id", F.col("cls").alias("method"))
-    return program.fields_read(m, s.sql(FIELDS))
+    return program.fields_read(s.sql(FIELDS))
 
 
 @query("a3_mean_fields_read", f"""
@@ -235,7 +230,7 @@ def _(s):
     LEFT JOIN (SELECT method, count(DISTINCT field) AS n FROM ({FIELDS}) GROUP BY 1) f ON m.method = f.method GROUP BY 1""")
 def _(s):
     m = s.methods.select("graph_id", F.col("cls").alias("method"))
-    return program.mean_fields_read(program.fields_read(m, s.sql(FIELDS)))
+    return program.mean_fields_read(program.fields_read_counts(m, s.sql(FIELDS)))
 
 
 @query("a4_interface_usage", r"""

@@ -55,3 +55,21 @@ def test_stream_orders_events_and_expires_timed_acquires(spark):
     got = spark.read.parquet(f"{base}/out").withColumn("s", F.unix_timestamp("ts") - F.unix_timestamp(F.lit("2024-01-01 00:00:00")))
     assert rows(got.filter("user_id = 1"), "event_id", "s", "state") == [(1, 0, "ACQUIRED"), (2, 10, "ACQUIRED"), (3, 20, "RELEASED")]
     assert sorted((r.s, r.state) for r in got.filter("user_id = 2").collect()) == [(5, "TIMED_ACQUIRED"), (35, "RELEASED"), (100, "RELEASED")]
+
+
+def test_a_hot_group_spans_segments(spark):
+    from graphfacts.plans import segments
+
+    data = [("hot" if i % 3 else f"k{i % 7}", (i * 37) % 600, i, "x" + str(i) if i % 5 == 0 else None) for i in range(600)]
+    df = spark.createDataFrame(data, "k string, t int, i int, v string")
+    want_pos, want_last = [], []
+    for key in {d[0] for d in data}:
+        last = None
+        for n, (k, t, i, v) in enumerate(sorted((d for d in data if d[0] == key), key=lambda d: (d[1], d[2]))):
+            last = v or last
+            want_pos.append((k, i, n))
+            want_last.append((k, i, last or ""))
+    assert rows(segments.positions(df, ["k"], ["t", "i"], "n"), "k", "i", "n") == sorted(want_pos)
+    got = segments.last_known(df, ["k"], ["t", "i"], F.col("v"), "last").fillna("", ["last"])
+    assert rows(got, "k", "i", "last") == sorted(want_last)
+    assert segments.split(df, ["k"], ["t", "i"]).filter("k = 'hot'").select("_segment").distinct().count() > 1
