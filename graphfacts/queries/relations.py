@@ -120,14 +120,13 @@ def _(s):
     return relational.where(s.orders.select("o_orderkey", "o_totalprice", "o_orderstatus"), (F.col("o_totalprice") > 200000) & (F.col("o_orderstatus") != "F")).select("o_orderkey", "o_totalprice")
 
 
-@F.pandas_udf("boolean")
 def _sounds_right(texts: pd.Series) -> pd.Series:
     return texts.str.contains("ing", regex=False) | texts.str.startswith("h")
 
 
 @query("f3_v1_user_predicate", "SELECT p_partkey, p_name FROM part WHERE contains(p_name, 'ing') OR starts_with(p_name, 'h')")
 def _(s):
-    return relational.where(s.part.select("p_partkey", "p_name"), _sounds_right("p_name"))
+    return relational.where(s.part.select("p_partkey", "p_name"), F.pandas_udf(_sounds_right, "boolean")("p_name"))
 
 
 @query("f4_view", "SELECT n_name, count(*) AS n FROM nation WHERE n_regionkey = 2 GROUP BY n_name")

@@ -43,3 +43,12 @@ def test_query_equals_sql(spark, name):
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
 def test_entry(spark):
     assert set(entry_point.entry(spark).columns) == {"graph_id", "nodes", "edges", "alarmed"}
+
+
+def test_oracle_needs_no_session():
+    import subprocess
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; print(len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0 and int(out.stdout.strip().splitlines()[-1]) > 150, out.stderr[-500:]
