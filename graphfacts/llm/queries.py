@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from graphfacts.llm import bpe, exact, sharding, simhash
+from graphfacts.llm import bpe, exact, quality, sharding, simhash
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -18,7 +18,12 @@ def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, folder: operator(spark.read.parquet(f"{folder}/{table}.parquet"))
 
 
+def _quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
 QUERIES: dict[str, Query] = {
+    "op4_quality": _quality,
     "op5_exact_dedup": _over("documents", exact.exact_duplicates),
     "op6_sharding": _over("documents", sharding.assign),
     "op7_bpe": _over("documents", lambda docs: bpe.round_trip_digests(docs, TOKENIZER)),
