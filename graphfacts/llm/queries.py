@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from graphfacts.llm import bpe, exact, packing, quality, sharding, simhash
+from graphfacts.llm import bpe, exact, licences, packing, quality, sharding, simhash
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -23,6 +23,7 @@ def _quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_licences": _over("documents", licences.scan),
     "op2_packing": _over("documents", lambda docs: packing.packed_documents(docs, TOKENIZER)),
     "op4_quality": _quality,
     "op5_exact_dedup": _over("documents", exact.exact_duplicates),
@@ -32,6 +33,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_licences": licences.sql(),
     "op5_exact_dedup": exact.SQL,
     "op6_sharding": sharding.SQL,
 }
