@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphfacts.llm import bpe, exact, licences, packing, quality, sharding, simhash
+from graphfacts.llm import bpe, exact, licences, neighbours, packing, quality, sharding, simhash, warc
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -25,15 +26,18 @@ def _quality(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_licences": _over("documents", licences.scan),
     "op2_packing": _over("documents", lambda docs: packing.packed_documents(docs, TOKENIZER)),
+    "op3_warc": _over("pages", warc.round_trip),
     "op4_quality": _quality,
     "op5_exact_dedup": _over("documents", exact.exact_duplicates),
     "op6_sharding": _over("documents", sharding.assign),
     "op7_bpe": _over("documents", lambda docs: bpe.round_trip_digests(docs, TOKENIZER)),
     "op9_simhash": _over("documents", simhash.near_duplicates),
+    "op10_neighbours": _over("embeddings", lambda vectors: neighbours.neighbours(vectors, F.col("vec_id") % 20 == 0)),
 }
 
 ORACLES: dict[str, str] = {
     "op1_licences": licences.sql(),
+    "op3_warc": warc.SQL,
     "op5_exact_dedup": exact.SQL,
     "op6_sharding": sharding.SQL,
 }
