@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphfacts.llm import bpe, exact, licences, neighbours, packing, quality, sharding, simhash, warc
+from graphfacts.llm import bpe, exact, licences, neighbours, packing, passages, quality, sharding, simhash, warc
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -31,6 +31,7 @@ QUERIES: dict[str, Query] = {
     "op5_exact_dedup": _over("documents", exact.exact_duplicates),
     "op6_sharding": _over("documents", sharding.assign),
     "op7_bpe": _over("documents", lambda docs: bpe.round_trip_digests(docs, TOKENIZER)),
+    "op8_passages": _over("documents", passages.repeated_passages),
     "op9_simhash": _over("documents", simhash.near_duplicates),
     "op10_neighbours": _over("embeddings", lambda vectors: neighbours.neighbours(vectors, F.col("vec_id") % 20 == 0)),
 }
