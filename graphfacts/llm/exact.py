@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphfacts.llm.shared import text_of
+from graphfacts.llm.shared import kept_rows, text_of
 from graphfacts.plans import tables
 
 #: Digests whose winners may be broadcast, and counters of the sketch: both fixed, so the broadcast side is at most
@@ -59,9 +59,8 @@ def exact_duplicates(docs: DataFrame, heavy: int = HEAVY, tracked: int = TRACKED
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns; of rows repeating both identifier and text, one."""
-    stay = exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi").dropDuplicates(["doc_id", "text"])
+    """The documents that stay, with all their columns; of rows repeating an identifier, one."""
+    return kept_rows(docs, exact_duplicates(docs).select("doc_id", "kept"))
 
 
 SQL = r"""

@@ -32,7 +32,8 @@ LEAST, LONG, EVERY = 8, 64, 24
 #: Words of the shortest run that is reported and removed. Single lines that many pages share are shorter.
 RUN = 30
 
-END = re.compile(r"[.!?]+[\"')\]»”]*\s+|\n\s*")
+# A single mark ends a sentence; where every word bears several, they end nothing.
+END = re.compile(r"(?<![.!?])[.!?][\"')\]»”]*\s+|\n\s*")
 WORD = re.compile(r"\S+")
 KEEP_WORDS, FLUSH = 200_000, 100_000
 
@@ -211,8 +212,9 @@ def repeated_passages(docs: DataFrame, run: int = RUN) -> DataFrame:
 def without_repeats(docs: DataFrame, run: int = RUN) -> DataFrame:
     """The documents without the runs that are to go, with all their columns; ``n_chars``, if there is one, is counted
     anew for texts that were cut. Documents of which nothing but white space is left go."""
-    gone = (repeated_passages(docs, run).filter("removed").groupBy(F.col("doc_id").alias("_id"))
-            .agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_runs")))  # bounded by the document
+    gone = tables.materialize(
+        repeated_passages(docs, run).filter("removed").groupBy(F.col("doc_id").alias("_id"))
+        .agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_runs")))  # bounded by the document
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, runs: pd.Series) -> pd.Series:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from graphfacts.llm import bpe, exact, licences, neighbours, packing, passages, quality, sharding, simhash, warc
 
-TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+TOKENIZER = corpus_pipeline.TOKENIZER
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,7 @@ QUERIES: dict[str, Query] = {
     "op8_passages": _over("documents", passages.repeated_passages),
     "op9_simhash": _over("documents", simhash.near_duplicates),
     "op10_neighbours": _over("embeddings", lambda vectors: neighbours.neighbours(vectors, F.col("vec_id") % 20 == 0)),
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
@@ -42,3 +43,5 @@ ORACLES: dict[str, str] = {
     "op5_exact_dedup": exact.SQL,
     "op6_sharding": sharding.SQL,
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

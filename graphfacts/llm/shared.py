@@ -59,3 +59,17 @@ def classes(links: DataFrame) -> DataFrame:
         before, now = now, mark(pairs)
     stars = pairs.df.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("id"), "component").distinct())
+
+
+def kept_rows(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` is kept by some row of ``verdicts(doc_id, kept)``, with all their columns;
+    of rows that repeat an identifier, one.
+
+    The identifiers that go are written first: Spark then knows their size and compares them where the documents lie
+    as long as they are few, and shuffles otherwise.
+    """
+    each = verdicts.groupBy(F.col("doc_id").alias("_id")).agg(F.bool_or("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows"))
+    special = tables.materialize(each.filter("NOT _kept OR _rows > 1").select("_id", "_kept"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    return docs.join(special, same, "left_anti").unionByName(
+        docs.join(special.filter("_kept"), same, "left_semi").dropDuplicates(["doc_id"]))

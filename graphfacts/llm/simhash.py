@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphfacts.llm.shared import ASCII_LOWER, classes, columns, text_of, unsigned_hex
+from graphfacts.llm.shared import ASCII_LOWER, classes, columns, kept_rows, text_of, unsigned_hex
 from graphfacts.plans import tables
 
 SEGMENTS, WIDTH, BUDGET, SHINGLE, SEED = 4, 16, 3, 3, 42
@@ -99,7 +99,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The documents with the smallest identifier of their component, with all their columns; of rows repeating an
-    identifier, one stays."""
-    stay = (near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.col("doc_id").alias("_stay")).distinct())
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi").dropDuplicates(["doc_id"])
+    identifier, one."""
+    return kept_rows(docs, near_duplicates(docs).select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
