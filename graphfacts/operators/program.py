@@ -204,14 +204,16 @@ def method_scan(instructions: DataFrame) -> DataFrame:
 
     ``instructions(graph_id, method, idx, kind, operand)``.
     """
-    distinct = lambda kind, name: F.count_distinct(F.when(F.col("kind") == kind, F.col("operand"))).alias(name)
-    return instructions.groupBy(G, "method").agg(
-        F.count_if(F.col("kind") == "invoke").alias("call_sites"), distinct("getfield", "fields_read"),
+    kind, operand = F.col("kind"), F.col("operand")
+    each = instructions.groupBy(G, "method", "kind", "operand").agg(F.count(F.lit(1)).alias("n"))
+    rows = lambda k, name: F.coalesce(F.sum(F.when(kind == k, F.col("n"))), F.lit(0)).alias(name)
+    distinct = lambda k, name: F.count_if((kind == k) & operand.isNotNull()).alias(name)
+    return each.groupBy(G, "method").agg(
+        rows("invoke", "call_sites"), distinct("getfield", "fields_read"),
         distinct("putfield", "fields_written"), distinct("arraystore", "array_types_written"),
-        F.count_if(F.col("kind") == "new").alias("allocations"), distinct("catch", "caught_types"),
-        distinct("checkcast", "cast_types"),
-        F.bool_or((F.col("kind") == "arrayload") & F.col("operand").startswith("L")).alias("object_array_load"),
-        F.bool_or((F.col("kind") == "arraystore") & F.col("operand").startswith("L")).alias("object_array_store"))
+        rows("new", "allocations"), distinct("catch", "caught_types"), distinct("checkcast", "cast_types"),
+        F.bool_or((kind == "arrayload") & operand.startswith("L")).alias("object_array_load"),
+        F.bool_or((kind == "arraystore") & operand.startswith("L")).alias("object_array_store"))
 
 
 def scanned(instructions: DataFrame, kind: str) -> DataFrame:
@@ -273,16 +275,19 @@ def type_based_points_to(declared: DataFrame, closure: DataFrame, instantiated:
 
 # --- interprocedural flow graph ------------------------------------------------------------------------
 def supergraph(block_edges: DataFrame, calls: DataFrame, cg: DataFrame, entries: DataFrame, exits: DataFrame) -> DataFrame:
-    """``(graph_id, src, dst, label, call)``: block edges plus call → entry and exit → return site.
+    """``(graph_id, src, dst, label, call)``: block edges plus call → entry and exit → return site. The normal edges out of
+    a call block are labelled ``call_to_return``, or ``call_none_to_return`` where no call of the block has a callee.
 
     ``block_edges(graph_id, src, dst, label)``; ``calls(graph_id, site, block)``: block of a call site, whose
     non-exceptional successors are the return sites; ``entries``/``exits(graph_id, method, id)``.
     """
     none = F.lit(None).cast(block_edges.schema["src"].dataType).alias("call")
-    at = calls.select(G, "block").distinct().withColumn("is_call", F.lit(True))
+    called = cg.select(G, "site").distinct().withColumn("_has", F.lit(True))
+    at = calls.join(called, [G, "site"], "left").groupBy(G, "block").agg(F.bool_or(F.coalesce("_has", F.lit(False))).alias("has_callee"))
     inner = block_edges.join(at.withColumnRenamed("block", "src"), [G, "src"], "left").select(
         G, "src", "dst",
-        F.when(F.col("is_call") & (F.col("label") == "normal"), "call_to_return").otherwise(F.col("label")).alias("label"), none)
+        F.when(F.col("has_callee").isNull() | (F.col("label") != "normal"), F.col("label")).when(F.col("has_callee"), "call_to_return")
+        .otherwise("call_none_to_return").alias("label"), none)
     jump = cg.select(G, "site", F.col("dst").alias("method")).distinct().join(calls, [G, "site"])
     enter = jump.join(entries, [G, "method"]).select(
         G, F.col("block").alias("src"), F.col("id").alias("dst"), F.lit("call").alias("label"), none)

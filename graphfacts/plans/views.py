@@ -16,35 +16,26 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "labels conversations").split()
 
 
-def _next(k: int) -> str:
-    return f"SELECT graph_id, src, dst FROM supp_rank WHERE rn <= {k}"
-
-
 VIEWS: dict[str, str] = {
-    # supplier a is followed by supplier b within an order; one graph per return flag
-    "supp_rank": """
-        SELECT g AS graph_id, a AS src, b AS dst, row_number() OVER (PARTITION BY g, a ORDER BY c DESC, b) AS rn
-        FROM (SELECT g, a, b, count(*) AS c
-              FROM (SELECT l_returnflag AS g, l_suppkey AS a,
-                           lead(l_suppkey) OVER (PARTITION BY l_returnflag, l_orderkey
-                                                 ORDER BY l_linenumber, l_partkey, l_suppkey) AS b
-                    FROM lineitem) s
-              WHERE b IS NOT NULL AND a <> b GROUP BY g, a, b) n""",
-    "next1": _next(1),
-    "next2": _next(2),
-    "next3": _next(3),
-    "supp_nodes": "SELECT DISTINCT l_returnflag AS graph_id, l_suppkey AS id FROM lineitem",
+    # supplier src is followed by supplier dst within an order (null at its end); one graph per customer
+    "step_pairs": """
+        SELECT o_custkey AS graph_id, l_suppkey AS src, l_linestatus AS label, l_linenumber AS nr,
+               lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst
+        FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
+    "succ": "SELECT DISTINCT graph_id, src, dst FROM step_pairs WHERE dst IS NOT NULL AND src <> dst",
+    # the same by line status: two kinds of edges over one set of nodes
+    "succ_open": "SELECT DISTINCT graph_id, src, dst FROM step_pairs WHERE dst IS NOT NULL AND src <> dst AND label = 'O'",
+    "succ_filled": "SELECT DISTINCT graph_id, src, dst FROM step_pairs WHERE dst IS NOT NULL AND src <> dst AND label <> 'O'",
+    # two call sites per supplier, one for each line status, each with any number of targets
+    "call_edges": """SELECT graph_id, src * 10 + 1 AS site, src, dst FROM succ_open
+                     UNION ALL SELECT graph_id, src * 10 + 3, src, dst FROM succ_filled""",
+    "supp_nodes": "SELECT DISTINCT o_custkey AS graph_id, l_suppkey AS id FROM lineitem JOIN orders ON o_orderkey = l_orderkey",
     "supp_low": """SELECT n.graph_id, n.id FROM supp_nodes n JOIN supplier ON n.id = s_suppkey WHERE s_acctbal < 0""",
     "supp_high": """SELECT n.graph_id, n.id FROM supp_nodes n JOIN supplier ON n.id = s_suppkey WHERE s_acctbal > 9000""",
     "supp_rich": """SELECT n.graph_id, n.id FROM supp_nodes n JOIN supplier ON n.id = s_suppkey WHERE s_acctbal > 3000""",
     "supp_root": "SELECT graph_id, min(id) AS id FROM supp_rich GROUP BY graph_id",
     "supp_nation": """SELECT n.graph_id, n.id, cast(s_nationkey AS bigint) AS key, n_regionkey AS region
                       FROM supp_nodes n JOIN supplier ON n.id = s_suppkey JOIN nation ON n_nationkey = s_nationkey""",
-    # every step between consecutive suppliers, labelled with the line status (null dst at the end)
-    "step_pairs": """
-        SELECT l_returnflag AS graph_id, l_suppkey AS src, l_linestatus AS label, l_linenumber AS nr,
-               lead(l_suppkey) OVER (PARTITION BY l_returnflag, l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst
-        FROM lineitem""",
     # part trees and layered graphs, child to parent, root 0
     "heap2": """SELECT 'part' AS graph_id, p_partkey AS src, cast(floor(p_partkey / 2.0) AS bigint) AS dst FROM part WHERE p_partkey > 0""",
     "dag23": """SELECT graph_id, src, dst FROM heap2 UNION
@@ -105,8 +96,11 @@ VIEWS: dict[str, str] = {
         UNION ALL SELECT graph_id, id * 10 + 4, id * 10 + 5, 'normal', NULL FROM supp_nodes
         UNION ALL SELECT graph_id, id * 10 + 1, id * 10 + 2, 'call_to_return', NULL FROM supp_rich
         UNION ALL SELECT graph_id, id * 10 + 3, id * 10 + 4, 'call_to_return', NULL FROM supp_rich
-        UNION ALL SELECT graph_id, src * 10 + 2 * rn - 1, dst * 10, 'call', NULL FROM supp_rank WHERE rn <= 2
-        UNION ALL SELECT graph_id, dst * 10 + 5, src * 10 + 2 * rn, 'return', src * 10 + 2 * rn - 1 FROM supp_rank WHERE rn <= 2""",
+        UNION ALL SELECT n.graph_id, n.id, n.id + 1, 'call_none_to_return', NULL
+            FROM (SELECT graph_id, id * 10 + 1 AS id FROM supp_nodes UNION ALL SELECT graph_id, id * 10 + 3 FROM supp_nodes) n
+            LEFT JOIN call_edges c ON c.graph_id = n.graph_id AND c.site = n.id WHERE c.site IS NULL
+        UNION ALL SELECT graph_id, site, dst * 10, 'call', NULL FROM call_edges
+        UNION ALL SELECT graph_id, dst * 10 + 5, site + 1, 'return', site FROM call_edges""",
     # definitions at procedure entries of low-balance suppliers, one target per nation
     "defs": """SELECT n.graph_id, n.id * 10 AS node, cast(s_nationkey AS bigint) AS target, n.id AS definition
                FROM supp_low n JOIN supplier ON n.id = s_suppkey""",
@@ -115,18 +109,18 @@ VIEWS: dict[str, str] = {
     # points-to facts: suppliers are variables, nations are methods
     "pt_allocs": """SELECT 'heap' AS graph_id, concat('n', cast(s_nationkey AS string)) AS method, concat('s', cast(s_suppkey AS string)) AS var,
                            concat('o', cast(s_suppkey AS string)) AS obj, concat('P', cast(s_suppkey AS string)) AS type FROM supplier WHERE s_acctbal < 0""",
-    "pt_pairs": """SELECT flag, a, b, f, row_number() OVER (PARTITION BY flag, a, f ORDER BY c DESC, b) AS rn
-                   FROM (SELECT flag, a, b, f, count(*) AS c
-                         FROM (SELECT l_returnflag AS flag, l_suppkey AS a, l_linenumber AS f,
-                                      lead(l_suppkey) OVER (PARTITION BY l_returnflag, l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b
-                               FROM lineitem) p WHERE b IS NOT NULL AND a <> b GROUP BY flag, a, b, f) q""",
-    "pt_assigns": """SELECT 'heap' AS graph_id, concat('n', cast(s_nationkey AS string)) AS method, concat('s', cast(dst AS string)) AS dst,
-                            concat('s', cast(src AS string)) AS src, CASE WHEN s_acctbal > 5000 THEN 'P1' END AS cast_type
-                     FROM next1 JOIN supplier ON src = s_suppkey WHERE graph_id = 'R'""",
+    # the return flag of a line says what its step is: an assignment, a load or a store
+    "pt_pairs": """SELECT DISTINCT flag, a, b, f FROM (
+                       SELECT l_returnflag AS flag, l_suppkey AS a, l_linenumber AS f,
+                              lead(l_suppkey) OVER (PARTITION BY l_returnflag, l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b
+                       FROM lineitem) p WHERE b IS NOT NULL AND a <> b""",
+    "pt_assigns": """SELECT DISTINCT 'heap' AS graph_id, concat('n', cast(s_nationkey AS string)) AS method, concat('s', cast(b AS string)) AS dst,
+                            concat('s', cast(a AS string)) AS src, CASE WHEN s_acctbal > 5000 THEN 'P1' END AS cast_type
+                     FROM pt_pairs JOIN supplier ON a = s_suppkey WHERE flag = 'R'""",
     "pt_loads": """SELECT 'heap' AS graph_id, concat('s', cast(b AS string)) AS dst, concat('s', cast(a AS string)) AS base, concat('f', cast(f AS string)) AS field
-                   FROM pt_pairs WHERE rn = 1 AND flag = 'A'""",
+                   FROM pt_pairs WHERE flag = 'A'""",
     "pt_stores": """SELECT 'heap' AS graph_id, concat('s', cast(a AS string)) AS base, concat('f', cast(f AS string)) AS field, concat('s', cast(b AS string)) AS src
-                    FROM pt_pairs WHERE rn = 1 AND flag = 'N'""",
+                    FROM pt_pairs WHERE flag = 'N'""",
     "pt_direct": """SELECT 'heap' AS graph_id, concat('n', cast(a.n_nationkey AS string)) AS method,
                            concat('d', cast(a.n_nationkey AS string), '_', cast(b.n_nationkey AS string)) AS site, concat('n', cast(b.n_nationkey AS string)) AS target
                     FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey""",
@@ -139,21 +133,29 @@ VIEWS: dict[str, str] = {
     "pt_returns": """SELECT 'heap' AS graph_id, concat('n', cast(n_nationkey AS string)) AS method, concat('p', cast(n_nationkey AS string)) AS var FROM nation""",
     "pt_dispatch": """SELECT 'heap' AS graph_id, concat('P', cast(s_suppkey AS string)) AS type, 'call' AS selector, concat('n', cast(s_nationkey AS string)) AS method FROM supplier""",
     "pt_entries": """SELECT 'heap' AS graph_id, concat('n', cast(min(n_nationkey) AS string)) AS method FROM nation GROUP BY n_regionkey""",
-    # components: parts of a kind, their callbacks the lines sold back
-    "callbacks": """
-        SELECT DISTINCT 'part' AS graph_id, concat('P', cast(l_partkey AS string)) AS component,
-               CASE p_type WHEN 'SMALL' THEN 'Activity' WHEN 'LARGE' THEN 'Service' WHEN 'PROMO' THEN 'IntentService' WHEN 'MEDIUM' THEN 'Application' ELSE 'BroadcastReceiver' END AS kind,
-               CASE WHEN p_type = 'MEDIUM' THEN CASE WHEN l_linenumber < 5 THEN 'onCreate' ELSE 'onTerminate' END
-                    WHEN p_type = 'SMALL' THEN CASE l_linenumber WHEN 1 THEN 'onCreate' WHEN 2 THEN 'onStart' WHEN 3 THEN 'onResume' WHEN 4 THEN 'onPause' WHEN 5 THEN 'onStop' WHEN 6 THEN 'onDestroy' ELSE 'onRestart' END
-                    WHEN p_type IN ('LARGE', 'PROMO') THEN CASE l_linenumber WHEN 1 THEN 'onCreate' WHEN 2 THEN 'onBind' WHEN 3 THEN 'onUnbind' WHEN 4 THEN 'onRebind' WHEN 5 THEN 'onDestroy'
-                         WHEN 6 THEN 'onStart' ELSE CASE WHEN p_type = 'PROMO' THEN 'onHandleIntent' ELSE 'onStartCommand' END END
-                    ELSE 'onReceive' END AS selector
-        FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R' AND l_quantity > 20""",
+    # components: orders, their kind by priority; each line is a callback by its part, and what it holds at its exit
+    "component_lines": """
+        SELECT concat('O', cast(o_orderkey AS string)) AS component, l_suppkey, l_linestatus, l_discount, l_tax,
+               CASE o_orderpriority WHEN '1-URGENT' THEN 'Activity' WHEN '2-HIGH' THEN 'Service' WHEN '3-MEDIUM' THEN 'IntentService'
+                                    WHEN '5-LOW' THEN 'Application' ELSE 'BroadcastReceiver' END AS kind,
+               l_partkey % 8 AS slot
+        FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
+    "component_calls": """
+        SELECT component, kind, l_suppkey, l_linestatus, l_discount, l_tax,
+               CASE kind
+                 WHEN 'Application' THEN CASE WHEN slot < 5 THEN 'onCreate' ELSE 'onTerminate' END
+                 WHEN 'Activity' THEN CASE slot WHEN 0 THEN '<init>' WHEN 1 THEN 'onCreate' WHEN 2 THEN 'onStart' WHEN 3 THEN 'onResume' WHEN 4 THEN 'onPause'
+                                                WHEN 5 THEN 'onStop' WHEN 6 THEN 'onDestroy' ELSE 'onRestart' END
+                 WHEN 'BroadcastReceiver' THEN 'onReceive'
+                 ELSE CASE slot WHEN 0 THEN 'onCreate' WHEN 1 THEN 'onBind' WHEN 2 THEN 'onUnbind' WHEN 3 THEN 'onRebind' WHEN 4 THEN 'onDestroy'
+                                WHEN 5 THEN 'onStart' WHEN 6 THEN 'onCreate' ELSE CASE WHEN kind = 'IntentService' THEN 'onHandleIntent' ELSE 'onStartCommand' END END
+               END AS selector FROM component_lines""",
+    "callbacks": "SELECT DISTINCT 'order' AS graph_id, component, kind, selector FROM component_calls",
     "held": """
-        SELECT DISTINCT 'part' AS graph_id, concat('P', cast(l_partkey AS string)) AS component, c.selector, concat('lock', cast(l_suppkey AS string)) AS lock,
+        SELECT DISTINCT 'order' AS graph_id, component, selector, concat('lock', cast(l_suppkey AS string)) AS lock,
                l_linestatus = 'O' AS acquired, l_discount > 0.08 AS timed, l_tax > 0.06 AS is_async,
-               CASE WHEN l_tax > 0.02 THEN concat('P', cast(l_partkey AS string)) ELSE concat('P', cast(l_suppkey AS string)) END AS ctx
-        FROM lineitem JOIN callbacks c ON c.component = concat('P', cast(l_partkey AS string)) WHERE l_returnflag <> 'R'""",
+               CASE WHEN l_tax > 0.02 THEN component ELSE concat('S', cast(l_suppkey AS string)) END AS ctx
+        FROM component_calls""",
     # operations in the supergraph, lock and component by region
     "lock_ops": """
         SELECT n.graph_id, n.id * 10 + 2 AS block, concat('L', cast(n_regionkey AS string)) AS lock,

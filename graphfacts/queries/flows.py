@@ -15,7 +15,7 @@ GEN = "SELECT graph_id, id AS node, id AS fact FROM supp_low"
 # nodes of another region than the fact's supplier, with a high balance, end the fact
 KILL = """SELECT h.graph_id, h.id AS node, l.id AS fact FROM supp_high h JOIN supp_low l ON l.graph_id = h.graph_id"""
 # an edge into a supplier of the fact's own nation does not carry it
-KILL_EDGE = """SELECT e.graph_id, e.src, e.dst, l.id AS fact FROM next2 e JOIN supp_nation n ON n.graph_id = e.graph_id AND n.id = e.dst
+KILL_EDGE = """SELECT e.graph_id, e.src, e.dst, l.id AS fact FROM succ e JOIN supp_nation n ON n.graph_id = e.graph_id AND n.id = e.dst
                JOIN supp_nation m ON m.graph_id = e.graph_id AND m.key = n.key AND m.id <> e.dst JOIN supp_low l ON l.graph_id = m.graph_id AND l.id = m.id"""
 
 
@@ -30,32 +30,32 @@ IN = """SELECT DISTINCT f.graph_id, e.dst AS node, f.fact FROM f JOIN ed e ON e.
 
 
 def _parts(s):
-    return tables.materialize(s.next2), s.sql(GEN), tables.materialize(s.sql(KILL)), tables.materialize(s.sql(KILL_EDGE))
+    return tables.materialize(s.succ), s.sql(GEN), tables.materialize(s.sql(KILL)), tables.materialize(s.sql(KILL_EDGE))
 
 
 @query("k1_accumulate", "SELECT * FROM f",
-       "f(graph_id, node, fact) AS (SELECT graph_id, id, id FROM supp_low UNION SELECT f.graph_id, e.dst, f.fact FROM f JOIN next2 e ON e.graph_id = f.graph_id AND e.src = f.node)")
+       "f(graph_id, node, fact) AS (SELECT graph_id, id, id FROM supp_low UNION SELECT f.graph_id, e.dst, f.fact FROM f JOIN succ e ON e.graph_id = f.graph_id AND e.src = f.node)")
 def _(s):
-    return dataflow.accumulate(s.next2, s.sql(GEN))
+    return dataflow.accumulate(s.succ, s.sql(GEN))
 
 
-@query("k2_k3_may_out", "SELECT * FROM f", may_sql("next2"))
+@query("k2_k3_may_out", "SELECT * FROM f", may_sql("succ"))
 def _(s):
     e, gen, kn, ke = _parts(s)
     return dataflow.may(e, gen, kn, ke).out
 
 
-@query("k2_v2_may_in", IN, may_sql("next2"))
+@query("k2_v2_may_in", IN, may_sql("succ"))
 def _(s):
     e, gen, kn, ke = _parts(s)
     return dataflow.may(e, gen, kn, ke).into
 
 
 # greatest solution by its complement: (node, fact) is lost at the root, over a killing edge, at a killing node
-MUST = f"""rc(graph_id, id) AS (SELECT graph_id, id FROM supp_root UNION SELECT r.graph_id, e.dst FROM rc r JOIN next2 e ON e.graph_id = r.graph_id AND e.src = r.id),
+MUST = f"""rc(graph_id, id) AS (SELECT graph_id, id FROM supp_root UNION SELECT r.graph_id, e.dst FROM rc r JOIN succ e ON e.graph_id = r.graph_id AND e.src = r.id),
     inside AS MATERIALIZED (SELECT DISTINCT * FROM rc), gen AS MATERIALIZED (SELECT g.* FROM ({GEN}) g JOIN inside i ON i.graph_id = g.graph_id AND i.id = g.node),
     kn AS MATERIALIZED ({KILL}), ke AS MATERIALIZED ({KILL_EDGE}),
-    ed AS MATERIALIZED (SELECT e.graph_id, e.src, e.dst FROM next2 e JOIN inside i ON i.graph_id = e.graph_id AND i.id = e.src),
+    ed AS MATERIALIZED (SELECT e.graph_id, e.src, e.dst FROM succ e JOIN inside i ON i.graph_id = e.graph_id AND i.id = e.src),
     facts AS MATERIALIZED (SELECT DISTINCT graph_id, fact FROM gen),
     lost(graph_id, node, fact) AS (
         SELECT * FROM (SELECT r.graph_id, r.id AS node, f.fact FROM supp_root r JOIN facts f ON f.graph_id = r.graph_id
@@ -74,26 +74,26 @@ def _(s):
 
 
 @query("k4_boolean_may", """
-    SELECT n.graph_id, n.id, (n.graph_id, n.id) IN (SELECT (e.graph_id, e.dst) FROM next2 e JOIN f ON f.graph_id = e.graph_id AND f.id = e.src) AS before,
+    SELECT n.graph_id, n.id, (n.graph_id, n.id) IN (SELECT (e.graph_id, e.dst) FROM succ e JOIN f ON f.graph_id = e.graph_id AND f.id = e.src) AS before,
            (n.graph_id, n.id) IN (SELECT (graph_id, id) FROM f) AS after FROM supp_nodes n""",
-       """f(graph_id, id) AS (SELECT graph_id, id FROM supp_low UNION SELECT f.graph_id, e.dst FROM f JOIN next2 e ON e.graph_id = f.graph_id AND e.src = f.id
+       """f(graph_id, id) AS (SELECT graph_id, id FROM supp_low UNION SELECT f.graph_id, e.dst FROM f JOIN succ e ON e.graph_id = f.graph_id AND e.src = f.id
           WHERE (e.graph_id, e.dst) NOT IN (SELECT (graph_id, id) FROM supp_high))""")
 def _(s):
     settings = s.supp_low.withColumn("value", F.lit(True)).unionByName(s.supp_high.withColumn("value", F.lit(False)))
-    return dataflow.boolean(s.supp_nodes, tables.materialize(s.next2), settings, s.supp_root)
+    return dataflow.boolean(s.supp_nodes, tables.materialize(s.succ), settings, s.supp_root)
 
 
 @query("k4_boolean_must", """
-    SELECT n.graph_id, n.id, (n.graph_id, n.id) NOT IN (SELECT (graph_id, id) FROM supp_root) AND NOT EXISTS (SELECT 1 FROM next2 e JOIN f ON f.graph_id = e.graph_id AND f.id = e.src
+    SELECT n.graph_id, n.id, (n.graph_id, n.id) NOT IN (SELECT (graph_id, id) FROM supp_root) AND NOT EXISTS (SELECT 1 FROM succ e JOIN f ON f.graph_id = e.graph_id AND f.id = e.src
         WHERE e.graph_id = n.graph_id AND e.dst = n.id AND (e.graph_id, e.src) IN (SELECT (graph_id, id) FROM rc)) AS before,
         (n.graph_id, n.id) NOT IN (SELECT (graph_id, id) FROM f) AS after FROM (SELECT DISTINCT * FROM rc) n""",
-       """rc(graph_id, id) AS (SELECT graph_id, id FROM supp_root UNION SELECT r.graph_id, e.dst FROM rc r JOIN next2 e ON e.graph_id = r.graph_id AND e.src = r.id),
+       """rc(graph_id, id) AS (SELECT graph_id, id FROM supp_root UNION SELECT r.graph_id, e.dst FROM rc r JOIN succ e ON e.graph_id = r.graph_id AND e.src = r.id),
        f(graph_id, id) AS (SELECT * FROM (SELECT graph_id, id FROM supp_root UNION SELECT graph_id, id FROM supp_high) WHERE (graph_id, id) NOT IN (SELECT (graph_id, id) FROM supp_low)
-          UNION SELECT f.graph_id, e.dst FROM f JOIN next2 e ON e.graph_id = f.graph_id AND e.src = f.id
+          UNION SELECT f.graph_id, e.dst FROM f JOIN succ e ON e.graph_id = f.graph_id AND e.src = f.id
           WHERE (e.graph_id, f.id) IN (SELECT (graph_id, id) FROM rc) AND (e.graph_id, e.dst) NOT IN (SELECT (graph_id, id) FROM supp_low))""")
 def _(s):
     settings = s.supp_low.withColumn("value", F.lit(True)).unionByName(s.supp_high.withColumn("value", F.lit(False)))
-    return dataflow.boolean(s.supp_nodes, tables.materialize(s.next2), settings, s.supp_root, meet="must")
+    return dataflow.boolean(s.supp_nodes, tables.materialize(s.succ), settings, s.supp_root, meet="must")
 
 
 WRITES = "SELECT l.graph_id, l.id AS node, n.key AS target, l.id AS definition FROM supp_low l JOIN supp_nation n ON n.graph_id = l.graph_id AND n.id = l.id"
@@ -105,9 +105,9 @@ def reaching_sql(edges: str, defs: str) -> str:
         JOIN ed e ON e.graph_id = f.graph_id AND e.src = f.node WHERE (e.graph_id, e.dst, f.target) NOT IN (SELECT (graph_id, node, target) FROM d))"""
 
 
-@query("k5_reaching_definitions", "SELECT graph_id, node, fact FROM f", reaching_sql("SELECT graph_id, src, dst FROM next2", WRITES))
+@query("k5_reaching_definitions", "SELECT graph_id, node, fact FROM f", reaching_sql("SELECT graph_id, src, dst FROM succ", WRITES))
 def _(s):
-    return dataflow.reaching_definitions(tables.materialize(s.next2), s.sql(WRITES)).out
+    return dataflow.reaching_definitions(tables.materialize(s.succ), s.sql(WRITES)).out
 
 
 @query("k6_interprocedural_definitions", "SELECT graph_id, node, fact FROM f",
@@ -229,8 +229,8 @@ def _(s):
     return dataflow.live_at(s.order_flow, fx.filter("st = 'F'"), fx.filter("st = 'P'"))
 
 
-VFLOW = "SELECT 'part' AS graph_id, src, dst FROM next1 WHERE graph_id = 'A'"
-KNOWN = "SELECT 'part' AS graph_id, id AS value, concat('P', cast(id AS string)) AS type FROM supp_low WHERE graph_id = 'A'"
+VFLOW = "SELECT DISTINCT 'part' AS graph_id, src, dst FROM succ"
+KNOWN = "SELECT DISTINCT 'part' AS graph_id, id AS value, concat('P', cast(id AS string)) AS type FROM supp_low"
 
 
 @query("k16_infer_types", """

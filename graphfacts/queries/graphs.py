@@ -38,17 +38,17 @@ def shortest(name: str, edges: str, start: str, cost: str = "1") -> str:
 COMPONENTS = ("comp AS (SELECT n.graph_id, n.id, least(n.id, coalesce(min(b.dst), n.id)) AS component FROM supp_nodes n "
               "LEFT JOIN (SELECT a.* FROM cl a JOIN cl z ON a.graph_id = z.graph_id AND a.src = z.dst AND a.dst = z.src) b "
               "ON b.graph_id = n.graph_id AND b.src = n.id GROUP BY 1, 2)")
-DAG = ("dag AS (SELECT DISTINCT e.graph_id, a.component AS src, b.component AS dst FROM next2 e JOIN comp a ON a.graph_id = e.graph_id AND a.id = e.src "
+DAG = ("dag AS (SELECT DISTINCT e.graph_id, a.component AS src, b.component AS dst FROM succ e JOIN comp a ON a.graph_id = e.graph_id AND a.id = e.src "
        "JOIN comp b ON b.graph_id = e.graph_id AND b.id = e.dst WHERE a.component <> b.component)")
 
 
 @query("a1_g1_g3_flagship", """
     SELECT e.graph_id, n.nodes, e.edges, n.alarmed
     FROM (SELECT r.graph_id, count(*) AS nodes, count(b.id) AS alarmed FROM r LEFT JOIN b ON b.graph_id = r.graph_id AND b.id = r.id GROUP BY 1) n
-    JOIN (SELECT e.graph_id, count(*) AS edges FROM next2 e JOIN r ON r.graph_id = e.graph_id AND r.id = e.src GROUP BY 1) e ON n.graph_id = e.graph_id""",
-       reach("r", "next2", "supp_rich") + ", " + reach("b", inverse("next2"), "supp_low"))
+    JOIN (SELECT e.graph_id, count(*) AS edges FROM succ e JOIN r ON r.graph_id = e.graph_id AND r.id = e.src GROUP BY 1) e ON n.graph_id = e.graph_id""",
+       reach("r", "succ", "supp_rich") + ", " + reach("b", inverse("succ"), "supp_low"))
 def _(s):
-    edges = tables.materialize(s.next2)
+    edges = tables.materialize(s.succ)
     live = tables.materialize(graph.reachable(edges, s.supp_rich))
     alarmed = graph.backward_closure(edges, s.supp_low).withColumn("hit", F.lit(True))
     nodes = live.join(alarmed, [G, "id"], "left").groupBy(G).agg(F.count(F.lit(1)).alias("nodes"), F.count("hit").alias("alarmed"))
@@ -60,43 +60,43 @@ def _(s):
     SELECT m.graph_id, coalesce(n.nodes, 0) AS nodes, coalesce(e.edges, 0) AS edges, m.methods, m.bytes
     FROM (SELECT graph_id, count(*) AS methods, CAST(sum(b) AS BIGINT) AS bytes FROM (SELECT graph_id, key, max(id) AS b FROM supp_nation GROUP BY 1, 2) GROUP BY 1) m
     LEFT JOIN (SELECT graph_id, count(*) AS nodes FROM r GROUP BY 1) n ON n.graph_id = m.graph_id
-    LEFT JOIN (SELECT e.graph_id, count(*) AS edges FROM next2 e JOIN r ON r.graph_id = e.graph_id AND r.id = e.src GROUP BY 1) e ON e.graph_id = m.graph_id""",
-       reach("r", "next2", "supp_high"))
+    LEFT JOIN (SELECT e.graph_id, count(*) AS edges FROM succ e JOIN r ON r.graph_id = e.graph_id AND r.id = e.src GROUP BY 1) e ON e.graph_id = m.graph_id""",
+       reach("r", "succ", "supp_high"))
 def _(s):
     nodes = s.supp_nation.select(G, "id", F.col("key").alias("method"), F.col("id").alias("bytes"))
-    return program.call_graph_statistics(nodes, s.next2, s.supp_high)
+    return program.call_graph_statistics(nodes, s.succ, s.supp_high)
 
 
-@query("g1_reachable", "SELECT * FROM r", reach("r", "next2", "supp_high"))
+@query("g1_reachable", "SELECT * FROM r", reach("r", "succ", "supp_high"))
 def _(s):
-    return graph.reachable(s.next2, s.supp_high)
+    return graph.reachable(s.succ, s.supp_high)
 
 
 @query("g1_reachable_from_each", "SELECT graph_id, src AS source, dst AS id FROM r",
        """r(graph_id, src, dst) AS (SELECT graph_id, id, id FROM supp_high UNION
-          SELECT r.graph_id, r.src, e.dst FROM r JOIN next2 e ON e.graph_id = r.graph_id AND e.src = r.dst)""")
+          SELECT r.graph_id, r.src, e.dst FROM r JOIN succ e ON e.graph_id = r.graph_id AND e.src = r.dst)""")
 def _(s):
-    return graph.reachable_from_each(s.next2, s.supp_high)
+    return graph.reachable_from_each(s.succ, s.supp_high)
 
 
 @query("g2_reachable_filtered", "SELECT * FROM r",
-       reach("r", "(SELECT e.* FROM next2 e JOIN supp_rich x ON x.graph_id = e.graph_id AND x.id = e.dst)", "supp_high"))
+       reach("r", "(SELECT e.* FROM succ e JOIN supp_rich x ON x.graph_id = e.graph_id AND x.id = e.dst)", "supp_high"))
 def _(s):
-    return graph.reachable(s.next2, s.supp_high, accept=s.supp_rich)
+    return graph.reachable(s.succ, s.supp_high, accept=s.supp_rich)
 
 
 @query("g3_reaches", "SELECT graph_id, dst AS id, src AS target FROM r",
        f"""r(graph_id, src, dst) AS (SELECT graph_id, id, id FROM supp_low UNION
-           SELECT r.graph_id, r.src, e.dst FROM r JOIN {inverse('next2')} e ON e.graph_id = r.graph_id AND e.src = r.dst)""")
+           SELECT r.graph_id, r.src, e.dst FROM r JOIN {inverse('succ')} e ON e.graph_id = r.graph_id AND e.src = r.dst)""")
 def _(s):
-    return graph.reaches(s.next2, s.supp_low)
+    return graph.reaches(s.succ, s.supp_low)
 
 
 @query("g4_within_hops", "SELECT graph_id, id, CAST(min(hop) AS INTEGER) AS hop FROM r GROUP BY 1, 2",
        """r(graph_id, id, hop) AS (SELECT graph_id, id, 0 FROM supp_high UNION
-          SELECT r.graph_id, e.dst, r.hop + 1 FROM r JOIN next2 e ON e.graph_id = r.graph_id AND e.src = r.id WHERE r.hop < 4)""")
+          SELECT r.graph_id, e.dst, r.hop + 1 FROM r JOIN succ e ON e.graph_id = r.graph_id AND e.src = r.id WHERE r.hop < 4)""")
 def _(s):
-    return graph.within_hops(s.next2, s.supp_high, 4).select(G, "id", "hop")
+    return graph.within_hops(s.succ, s.supp_high, 4).select(G, "id", "hop")
 
 
 FARTHEST = "(SELECT graph_id, max(id) AS id FROM supp_low GROUP BY graph_id)"
@@ -107,9 +107,9 @@ FARTHEST = "(SELECT graph_id, max(id) AS id FROM supp_low GROUP BY graph_id)"
         SELECT n.graph_id, unnest(range(0, n.d + 1)) AS i, true AS is_edge
         FROM (SELECT h.graph_id, min(CASE WHEN h.id = l.id THEN 0 ELSE d END) AS d FROM supp_high h JOIN supp_low l ON l.graph_id = h.graph_id
               LEFT JOIN t ON t.graph_id = h.graph_id AND t.src = h.id AND t.dst = l.id GROUP BY 1) n WHERE n.d IS NOT NULL) GROUP BY 1""",
-       shortest("t", "next2", "src IN (SELECT id FROM supp_high)"))
+       shortest("t", "succ", "src IN (SELECT id FROM supp_high)"))
 def _(s):
-    edges = tables.materialize(s.next2)
+    edges = tables.materialize(s.succ)
     p = tables.materialize(paths.shortest_path(edges, s.supp_high, s.supp_low))
     nxt = p.select(G, (F.col("position") - 1).alias("position"), F.col("id").alias("src"))
     hop = p.join(nxt, [G, "position"], "left").select(G, "position", "src", F.col("id").alias("dst"))
@@ -117,9 +117,9 @@ def _(s):
     return ok.groupBy(G).agg(F.max("position").alias("length"), F.bool_and(F.col("src").isNull() | F.coalesce("e", F.lit(False))).alias("valid"))
 
 
-@query("g6_distances", "SELECT graph_id, src, dst, CAST(d AS INTEGER) AS distance FROM t", shortest("t", "next2", "true"))
+@query("g6_distances", "SELECT graph_id, src, dst, CAST(d AS INTEGER) AS distance FROM t", shortest("t", "succ", "true"))
 def _(s):
-    return paths.distances(s.next2)
+    return paths.distances(s.succ)
 
 
 COSTED = "(SELECT graph_id, src, dst, src - dst * 2 + 1 AS cost FROM dag23 WHERE dst <> 0 UNION ALL SELECT graph_id, src, dst, 5 FROM dag23 WHERE dst = 0)"
@@ -134,17 +134,17 @@ def _(s):
     WITH RECURSIVE x AS MATERIALIZED (SELECT * FROM t),
     p(graph_id, src, dst, cur, path) AS (
         SELECT e.graph_id, e.src, l.id, e.dst, CASE WHEN e.dst = l.id THEN [] ELSE [e.dst] END
-        FROM next2 e JOIN supp_low l ON l.graph_id = e.graph_id JOIN supp_high h ON h.graph_id = e.graph_id AND h.id = e.src
+        FROM succ e JOIN supp_low l ON l.graph_id = e.graph_id JOIN supp_high h ON h.graph_id = e.graph_id AND h.id = e.src
         LEFT JOIN x a ON a.graph_id = e.graph_id AND a.src = e.dst AND a.dst = l.id
         JOIN x b ON b.graph_id = e.graph_id AND b.src = e.src AND b.dst = l.id WHERE b.d = 1 AND e.dst = l.id OR (b.d > 1 AND a.d + 1 = b.d)
         UNION ALL
         SELECT p.graph_id, p.src, p.dst, e.dst, CASE WHEN e.dst = p.dst THEN p.path ELSE list_append(p.path, e.dst) END
-        FROM p JOIN next2 e ON e.graph_id = p.graph_id AND e.src = p.cur JOIN x b ON b.graph_id = p.graph_id AND b.src = p.cur AND b.dst = p.dst
+        FROM p JOIN succ e ON e.graph_id = p.graph_id AND e.src = p.cur JOIN x b ON b.graph_id = p.graph_id AND b.src = p.cur AND b.dst = p.dst
         LEFT JOIN x a ON a.graph_id = e.graph_id AND a.src = e.dst AND a.dst = p.dst
         WHERE p.cur <> p.dst AND ((b.d = 1 AND e.dst = p.dst) OR (b.d > 1 AND a.d + 1 = b.d)))
-    SELECT graph_id, src, dst, path FROM p WHERE cur = dst""", shortest("t", "next2", "true"))
+    SELECT graph_id, src, dst, path FROM p WHERE cur = dst""", shortest("t", "succ", "true"))
 def _(s):
-    edges = tables.materialize(s.next2)
+    edges = tables.materialize(s.succ)
     pairs = s.supp_high.select(G, F.col("id").alias("src")).join(s.supp_low.select(G, F.col("id").alias("dst")), G)
     return paths.all_shortest_paths(edges, tables.materialize(paths.distances(edges, s.supp_high)), pairs)
 
@@ -162,15 +162,15 @@ def _(s):
 
 
 @query("g7_one_path", "SELECT graph_id, CAST(min(d) + 1 AS INTEGER) AS nodes FROM t WHERE dst IN (SELECT id FROM supp_low) GROUP BY 1",
-       shortest("t", "next2", "src IN (SELECT id FROM supp_root)"))
+       shortest("t", "succ", "src IN (SELECT id FROM supp_root)"))
 def _(s):
     targets = s.supp_low
-    return paths.one_path(s.next2, s.supp_root, targets).select(G, F.size("path").alias("nodes"))
+    return paths.one_path(s.succ, s.supp_root, targets).select(G, F.size("path").alias("nodes"))
 
 
-@query("g8_strong_components", "SELECT * FROM comp", closure("cl", "next2") + ", " + COMPONENTS)
+@query("g8_strong_components", "SELECT * FROM comp", closure("cl", "succ") + ", " + COMPONENTS)
 def _(s):
-    return graph.strong_components(s.supp_nodes, s.next2)
+    return graph.strong_components(s.supp_nodes, s.succ)
 
 
 LINKS_SPARK = "SELECT 'web' AS graph_id, url AS src, explode(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS dst FROM pages"
@@ -188,20 +188,20 @@ def _(s):
     return graph.weak_components(graph.endpoints(links), links)
 
 
-@query("g10_condensation", "SELECT * FROM dag", closure("cl", "next2") + ", " + COMPONENTS + ", " + DAG)
+@query("g10_condensation", "SELECT * FROM dag", closure("cl", "succ") + ", " + COMPONENTS + ", " + DAG)
 def _(s):
-    edges = tables.materialize(s.next2)
+    edges = tables.materialize(s.succ)
     return graph.condensation(tables.materialize(graph.strong_components(s.supp_nodes, edges)), edges)
 
 
-LEVELS = ", ".join([closure("cl", "next2"), COMPONENTS, DAG,
+LEVELS = ", ".join([closure("cl", "succ"), COMPONENTS, DAG,
                     "lv(graph_id, id, level) AS (SELECT DISTINCT graph_id, component, 0 FROM comp UNION "
                     "SELECT d.graph_id, d.dst, l.level + 1 FROM lv l JOIN dag d ON d.graph_id = l.graph_id AND d.src = l.id)"])
 
 
 @query("g11_topological_levels", "SELECT c.graph_id, c.id, c.component, CAST(max(l.level) AS INTEGER) AS level FROM comp c JOIN lv l ON l.graph_id = c.graph_id AND l.id = c.component GROUP BY 1, 2, 3", LEVELS)
 def _(s):
-    return graph.topological_levels(s.supp_nodes, tables.materialize(s.next2))
+    return graph.topological_levels(s.supp_nodes, tables.materialize(s.succ))
 
 
 @query("g11_dag_levels", "SELECT 'part' AS graph_id, id, CAST(max(level) AS INTEGER) AS level FROM lv GROUP BY 2",
@@ -210,9 +210,9 @@ def _(s):
     return graph.dag_levels(s.part_nodes, s.dag23_down)
 
 
-@query("g12_roots", "SELECT n.graph_id, n.id FROM supp_nodes n WHERE (n.graph_id, n.id) NOT IN (SELECT (graph_id, dst) FROM next1)")
+@query("g12_roots", "SELECT n.graph_id, n.id FROM supp_nodes n WHERE (n.graph_id, n.id) NOT IN (SELECT (graph_id, dst) FROM succ)")
 def _(s):
-    return graph.roots(s.supp_nodes, s.next1)
+    return graph.roots(s.supp_nodes, s.succ)
 
 
 @query("g12_leaves", "SELECT 'part' AS graph_id, id FROM part_nodes WHERE id NOT IN (SELECT dst FROM heap2)")
@@ -220,9 +220,9 @@ def _(s):
     return graph.leaves(s.part_nodes, graph.invert(s.heap2))
 
 
-@query("g13_invert", "SELECT graph_id, dst AS src, src AS dst FROM next3")
+@query("g13_invert", "SELECT graph_id, dst AS src, src AS dst FROM succ")
 def _(s):
-    return graph.invert(s.next3)
+    return graph.invert(s.succ)
 
 
 @query("g14_prune", "SELECT graph_id, src, dst FROM dag23 WHERE src IN (SELECT id FROM part_nodes WHERE category <> 'SMALL') AND dst IN (SELECT id FROM part_nodes WHERE category <> 'SMALL')")
@@ -237,42 +237,42 @@ def _(s):
     return graph.project(s.dag23, s.part_promo)
 
 
-@query("g16_backward_closure", "SELECT * FROM r", reach("r", inverse("next2"), "supp_low"))
+@query("g16_backward_closure", "SELECT * FROM r", reach("r", inverse("succ"), "supp_low"))
 def _(s):
-    return graph.backward_closure(s.next2, s.supp_low)
+    return graph.backward_closure(s.succ, s.supp_low)
 
 
 @query("g17_contract", "SELECT DISTINCT graph_id, src, dst FROM p WHERE (graph_id, dst) IN (SELECT (graph_id, id) FROM supp_rich)",
-       """p(graph_id, src, dst) AS (SELECT graph_id, src, dst FROM next2 WHERE (graph_id, src) IN (SELECT (graph_id, id) FROM supp_rich) UNION
-          SELECT p.graph_id, p.src, e.dst FROM p JOIN next2 e ON e.graph_id = p.graph_id AND e.src = p.dst
+       """p(graph_id, src, dst) AS (SELECT graph_id, src, dst FROM succ WHERE (graph_id, src) IN (SELECT (graph_id, id) FROM supp_rich) UNION
+          SELECT p.graph_id, p.src, e.dst FROM p JOIN succ e ON e.graph_id = p.graph_id AND e.src = p.dst
           WHERE (p.graph_id, p.dst) NOT IN (SELECT (graph_id, id) FROM supp_rich))""")
 def _(s):
     poor = s.supp_nodes.join(s.supp_rich, [G, "id"], "left_anti")
-    return graph.contract(s.supp_nodes, s.next2, poor)
+    return graph.contract(s.supp_nodes, s.succ, poor)
 
 
 @query("g18_acyclic", """
     SELECT n.graph_id, count(e.src) AS cycle_edges, count(e.src) = 0 AS acyclic FROM (SELECT DISTINCT graph_id FROM r) n
-    LEFT JOIN (SELECT e.graph_id, e.src FROM next1 e JOIN r ON r.graph_id = e.graph_id AND r.id = e.src
+    LEFT JOIN (SELECT e.graph_id, e.src FROM succ e JOIN r ON r.graph_id = e.graph_id AND r.id = e.src
                WHERE (e.graph_id, e.dst, e.src) IN (SELECT (graph_id, src, dst) FROM cl)) e ON e.graph_id = n.graph_id GROUP BY 1""",
-       reach("r", "next1", "supp_root") + ", " + closure("cl", "next1"))
+       reach("r", "succ", "supp_root") + ", " + closure("cl", "succ"))
 def _(s):
-    return graph.acyclic(s.supp_nodes, tables.materialize(s.next1), s.supp_root)
+    return graph.acyclic(s.supp_nodes, tables.materialize(s.succ), s.supp_root)
 
 
-@query("g18_cycle_edges", "SELECT graph_id, src, dst FROM next2 e WHERE (graph_id, dst, src) IN (SELECT (graph_id, src, dst) FROM cl)", closure("cl", "next2"))
+@query("g18_cycle_edges", "SELECT graph_id, src, dst FROM succ e WHERE (graph_id, dst, src) IN (SELECT (graph_id, src, dst) FROM cl)", closure("cl", "succ"))
 def _(s):
-    edges = tables.materialize(s.next2)
+    edges = tables.materialize(s.succ)
     return graph.cycle_edges(tables.materialize(graph.strong_components(s.supp_nodes, edges)), edges)
 
 
 @query("g19_acyclic_paths", "SELECT graph_id, path FROM p WHERE (graph_id, cur) IN (SELECT (graph_id, id) FROM supp_low)",
-       closure("cl", "next2") + """, fwd AS MATERIALIZED (SELECT * FROM next2 WHERE (graph_id, dst, src) NOT IN (SELECT (graph_id, src, dst) FROM cl)),
-       p(graph_id, cur, path) AS (SELECT graph_id, id, [id] FROM supp_nodes WHERE (graph_id, id) NOT IN (SELECT (graph_id, dst) FROM next2) UNION ALL
+       closure("cl", "succ") + """, fwd AS MATERIALIZED (SELECT * FROM succ WHERE (graph_id, dst, src) NOT IN (SELECT (graph_id, src, dst) FROM cl)),
+       p(graph_id, cur, path) AS (SELECT graph_id, id, [id] FROM supp_nodes WHERE (graph_id, id) NOT IN (SELECT (graph_id, dst) FROM succ) UNION ALL
           SELECT p.graph_id, e.dst, list_append(p.path, e.dst) FROM p JOIN fwd e ON e.graph_id = p.graph_id AND e.src = p.cur
           WHERE (p.graph_id, p.cur) NOT IN (SELECT (graph_id, id) FROM supp_low))""")
 def _(s):
-    edges = tables.materialize(s.next2)
+    edges = tables.materialize(s.succ)
     return paths.acyclic_paths(s.supp_nodes, edges, graph.roots(s.supp_nodes, edges), s.supp_low, max_length=1000, max_paths=10_000_000)
 
 
@@ -281,13 +281,13 @@ AVOID = """av(graph_id, d, id) AS (
     SELECT a.graph_id, a.d, e.dst FROM av a JOIN {edges} e ON e.graph_id = a.graph_id AND e.src = a.id WHERE e.dst <> a.d)"""
 DOM = ("dom AS MATERIALIZED (SELECT r.graph_id, r.id, n.id AS dominator FROM r JOIN r n ON n.graph_id = r.graph_id "
        "WHERE (r.graph_id, n.id, r.id) NOT IN (SELECT (graph_id, d, id) FROM av))")
-DOMINATORS = ", ".join([reach("r", "next2", "supp_root"), AVOID.format(edges="next2"), DOM])
+DOMINATORS = ", ".join([reach("r", "succ", "supp_root"), AVOID.format(edges="succ"), DOM])
 IDOM = ("SELECT a.graph_id, a.id, max_by(a.dominator, c.n) AS idom FROM dom a JOIN (SELECT graph_id, id, count(*) AS n FROM dom GROUP BY 1, 2) c "
         "ON c.graph_id = a.graph_id AND c.id = a.dominator WHERE a.id <> a.dominator GROUP BY 1, 2")
 
 
 def _dom(s):
-    edges = tables.materialize(s.next2)
+    edges = tables.materialize(s.succ)
     return edges, tables.materialize(dominance.dominators(edges, s.supp_root))
 
 
@@ -309,14 +309,14 @@ def _(s):
     return dominance.immediate_dominators(_dom(s)[1])
 
 
-@query("g20_dominated_by", "SELECT e.graph_id, e.src AS id, e.dst AS dominator, (e.graph_id, e.src, e.dst) IN (SELECT (graph_id, id, dominator) FROM dom) AS holds FROM next3 e", DOMINATORS)
+@query("g20_dominated_by", "SELECT e.graph_id, e.src AS id, e.dst AS dominator, (e.graph_id, e.src, e.dst) IN (SELECT (graph_id, id, dominator) FROM dom) AS holds FROM succ e", DOMINATORS)
 def _(s):
-    asked = s.next3.select(G, F.col("src").alias("id"), F.col("dst").alias("dominator"))
+    asked = s.succ.select(G, F.col("src").alias("id"), F.col("dst").alias("dominator"))
     return dominance.dominated_by(_dom(s)[1], asked)
 
 
 @query("g21_dominance_frontiers", """
-    SELECT DISTINCT e.graph_id, d.dominator AS id, e.dst AS frontier FROM next2 e JOIN dom d ON d.graph_id = e.graph_id AND d.id = e.src
+    SELECT DISTINCT e.graph_id, d.dominator AS id, e.dst AS frontier FROM succ e JOIN dom d ON d.graph_id = e.graph_id AND d.id = e.src
     WHERE d.dominator = e.dst OR (e.graph_id, e.dst, d.dominator) NOT IN (SELECT (graph_id, id, dominator) FROM dom)""", DOMINATORS)
 def _(s):
     return dominance.frontiers(*_dom(s))
@@ -324,28 +324,28 @@ def _(s):
 
 @query("g22_post_domination", """
     SELECT q.graph_id, q.id, q.by, bool_and((q.graph_id, q.exit, q.by, q.id) NOT IN (SELECT (graph_id, exit, d, id) FROM av)) AS holds
-    FROM (SELECT e.graph_id, e.src AS id, e.dst AS by, r.exit FROM next3 e JOIN rr r ON r.graph_id = e.graph_id AND r.id = e.src) q GROUP BY 1, 2, 3""",
-       """rr(graph_id, exit, id) AS (SELECT graph_id, id, id FROM supp_low UNION SELECT r.graph_id, r.exit, e.src FROM rr r JOIN next2 e ON e.graph_id = r.graph_id AND e.dst = r.id),
+    FROM (SELECT e.graph_id, e.src AS id, e.dst AS by, r.exit FROM succ e JOIN rr r ON r.graph_id = e.graph_id AND r.id = e.src) q GROUP BY 1, 2, 3""",
+       """rr(graph_id, exit, id) AS (SELECT graph_id, id, id FROM supp_low UNION SELECT r.graph_id, r.exit, e.src FROM rr r JOIN succ e ON e.graph_id = r.graph_id AND e.dst = r.id),
        av(graph_id, exit, d, id) AS (SELECT l.graph_id, l.id, n.id, l.id FROM supp_low l JOIN supp_nodes n ON n.graph_id = l.graph_id WHERE n.id <> l.id UNION
-          SELECT a.graph_id, a.exit, a.d, e.src FROM av a JOIN next2 e ON e.graph_id = a.graph_id AND e.dst = a.id WHERE e.src <> a.d)""")
+          SELECT a.graph_id, a.exit, a.d, e.src FROM av a JOIN succ e ON e.graph_id = a.graph_id AND e.dst = a.id WHERE e.src <> a.d)""")
 def _(s):
-    post = tables.materialize(dominance.post_dominators(tables.materialize(s.next2), s.supp_low))
-    return dominance.post_dominated(post, s.next3.select(G, F.col("src").alias("id"), F.col("dst").alias("by")))
+    post = tables.materialize(dominance.post_dominators(tables.materialize(s.succ), s.supp_low))
+    return dominance.post_dominated(post, s.succ.select(G, F.col("src").alias("id"), F.col("dst").alias("by")))
 
 
 @query("g23_control_dependence", """
-    SELECT DISTINCT e.graph_id, e.src, d.dominator AS dst, e.dst AS label FROM next2 e JOIN dom d ON d.graph_id = e.graph_id AND d.id = e.dst
+    SELECT DISTINCT e.graph_id, e.src, d.dominator AS dst, e.dst AS label FROM succ e JOIN dom d ON d.graph_id = e.graph_id AND d.id = e.dst
     WHERE (e.graph_id, e.src) IN (SELECT (graph_id, id) FROM r)
       AND (d.dominator = e.src OR (e.graph_id, e.src, d.dominator) NOT IN (SELECT (graph_id, id, dominator) FROM dom))""",
-       ", ".join([reach("r", inverse("next2"), "supp_root"), AVOID.format(edges=inverse("next2")), DOM]))
+       ", ".join([reach("r", inverse("succ"), "supp_root"), AVOID.format(edges=inverse("succ")), DOM]))
 def _(s):
-    return dominance.control_dependence(tables.materialize(s.next2), s.supp_root)
+    return dominance.control_dependence(tables.materialize(s.succ), s.supp_root)
 
 
 @query("g24_colouring", """
     SELECT n.graph_id, count(DISTINCT n.id) AS nodes, 0::BIGINT AS conflicts, true AS within_degree FROM supp_nodes n GROUP BY 1""")
 def _(s):
-    edges = tables.materialize(s.next2)
+    edges = tables.materialize(s.succ)
     c = tables.materialize(graph.colour(s.supp_nodes, edges))
     side = lambda e: c.select(G, F.col("id").alias(e), F.col("colour").alias(f"{e}_colour"))
     bad = edges.join(side("src"), [G, "src"]).join(side("dst"), [G, "dst"]).groupBy(G).agg(
@@ -363,10 +363,10 @@ STEPS = "SELECT graph_id, src, dst, label FROM step_pairs WHERE dst IS NOT NULL"
     SELECT graph_id, 'dangling src' AS problem, src, src AS dst, count(*) AS n FROM e WHERE (graph_id, src) NOT IN (SELECT (graph_id, id) FROM n) GROUP BY 1, 3
     UNION ALL SELECT graph_id, 'dangling dst', dst, dst, count(*) FROM e WHERE (graph_id, dst) NOT IN (SELECT (graph_id, id) FROM n) GROUP BY 1, 3
     UNION ALL SELECT graph_id, 'repeated edge', src, dst, count(*) FROM e GROUP BY 1, 3, 4 HAVING count(*) > 1
-    UNION ALL SELECT graph_id, 'no predecessor entry', src, dst, 1 FROM (SELECT graph_id, src, dst FROM e EXCEPT SELECT graph_id, src, dst FROM next3)
-    UNION ALL SELECT graph_id, 'no successor entry', src, dst, 1 FROM (SELECT graph_id, src, dst FROM next3 EXCEPT SELECT graph_id, src, dst FROM e)""")
+    UNION ALL SELECT graph_id, 'no predecessor entry', src, dst, 1 FROM (SELECT graph_id, src, dst FROM e EXCEPT SELECT graph_id, src, dst FROM succ)
+    UNION ALL SELECT graph_id, 'no successor entry', src, dst, 1 FROM (SELECT graph_id, src, dst FROM succ EXCEPT SELECT graph_id, src, dst FROM e)""")
 def _(s):
-    return graph.integrity(s.supp_rich, s.sql(STEPS), graph.invert(s.next3))
+    return graph.integrity(s.supp_rich, s.sql(STEPS), graph.invert(s.succ))
 
 
 @query("g26_labelled_degrees", f"SELECT graph_id, src AS id, label, count(DISTINCT dst) AS n FROM ({STEPS}) GROUP BY 1, 2, 3")
@@ -385,10 +385,10 @@ def _(s):
 
 
 @query("g27_union_find", "SELECT graph_id, id, min(other) AS component FROM w GROUP BY 1, 2",
-       """pr AS MATERIALIZED (SELECT graph_id, src, dst FROM next1 UNION SELECT graph_id, dst, src FROM next1),
+       """pr AS MATERIALIZED (SELECT graph_id, src, dst FROM succ UNION SELECT graph_id, dst, src FROM succ),
        w(graph_id, id, other) AS (SELECT DISTINCT graph_id, src, src FROM pr UNION SELECT w.graph_id, w.id, p.dst FROM w JOIN pr p ON p.graph_id = w.graph_id AND p.src = w.other)""")
 def _(s):
-    return graph.union_find(tables.materialize(s.next1))
+    return graph.union_find(tables.materialize(s.succ))
 
 
 @query("g28_normal_flow", """
@@ -401,7 +401,7 @@ def _(s):
 
 
 EXITS = "SELECT graph_id, src, dst, CASE WHEN label = 'O' THEN 'exceptional' ELSE 'normal' END AS label, nr AS exception FROM step_pairs WHERE dst IS NOT NULL"
-CAUGHT = "SELECT DISTINCT l_returnflag AS graph_id, l_suppkey AS src, l_linenumber AS exception FROM lineitem WHERE l_discount > 0.09"
+CAUGHT = "SELECT DISTINCT o_custkey AS graph_id, l_suppkey AS src, l_linenumber AS exception FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_discount > 0.09"
 
 
 @query("g29_drop_caught_exits", f"""
@@ -412,10 +412,10 @@ def _(s):
 
 
 @query("g30_quotient", """
-    SELECT DISTINCT e.graph_id, a.key AS src, b.key AS dst FROM next3 e JOIN supp_nation a ON a.graph_id = e.graph_id AND a.id = e.src
+    SELECT DISTINCT e.graph_id, a.key AS src, b.key AS dst FROM succ e JOIN supp_nation a ON a.graph_id = e.graph_id AND a.id = e.src
     JOIN supp_nation b ON b.graph_id = e.graph_id AND b.id = e.dst""")
 def _(s):
-    return graph.quotient(s.next3, s.supp_nation)
+    return graph.quotient(s.succ, s.supp_nation)
 
 
 @query("g31_exploded_flow", """
@@ -426,25 +426,25 @@ def _(s):
     return graph.explode_blocks(s.order_lines, s.order_flow)
 
 
-@query("w1_predecessor_position", "SELECT graph_id, src, dst, CAST(row_number() OVER (PARTITION BY graph_id, dst ORDER BY src) - 1 AS INTEGER) AS position FROM next3")
+@query("w1_predecessor_position", "SELECT graph_id, src, dst, CAST(row_number() OVER (PARTITION BY graph_id, dst ORDER BY src) - 1 AS INTEGER) AS position FROM succ")
 def _(s):
-    return graph.predecessor_position(s.next3)
+    return graph.predecessor_position(s.succ)
 
 
 @query("a9_degrees", """
     SELECT n.graph_id, n.id, coalesce(o.n, 0) AS out_degree, coalesce(i.n, 0) AS in_degree FROM supp_nodes n
-    LEFT JOIN (SELECT graph_id, src AS id, count(*) AS n FROM next3 GROUP BY 1, 2) o ON o.graph_id = n.graph_id AND o.id = n.id
-    LEFT JOIN (SELECT graph_id, dst AS id, count(*) AS n FROM next3 GROUP BY 1, 2) i ON i.graph_id = n.graph_id AND i.id = n.id""")
+    LEFT JOIN (SELECT graph_id, src AS id, count(*) AS n FROM succ GROUP BY 1, 2) o ON o.graph_id = n.graph_id AND o.id = n.id
+    LEFT JOIN (SELECT graph_id, dst AS id, count(*) AS n FROM succ GROUP BY 1, 2) i ON i.graph_id = n.graph_id AND i.id = n.id""")
 def _(s):
-    return graph.degrees(s.supp_nodes, s.next3)
+    return graph.degrees(s.supp_nodes, s.succ)
 
 
 @query("a12_component_composition", """
     SELECT c.graph_id, c.component, count(*) AS nodes, avg(CASE WHEN k.key < 10 THEN 1.0 ELSE 0.0 END) AS share_low, avg(CASE WHEN k.key >= 10 THEN 1.0 ELSE 0.0 END) AS share_high
-    FROM comp c JOIN supp_nation k ON k.graph_id = c.graph_id AND k.id = c.id GROUP BY 1, 2""", closure("cl", "next2") + ", " + COMPONENTS)
+    FROM comp c JOIN supp_nation k ON k.graph_id = c.graph_id AND k.id = c.id GROUP BY 1, 2""", closure("cl", "succ") + ", " + COMPONENTS)
 def _(s):
     kind = s.supp_nation.select(G, "id", F.when(F.col("key") < 10, "low").otherwise("high").alias("category"))
-    comp = graph.strong_components(s.supp_nodes, tables.materialize(s.next2))
+    comp = graph.strong_components(s.supp_nodes, tables.materialize(s.succ))
     return program.component_composition(comp, kind, ["low", "high"])
 
 
@@ -457,22 +457,22 @@ def _(s):
     return program.size_by_root(graph.invert(s.heap2), objects, s.part_promo)
 
 
-@query("o3_graph_union", "SELECT graph_id, src, dst FROM next1 UNION SELECT graph_id, dst, src FROM next2")
+@query("o3_graph_union", "SELECT graph_id, src, dst FROM succ UNION SELECT graph_id, dst, src FROM succ")
 def _(s):
-    return graph.union_graphs((s.supp_nodes, s.next1), (s.supp_low, graph.invert(s.next2).select(G, "src", "dst")))[1]
+    return graph.union_graphs((s.supp_nodes, s.succ), (s.supp_low, graph.invert(s.succ).select(G, "src", "dst")))[1]
 
 
 @query("o4_subgraph_check", """
-    SELECT graph_id, 'edge' AS kind, src, dst FROM (SELECT graph_id, src, dst FROM next3 EXCEPT SELECT graph_id, src, dst FROM next2)
+    SELECT graph_id, 'edge' AS kind, src, dst FROM (SELECT graph_id, src, dst FROM succ EXCEPT SELECT graph_id, src, dst FROM succ_open)
     UNION ALL SELECT graph_id, 'node', id, id FROM (SELECT graph_id, id FROM supp_nodes EXCEPT SELECT graph_id, id FROM supp_rich)""")
 def _(s):
-    return graph.not_subgraph((s.supp_nodes, s.next3), (s.supp_rich, s.next2))
+    return graph.not_subgraph((s.supp_nodes, s.succ), (s.supp_rich, s.succ_open))
 
 
 @query("v7_paths_over_given_edges", "SELECT graph_id, id, CAST(min(hop) AS INTEGER) AS hop FROM r GROUP BY 1, 2",
        """r(graph_id, id, hop) AS (SELECT graph_id, id, 0 FROM supp_high UNION
-          SELECT r.graph_id, e.dst, r.hop + 1 FROM r JOIN next2 e ON e.graph_id = r.graph_id AND e.src = r.id
+          SELECT r.graph_id, e.dst, r.hop + 1 FROM r JOIN succ e ON e.graph_id = r.graph_id AND e.src = r.id
           WHERE r.hop < 200 AND (e.graph_id, e.dst) NOT IN (SELECT (graph_id, id) FROM supp_low))""")
 def _(s):
-    allowed = s.next2.join(s.supp_low.withColumnRenamed("id", "dst"), [G, "dst"], "left_anti")
+    allowed = s.succ.join(s.supp_low.withColumnRenamed("id", "dst"), [G, "dst"], "left_anti")
     return graph.within_hops(allowed, s.supp_high, None).select(G, "id", "hop")

@@ -68,11 +68,11 @@ def _(s):
 
 
 @query("p6_v5_call_strings", "SELECT * FROM c",
-       """cg AS MATERIALIZED (SELECT graph_id, src * 100 + rn AS site, src, dst FROM supp_rank WHERE rn <= 2),
+       """cg AS MATERIALIZED (SELECT graph_id, site, src, dst FROM call_edges),
        c(graph_id, method, ctx) AS (SELECT graph_id, id, []::BIGINT[] FROM supp_high UNION
           SELECT c.graph_id, g.dst, list_slice(list_prepend(g.site, c.ctx), 1, 2) FROM c JOIN cg g ON g.graph_id = c.graph_id AND g.src = c.method)""")
 def _(s):
-    cg = s.sql("SELECT graph_id, src * 100 + rn AS site, src, dst FROM supp_rank WHERE rn <= 2")
+    cg = tables.materialize(s.call_edges)
     return program.call_strings(cg, s.supp_high.withColumnRenamed("id", "method"), 2)
 
 
@@ -99,15 +99,15 @@ def _(s):
 
 
 @query("p17_supergraph", """
-    SELECT graph_id, src, dst, label, call FROM super WHERE label IN ('call', 'return', 'normal')
-    UNION SELECT graph_id, id * 10 + 1, id * 10 + 2, 'call_to_return', NULL FROM supp_nodes UNION SELECT graph_id, id * 10 + 3, id * 10 + 4, 'call_to_return', NULL FROM supp_nodes""")
+    SELECT graph_id, src, dst, label, call FROM super WHERE label IN ('call', 'return', 'normal', 'call_none_to_return')
+    UNION SELECT graph_id, site, site + 1, 'call_to_return', NULL FROM call_edges""")
 def _(s):
     n = s.supp_nodes
     at = lambda i: (F.col("id") * 10 + i)
     blocks = n.select(G, F.explode(F.array(*[F.struct(at(i).alias("src"), at(i + 1).alias("dst")) for i in range(5)])).alias("e")).select(
         G, "e.src", "e.dst", F.lit("normal").alias("label"))
     calls = n.select(G, F.explode(F.array(at(1), at(3))).alias("block")).withColumn("site", F.col("block"))
-    cg = s.sql("SELECT graph_id, src * 10 + 2 * rn - 1 AS site, src, dst FROM supp_rank WHERE rn <= 2")
+    cg = s.call_edges
     ends = lambda i: n.select(G, F.col("id").alias("method"), at(i).alias("id"))
     return program.supergraph(blocks, calls, cg, ends(0), ends(5))
 
@@ -225,14 +225,17 @@ def _(s):
     return heap.unsafe_casts(casts, tables.materialize(solved(s).points_to), subtypes)
 
 
-# a simple heap relation for the operators that take a finished solution: supplier variables hold part objects
-HOLDS = "SELECT 'heap' AS graph_id, concat('s', cast(l_suppkey AS string)) AS pk, concat('o', cast(l_partkey AS string)) AS obj, concat('T', cast(l_linenumber AS string)) AS type FROM lineitem WHERE l_quantity > 45"
+# a simple heap relation, one per customer, for the operators that take a finished solution: open lines say that a
+# supplier variable holds a part object, filled lines that a field of the part holds what the supplier does
+HOLDS = """SELECT DISTINCT o_custkey AS graph_id, concat('s', cast(l_suppkey AS string)) AS pk, concat('o', cast(l_partkey AS string)) AS obj,
+           concat('T', cast(l_linenumber AS string)) AS type FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linestatus = 'O'"""
 OBJECTS = "SELECT DISTINCT graph_id, pk, obj FROM ({0})".format(HOLDS)
-FIELDS = "SELECT DISTINCT 'heap' AS graph_id, concat('o', cast(l_partkey AS string)) AS obj, concat('s', cast(l_suppkey AS string)) AS pk FROM lineitem WHERE l_quantity < 3"
+FIELDS = """SELECT DISTINCT o_custkey AS graph_id, concat('o', cast(l_partkey AS string)) AS obj, concat('s', cast(l_suppkey AS string)) AS pk
+            FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linestatus <> 'O'"""
 HEAP = f"SELECT graph_id, pk AS src, obj AS dst FROM ({HOLDS}) UNION SELECT graph_id, obj, pk FROM ({FIELDS})"
-POINTERS = """SELECT 'heap' AS graph_id, concat('s', cast(s_suppkey AS string)) AS pk, CASE WHEN s_acctbal < 0 THEN 'static' WHEN s_acctbal > 8000 THEN 'return' ELSE 'local' END AS kind,
-    CASE WHEN s_acctbal >= 0 THEN concat('n', cast(s_nationkey AS string)) END AS method FROM supplier"""
-LOWVARS = "SELECT 'heap' AS graph_id, concat('s', cast(s_suppkey AS string)) AS id FROM supplier WHERE s_acctbal < 0"
+POINTERS = """SELECT graph_id, concat('s', cast(s_suppkey AS string)) AS pk, CASE WHEN s_acctbal < 0 THEN 'static' WHEN s_acctbal > 8000 THEN 'return' ELSE 'local' END AS kind,
+    CASE WHEN s_acctbal >= 0 THEN concat('n', cast(s_nationkey AS string)) END AS method FROM supp_nodes JOIN supplier ON s_suppkey = id"""
+LOWVARS = "SELECT graph_id, concat('s', cast(id AS string)) AS id FROM supp_low"
 
 
 @query("p8_heap_graph", f"SELECT DISTINCT * FROM ({HEAP})")
@@ -240,40 +243,42 @@ def _(s):
     return heap.heap_graph(s.sql(HOLDS), s.sql(FIELDS))
 
 
-@query("p8_reachable_objects", f"SELECT DISTINCT o.graph_id, o.obj, o.type FROM ({HOLDS}) o WHERE o.obj IN (SELECT id FROM r)",
+@query("p8_reachable_objects", f"SELECT DISTINCT o.graph_id, o.obj, o.type FROM ({HOLDS}) o WHERE (o.graph_id, o.obj) IN (SELECT (graph_id, id) FROM r)",
        f"hp AS MATERIALIZED ({HEAP}), lv AS MATERIALIZED ({LOWVARS}), " + reach("r", "hp", "lv"))
 def _(s):
     h = tables.materialize(heap.heap_graph(s.sql(HOLDS), s.sql(FIELDS)))
     return heap.reachable_objects(h, s.sql(HOLDS), s.sql(LOWVARS))
 
 
-@query("p16_thread_escape", f"SELECT DISTINCT o.graph_id, o.type FROM ({HOLDS}) o WHERE o.obj IN (SELECT id FROM r)",
+@query("p16_thread_escape", f"SELECT DISTINCT o.graph_id, o.type FROM ({HOLDS}) o WHERE (o.graph_id, o.obj) IN (SELECT (graph_id, id) FROM r)",
        f"hp AS MATERIALIZED ({HEAP}), lv AS MATERIALIZED ({LOWVARS}), " + reach("r", "hp", "lv"))
 def _(s):
     h = tables.materialize(heap.heap_graph(s.sql(HOLDS), s.sql(FIELDS)))
     return heap.thread_escape(h, s.sql(HOLDS), s.sql(LOWVARS))
 
 
-@query("p14_escapes", f"SELECT graph_id, obj, bool_or(pk IN (SELECT pk FROM ({POINTERS}) WHERE kind IN ('static', 'return'))) AS escapes FROM ({OBJECTS}) GROUP BY 1, 2")
+@query("p14_escapes", f"SELECT graph_id, obj, bool_or((graph_id, pk) IN (SELECT (graph_id, pk) FROM ({POINTERS}) WHERE kind IN ('static', 'return'))) AS escapes FROM ({OBJECTS}) GROUP BY 1, 2")
 def _(s):
     return heap.escapes(s.sql(HOLDS), s.sql(POINTERS), s.sql(HOLDS))
 
 
 REGION_CALLS = """SELECT 'heap' AS graph_id, concat('n', cast(a.n_nationkey AS string)) AS src, concat('n', cast(b.nxt AS string)) AS dst FROM nation a
     JOIN (SELECT n_nationkey, lead(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS nxt FROM nation) b ON a.n_nationkey = b.n_nationkey WHERE nxt IS NOT NULL"""
+CUSTOMER_CALLS = f"SELECT n.graph_id, c.src, c.dst FROM (SELECT DISTINCT graph_id FROM supp_nodes) n JOIN ({REGION_CALLS}) c ON c.graph_id = 'heap'"
 ASKED_OBJECTS = f"SELECT DISTINCT graph_id, obj FROM ({HOLDS}) WHERE type = 'T7'"
 
 
 @query("p15_may_be_live", """
-    SELECT 'heap' AS graph_id, obj, NULL AS method FROM al UNION ALL SELECT DISTINCT 'heap', obj, method FROM lv""",
+    SELECT graph_id, obj, NULL AS method FROM al UNION ALL SELECT DISTINCT graph_id, obj, method FROM lv""",
        f"""hp AS MATERIALIZED ({HEAP}), aq AS MATERIALIZED ({ASKED_OBJECTS}), ps AS MATERIALIZED ({POINTERS}), rc AS MATERIALIZED ({REGION_CALLS}),
-       hb(obj, id) AS (SELECT obj, obj FROM aq UNION SELECT h.obj, e.src FROM hb h JOIN hp e ON e.dst = h.id),
-       al AS MATERIALIZED (SELECT DISTINCT h.obj FROM hb h JOIN ps p ON p.pk = h.id WHERE p.kind = 'static'),
-       lv(obj, method) AS (SELECT h.obj, p.method FROM hb h JOIN ps p ON p.pk = h.id WHERE p.method IS NOT NULL AND h.obj NOT IN (SELECT obj FROM al)
-          UNION SELECT l.obj, c.dst FROM lv l JOIN rc c ON c.src = l.method)""")
+       hb(graph_id, obj, id) AS (SELECT graph_id, obj, obj FROM aq UNION SELECT h.graph_id, h.obj, e.src FROM hb h JOIN hp e ON e.graph_id = h.graph_id AND e.dst = h.id),
+       al AS MATERIALIZED (SELECT DISTINCT h.graph_id, h.obj FROM hb h JOIN ps p ON p.graph_id = h.graph_id AND p.pk = h.id WHERE p.kind = 'static'),
+       lv(graph_id, obj, method) AS (SELECT h.graph_id, h.obj, p.method FROM hb h JOIN ps p ON p.graph_id = h.graph_id AND p.pk = h.id
+          WHERE p.method IS NOT NULL AND (h.graph_id, h.obj) NOT IN (SELECT (graph_id, obj) FROM al)
+          UNION SELECT l.graph_id, l.obj, c.dst FROM lv l JOIN rc c ON c.src = l.method)""")
 def _(s):
     h = tables.materialize(heap.heap_graph(s.sql(HOLDS), s.sql(FIELDS)))
-    return heap.may_be_live(h, s.sql(POINTERS), s.sql(REGION_CALLS), s.sql(ASKED_OBJECTS))
+    return heap.may_be_live(h, s.sql(POINTERS), s.sql(CUSTOMER_CALLS), s.sql(ASKED_OBJECTS))
 
 
 # --- mod / ref and dependence --------------------------------------------------------------------------------
@@ -319,10 +324,10 @@ def _(s):
 
 
 # dependence edges between suppliers by line status and order position
-DATA = "SELECT graph_id, src, dst FROM next1"
-CONTROL = "SELECT graph_id, dst AS src, src AS dst FROM next1"
-HEAPDEP = "SELECT graph_id, src, dst FROM supp_rank WHERE rn = 2"
-BASE = "SELECT graph_id, src, dst FROM supp_rank WHERE rn = 3"
+DATA = "SELECT graph_id, src, dst FROM succ"
+CONTROL = "SELECT graph_id, dst AS src, src AS dst FROM succ"
+HEAPDEP = "SELECT graph_id, src, dst FROM succ_open"
+BASE = "SELECT graph_id, src, dst FROM succ_filled"
 
 
 def _dependence(s, drop=()):

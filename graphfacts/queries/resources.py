@@ -68,13 +68,13 @@ def _(s):
 
 
 # --- components ----------------------------------------------------------------------------------------------
-NATION_STARTS = """SELECT r.graph_id, r.rn AS op, a.key AS caller, b.key AS component, b.key IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3) AS resolved FROM supp_rank r
-    JOIN supp_nation a ON a.graph_id = r.graph_id AND a.id = r.src JOIN supp_nation b ON b.graph_id = r.graph_id AND b.id = r.dst WHERE r.rn = {0}"""
-CONSTRAINT = f"""cn AS MATERIALIZED (SELECT DISTINCT graph_id, caller AS src, component AS dst FROM (({NATION_STARTS.format(1)}) UNION ALL ({NATION_STARTS.format(2)})) WHERE resolved AND caller <> component)"""
+NATION_STARTS = """SELECT r.graph_id, r.src AS op, a.key AS caller, b.key AS component, b.key IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3) AS resolved FROM {0} r
+    JOIN supp_nation a ON a.graph_id = r.graph_id AND a.id = r.src JOIN supp_nation b ON b.graph_id = r.graph_id AND b.id = r.dst"""
+CONSTRAINT = f"""cn AS MATERIALIZED (SELECT DISTINCT graph_id, caller AS src, component AS dst FROM (({NATION_STARTS.format("succ_open")}) UNION ALL ({NATION_STARTS.format("succ_filled")})) WHERE resolved AND caller <> component)"""
 
 
 def _constraint(s):
-    return tables.materialize(resource.constraint_graph(s.sql(NATION_STARTS.format(1)), s.sql(NATION_STARTS.format(2))))
+    return tables.materialize(resource.constraint_graph(s.sql(NATION_STARTS.format("succ_open")), s.sql(NATION_STARTS.format("succ_filled"))))
 
 
 @query("l4_constraint_graph", "SELECT * FROM cn", CONSTRAINT)
@@ -90,12 +90,12 @@ def _(s):
 
 
 @query("l5_super_components", "SELECT graph_id, id AS cls, min(other) AS super_component FROM w GROUP BY 1, 2",
-       """w1 AS MATERIALIZED (SELECT graph_id, src, dst FROM next1 WHERE (graph_id, src) IN (SELECT (graph_id, id) FROM supp_rich) AND (graph_id, dst) IN (SELECT (graph_id, id) FROM supp_rich)),
+       """w1 AS MATERIALIZED (SELECT graph_id, src, dst FROM succ WHERE (graph_id, src) IN (SELECT (graph_id, id) FROM supp_rich) AND (graph_id, dst) IN (SELECT (graph_id, id) FROM supp_rich)),
        both_ways AS MATERIALIZED (SELECT * FROM w1 UNION SELECT graph_id, dst, src FROM w1),
        w(graph_id, id, other) AS (SELECT graph_id, id, id FROM supp_rich UNION SELECT w.graph_id, w.id, b.dst FROM w JOIN both_ways b ON b.graph_id = w.graph_id AND b.src = w.other)""")
 def _(s):
     rich = tables.materialize(s.supp_rich)
-    return resource.super_components(rich.withColumnRenamed("id", "cls"), graph.keep_edges(s.next1, rich))
+    return resource.super_components(rich.withColumnRenamed("id", "cls"), graph.keep_edges(s.succ, rich))
 
 
 @query("l6_lifecycle_graph", "SELECT DISTINCT graph_id, component, src, dst FROM p WHERE (component, dst) IN (SELECT (component, selector) FROM callbacks)",
@@ -127,10 +127,10 @@ def _(s):
 
 
 @query("l8_component_edges", """
-    SELECT graph_id, src * 10 + 1 AS src, dst * 10 AS dst, 'call' AS label, CAST(NULL AS BIGINT) AS call FROM next1
-    UNION SELECT graph_id, dst * 10 + 5, src * 10 + 2, 'return', src * 10 + 1 FROM next1""")
+    SELECT graph_id, src * 10 + 1 AS src, dst * 10 AS dst, 'call' AS label, CAST(NULL AS BIGINT) AS call FROM succ
+    UNION SELECT graph_id, dst * 10 + 5, src * 10 + 2, 'return', src * 10 + 1 FROM succ""")
 def _(s):
-    starts = s.next1.select(G, (F.col("src") * 10 + 1).alias("block"), F.col("dst").alias("component"))
+    starts = s.succ.select(G, (F.col("src") * 10 + 1).alias("block"), F.col("dst").alias("component"))
     after = s.supp_nodes.select(G, (F.col("id") * 10 + 1).alias("block"), F.explode(F.array(
         F.struct((F.col("id") * 10 + 2).alias("ret"), F.lit("normal").alias("label")),
         F.struct((F.col("id") * 10 + 5).alias("ret"), F.lit("exceptional").alias("label")))).alias("e")).select(G, "block", "e.ret", "e.label")
@@ -149,14 +149,14 @@ def _(s):
 
 
 @query("l10_locked_points", """
-    SELECT n.graph_id, n.id, (n.graph_id, n.id) IN (SELECT (e.graph_id, e.dst) FROM next3 e JOIN f ON f.graph_id = e.graph_id AND f.id = e.src) AS before,
+    SELECT n.graph_id, n.id, (n.graph_id, n.id) IN (SELECT (e.graph_id, e.dst) FROM succ e JOIN f ON f.graph_id = e.graph_id AND f.id = e.src) AS before,
            (n.graph_id, n.id) IN (SELECT (graph_id, id) FROM f) AS after FROM supp_nodes n""",
-       """f(graph_id, id) AS (SELECT graph_id, id FROM supp_low UNION SELECT f.graph_id, e.dst FROM f JOIN next3 e ON e.graph_id = f.graph_id AND e.src = f.id
+       """f(graph_id, id) AS (SELECT graph_id, id FROM supp_low UNION SELECT f.graph_id, e.dst FROM f JOIN succ e ON e.graph_id = f.graph_id AND e.src = f.id
           WHERE (e.graph_id, e.dst) NOT IN (SELECT (graph_id, id) FROM supp_rich))""")
 def _(s):
     ops = s.supp_low.select(G, F.col("id").alias("block"), F.lit("acquire").alias("op")).unionByName(
         s.supp_rich.select(G, F.col("id").alias("block"), F.lit("release").alias("op")))
-    return resource.locked_points(s.supp_nodes, tables.materialize(s.next3), ops, s.supp_root)
+    return resource.locked_points(s.supp_nodes, tables.materialize(s.succ), ops, s.supp_root)
 
 
 @query("l11_resource_states")
@@ -237,9 +237,9 @@ def _(s):
 
 
 @query("l17_nodes_leading_to", "SELECT graph_id, id, CAST(min(hop) AS INTEGER) AS hop FROM r GROUP BY 1, 2",
-       f"""r(graph_id, id, hop) AS (SELECT graph_id, id, 0 FROM supp_low UNION SELECT r.graph_id, e.dst, r.hop + 1 FROM r JOIN {inverse('next2')} e ON e.graph_id = r.graph_id AND e.src = r.id WHERE r.hop < 2)""")
+       f"""r(graph_id, id, hop) AS (SELECT graph_id, id, 0 FROM supp_low UNION SELECT r.graph_id, e.dst, r.hop + 1 FROM r JOIN {inverse('succ')} e ON e.graph_id = r.graph_id AND e.src = r.id WHERE r.hop < 2)""")
 def _(s):
-    return resource.nodes_leading_to(s.next2, s.supp_low, 2)[0]
+    return resource.nodes_leading_to(s.succ, s.supp_low, 2)[0]
 
 
 @query("l18_released_after", """
@@ -248,14 +248,14 @@ def _(s):
         (SELECT l.graph_id, l.id, n.region AS lock, h.id AS by FROM supp_low l JOIN supp_nation n ON n.graph_id = l.graph_id AND n.id = l.id
          JOIN (SELECT h.graph_id, h.id, m.region AS lock FROM supp_rich h JOIN supp_nation m ON m.graph_id = h.graph_id AND m.id = h.id) h ON h.graph_id = l.graph_id AND h.lock = n.region
          JOIN rr ON rr.graph_id = l.graph_id AND rr.id = l.id) q) p ON p.graph_id = a.graph_id AND p.id = a.id GROUP BY 1, 2, 3""",
-       """rr(graph_id, id) AS (SELECT graph_id, id FROM supp_root UNION SELECT r.graph_id, e.src FROM rr r JOIN next2 e ON e.graph_id = r.graph_id AND e.dst = r.id),
+       """rr(graph_id, id) AS (SELECT graph_id, id FROM supp_root UNION SELECT r.graph_id, e.src FROM rr r JOIN succ e ON e.graph_id = r.graph_id AND e.dst = r.id),
        av(graph_id, d, id) AS (SELECT l.graph_id, n.id, l.id FROM supp_root l JOIN supp_nodes n ON n.graph_id = l.graph_id WHERE n.id <> l.id UNION
-          SELECT a.graph_id, a.d, e.src FROM av a JOIN next2 e ON e.graph_id = a.graph_id AND e.dst = a.id WHERE e.src <> a.d)""")
+          SELECT a.graph_id, a.d, e.src FROM av a JOIN succ e ON e.graph_id = a.graph_id AND e.dst = a.id WHERE e.src <> a.d)""")
 def _(s):
     lock = s.supp_nation.select(G, "id", F.col("region").alias("lock"))
     op = lambda nodes, name: nodes.join(lock, [G, "id"]).select(G, F.col("id").alias("block"), "lock", F.lit(name).alias("op"))
     ops = tables.materialize(op(s.supp_low, "acquire").unionByName(op(s.supp_rich, "release")))
-    return resource.released_after(tables.materialize(s.next2), s.supp_root, ops)
+    return resource.released_after(tables.materialize(s.succ), s.supp_root, ops)
 
 
 BIG = "SELECT 'part' AS graph_id, p_partkey AS id FROM part WHERE p_size = 50"
