@@ -2,7 +2,7 @@
 
 Vectors are projected to a few dimensions by a Gaussian matrix; for two vectors at distance d the squared projected
 distance over d^2 is chi-square distributed. A kd-tree over the projections yields neighbours in order of projected
-distance, each is verified against the original vectors, and the search ends when the chi-square distribution says
+distance, leaf by leaf; they are verified against the original vectors, and the search ends when the chi-square distribution says
 that a vector closer than the worst one kept would hardly lie so far out in the projection.
 
 The upper levels of the tree cut the table into cells of bounded size that Spark shuffles; a task searches one block
@@ -25,10 +25,10 @@ from pyspark.sql.window import Window
 
 from graphfacts.plans import tables
 
-DIMENSIONS, CONFIDENCE, SEED = 10, 0.97, 20
+DIMENSIONS, CONFIDENCE, SEED = 10, 0.95, 20
 #: Rows aimed at in a block, most cells, and the sample of projected vectors that the cells are cut by.
 CELL, CELLS, SAMPLE = 4096, 4096, 20_000
-LEAF, QUERY_BLOCKS, CHUNK = 64, 16, 256
+LEAF, FIRST, QUERY_BLOCKS, CHUNK = 64, 3, 16, 512
 
 
 def chi_square(x: float, degrees: int) -> float:
@@ -120,53 +120,66 @@ def search(space: Space, ids: np.ndarray, vectors: np.ndarray, query_ids: np.nda
     ``bounds`` are inner products that another block already reached ``k`` times (minus infinity if none did): what is
     below is not returned. ``reach`` is the chi-square point of the stopping test.
     """
-    points, asked = space.points(vectors), space.queries(queries)
+    asked = space.queries(queries)
+    points = space.points(vectors)
     tree = leaves(points)
-    width = max(map(len, tree))
-    members = np.full((len(tree), width), -1)
-    for i, own in enumerate(tree):
-        members[i, :len(own)] = own
     low = np.array([points[own].min(0) for own in tree])
     high = np.array([points[own].max(0) for own in tree])
     sizes = np.sqrt((queries ** 2).sum(1))
-    slack = 1e-9 * space.length ** 2
+    slack, last = 1e-9 * space.length ** 2, np.iinfo(np.int64).max
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for first in range(0, len(queries), CHUNK):
         q = np.arange(first, min(first + CHUNK, len(queries)))
-        gap = np.zeros((len(q), len(tree)))
-        for d in range(points.shape[1]):
-            x = asked[q, d][:, None]
-            gap += np.maximum(np.maximum(low[:, d] - x, x - high[:, d]), 0.0) ** 2
-        order = np.argsort(gap, 1, kind="stable")
-        best = np.full((len(q), k), -np.inf)
-        best_id = np.full((len(q), k), np.iinfo(np.int64).max)
-        worst = np.maximum(best[:, -1], bounds[q])
-        live = np.arange(len(q))
-        for rank in range(len(tree)):
-            leaf = order[live, rank]
-            # the test: what is left lies beyond the reach of the worst neighbour kept
-            limit = np.where(np.isinf(worst[live]), np.inf, reach * (space.squared(worst[live], sizes[q[live]]) + slack))
-            on = gap[live, leaf] <= limit
-            live, leaf, limit = live[on], leaf[on], limit[on]
-            if not len(live):
-                break
-            at = members[leaf]
-            own = ids[at]
-            near = ((points[at] - asked[q[live]][:, None, :]) ** 2).sum(2) <= limit[:, None]
-            # products are summed alike for every vector, so equal vectors tie exactly
-            product = (vectors[at] * queries[q[live]][:, None, :]).sum(2)
-            product[(at < 0) | ~near | (own == query_ids[q[live]][:, None])] = -np.inf
-            product[product < bounds[q[live]][:, None]] = -np.inf
-            products, names = np.concatenate([best[live], product], 1), np.concatenate([best_id[live], own], 1)
-            names[np.isinf(products)] = np.iinfo(np.int64).max
+        gap = gaps(asked[q], low, high)
+        best, best_id = np.full((len(q), k), -np.inf), np.full((len(q), k), last)
+        worst = bounds[q].copy()
+
+        def within(rows: np.ndarray, leaf: int) -> np.ndarray:
+            """The test: a leaf whose projection lies beyond the reach of the worst neighbour kept is passed over."""
+            known = np.isfinite(worst[rows])
+            limit = np.where(known, reach * (space.squared(np.where(known, worst[rows], 0.0), sizes[q[rows]]) + slack), np.inf)
+            return rows[gap[rows, leaf] <= limit]
+
+        def verify(rows: np.ndarray, leaf: int) -> None:
+            own = tree[leaf]
+            product = queries[q[rows]] @ vectors[own].T
+            rows = rows[product.max(1) >= worst[rows] - 1e-9 * np.maximum(np.abs(worst[rows]), space.length ** 2 * 1e-6)]
+            if not len(rows):
+                return
+            # those that may enter are summed alike for every vector, so equal vectors tie exactly
+            product = (vectors[own] * queries[q[rows]][:, None, :]).sum(2)
+            name = np.broadcast_to(ids[own], product.shape)
+            product[(name == query_ids[q[rows]][:, None]) | (product < bounds[q[rows]][:, None])] = -np.inf
+            products, names = np.concatenate([best[rows], product], 1), np.concatenate([best_id[rows], name], 1)
+            names[np.isinf(products)] = last
             top = np.lexsort((names, -products), axis=1)[:, :k]
-            best[live], best_id[live] = np.take_along_axis(products, top, 1), np.take_along_axis(names, top, 1)
-            worst = np.maximum(best[:, -1], bounds[q])
-        hit = ~np.isinf(best)
+            best[rows], best_id[rows] = np.take_along_axis(products, top, 1), np.take_along_axis(names, top, 1)
+            worst[rows] = np.maximum(best[rows, -1], bounds[q[rows]])
+
+        # the nearest leaves first, so that the test has something to hold against; then whatever it lets through
+        nearest = np.argsort(gap, 1, kind="stable")[:, :FIRST]
+        for rank in range(nearest.shape[1]):
+            for leaf in np.unique(nearest[:, rank]):
+                if len(rows := within(np.flatnonzero(nearest[:, rank] == leaf), leaf)):
+                    verify(rows, leaf)
+        gap[np.arange(len(q))[:, None], nearest] = np.inf
+        for leaf in np.argsort(gap.min(0), kind="stable"):
+            if len(rows := within(np.flatnonzero(np.isfinite(gap[:, leaf])), leaf)):
+                verify(rows, leaf)
+        hit = np.isfinite(best)
         out.append((np.broadcast_to(q[:, None], best.shape)[hit], best_id[hit], best[hit]))
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
 
 
+def gaps(asked: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squared distances of projected queries to boxes."""
+    gap = np.zeros((len(asked), len(low)))
+    for d in range(asked.shape[1]):
+        x = asked[:, d][:, None]
+        gap += np.maximum(np.maximum(low[:, d] - x, x - high[:, d]), 0.0) ** 2
+    return gap
+
+
 def usable(embeddings: DataFrame) -> DataFrame:
     """``(vec_id, vector)`` in double precision, without identifiers or vectors that are null, zero, or hold null or
     non-finite components."""
@@ -262,10 +275,7 @@ def neighbours(embeddings: DataFrame, asked: Column, k: int = 20, confidence: fl
                 some = b.slice(at, CHUNK)
                 vectors = _matrix(some.column(1), width)
                 points, bound, own = space.queries(vectors), some.column(2).to_numpy(), some.column(3).to_numpy()
-                gap = np.zeros((len(points), len(number)))
-                for d in range(dimensions):
-                    x = points[:, d][:, None]
-                    gap += np.maximum(np.maximum(low[:, d] - x, x - high[:, d]), 0.0) ** 2
+                gap = gaps(points, low, high)
                 sizes = np.sqrt((vectors ** 2).sum(1))
                 with np.errstate(invalid="ignore"):
                     limit = np.where(np.isinf(bound), np.inf, reach * (space.squared(bound, sizes) + 1e-9 * space.length ** 2))
