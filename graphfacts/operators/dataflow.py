@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphfacts.operators import graph
 from graphfacts.operators.graph import G
 from graphfacts.plans import tables
-from graphfacts.plans.fixpoint import fixpoint, hops_for
+from graphfacts.plans.fixpoint import HOPS, fixpoint
 
 FACT = [G, "node", "fact"]
 
@@ -48,7 +48,7 @@ def may(edges: DataFrame, gen: DataFrame, kill_node: DataFrame | None = None, ki
         moved = _across(edges, new, kill_edge)
         return moved if kill_node is None else moved.join(kill_node.select(*FACT), FACT, "left_anti")
 
-    out = fixpoint(gen.select(*FACT), step, hops=hops_for(arcs))
+    out = fixpoint(gen.select(*FACT), step, hops=HOPS)
     return Flow(_across(edges, out, kill_edge).distinct(), out)
 
 
@@ -70,7 +70,7 @@ def shrink(candidates: DataFrame, edges: DataFrame, keep: DataFrame) -> DataFram
     def step(new, _):
         return _across(edges, new, None).join(open_, FACT, "left_semi")
 
-    return candidates.join(fixpoint(lacking, step, hops=hops_for(arcs)), FACT, "left_anti")
+    return candidates.join(fixpoint(lacking, step, hops=HOPS), FACT, "left_anti")
 
 
 def must(edges: DataFrame, gen: DataFrame, entries: DataFrame, kill_node: DataFrame | None = None,
@@ -155,7 +155,7 @@ def killing_flow(edges: DataFrame, gen: DataFrame, writes: DataFrame, targets: D
     def step(new, _):
         return across(new).join(writes, [G, "node", "target"], "left_anti")
 
-    out = fixpoint(seed, step, hops=hops_for(arcs))
+    out = fixpoint(seed, step, hops=HOPS)
     return Flow(across(out).select(*FACT).distinct(), out.select(*FACT))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphfacts.plans import segments, tables
-from graphfacts.plans.fixpoint import LimitExceeded, fixpoint, hops_for
+from graphfacts.plans.fixpoint import HOPS, LimitExceeded, fixpoint
 
 G = "graph_id"
 
@@ -42,7 +42,7 @@ def reachable(edges: DataFrame, sources: DataFrame, accept: DataFrame | None = N
     def step(new, _):
         return new.join(onward, [G, "id"]).select(G, F.col("dst").alias("id"))
 
-    return fixpoint(sources.select(G, "id"), step, hops=hops_for(arcs))
+    return fixpoint(sources.select(G, "id"), step, hops=HOPS)
 
 
 def reachable_from_each(edges: DataFrame, sources: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def reachable_from_each(edges: DataFrame, sources: DataFrame) -> DataFrame:
     def step(new, _):
         return new.join(onward, [G, "id"]).select(G, "source", F.col("dst").alias("id"))
 
-    return fixpoint(sources.select(G, F.col("id").alias("source"), "id"), step, hops=hops_for(arcs))
+    return fixpoint(sources.select(G, F.col("id").alias("source"), "id"), step, hops=HOPS)
 
 
 def backward_closure(edges: DataFrame, targets: DataFrame) -> DataFrame:
@@ -83,7 +83,7 @@ def within_hops(edges: DataFrame, sources: DataFrame, hops: int | None) -> DataF
             G, F.col("dst").alias("id"), F.struct((F.col("via.hop") + 1).alias("hop"), F.col("id").alias("parent")).alias("via"))
 
     found = fixpoint(sources.select(G, "id", start.alias("via")), step, [G, "id"], rounds=hops,
-                     hops=1 if hops is not None else hops_for(arcs))
+                     hops=1 if hops is not None else HOPS)
     return found.select(G, "id", "via.hop", "via.parent")
 
 
@@ -129,7 +129,7 @@ def project(edges: DataFrame, members: DataFrame) -> DataFrame:
     def step(new, _):
         return new.join(onward, [G, "dst"]).select(G, "src", F.col("to").alias("dst"))
 
-    return fixpoint(seed, step, hops=hops_for(arcs)).join(
+    return fixpoint(seed, step, hops=HOPS).join(
         members.select(G, F.col("id").alias("dst")), [G, "dst"], "left_semi").select(G, "src", "dst")
 
 
@@ -307,7 +307,7 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return new.join(spread, [G, "id"]).select(G, F.col("dst").alias("id"), "colour")
 
         colours = tables.materialize(
-            fixpoint(endpoints(e).withColumn("colour", F.col("id")), lower, [G, "id"], better="colour", hops=hops_for(left)))
+            fixpoint(endpoints(e).withColumn("colour", F.col("id")), lower, [G, "id"], better="colour", hops=HOPS))
         same = (
             e.join(colours.select(G, F.col("id").alias("src"), F.col("colour").alias("component")), [G, "src"])
             .join(colours.select(G, F.col("id").alias("dst"), F.col("colour").alias("component")), [G, "dst", "component"])
@@ -319,7 +319,7 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return new.join(same, [G, "id", "component"]).select(G, F.col("src").alias("id"), "component")
 
         heads = colours.filter("id = colour").select(G, "id", F.col("colour").alias("component"))
-        whole = fixpoint(heads, back, hops=hops_for(left))
+        whole = fixpoint(heads, back, hops=HOPS)
         found = whole if found is None else found.unionByName(whole)
         rest = e
         for end in ("src", "dst"):

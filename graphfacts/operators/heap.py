@@ -147,7 +147,7 @@ def flows_to(assigns: DataFrame, allocs: DataFrame, asked: DataFrame) -> DataFra
 
 def demand_points_to(facts: dict[str, DataFrame], asked: DataFrame, rounds: int | None = None) -> DataFrame:
     """``(graph_id, pk, obj, status)`` for the asked pointers only: backward over assignments, with each
-    field taken as one variable. ``BUDGETEXCEEDED`` marks an answer cut after ``rounds`` steps,
+    field taken as one variable. ``BUDGETEXCEEDED`` marks the pointers whose search ``rounds`` steps did not end,
     otherwise ``SUCCESS`` when a pointer has objects and ``NOMOREREFINE`` when it has none."""
     field = F.concat(F.lit("field:"), "field")
     back = (
@@ -160,11 +160,15 @@ def demand_points_to(facts: dict[str, DataFrame], asked: DataFrame, rounds: int
         return new.join(back, [G, "at"]).select(G, "pk", F.col("to").alias("at"))
 
     found = solve(asked.select(G, "pk", F.col("pk").alias("at")), step, rounds=rounds)
-    hits = found.df.join(facts["allocs"].select(G, F.col("var").alias("at"), "obj"), [G, "at"]).select(G, "pk", "obj").distinct()
+    reached = tables.materialize(found.df)
+    hits = reached.join(facts["allocs"].select(G, F.col("var").alias("at"), "obj"), [G, "at"]).select(G, "pk", "obj").distinct()
     out = asked.select(G, "pk").distinct().join(hits, [G, "pk"], "left")
-    if not found.complete:
-        return out.withColumn("status", F.lit("BUDGETEXCEEDED"))
-    return out.withColumn("status", F.when(F.col("obj").isNull(), "NOMOREREFINE").otherwise("SUCCESS"))
+    status = F.when(F.col("obj").isNull(), "NOMOREREFINE").otherwise("SUCCESS")
+    if found.complete:
+        return out.withColumn("status", status)
+    # one more step from all that was reached says whose search would go on
+    more = step(reached, None).join(reached, [G, "pk", "at"], "left_anti").select(G, "pk").distinct().withColumn("_open", F.lit(True))
+    return out.join(more, [G, "pk"], "left").withColumn("status", F.when(F.col("_open"), "BUDGETEXCEEDED").otherwise(status)).drop("_open")
 
 
 def unsafe_casts(casts: DataFrame, pts: DataFrame, subtypes: DataFrame) -> DataFrame:

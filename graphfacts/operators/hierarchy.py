@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphfacts.operators.graph import G
 from graphfacts.plans import tables
-from graphfacts.plans.fixpoint import fixpoint, hops_for
+from graphfacts.plans.fixpoint import HOPS, fixpoint
 
 
 def supertypes(extends: DataFrame, implements: DataFrame | None = None) -> DataFrame:
@@ -33,7 +33,7 @@ def ancestors(up: DataFrame, classes: DataFrame | None = None, proper: bool = Fa
         return new.join(up.select(G, F.col("sub").alias("ancestor"), "sup"), [G, "ancestor"]).select(
             G, "cls", F.col("sup").alias("ancestor"), (F.col("distance") + 1).alias("distance"))
 
-    found = fixpoint(seed, step, [G, "cls", "ancestor"], hops=hops_for(stored))
+    found = fixpoint(seed, step, [G, "cls", "ancestor"], hops=HOPS)
     return found.filter("distance > 0") if proper else found
 
 

@@ -12,7 +12,7 @@ from graphfacts.functions.scalars import flag_types
 from graphfacts.operators import dataflow, dominance, graph, hierarchy, paths, tabulation
 from graphfacts.operators.graph import G
 from graphfacts.plans import segments, tables
-from graphfacts.plans.fixpoint import fixpoint
+from graphfacts.plans.fixpoint import HOPS, fixpoint
 
 # Declared callback order per component kind (kind, from, to).
 LIFECYCLE = [
@@ -44,21 +44,25 @@ LIFECYCLE = [
     ("Application", "onCreate", "onTerminate"),
 ]
 
-# Where a component kind must hold nothing (kind, callback, violation, level).
+# Where a component kind must hold nothing (kind, callback, violation, level, callback the component
+# must have for the rule to apply).
 POLICY = [
-    ("Activity", "onPause", "ACTIVITY_ONPAUSE", 2),
-    ("Activity", "onStop", "ACTIVITY_ONSTOP", 3),
-    ("Service", "onStart", "SERVICE_ONSTART", 2),
-    ("Service", "onStartCommand", "SERVICE_ONSTART", 2),
-    ("Service", "onUnbind", "SERVICE_ONUNBIND", 2),
-    ("IntentService", "onHandleIntent", "INTENTSERVICE_ONHANDLEINTENT", 2),
-    ("BroadcastReceiver", "onReceive", "BROADCAST_RECEIVER_ONRECEIVE", 2),
-    ("Application", "onTerminate", "APPLICATION_TERMINATE", 2),
-    ("AsyncTask", "onPostExecute", "ASYNC_TASK_ONPOSTEXECUTE", 2),
-    ("Runnable", "run", "RUNNABLE_RUN", 2),
-    ("Callable", "call", "CALLABLE_CALL", 2),
+    ("Activity", "onPause", "ACTIVITY_ONPAUSE", 2, None),
+    ("Activity", "onStop", "ACTIVITY_ONSTOP", 3, None),
+    ("Service", "onStart", "SERVICE_ONSTART", 2, "onStart"),
+    ("Service", "onStartCommand", "SERVICE_ONSTART", 2, "onStartCommand"),
+    ("Service", "onUnbind", "SERVICE_ONUNBIND", 2, "onBind"),
+    ("IntentService", "onHandleIntent", "INTENTSERVICE_ONHANDLEINTENT", 2, None),
+    ("BroadcastReceiver", "onReceive", "BROADCAST_RECEIVER_ONRECEIVE", 2, None),
+    ("Application", "onTerminate", "APPLICATION_TERMINATE", 2, None),
+    ("AsyncTask", "onPostExecute", "ASYNC_TASK_ONPOSTEXECUTE", 2, None),
+    ("Runnable", "run", "RUNNABLE_RUN", 2, None),
+    ("Callable", "call", "CALLABLE_CALL", 2, None),
 ]
 
+# Kind of a component that could not be classified, and what holding a resource at any of its callbacks is.
+UNRESOLVED = ("UnresolvedComponent", "UNRESOLVED_CALLBACK_LOCKED", 2)
+
 # Warning levels.
 WARNINGS = [
     ("NO_WAKELOCK_CALLS", 1),
@@ -74,7 +78,7 @@ def lifecycle_rules(spark: SparkSession) -> DataFrame:
 
 
 def policy_rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(POLICY, "kind string, selector string, violation string, level int")
+    return spark.createDataFrame(POLICY, "kind string, selector string, violation string, level int, needs string")
 
 
 # --- which resource ------------------------------------------------------------------------------------
@@ -90,9 +94,9 @@ def resolve_instances(flows: DataFrame, operations: DataFrame, creations: DataFr
 
 def metadata(flags: DataFrame, counted: DataFrame) -> DataFrame:
     """``(graph_id, lock, flags, types, ref_counted)``. ``flags(graph_id, lock, flags)``: bits of one lock
-    are united; ``counted(graph_id, lock, value)``: the last word on reference counting, else UNSET."""
+    are united; ``counted(graph_id, lock, at, value)``: the last word on reference counting, by ``at``, else UNSET."""
     bits = flags.groupBy(G, "lock").agg(F.bit_or("flags").alias("flags"))
-    said = counted.groupBy(G, "lock").agg(F.bool_or("value").alias("value"))
+    said = counted.groupBy(G, "lock").agg(F.max_by("value", "at").alias("value"))
     return bits.join(said, [G, "lock"], "left").select(
         G, "lock", "flags", flag_types(F.col("flags")).alias("types"),
         F.when(F.col("value").isNull(), "UNSET").when(F.col("value"), "TRUE").otherwise("FALSE").alias("ref_counted"))
@@ -127,37 +131,47 @@ def super_components(components: DataFrame, constraint: DataFrame) -> DataFrame:
         G, F.col("id").alias("cls"), F.col("component").alias("super_component"))
 
 
-def _declared(callbacks: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per component: all declared callback nodes and edges; a node is (component, selector)."""
-    owner = callbacks.select(G, "component", "kind").distinct()
-    node = lambda s: F.struct("component", F.col(s).alias("selector"))
-    edges = owner.join(rules, "kind").select(G, node("src").alias("src"), node("dst").alias("dst"))
-    return graph.endpoints(edges), edges
+def _shapes(callbacks: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Components by their shape, that is their kind and which declared callbacks they have: ``owners(graph_id,
+    component, shape)``, the shapes' callbacks and the shapes' declared edges. There are as many shapes as the rules
+    allow, however many components there are."""
+    declared = rules.select("kind", F.explode(F.array("src", "dst")).alias("selector")).distinct()
+    own = callbacks.select(G, "component", "kind", "selector").distinct().join(F.broadcast(declared), ["kind", "selector"], "left_semi")
+    present = own.groupBy(G, "component", "kind").agg(F.sort_array(F.collect_list("selector")).alias("present"))  # declared ones, a few
+    owners = callbacks.select(G, "component", "kind").distinct().join(present, [G, "component", "kind"], "left")
+    owners = tables.materialize(owners.withColumn("present", F.coalesce("present", F.array().cast("array<string>"))).withColumn(
+        "shape", F.concat_ws(" ", "kind", "present")))
+    shapes = tables.materialize(owners.select("shape", "kind", "present").distinct())
+    node = lambda s: F.struct(F.col("shape").alias("component"), F.col(s).alias("selector"))
+    edges = shapes.join(F.broadcast(rules), "kind").select(F.lit(0).alias(G), node("src").alias("src"), node("dst").alias("dst"))
+    has = shapes.select(F.lit(0).alias(G), "shape", F.explode("present").alias("selector")).select(G, node("selector").alias("id"))
+    return owners.select(G, "component", "shape"), tables.materialize(has), tables.materialize(edges)
 
 
 def lifecycle_graph(callbacks: DataFrame, rules: DataFrame) -> DataFrame:
     """``(graph_id, component, src, dst)`` over the selectors a component implements: the declared order with
-    the callbacks it lacks contracted away. ``callbacks(graph_id, component, kind, selector)``."""
-    _, edges = _declared(callbacks, rules)
-    present = callbacks.select(G, F.struct("component", "selector").alias("id")).distinct()
-    return graph.project(edges, present).select(
-        G, F.col("src.component").alias("component"), F.col("src.selector").alias("src"), F.col("dst.selector").alias("dst"))
+    the callbacks it lacks contracted away. ``callbacks(graph_id, component, kind, selector)``. Components of one
+    shape have one graph, which is computed once."""
+    owners, has, edges = _shapes(callbacks, rules)
+    solved = graph.project(edges, has).select(
+        F.col("src.component").alias("shape"), F.col("src.selector").alias("src"), F.col("dst.selector").alias("dst"))
+    return owners.join(solved, "shape").select(G, "component", "src", "dst")
 
 
 def neighbour_callbacks(callbacks: DataFrame, rules: DataFrame, forward: bool = True) -> DataFrame:
     """``(graph_id, component, selector, near)``: nearest present callbacks after (or before) every declared
-    one, walking through absent ones only."""
-    nodes, edges = _declared(callbacks, rules)
+    one, walking through absent ones only; computed once for each shape of component."""
+    owners, present, edges = _shapes(callbacks, rules)
     edges = edges if forward else graph.invert(edges)
-    present = tables.materialize(callbacks.select(G, F.struct("component", "selector").alias("id")).distinct())
     through = tables.materialize(edges.join(present.withColumnRenamed("id", "src"), [G, "src"], "left_anti"))
 
     def step(new, _):
         return new.withColumnRenamed("near", "src").join(through, [G, "src"]).select(G, "id", F.col("dst").alias("near"))
 
     seed = edges.select(G, F.col("src").alias("id"), F.col("dst").alias("near"))
-    found = fixpoint(seed, step).join(present.withColumnRenamed("id", "near"), [G, "near"], "left_semi")
-    return found.select(G, F.col("id.component").alias("component"), F.col("id.selector").alias("selector"), F.col("near.selector").alias("near"))
+    found = fixpoint(seed, step, hops=HOPS).join(present.withColumnRenamed("id", "near"), [G, "near"], "left_semi")
+    solved = found.select(F.col("id.component").alias("shape"), F.col("id.selector").alias("selector"), F.col("near.selector").alias("near"))
+    return owners.join(solved, "shape").select(G, "component", "selector", "near")
 
 
 def worth_solving(classes: DataFrame, closure: DataFrame, frameworks: DataFrame, cg: DataFrame, members: DataFrame,
@@ -236,7 +250,7 @@ def resource_states(edges: DataFrame, operations: DataFrame, entries: DataFrame,
     procedure of a node; ``kills`` from :func:`branch_kills`. Every acquire is a seed which may leave its
     procedure. A release turns a synchronous state into a released one, asynchronous unless the
     releasing components include all acquiring ones; it leaves an asynchronous state as it is and adds its
-    components. Exceptional edges and call-to-return edges carry nothing.
+    components. Exceptional edges and call-to-return edges carry nothing; edges past a call without callee do.
     """
     seeds = "op in ('acquire', 'timed_acquire')" if timed_seeds else "op = 'acquire'"
     fact = F.struct(
@@ -276,8 +290,14 @@ def exit_states(states: DataFrame, exits: DataFrame) -> DataFrame:
 def violations(at_exit: DataFrame, callbacks: DataFrame, policy: DataFrame, before: DataFrame) -> DataFrame:
     """``(graph_id, component, violation, level, selector, lock)``: held and relevant resources where the
     policy of the component's kind wants none. A mandated callback the component lacks is represented by
-    the nearest preceding ones (``before``, from :func:`neighbour_callbacks` backward)."""
+    the nearest preceding ones (``before``, from :func:`neighbour_callbacks` backward). A rule with ``needs`` applies
+    to components that have that callback. Unresolved components are checked at each of their callbacks."""
+    kind, violation, level = UNRESOLVED
+    has = callbacks.select(G, "component", F.col("selector").alias("needs")).distinct()
     rules = callbacks.select(G, "component", "kind").distinct().join(policy, "kind")
+    rules = rules.filter("needs IS NULL").drop("needs").unionByName(rules.join(has, [G, "component", "needs"], "left_semi").drop("needs"))
+    rules = rules.unionByName(callbacks.filter(F.col("kind") == kind).select(
+        G, "component", "kind", "selector", F.lit(violation).alias("violation"), F.lit(level).alias("level")).distinct())
     own = callbacks.select(G, "component", "selector", F.col("selector").alias("checked"))
     absent = before.join(own.select(G, "component", "selector"), [G, "component", "selector"], "left_anti").select(
         G, "component", "selector", F.col("near").alias("checked"))
@@ -315,13 +335,13 @@ def released_after(edges: DataFrame, exits: DataFrame, operations: DataFrame) ->
 
 
 def call_conditions(nodes: DataFrame, edges: DataFrame, entry: DataFrame, calls: DataFrame, controlling: DataFrame,
-                    conditions: DataFrame, max_length: int, max_paths: int = 100_000) -> DataFrame:
+                    conditions: DataFrame, max_paths: int = 100_000) -> DataFrame:
     """``(graph_id, call, conditions)``: sets of branch conditions under which a call is made, minimal ones only.
 
     For every acyclic path from the entry to the call: the conditions ``(graph_id, src, dst, condition)`` on
     its edges, as far as ``controlling(graph_id, call, src)`` blocks own them. Exceeding ``max_paths`` raises.
     """
-    ways = tables.materialize(paths.acyclic_paths(nodes, edges, entry, calls, max_length, max_paths))
+    ways = tables.materialize(paths.acyclic_paths(nodes, edges, entry, calls, max_paths))
     ways = ways.withColumn("call", F.element_at("path", -1))
     arcs = ways.select(G, "call", "path", F.explode(F.arrays_zip(
         F.slice("path", F.lit(1), F.size("path") - 1).alias("src"), F.slice("path", F.lit(2), F.size("path") - 1).alias("dst"))).alias("e"))

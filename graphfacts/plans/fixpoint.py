@@ -18,12 +18,8 @@ from pyspark.sql import functions as F
 from graphfacts.plans import tables
 
 FAN_IN = 8
-# Above this many known rows a round's candidates are written before the comparison: a small candidate
-# table can then be broadcast to the known rows, which are scanned but not shuffled.
-STAGE_ROWS = 2_000_000
-
-# Constant sides of at most this many rows are cheap to join several times in one round.
-SMALL_SIDE = 1_000_000
+# Steps per round of a loop that runs to its end: each round's rows are compared and written once.
+HOPS = 3
 
 Step = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -91,9 +87,6 @@ class Log:
     def unknown(self, found: DataFrame) -> DataFrame:
         """The squashed rows of ``found`` that are new or better."""
         known = self.df
-        if self.rows > STAGE_ROWS:
-            found = tables.materialize(found)
-            known = known.join(found.select(*self.keys), self.keys, "left_semi")
         if not self.better:
             return found.join(known.select(*self.keys), self.keys, "left_anti")
         b = self.better
@@ -111,7 +104,7 @@ def solve(
     distinct: bool = True,
     hops: int = 1,
     rounds: int | None = None,
-    max_rounds: int = 100_000,
+    max_rounds: int | None = None,
     max_rows: int | None = None,
 ) -> Solution:
     """Least fixpoint of ``step`` above ``seed``.
@@ -122,12 +115,14 @@ def solve(
               its ``pick`` is ``F.min``, a larger one if it is ``F.max``. Without it the first
               arrival stays.
     distinct  False when ``step`` can never produce a known row (growing paths).
-    hops      apply ``step`` that many times per round before the result is compared and written. It
-              saves rounds where the constant side is small (see :func:`hops_for`); every ``pick``
-              must be a minimum or maximum that is right across hops.
+    hops      apply ``step`` that many times per round before the result is compared and written; every
+              ``pick`` must be a minimum or maximum that is right across hops. The result is the same for
+              any number, so it is not combined with ``rounds``, where a round is one step.
     rounds    stop after that many rounds although more would follow (``complete`` tells).
     max_rounds, max_rows  guards that raise :class:`LimitExceeded`.
     """
+    if rounds is not None and hops != 1:
+        raise ValueError("a bounded run takes one step per round")
     delta = tables.write(_one_per_key(seed, keys, pick) if distinct else seed)
     log = Log(delta, keys, pick, better)
 
@@ -146,7 +141,7 @@ def solve(
     while delta.rows:
         if rounds is not None and done >= rounds:
             return Solution(log.df, done, False)
-        if done >= max_rounds:
+        if max_rounds is not None and done >= max_rounds:
             raise LimitExceeded(f"no fixpoint after {max_rounds} rounds")
         found = candidates(delta.df, log.df)
         delta = tables.write(log.unknown(found) if distinct else found)
@@ -165,15 +160,6 @@ def _one_per_key(seed: DataFrame, keys: Sequence[str] | None, pick: dict[str, Ca
     return seed.groupBy(*keys).agg(*[(pick or {}).get(c, F.min)(c).alias(c) for c in rest]).select(*seed.columns)
 
 
-def hops_for(side: tables.Written, hops: int = 3) -> int:
-    """Steps per round for a loop that joins its newest rows with ``side``.
-
-    A small side is broadcast to every hop, so more hops per round mean fewer writes. A large one is scanned
-    or shuffled per hop and the exact size of the newest rows, known after each write, is worth more.
-    """
-    return hops if side.rows <= SMALL_SIDE else 1
-
-
 def fixpoint(seed: DataFrame, step: Step, keys: Sequence[str] | None = None, **options) -> DataFrame:
     """:func:`solve`, result rows only."""
     return solve(seed, step, keys, **options).df

@@ -187,7 +187,8 @@ def _(s):
     return tabulation.reverse(s.super)
 
 
-@query("k17_bounded_tabulation", "SELECT false AS complete")
+# the entry of a procedure is no return site, so a seeded problem is not solved in three steps; without seeds it is
+@query("k17_bounded_tabulation", "SELECT count(*) = 0 AS complete FROM super_seeds")
 def _(s):
     found, paths = _problem(s, s.super_seeds, rounds=3)
     return paths.groupBy().agg(F.lit(found.complete).alias("complete"))

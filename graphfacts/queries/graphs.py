@@ -158,7 +158,7 @@ BIG = "(SELECT 'part' AS graph_id, p_partkey AS id FROM part WHERE p_size = 50)"
 def _(s):
     sources = s.sql(f"SELECT * FROM {BIG} b")
     root = s.sql("SELECT 'part' AS graph_id, min(p_partkey) AS id FROM part")
-    return paths.simple_paths(s.dag23, sources, root, max_length=64, max_paths=50_000_000)
+    return paths.simple_paths(s.dag23, sources, root, max_paths=50_000_000)
 
 
 @query("g7_one_path", "SELECT graph_id, CAST(min(d) + 1 AS INTEGER) AS nodes FROM t WHERE dst IN (SELECT id FROM supp_low) GROUP BY 1",
@@ -273,7 +273,7 @@ def _(s):
           WHERE (p.graph_id, p.cur) NOT IN (SELECT (graph_id, id) FROM supp_low))""")
 def _(s):
     edges = tables.materialize(s.succ)
-    return paths.acyclic_paths(s.supp_nodes, edges, graph.roots(s.supp_nodes, edges), s.supp_low, max_length=1000, max_paths=10_000_000)
+    return paths.acyclic_paths(s.supp_nodes, edges, graph.roots(s.supp_nodes, edges), s.supp_low, max_paths=10_000_000)
 
 
 AVOID = """av(graph_id, d, id) AS (

@@ -211,9 +211,14 @@ def _(s):
     return heap.demand_points_to(facts(s), s.pt_virtual.select(G, F.col("receiver").alias("pk")))
 
 
-@query("p10_demand_budget", "SELECT DISTINCT 'BUDGETEXCEEDED' AS status FROM pt_virtual")
+@query("p10_demand_budget", """
+    SELECT 'heap' AS graph_id, a.pk, h.obj, CASE WHEN a.pk IN (SELECT z.pk FROM two z WHERE (z.pk, z.cur) NOT IN (SELECT (pk, cur) FROM one)) THEN 'BUDGETEXCEEDED'
+        WHEN h.obj IS NULL THEN 'NOMOREREFINE' ELSE 'SUCCESS' END AS status FROM (SELECT DISTINCT pk FROM ak) a
+    LEFT JOIN (SELECT DISTINCT d.pk, l.obj FROM one d JOIN pt_allocs l ON l.var = d.cur) h ON h.pk = a.pk""",
+       DEMAND + """, one AS MATERIALIZED (SELECT pk, pk AS cur FROM ak UNION SELECT a.pk, b.nxt FROM ak a JOIN bk b ON b.cur = a.pk),
+       two AS MATERIALIZED (SELECT o.pk, b.nxt AS cur FROM one o JOIN bk b ON b.cur = o.cur)""")
 def _(s):
-    return heap.demand_points_to(facts(s), s.pt_virtual.select(G, F.col("receiver").alias("pk")), rounds=1).select("status").distinct()
+    return heap.demand_points_to(facts(s), s.pt_virtual.select(G, F.col("receiver").alias("pk")), rounds=1)
 
 
 @query("p11_unsafe_casts", """

@@ -16,12 +16,12 @@ from graphfacts.streaming.resource_state import resource_state_stream
 
 
 def values(rows, names: str) -> str:
-    text = ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
+    text = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
     return f"(VALUES {text}) v({names})"
 
 
 RULES = f"rules AS MATERIALIZED (SELECT * FROM {values(resource.LIFECYCLE, 'kind, src, dst')})"
-POLICY = f"policy AS MATERIALIZED (SELECT * FROM {values(resource.POLICY, 'kind, selector, violation, level')})"
+POLICY = f"policy AS MATERIALIZED (SELECT * FROM {values(resource.POLICY, 'kind, selector, violation, level, needs')})"
 
 # --- instances and metadata --------------------------------------------------------------------------------
 FLOWS = "fl(var, lock) AS (SELECT var, obj FROM pt_allocs UNION SELECT a.dst, f.lock FROM fl f JOIN (SELECT src, dst FROM pt_assigns) a ON a.src = f.var)"
@@ -39,10 +39,10 @@ def _(s):
            list_filter(['ACQUIRE_CAUSES_WAKEUP', 'FULL_WAKE_LOCK', 'ON_AFTER_RELEASE', 'PARTIAL_WAKE_LOCK', 'SCREEN_BRIGHT_WAKE_LOCK', 'SCREEN_DIM_WAKE_LOCK', 'UNKNOWN'],
              lambda n, i: (bit_or(l.flags) & [268435456, 26, 536870912, 1, 10, 6, 4294967295][i]) = [268435456, 26, 536870912, 1, 10, 6, 4294967295][i]) AS types,
            CASE WHEN bool_or(c.v) IS NULL THEN 'UNSET' WHEN bool_or(c.v) THEN 'TRUE' ELSE 'FALSE' END AS ref_counted
-    FROM log_locks l LEFT JOIN (SELECT user_id, event_type, bool_or(value > 90) AS v FROM events WHERE event_type <> 'click' GROUP BY 1, 2) c
+    FROM log_locks l LEFT JOIN (SELECT user_id, event_type, max_by(value > 90, event_id) AS v FROM events WHERE event_type <> 'click' GROUP BY 1, 2) c
     ON c.user_id = l.graph_id AND c.event_type = l.lock GROUP BY 1, 2""")
 def _(s):
-    counted = s.events.filter("event_type <> 'click'").select(F.col("user_id").alias(G), F.col("event_type").alias("lock"), (F.col("value") > 90).alias("value"))
+    counted = s.events.filter("event_type <> 'click'").select(F.col("user_id").alias(G), F.col("event_type").alias("lock"), F.col("event_id").alias("at"), (F.col("value") > 90).alias("value"))
     return resource.metadata(s.log_locks, counted)
 
 
@@ -199,8 +199,10 @@ def _(s):
 @query("l14_violations", """
     SELECT DISTINCT w.graph_id, w.component, w.violation, w.level, w.selector, e.lock FROM (
         SELECT p.graph_id, p.component, o.violation, o.level, o.selector, o.selector AS checked FROM pr p JOIN policy o ON o.kind = p.kind WHERE (p.component, o.selector) IN (SELECT (component, selector) FROM cb)
+            AND (o.needs IS NULL OR (p.component, o.needs) IN (SELECT (component, selector) FROM cb))
         UNION ALL SELECT p.graph_id, p.component, o.violation, o.level, o.selector, n.near FROM pr p JOIN policy o ON o.kind = p.kind JOIN nr n ON n.component = p.component AND n.selector = o.selector
-            WHERE (p.component, o.selector) NOT IN (SELECT (component, selector) FROM cb) AND (n.component, n.near) IN (SELECT (component, selector) FROM cb)) w
+            WHERE (o.needs IS NULL OR (p.component, o.needs) IN (SELECT (component, selector) FROM cb))
+              AND (p.component, o.selector) NOT IN (SELECT (component, selector) FROM cb) AND (n.component, n.near) IN (SELECT (component, selector) FROM cb)) w
     JOIN ex e ON e.component = w.component AND e.selector = w.checked WHERE e.acquired AND list_contains(e.contexts, w.component)""",
        ", ".join([near_sql(False), POLICY, EXIT]))
 def _(s):
@@ -273,7 +275,7 @@ def _(s):
     calls = s.sql(BIG)
     root = s.sql("SELECT 'part' AS graph_id, min(p_partkey) AS id FROM part")
     control = calls.select(G, F.col("id").alias("call")).join(s.part_promo.select(G, F.col("id").alias("src")), G)
-    return resource.call_conditions(s.part_nodes.select(G, "id"), tables.materialize(s.dag23_down), root, calls, control, s.sql(CONDITIONS), max_length=64, max_paths=50_000_000)
+    return resource.call_conditions(s.part_nodes.select(G, "id"), tables.materialize(s.dag23_down), root, calls, control, s.sql(CONDITIONS), max_paths=50_000_000)
 
 
 # --- event logs ----------------------------------------------------------------------------------------------

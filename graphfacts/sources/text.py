@@ -21,19 +21,25 @@ def _kept(lines: DataFrame, comment: str | None) -> DataFrame:
 
 def read_table(spark: SparkSession, path: str, comment: str | None = "#", delimiter: str | None = None) -> DataFrame:
     """A string table: the first line that is neither blank nor a comment names the columns, runs of the
-    delimiter count once. A row of another width raises while it is read.
+    delimiter count once. A comment begins in the line's first place. A row of another width raises while it is read.
 
-    The heading is the first kept line of the first file (by name); the same line is skipped in every file.
+    The heading is the first kept line of the first file (by name). Further files may begin with the same heading, which
+    is then left out; lines that merely look like it are rows.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
-    kept = _kept(lines, comment)
-    # within one block the lines keep their order, so the smallest (file, block, row) is the first line
-    first = kept.withColumn("row", F.monotonically_increasing_id()).agg(
-        F.min_by("value", F.struct("file", "at", "row")).alias("value")).first()
-    if first.value is None:
+    kept = lines.filter(F.trim("value") != "")
+    if comment is not None:
+        kept = kept.filter(~F.col("value").startswith(comment))
+    # within one block the lines keep their order, so the smallest (block, row) is a file's first line
+    kept = kept.withColumn("row", F.monotonically_increasing_id())
+    place = F.struct("at", "row")
+    firsts = kept.groupBy("file").agg(F.min_by(F.struct("value", "row"), place).alias("first")).select("file", "first.value", "first.row")
+    head = firsts.agg(F.min_by("value", "file").alias("value")).first()
+    if head.value is None:
         raise ValueError(f"no heading line in {path}")
-    heading = [t for t in re.split(r"\s+" if delimiter is None else f"[{re.escape(delimiter)}]+", first.value) if t]
-    cells = kept.filter(F.col("value") != first.value).select(_split(F.col("value"), delimiter).alias("c"))
+    heading = [t for t in re.split(r"\s+" if delimiter is None else f"[{re.escape(delimiter)}]+", head.value) if t]
+    headings = firsts.filter(F.col("value") == head.value).select("file", "row")
+    cells = kept.join(headings, ["file", "row"], "left_anti").select(_split(F.col("value"), delimiter).alias("c"))
     width = len(heading)
     checked = F.when(F.size("c") == width, F.col("c")).otherwise(
         F.raise_error(F.concat(F.lit(f"expected {width} cells, got "), F.size("c").cast("string"))))

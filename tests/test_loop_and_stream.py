@@ -12,8 +12,7 @@ from graphfacts.streaming.resource_state import resource_state_stream
 
 def test_long_chain_and_tiers(spark, make, monkeypatch):
     chain = spark.range(60).selectExpr("'c' as graph_id", "id as src", "id + 1 as dst")
-    monkeypatch.setattr(fixpoint, "SMALL_SIDE", 0)  # one hop per round
-    monkeypatch.setattr(fixpoint, "STAGE_ROWS", 20)  # and the staged comparison
+    monkeypatch.setattr(graph, "HOPS", 1)  # one step per round, so that the log grows tiers
     got = graph.reachable(chain, make.nodes({"c": [0]}))
     assert got.count() == 61
 
