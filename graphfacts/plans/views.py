@@ -17,11 +17,15 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 
 VIEWS: dict[str, str] = {
-    # supplier src is followed by supplier dst within an order (null at its end); one graph per customer
+    # one graph for each customer and order status
+    "graph_lines": """
+        SELECT o_custkey * 4 + CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS graph_id, l.*
+        FROM lineitem l JOIN orders ON o_orderkey = l_orderkey""",
+    # supplier src is followed by supplier dst within an order (null at its end)
     "step_pairs": """
-        SELECT o_custkey AS graph_id, l_suppkey AS src, l_linestatus AS label, l_linenumber AS nr,
+        SELECT graph_id, l_suppkey AS src, l_linestatus AS label, l_linenumber AS nr,
                lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst
-        FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
+        FROM graph_lines""",
     "succ": "SELECT DISTINCT graph_id, src, dst FROM step_pairs WHERE dst IS NOT NULL AND src <> dst",
     # the same by line status: two kinds of edges over one set of nodes
     "succ_open": "SELECT DISTINCT graph_id, src, dst FROM step_pairs WHERE dst IS NOT NULL AND src <> dst AND label = 'O'",
@@ -29,7 +33,7 @@ VIEWS: dict[str, str] = {
     # two call sites per supplier, one for each line status, each with any number of targets
     "call_edges": """SELECT graph_id, src * 10 + 1 AS site, src, dst FROM succ_open
                      UNION ALL SELECT graph_id, src * 10 + 3, src, dst FROM succ_filled""",
-    "supp_nodes": "SELECT DISTINCT o_custkey AS graph_id, l_suppkey AS id FROM lineitem JOIN orders ON o_orderkey = l_orderkey",
+    "supp_nodes": "SELECT DISTINCT graph_id, l_suppkey AS id FROM graph_lines",
     "supp_low": """SELECT n.graph_id, n.id FROM supp_nodes n JOIN supplier ON n.id = s_suppkey WHERE s_acctbal < 0""",
     "supp_high": """SELECT n.graph_id, n.id FROM supp_nodes n JOIN supplier ON n.id = s_suppkey WHERE s_acctbal > 9000""",
     "supp_rich": """SELECT n.graph_id, n.id FROM supp_nodes n JOIN supplier ON n.id = s_suppkey WHERE s_acctbal > 3000""",

@@ -401,7 +401,7 @@ def _(s):
 
 
 EXITS = "SELECT graph_id, src, dst, CASE WHEN label = 'O' THEN 'exceptional' ELSE 'normal' END AS label, nr AS exception FROM step_pairs WHERE dst IS NOT NULL"
-CAUGHT = "SELECT DISTINCT o_custkey AS graph_id, l_suppkey AS src, l_linenumber AS exception FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_discount > 0.09"
+CAUGHT = "SELECT DISTINCT graph_id, l_suppkey AS src, l_linenumber AS exception FROM graph_lines WHERE l_discount > 0.09"
 
 
 @query("g29_drop_caught_exits", f"""

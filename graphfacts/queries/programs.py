@@ -230,13 +230,13 @@ def _(s):
     return heap.unsafe_casts(casts, tables.materialize(solved(s).points_to), subtypes)
 
 
-# a simple heap relation, one per customer, for the operators that take a finished solution: open lines say that a
+# a simple heap relation, one per customer and order status, for the operators that take a finished solution: open lines say that a
 # supplier variable holds a part object, filled lines that a field of the part holds what the supplier does
-HOLDS = """SELECT DISTINCT o_custkey AS graph_id, concat('s', cast(l_suppkey AS string)) AS pk, concat('o', cast(l_partkey AS string)) AS obj,
-           concat('T', cast(l_linenumber AS string)) AS type FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linestatus = 'O'"""
+HOLDS = """SELECT DISTINCT graph_id, concat('s', cast(l_suppkey AS string)) AS pk, concat('o', cast(l_partkey AS string)) AS obj,
+           concat('T', cast(l_linenumber AS string)) AS type FROM graph_lines WHERE l_linestatus = 'O'"""
 OBJECTS = "SELECT DISTINCT graph_id, pk, obj FROM ({0})".format(HOLDS)
-FIELDS = """SELECT DISTINCT o_custkey AS graph_id, concat('o', cast(l_partkey AS string)) AS obj, concat('s', cast(l_suppkey AS string)) AS pk
-            FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linestatus <> 'O'"""
+FIELDS = """SELECT DISTINCT graph_id, concat('o', cast(l_partkey AS string)) AS obj, concat('s', cast(l_suppkey AS string)) AS pk
+            FROM graph_lines WHERE l_linestatus <> 'O'"""
 HEAP = f"SELECT graph_id, pk AS src, obj AS dst FROM ({HOLDS}) UNION SELECT graph_id, obj, pk FROM ({FIELDS})"
 POINTERS = """SELECT graph_id, concat('s', cast(s_suppkey AS string)) AS pk, CASE WHEN s_acctbal < 0 THEN 'static' WHEN s_acctbal > 8000 THEN 'return' ELSE 'local' END AS kind,
     CASE WHEN s_acctbal >= 0 THEN concat('n', cast(s_nationkey AS string)) END AS method FROM supp_nodes JOIN supplier ON s_suppkey = id"""

@@ -159,7 +159,33 @@ def _(s):
     return resource.locked_points(s.supp_nodes, tables.materialize(s.succ), ops, s.supp_root)
 
 
-@query("l11_resource_states")
+# Path edges of resource states as one keyed recursion: d1 is the entry's fact as text, the rest the fact at the node.
+# A release at an edge's source frees a synchronous state, which turns asynchronous unless the releasing component is the
+# only acquirer; an asynchronous state keeps what it is and gains the component.
+RESOURCE_STATES = """ops AS MATERIALIZED (SELECT graph_id, block, lock, op, ctx FROM lock_ops),
+    fl AS MATERIALIZED (SELECT e.graph_id, e.src, e.dst FROM super e WHERE label NOT IN ('call', 'return', 'call_to_return', 'exceptional')),
+    rel AS MATERIALIZED (SELECT graph_id, block, lock, ctx AS by_ctx FROM ops WHERE op = 'release'),
+    calls AS MATERIALIZED (SELECT graph_id, src, dst FROM super WHERE label = 'call'), rets AS MATERIALIZED (SELECT graph_id, src, dst, call FROM super WHERE label = 'return'),
+    pe(graph_id, entry, d1, node, lock, acquired, timed, is_async, contexts, seeded) USING KEY (graph_id, entry, d1, node, lock, acquired, timed, is_async, contexts) AS (
+      SELECT graph_id, block - 2, concat_ws('|', lock, true, false, false, ctx), block, lock, true, false, false, [ctx], true FROM ops WHERE op = 'acquire' UNION
+      SELECT n.* FROM (SELECT graph_id, entry, d1, node, lock, acquired, timed, is_async, contexts, bool_or(seeded) AS seeded FROM (
+        SELECT p.graph_id, p.entry, p.d1, e.dst, p.lock, CASE WHEN r.by_ctx IS NULL OR p.is_async THEN p.acquired ELSE false END, CASE WHEN r.by_ctx IS NULL OR p.is_async THEN p.timed ELSE false END,
+               CASE WHEN r.by_ctx IS NULL THEN p.is_async WHEN p.is_async THEN true ELSE p.contexts <> [r.by_ctx] END,
+               CASE WHEN r.by_ctx IS NOT NULL AND p.is_async THEN list_sort(list_distinct(list_append(p.contexts, r.by_ctx))) ELSE p.contexts END, p.seeded
+        FROM pe p JOIN fl e ON e.graph_id = p.graph_id AND e.src = p.node LEFT JOIN rel r ON r.graph_id = p.graph_id AND r.block = p.node AND r.lock = p.lock
+        UNION ALL SELECT p.graph_id, e.dst, {enc_p}, e.dst, p.lock, p.acquired, p.timed, p.is_async, p.contexts, false FROM pe p JOIN calls e ON e.graph_id = p.graph_id AND e.src = p.node
+        UNION ALL SELECT p.graph_id, p.entry, p.d1, r.dst, x.lock, x.acquired, x.timed, x.is_async, x.contexts, p.seeded FROM pe p JOIN calls e ON e.graph_id = p.graph_id AND e.src = p.node
+            JOIN recurring.pe x ON x.graph_id = p.graph_id AND x.entry = e.dst AND x.d1 = {enc_p} JOIN rets r ON r.graph_id = p.graph_id AND r.src = x.node AND r.call = p.node
+        UNION ALL SELECT p.graph_id, p.entry, p.d1, r.dst, x.lock, x.acquired, x.timed, x.is_async, x.contexts, p.seeded FROM pe x JOIN calls e ON e.graph_id = x.graph_id AND e.dst = x.entry
+            JOIN recurring.pe p ON p.graph_id = x.graph_id AND p.node = e.src AND x.d1 = {enc_p} JOIN rets r ON r.graph_id = p.graph_id AND r.src = x.node AND r.call = p.node
+        UNION ALL SELECT p.graph_id, r.dst, {enc_p}, r.dst, p.lock, p.acquired, p.timed, p.is_async, p.contexts, true FROM pe p JOIN rets r ON r.graph_id = p.graph_id AND r.src = p.node WHERE p.seeded
+        ) z(graph_id, entry, d1, node, lock, acquired, timed, is_async, contexts, seeded) GROUP BY 1, 2, 3, 4, 5, 6, 7, 8, 9) n
+      WHERE NOT EXISTS (SELECT 1 FROM recurring.pe o WHERE o.graph_id = n.graph_id AND o.entry = n.entry AND o.d1 = n.d1 AND o.node = n.node AND o.lock = n.lock AND o.acquired = n.acquired
+          AND o.timed = n.timed AND o.is_async = n.is_async AND o.contexts = n.contexts AND NOT (o.seeded < n.seeded)))""".replace(
+    "{enc_p}", "concat_ws('|', p.lock, p.acquired, p.timed, p.is_async, array_to_string(p.contexts, ','))")
+
+
+@query("l11_resource_states", "SELECT DISTINCT graph_id, node, lock, acquired, timed, is_async, contexts FROM pe", RESOURCE_STATES)
 def _(s):
     ops = s.lock_ops.select(G, "block", "lock", "op", F.array("ctx").alias("contexts"))
     entries = s.supp_nodes.select(G, F.col("id").alias("p")).select(G, (F.col("p") * 10 + 2).alias("node"), (F.col("p") * 10).alias("entry"))
