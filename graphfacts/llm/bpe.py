@@ -18,10 +18,10 @@ from hashlib import sha256
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from graphfacts.llm.shared import columns, text_of
+from graphfacts.llm.shared import columns, remembers, text_of, working
 
 #: Words and chunks whose encoding a worker keeps (two generations of each at most), and the longest that is kept.
-KEEP_WORDS, KEEP_CHUNKS, KEEP_CHARS = 250_000, 250_000, 48
+KEEP_WORDS, KEEP_CHUNKS, KEEP_CHARS = 120_000, 150_000, 48
 
 # The word pattern of the tokenizer file restricted to ASCII and Latin-1 letters, where the standard
 # library agrees with it; other chunks go through the file's own normaliser and pre-tokenizer.
@@ -213,6 +213,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     Null texts are empty and give no ids; one row per input row; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("bpe")
         codec = _lists(tokenizer)
         for doc, texts in columns(batches, "doc_id", "text"):
             ids = [[i for part in codec.encode(t) for i in part] for t in texts]
@@ -232,6 +233,7 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """``(doc_id, text)`` of ``(doc_id, ids)``: special tokens are kept; null ids count as none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("bpe")
         codec = _lists(tokenizer)
         for doc, ids in columns(batches, "doc_id", "ids"):
             yield pa.RecordBatch.from_arrays([pa.array(doc, kind), pa.array([codec.decode(i or []) for i in ids], pa.string())], ["doc_id", "text"])
@@ -254,6 +256,7 @@ def round_trip_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("bpe")
         codec = _digest_codec(tokenizer)
         for doc, texts in columns(batches, "doc_id", "text"):
             counts, of_ids, of_text = [], [], []
@@ -269,3 +272,11 @@ def round_trip_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     rows = text_of(docs)
     kind = _arrow(rows)
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def _forget() -> None:
+    for codec in (_digest_codec, id_codec, _lists):
+        codec.cache_clear()
+
+
+remembers("bpe", _forget)

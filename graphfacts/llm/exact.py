@@ -28,8 +28,8 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def frequent(keys: DataFrame, column: str, heavy: int = HEAVY, tracked: int = TRACKED) -> list:
-    """At most ``heavy`` values of a long column, among them every one that holds more than 1/``tracked`` of the rows
-    (Misra-Gries counters, merged over partitions; the counts are estimates, so callers verify)."""
+    """At most ``heavy`` values of a long column, among them those that hold more than a share of about 1/``heavy`` of the
+    rows (Misra-Gries counters, ``tracked`` of them, merged over partitions; counts are estimates, so callers verify)."""
     top = keys.agg(F.expr(f"approx_top_k({column}, {heavy}, {tracked})").alias("top")).first()["top"]
     return [x["item"] for x in top or [] if x["item"] is not None]
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 
 from graphfacts.llm.bpe import id_codec
-from graphfacts.llm.shared import text_of
+from graphfacts.llm.shared import text_of, working
 
 TIERS = (256, 512, 1024, 2048)
 END = 1
@@ -136,6 +136,7 @@ def packed_documents(docs: DataFrame, tokenizer: str, pool: int = POOL) -> DataF
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("bpe")
         codec, end = id_codec(tokenizer), END.to_bytes(2, "little")
         sequence = step = TaskContext.get().partitionId() << 32
         names, ids, held = [], [], 0

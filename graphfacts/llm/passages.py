@@ -14,7 +14,6 @@ from collections.abc import Iterator
 from math import ceil, log
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from graphfacts.llm.shared import classes, text_of
+from graphfacts.llm.shared import classes, remembers, text_of, unused, working
 from graphfacts.plans import tables
 
 SHINGLE, SIMILAR, RECALL, ROWS = 5, 0.8, 0.99, 2
@@ -35,7 +34,7 @@ RUN = 30
 # A single mark ends a sentence; where every word bears several, they end nothing.
 END = re.compile(r"(?<![.!?])[.!?][\"')\]»”]*\s+|\n\s*")
 WORD = re.compile(r"\S+")
-KEEP_WORDS, FLUSH = 200_000, 100_000
+KEEP_WORDS, FLUSH = 120_000, 50_000
 
 
 def bands(similar: float = SIMILAR, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -52,6 +51,7 @@ class Hashes(dict):
 
 
 _hashes = Hashes()
+remembers("passages", _hashes.clear)
 
 
 def paragraphs(text: str, least: int = LEAST, long: int = LONG, every: int = EVERY) -> list[tuple[int, int, list[str]]]:
@@ -111,6 +111,7 @@ def units(docs: DataFrame, n_bands: int) -> DataFrame:
     fields = ["doc_id", "unit", "start", "stop", "n_words", "class", *[f"b{b}" for b in range(n_bands)], "body"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("passages")
         rows, words, held = [], [], 0
 
         def made() -> pa.RecordBatch:
@@ -212,23 +213,21 @@ def repeated_passages(docs: DataFrame, run: int = RUN) -> DataFrame:
 def without_repeats(docs: DataFrame, run: int = RUN) -> DataFrame:
     """The documents without the runs that are to go, with all their columns; ``n_chars``, if there is one, is counted
     anew for texts that were cut. Documents of which nothing but white space is left go."""
+    name, runs, new = unused(docs, "_id", "_runs", "_cut")
     gone = tables.materialize(
-        repeated_passages(docs, run).filter("removed").groupBy(F.col("doc_id").alias("_id"))
-        .agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_runs")))  # bounded by the document
-
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, runs: pd.Series) -> pd.Series:
-        def one(text: str, spans) -> str:
-            out, at = [], 0
-            for span in spans:
-                out.append(text[at:span["start"]])
-                at = span["stop"]
-            return "".join([*out, text[at:]])
-
-        return pd.Series([t if r is None or t is None else one(t, r) for t, r in zip(texts, runs)], dtype=object)
-
-    cleaned = (docs.join(gone, F.col("doc_id") == F.col("_id"), "left")
-               .withColumn("_cut", F.when(F.col("_runs").isNull(), F.col("text")).otherwise(cut(F.col("text").cast("string"), "_runs"))))
-    cleaned = cleaned.filter(F.col("_runs").isNull() | (F.trim(F.regexp_replace("_cut", r"\s+", " ")) != ""))
-    new = {"text": F.col("_cut"), "n_chars": F.when(F.col("_runs").isNull(), F.col("n_chars")).otherwise(F.length("_cut")) if "n_chars" in docs.columns else None}
-    return cleaned.select(*[(new[c].cast(docs.schema[c].dataType).alias(c) if new.get(c) is not None else F.col(c)) for c in docs.columns])
+        repeated_passages(docs, run).filter("removed").groupBy(F.col("doc_id").alias(name))
+        .agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias(runs)))  # bounded by the document
+
+    # what lies between the runs, one after the other; places count characters on both sides
+    begin = lambda i: F.when(i == 0, 0).otherwise(F.get(runs, i - 1)["stop"])
+    end = lambda i: F.when(i == F.size(runs), F.length("text")).otherwise(F.get(runs, i)["start"])
+    cut = F.array_join(F.transform(F.sequence(F.lit(0), F.size(runs)), lambda i: F.substring(F.col("text"), begin(i) + 1, end(i) - begin(i))), "")
+
+    whole = F.col(runs).isNull()
+    cleaned = (docs.join(gone, F.col("doc_id") == F.col(name), "left")
+               .withColumn(new, F.when(whole, F.col("text")).otherwise(cut)))
+    cleaned = cleaned.filter(whole | (F.trim(F.regexp_replace(new, r"\s+", " ")) != ""))
+    changed = {"text": F.col(new)}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(F.length(new))
+    return cleaned.select(*[changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed else F.col(c) for c in docs.columns])

@@ -13,11 +13,11 @@ from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphfacts.llm.shared import text_of
+from graphfacts.llm.shared import remembers, text_of, working
 
 #: Hashed indicators; the model is two arrays of this size whatever the corpus.
 FEATURES = 1 << 18
@@ -26,7 +26,7 @@ SAMPLE = 12_000
 ALPHA, COST, EPOCHS = 1.0, 0.1, 8
 ACCEPT = 0.7
 
-KEEP_WORDS = 200_000
+KEEP_WORDS = 120_000
 RUNS = re.compile(r"(.)\1+")
 
 
@@ -61,6 +61,7 @@ class Codes(dict):
 
 _kinds, _shapes = Kinds(), Shapes()
 _codes = Codes()
+remembers("quality", lambda: (_codes.clear(), _shapes.clear()))
 
 
 def indicators(text: str) -> np.ndarray:
@@ -187,9 +188,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
               .filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
 
-    @F.pandas_udf("array<int>")
-    def found(texts: pd.Series) -> pd.Series:
-        return texts.map(indicators)
+    @F.arrow_udf("array<int>")
+    def found(texts: pa.Array) -> pa.Array:
+        working("quality")
+        return pa.array((indicators(t.as_py()) for t in texts), pa.list_(pa.int32()))
 
     rows = text_of(docs).join(F.broadcast(chosen), "doc_id").select("label", found("text").alias("found")).toArrow()
     lists = rows.column("found").combine_chunks()
@@ -201,9 +203,10 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Column:
     """The score of ``text`` as a column for ``docs``; the model of two fixed-size arrays is broadcast."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return texts.map(model.value.score).astype(float)
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        working("quality")
+        return pa.array((model.value.score(t.as_py()) for t in texts), pa.float64())
 
     return score(F.coalesce(F.col("text").cast("string"), F.lit("")))
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,17 +15,61 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = {ord(a): b for a, b in zip(UPPER, LOWER)}
 
 
+#: Arrow's default of 10,000 rows a batch suits numbers; of texts it makes tens of megabytes for each task, several times
+#: over on their way between the JVM and Python.
+BATCH_ROWS = 1000
+_ROWS, _DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
 def text_of(docs: DataFrame, *keep: str) -> DataFrame:
     """``doc_id``, the text (null: empty) and the named columns: whatever else a table carries stays out of the
-    plan, so that its names cannot clash with ours."""
+    plan, so that its names cannot clash with ours. Unless the session names another size, batches become smaller."""
+    conf = docs.sparkSession.conf
+    if conf.get(_ROWS, _DEFAULT) == _DEFAULT:
+        conf.set(_ROWS, str(BATCH_ROWS))
     return docs.select("doc_id", *keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+SLICE = 250
+
+_forget: dict[str, Callable[[], None]] = {}
+_working: list[str] = []
+
+
+def remembers(owner: str, forget: Callable[[], None]) -> None:
+    """Registers what empties the memories that ``owner`` keeps in a Python worker from task to task."""
+    _forget[owner] = forget
+
+
+def working(owner: str) -> None:
+    """Called where a task of ``owner`` begins: Spark reuses workers, so what other operators left behind goes first."""
+    if _working != [owner]:
+        for name, forget in _forget.items():
+            if name != owner:
+                forget()
+        _working[:] = [owner]
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def columns(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
-    """The named columns of each batch as Python lists; empty batches are passed over."""
+    """The named columns as Python lists, a few rows at a time: Arrow's batches hold far more than a worker should
+    have as Python objects at once."""
     for batch in batches:
-        if batch.num_rows:
-            yield tuple(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names)
+        held = [batch.column(batch.schema.get_field_index(n)) for n in names]
+        for at in range(0, batch.num_rows, SLICE):
+            yield tuple(c.slice(at, SLICE).to_pylist() for c in held)
+
+
+def unused(table: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that the table does not use, in whatever case."""
+    taken, out = {c.lower() for c in table.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
 
 
 def unsigned_hex(name: str) -> Column:
@@ -68,8 +113,9 @@ def kept_rows(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     The identifiers that go are written first: Spark then knows their size and compares them where the documents lie
     as long as they are few, and shuffles otherwise.
     """
-    each = verdicts.groupBy(F.col("doc_id").alias("_id")).agg(F.bool_or("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows"))
-    special = tables.materialize(each.filter("NOT _kept OR _rows > 1").select("_id", "_kept"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    name, stays = unused(docs, "_id", "_kept")
+    each = verdicts.groupBy(F.col("doc_id").alias(name)).agg(F.bool_or("kept").alias(stays), F.count(F.lit(1)).alias("n"))
+    special = tables.materialize(each.filter(~F.col(stays) | (F.col("n") > 1)).select(name, stays))
+    same = F.col("doc_id").eqNullSafe(F.col(name))
     return docs.join(special, same, "left_anti").unionByName(
-        docs.join(special.filter("_kept"), same, "left_semi").dropDuplicates(["doc_id"]))
+        docs.join(special.filter(F.col(stays)), same, "left_semi").dropDuplicates(["doc_id"]))

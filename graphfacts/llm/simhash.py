@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphfacts.llm.shared import ASCII_LOWER, classes, columns, kept_rows, text_of, unsigned_hex
+from graphfacts.llm.shared import ASCII_LOWER, classes, columns, kept_rows, text_of, unsigned_hex, working
 from graphfacts.plans import tables
 
 SEGMENTS, WIDTH, BUDGET, SHINGLE, SEED = 4, 16, 3, 3, 42
@@ -42,6 +42,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """``(doc_id, fp)``: ``fp`` is the fingerprint as a long. One row per input row; null and empty texts have 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("simhash")
         for doc, texts in columns(batches, "doc_id", "text"):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(doc, kind), pa.array([fingerprint(t) for t in texts], pa.int64())], ["doc_id", "fp"])

@@ -104,8 +104,8 @@ def test_exact(spark):
     for i, t in enumerate(texts):
         groups[re.sub("[\x20\x09-\x0D]+", " ", t)].append(i)
     expected = {i: (g[0], len(g), i == g[0], hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for i in g}
-    for heavy in (1000, 1):  # also with nearly everything on the shuffled side
-        found = {r["doc_id"]: tuple(r)[1:] for r in exact.exact_duplicates(docs_of(spark, texts), heavy, 64).collect()}
+    for heavy, tracked in ((1000, 8192), (1, 64)):  # also with nearly everything on the shuffled side
+        found = {r["doc_id"]: tuple(r)[1:] for r in exact.exact_duplicates(docs_of(spark, texts), heavy, tracked).collect()}
         assert found == expected
 
 
