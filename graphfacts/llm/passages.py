@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from graphfacts.llm.shared import classes, remembers, text_of, unused, working
+from graphfacts.llm.shared import classes, remembers, sieved, text_of, unused, working
 from graphfacts.plans import tables
 
 SHINGLE, SIMILAR, RECALL, ROWS = 5, 0.8, 0.99, 2
@@ -164,7 +164,8 @@ def links(rows: DataFrame, n_bands: int, similar: float = SIMILAR) -> DataFrame:
            .filter("low <> high").select("key", F.col("class").alias("id")))
     met = tables.materialize(met)
     asked = met.select("id").distinct()
-    bodies = rows.select("class", "body").join(asked, F.col("class") == F.col("id"), "left_semi").groupBy("class").agg(F.min("body").alias("body"))
+    maybe, _ = sieved(rows.select("class", "body"), "class", asked)
+    bodies = maybe.distinct().join(asked, F.col("class") == F.col("id"), "left_semi").groupBy("class").agg(F.min("body").alias("body"))
     sets = tables.materialize(met.join(bodies.select(F.col("class").alias("id"), shingles(F.col("body")).alias("set")), "id"))
     a, b = (sets.select("key", F.col("id").alias(n), F.col("set").alias(f"set_{n}")) for n in "ab")
     both, together = F.size(F.array_intersect("set_a", "set_b")), F.size("set_a") + F.size("set_b")
@@ -224,10 +225,12 @@ def without_repeats(docs: DataFrame, run: int = RUN) -> DataFrame:
     cut = F.array_join(F.transform(F.sequence(F.lit(0), F.size(runs)), lambda i: F.substring(F.col("text"), begin(i) + 1, end(i) - begin(i))), "")
 
     whole = F.col(runs).isNull()
-    cleaned = (docs.join(gone, F.col("doc_id") == F.col(name), "left")
+    maybe, untouched = sieved(docs, "doc_id", gone.select(name))
+    cleaned = (maybe.join(gone, F.col("doc_id") == F.col(name), "left")
                .withColumn(new, F.when(whole, F.col("text")).otherwise(cut)))
     cleaned = cleaned.filter(whole | (F.trim(F.regexp_replace(new, r"\s+", " ")) != ""))
     changed = {"text": F.col(new)}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(F.length(new))
-    return cleaned.select(*[changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed else F.col(c) for c in docs.columns])
+    cleaned = cleaned.select(*[changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed else F.col(c) for c in docs.columns])
+    return untouched.unionByName(cleaned)

@@ -255,6 +255,16 @@ def test_passages(spark):
     assert found == passage_plain(texts)
 
 
+def test_sieve(spark):
+    from graphfacts.llm.shared import sieved
+
+    table = spark.range(20_000).selectExpr("id as k", "concat('v', id) as _bits")
+    maybe, surely_not = sieved(table, "k", spark.range(0, 20_000, 50).selectExpr("id as other"))
+    assert maybe.columns == table.columns and maybe.count() + surely_not.count() == 20_000
+    assert maybe.filter("k % 50 = 0").count() == 400 and maybe.count() < 600
+    assert sieved(table, "k", spark.range(0).selectExpr("id as other"))[0].count() == 0
+
+
 def test_bands():
     assert passages.bands(0.8, 0.99, 2) == 5 and 1 - (1 - 0.8 ** 2) ** 5 >= 0.99
     rnd = random.Random(8)
