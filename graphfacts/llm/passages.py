@@ -54,8 +54,8 @@ _hashes = Hashes()
 remembers("passages", _hashes.clear)
 
 
-def paragraphs(text: str, least: int = LEAST, long: int = LONG, every: int = EVERY) -> list[tuple[int, int, list[str]]]:
-    """``(start, stop, words)`` of the paragraphs of at least ``least`` words; words are lower-cased."""
+def pieces(text: str, long: int = LONG, every: int = EVERY) -> list[tuple[int, int, list[str]]]:
+    """``(start, stop, words)`` of all paragraphs, short ones too: every word is in one. Words are lower-cased."""
     if len(_hashes) > KEEP_WORDS:
         _hashes.clear()
     out, start = [], 0
@@ -67,17 +67,21 @@ def paragraphs(text: str, least: int = LEAST, long: int = LONG, every: int = EVE
                 first = m.start() if first is None else first
                 held += m[0].lower().split()
                 if _hashes[m[0].lower()] % every == 0:
-                    if len(held) >= least:
-                        out.append((first, m.end(), held))
+                    out.append((first, m.end(), held))
                     first, held = None, []
-            if len(held) >= least:
+            if held:
                 out.append((first, stop, held))
-        elif len(words) >= least:
+        elif words:
             out.append((start, stop, words))
         start = stop
     return out
 
 
+def paragraphs(text: str, least: int = LEAST, long: int = LONG, every: int = EVERY) -> list[tuple[int, int, list[str]]]:
+    """``(start, stop, words)`` of the paragraphs of at least ``least`` words; words are lower-cased."""
+    return [p for p in pieces(text, long, every) if len(p[2]) >= least]
+
+
 def signatures(units: list[list[str]], n_bands: int, rows: int = ROWS, shingle: int = SHINGLE) -> np.ndarray:
     """The band keys of word lists of at least ``shingle`` words each, one row per list."""
     sizes = np.array([len(u) for u in units])
@@ -106,9 +110,10 @@ def signatures(units: list[list[str]], n_bands: int, rows: int = ROWS, shingle:
 
 
 def units(docs: DataFrame, n_bands: int) -> DataFrame:
-    """Every compared paragraph of every document with an identifier: ``(doc_id, unit, start, stop, n_words, class, b0..,
-    body)``; ``unit`` counts the compared paragraphs of a document, ``class`` hashes the normalised ``body``."""
-    fields = ["doc_id", "unit", "start", "stop", "n_words", "class", *[f"b{b}" for b in range(n_bands)], "body"]
+    """Every compared paragraph of every document with an identifier: ``(doc_id, unit, start, stop, n_words, n_short,
+    short, class, b0.., body)``; ``unit`` counts the compared paragraphs of a document, ``class`` hashes the normalised
+    ``body``, ``short`` the ``n_short`` words between the compared paragraph before and this one."""
+    fields = ["doc_id", "unit", "start", "stop", "n_words", "n_short", "short", "class", *[f"b{b}" for b in range(n_bands)], "body"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working("passages")
@@ -117,18 +122,24 @@ def units(docs: DataFrame, n_bands: int) -> DataFrame:
         def made() -> pa.RecordBatch:
             keys = signatures(words, n_bands)
             bodies = [" ".join(w) for w in words]
-            doc, unit, start, stop = zip(*rows)
-            ints = [pa.array(x, pa.int32()) for x in (unit, start, stop, [len(w) for w in words])]
+            doc, unit, start, stop, n_short, short = zip(*rows)
+            ints = [pa.array(x, pa.int32()) for x in (unit, start, stop, [len(w) for w in words], n_short)]
             name = np.array([xxhash.xxh64_intdigest(b.encode("utf-8", "surrogatepass")) for b in bodies], np.uint64).view(np.int64)
             return pa.RecordBatch.from_arrays(
-                [pa.array(doc, kind), *ints, pa.array(name), *[pa.array(k) for k in np.ascontiguousarray(keys.T)], pa.array(bodies)], fields)
+                [pa.array(doc, kind), *ints, pa.array(np.array(short, np.uint64).view(np.int64)), pa.array(name), *[pa.array(k) for k in np.ascontiguousarray(keys.T)], pa.array(bodies)], fields)
 
         for batch in batches:
             docs_, texts = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text"))
             for i in range(batch.num_rows):
                 doc = docs_[i].as_py()
-                for n, (start, stop, own) in enumerate(paragraphs(texts[i].as_py())):
-                    rows.append((doc, n, start, stop))
+                n, between = 0, []
+                for start, stop, own in pieces(texts[i].as_py()):
+                    if len(own) < LEAST:
+                        between += own
+                        continue
+                    short = xxhash.xxh64_intdigest(" ".join(between).encode("utf-8", "surrogatepass"))
+                    rows.append((doc, n, start, stop, len(between), short))
+                    n, between = n + 1, []
                     words.append(own)
                     held += len(own)
                     if held >= FLUSH:
@@ -139,7 +150,7 @@ def units(docs: DataFrame, n_bands: int) -> DataFrame:
 
     rows_ = text_of(docs).filter("doc_id IS NOT NULL")
     kind = to_arrow_type(rows_.schema["doc_id"].dataType)
-    types = [rows_.schema["doc_id"].dataType.simpleString(), *["int"] * 4, *["long"] * (n_bands + 1), "string"]
+    types = [rows_.schema["doc_id"].dataType.simpleString(), *["int"] * 5, *["long"] * (n_bands + 2), "string"]
     return rows_.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in zip(fields, types)))
 
 
@@ -174,21 +185,24 @@ def links(rows: DataFrame, n_bands: int, similar: float = SIMILAR) -> DataFrame:
 
 
 def members(docs: DataFrame, similar: float = SIMILAR, recall: float = RECALL) -> DataFrame:
-    """``(doc_id, unit, start, stop, n_words, class_id, keep_doc_id, removed)``: every paragraph that has an equal or
-    similar one. The first of a component, by identifier and place, stays."""
+    """``(doc_id, unit, start, stop, n_words, n_short, class_id, keep_doc_id, removed, joined)``: every paragraph that has
+    an equal or similar one. The first of a component, by identifier and place, stays. ``joined`` says that nothing, or
+    the same short text as in the first and a further one, stands between the compared paragraph before and this one."""
     n = bands(similar, recall)
     rows = tables.materialize(units(docs, n))
     near = classes(links(rows, n, similar)).select(F.col("id").alias("class"), F.col("component").alias("class_id"))
     near = tables.materialize(near)
-    places = rows.select("doc_id", "unit", "start", "stop", "n_words", "class")
+    places = rows.select("doc_id", "unit", "start", "stop", "n_words", "n_short", "short", "class")
     counts = places.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
     repeated = (counts.filter("n > 1").join(near, "class", "full_outer")
                 .select("class", F.coalesce("class_id", "class").alias("class_id")))
     found = tables.materialize(places.join(tables.materialize(repeated), "class").drop("class"))
-    first = found.groupBy("class_id").agg(F.min(F.struct("doc_id", "start")).alias("first"))
+    alike = found.groupBy("class_id", "short").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.count(F.lit(1)).alias("n"))
+    first = alike.groupBy("class_id").agg(F.min(F.struct("at.doc_id", "at.start", "short", "n")).alias("first"))
     return (found.join(tables.materialize(first), "class_id")
-            .select("doc_id", "unit", "start", "stop", "n_words", "class_id", F.col("first.doc_id").alias("keep_doc_id"),
-                    (~((F.col("doc_id") == F.col("first.doc_id")) & (F.col("start") == F.col("first.start")))).alias("removed")))
+            .select("doc_id", "unit", "start", "stop", "n_words", "n_short", "class_id", F.col("first.doc_id").alias("keep_doc_id"),
+                    (~((F.col("doc_id") == F.col("first.doc_id")) & (F.col("start") == F.col("first.start")))).alias("removed"),
+                    ((F.col("n_short") == 0) | (F.col("short") == F.col("first.short")) & (F.col("first.n") > 1)).alias("joined")))
 
 
 def repeated_passages(docs: DataFrame, run: int = RUN) -> DataFrame:
@@ -197,15 +211,17 @@ def repeated_passages(docs: DataFrame, run: int = RUN) -> DataFrame:
 
     ``removed`` says whether the run is to go; the run that stays is a row as well. ``keep_doc_id`` is the document
     that keeps the run's first paragraph, ``class_id`` that paragraph's component. Paragraphs too short to compare are
-    part of a run that stands on both sides of them. Null and empty texts have no paragraphs; rows that repeat an
-    identifier and its text count as one document; rows without identifier take no part. Other columns are ignored; an
-    empty table gives an empty result.
+    part of a run that stands on both sides of them only if the same words stand there in the copy that stays; otherwise
+    the run ends there. Null and empty texts have no paragraphs; rows that repeat an identifier and its text count as
+    one document; rows without identifier take no part. Other columns are ignored; an empty table gives an empty result.
     """
     found = members(docs).dropDuplicates(["doc_id", "start", "unit"])
     order = Window.partitionBy("doc_id", "removed").orderBy("unit", "start")
-    found = found.withColumn("island", F.col("unit") - F.row_number().over(order))
+    goes_on = F.coalesce((F.lag("unit").over(order) == F.col("unit") - 1) & F.col("joined"), F.lit(False))
+    found = found.withColumn("goes_on", goes_on).withColumn("island", F.sum((~F.col("goes_on")).cast("int")).over(order))
     runs = found.groupBy("doc_id", "removed", "island").agg(
-        F.min(F.struct("unit", "start", "keep_doc_id", "class_id")).alias("head"), F.max("stop").alias("stop"), F.sum("n_words").alias("n_words"))
+        F.min(F.struct("unit", "start", "keep_doc_id", "class_id")).alias("head"), F.max("stop").alias("stop"),
+        F.sum(F.col("n_words") + F.when(F.col("goes_on"), F.col("n_short")).otherwise(0)).alias("n_words"))
     return runs.filter(F.col("n_words") >= run).select(
         "doc_id", F.col("head.start").alias("start"), "stop", "n_words", F.col("head.keep_doc_id").alias("keep_doc_id"),
         F.col("head.class_id").alias("class_id"), "removed")
