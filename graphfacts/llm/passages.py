@@ -5,6 +5,10 @@ a stretch has neither, at words picked by their hash, which are the same in ever
 classes that collide in a band of their MinHash signatures are compared by exact Jaccard similarity of word shingles,
 and linked classes form components of which the first paragraph stays. What repeats is reported in runs of neighbouring
 paragraphs, so a passage of several sentences is one row; short runs are left alone.
+
+Passages of EXACT words and more are found wherever they begin and end: each document names, for every EXACT words in a
+row, the least hash of its GRAM-word windows, so equal passages share one at the same place. Around those that recur,
+all windows of EXACT words are compared; what of them lies outside the runs of paragraphs is reported too.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ SHINGLE, SIMILAR, RECALL, ROWS = 5, 0.8, 0.99, 2
 LEAST, LONG, EVERY = 8, 64, 24
 #: Words of the shortest run that is reported and removed. Single lines that many pages share are shorter.
 RUN = 30
+#: Words from which an identical passage is found wherever it stands, and words of the windows that are sampled.
+EXACT, GRAM = 50, 26
 
 # A single mark ends a sentence; where every word bears several, they end nothing.
 END = re.compile(r"(?<![.!?])[.!?][\"')\]»”]*\s+|\n\s*")
@@ -110,10 +116,10 @@ def signatures(units: list[list[str]], n_bands: int, rows: int = ROWS, shingle:
 
 
 def units(docs: DataFrame, n_bands: int) -> DataFrame:
-    """Every compared paragraph of every document with an identifier: ``(doc_id, unit, start, stop, n_words, n_short,
-    short, class, b0.., body)``; ``unit`` counts the compared paragraphs of a document, ``class`` hashes the normalised
+    """Every compared paragraph of every document with an identifier: ``(doc_id, unit, start, stop, word, n_words,
+    n_short, short, class, b0.., body)``; ``unit`` counts the compared paragraphs of a document, ``word`` the words before, ``class`` hashes the normalised
     ``body``, ``short`` the ``n_short`` words between the compared paragraph before and this one."""
-    fields = ["doc_id", "unit", "start", "stop", "n_words", "n_short", "short", "class", *[f"b{b}" for b in range(n_bands)], "body"]
+    fields = ["doc_id", "unit", "start", "stop", "word", "n_words", "n_short", "short", "class", *[f"b{b}" for b in range(n_bands)], "body"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working("passages")
@@ -122,8 +128,8 @@ def units(docs: DataFrame, n_bands: int) -> DataFrame:
         def made() -> pa.RecordBatch:
             keys = signatures(words, n_bands)
             bodies = [" ".join(w) for w in words]
-            doc, unit, start, stop, n_short, short = zip(*rows)
-            ints = [pa.array(x, pa.int32()) for x in (unit, start, stop, [len(w) for w in words], n_short)]
+            doc, unit, start, stop, word, n_short, short = zip(*rows)
+            ints = [pa.array(x, pa.int32()) for x in (unit, start, stop, word, [len(w) for w in words], n_short)]
             name = np.array([xxhash.xxh64_intdigest(b.encode("utf-8", "surrogatepass")) for b in bodies], np.uint64).view(np.int64)
             return pa.RecordBatch.from_arrays(
                 [pa.array(doc, kind), *ints, pa.array(np.array(short, np.uint64).view(np.int64)), pa.array(name), *[pa.array(k) for k in np.ascontiguousarray(keys.T)], pa.array(bodies)], fields)
@@ -132,13 +138,14 @@ def units(docs: DataFrame, n_bands: int) -> DataFrame:
             docs_, texts = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text"))
             for i in range(batch.num_rows):
                 doc = docs_[i].as_py()
-                n, between = 0, []
+                n, word, between = 0, 0, []
                 for start, stop, own in pieces(texts[i].as_py()):
+                    word += len(own)
                     if len(own) < LEAST:
                         between += own
                         continue
                     short = xxhash.xxh64_intdigest(" ".join(between).encode("utf-8", "surrogatepass"))
-                    rows.append((doc, n, start, stop, len(between), short))
+                    rows.append((doc, n, start, stop, word - len(own), len(between), short))
                     n, between = n + 1, []
                     words.append(own)
                     held += len(own)
@@ -150,7 +157,7 @@ def units(docs: DataFrame, n_bands: int) -> DataFrame:
 
     rows_ = text_of(docs).filter("doc_id IS NOT NULL")
     kind = to_arrow_type(rows_.schema["doc_id"].dataType)
-    types = [rows_.schema["doc_id"].dataType.simpleString(), *["int"] * 5, *["long"] * (n_bands + 2), "string"]
+    types = [rows_.schema["doc_id"].dataType.simpleString(), *["int"] * 6, *["long"] * (n_bands + 2), "string"]
     return rows_.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in zip(fields, types)))
 
 
@@ -185,14 +192,14 @@ def links(rows: DataFrame, n_bands: int, similar: float = SIMILAR) -> DataFrame:
 
 
 def members(docs: DataFrame, similar: float = SIMILAR, recall: float = RECALL) -> DataFrame:
-    """``(doc_id, unit, start, stop, n_words, n_short, class_id, keep_doc_id, removed, joined)``: every paragraph that has
+    """``(doc_id, unit, start, stop, word, n_words, n_short, class_id, keep_doc_id, removed, joined)``: every paragraph that has
     an equal or similar one. The first of a component, by identifier and place, stays. ``joined`` says that nothing, or
     the same short text as in the first and a further one, stands between the compared paragraph before and this one."""
     n = bands(similar, recall)
     rows = tables.materialize(units(docs, n))
     near = classes(links(rows, n, similar)).select(F.col("id").alias("class"), F.col("component").alias("class_id"))
     near = tables.materialize(near)
-    places = rows.select("doc_id", "unit", "start", "stop", "n_words", "n_short", "short", "class")
+    places = rows.select("doc_id", "unit", "start", "stop", "word", "n_words", "n_short", "short", "class")
     counts = places.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
     repeated = (counts.filter("n > 1").join(near, "class", "full_outer")
                 .select("class", F.coalesce("class_id", "class").alias("class_id")))
@@ -200,14 +207,195 @@ def members(docs: DataFrame, similar: float = SIMILAR, recall: float = RECALL) -
     alike = found.groupBy("class_id", "short").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.count(F.lit(1)).alias("n"))
     first = alike.groupBy("class_id").agg(F.min(F.struct("at.doc_id", "at.start", "short", "n")).alias("first"))
     return (found.join(tables.materialize(first), "class_id")
-            .select("doc_id", "unit", "start", "stop", "n_words", "n_short", "class_id", F.col("first.doc_id").alias("keep_doc_id"),
+            .select("doc_id", "unit", "start", "stop", "word", "n_words", "n_short", "class_id", F.col("first.doc_id").alias("keep_doc_id"),
                     (~((F.col("doc_id") == F.col("first.doc_id")) & (F.col("start") == F.col("first.start")))).alias("removed"),
                     ((F.col("n_short") == 0) | (F.col("short") == F.col("first.short")) & (F.col("first.n") > 1)).alias("joined")))
 
 
+BASE = 0x9E3779B97F4A7C13
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def windows(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every window of ``size`` word hashes, from prefix sums of a polynomial modulo 2 ** 64."""
+    n = len(hashes)
+    if len(_powers[0]) < n + 1:
+        for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            _powers[k] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 1 << 15), base, np.uint64)]))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _powers[0][:n], dtype=np.uint64)])
+    out = (sums[size:] - sums[:-size]) * _powers[1][:n - size + 1]
+    out ^= out >> np.uint64(31)
+    out *= np.uint64(0x94D049BB133111EB)
+    return out ^ out >> np.uint64(29)
+
+
+def hashed(text: str) -> np.ndarray:
+    """The hashes of the text's lower-cased words."""
+    if len(_hashes) > KEEP_WORDS:
+        _hashes.clear()
+    return np.array([_hashes[w] for w in text.lower().split()], np.uint64)
+
+
+def sampled(hashes: np.ndarray, exact: int = EXACT, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of windows of ``gram`` words, one at least in every ``exact`` words in a row, where equal words
+    choose equal places."""
+    if len(hashes) < exact:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    grams, span = windows(hashes, gram), exact - gram + 1
+    least = _rolled(np.minimum, grams, span)
+    edge = np.zeros(span - 1, np.uint64)
+    places = np.flatnonzero(_rolled(np.maximum, np.concatenate([edge, least, edge]), span) == grams)
+    return places, grams[places]
+
+
+def _rolled(best: np.ufunc, values: np.ndarray, size: int) -> np.ndarray:
+    """``best`` of every ``size`` values in a row, by doubling."""
+    have = 1
+    while have < size:
+        step = min(have, size - have)
+        values = best(values[step:], values[:-step])
+        have += step
+    return values
+
+
+def _mapped(rows: DataFrame, each, extra: str, flush: int = FLUSH) -> DataFrame:
+    """Rows ``doc_id`` and the columns that ``each(row)`` gives as arrays, for every row of a table with identifiers."""
+    kind = to_arrow_type(rows.schema["doc_id"].dataType)
+    names = ["doc_id", *[c.split()[0] for c in extra.split(", ")]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("passages")
+        docs, held, n = [], [], 0
+
+        def made() -> pa.RecordBatch:
+            ids = [i for i, a in zip(docs, held) for _ in range(len(a[0]))]
+            return pa.RecordBatch.from_arrays([pa.array(ids, kind), *[pa.array(np.concatenate(c)) for c in zip(*held)]], names)
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
+                arrays = each(row)
+                if len(arrays[0]):
+                    docs.append(row["doc_id"])
+                    held.append(arrays)
+                    n += len(arrays[0])
+                if n >= flush:
+                    yield made()
+                    docs, held, n = [], [], 0
+        if n:
+            yield made()
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {extra}")
+
+
+def _repeats(rows: DataFrame, name: str) -> DataFrame:
+    """The rows whose long ``name`` occurs at two places, with the first of these by identifier and place."""
+    first = (rows.groupBy(name).agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max(F.struct("doc_id", "at")).alias("last"))
+             .filter("first <> last").select(name, "first"))
+    return rows.join(tables.materialize(first), name)
+
+
+def exact_passages(docs: DataFrame, runs: DataFrame, run: int = RUN, exact: int = EXACT) -> DataFrame:
+    """What of the passages of at least ``exact`` words that occur word for word at two places lies outside the given
+    ``runs``, in stretches of at least ``run`` words and with the columns of ``runs``; of a copy that goes, outside the
+    runs that go. Words are compared in lower case and without regard to white space."""
+    texts = text_of(docs).filter("doc_id IS NOT NULL")
+
+    def sample(row: dict) -> tuple:
+        hashes = hashed(row["text"])
+        places, keys = sampled(hashes, exact)
+        return (places.astype(np.int32), np.minimum(places + exact, len(hashes)).astype(np.int32), keys.view(np.int64))
+
+    def around(row: dict) -> tuple:
+        hashes = hashed(row["text"])
+        spans = [m.span() for m in WORD.finditer(row["text"])]
+        at = np.unique(np.concatenate([np.arange(max(0, p - exact + GRAM), min(p, len(hashes) - exact) + 1) for p in row["places"]]))
+        starts, stops = np.array(spans, np.int32).T
+        return at.astype(np.int32), starts[at], stops[at + exact - 1], windows(hashes, exact)[at].view(np.int64)
+
+    grams = tables.materialize(_mapped(texts, sample, "at int, end int, gram long"))
+    again = tables.materialize(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"))
+    maybe, _ = sieved(grams, "gram", again)
+    grams = tables.materialize(maybe)
+    later = tables.materialize(_repeats(grams, "gram").filter(F.struct("doc_id", "at") != F.col("first")).select("doc_id", "at", "end", "gram"))
+    # Where less than a run lies between two runs that go, or before the first or after the last, nothing can be left.
+    order = Window.partitionBy("doc_id").orderBy("word")
+    ends = runs.filter("removed").select("doc_id", "word", (F.col("word") + F.col("n_words")).alias("last"))
+    apart = F.coalesce(F.col("word") - F.lag("last").over(order) >= run, F.lit(True))
+    gone = (ends.withColumn("apart", apart.cast("int")).withColumn("island", F.sum("apart").over(order))
+            .groupBy("doc_id", "island").agg(F.min("word").alias("word"), F.max("last").alias("last")))
+    gone = tables.materialize(gone.groupBy("doc_id").agg(F.collect_list(F.struct("word", "last")).alias("gone")))
+    at_end = F.col("end") < F.col("at") + exact
+    inside = F.exists("gone", lambda r: ((r["word"] < run) | (r["word"] <= F.col("at") - (exact - GRAM))) & (
+        (F.col("end") <= r["last"]) | at_end & (F.col("end") < r["last"] + run)))
+    open_ = later.join(gone, "doc_id", "left").filter(~F.coalesce(inside, F.lit(False))).select("gram").distinct()
+    places = grams.join(tables.materialize(open_), "gram", "left_semi").groupBy("doc_id").agg(F.collect_set("at").alias("places"))
+    places = tables.materialize(places)
+    maybe, _ = sieved(texts, "doc_id", places.select("doc_id"))
+    full = tables.materialize(_mapped(
+        maybe.join(places, "doc_id"), around, "at int, start int, stop int, class_id long"))
+    found = (_repeats(full, "class_id").withColumn("removed", F.struct("doc_id", "at") != F.col("first"))
+             .groupBy("doc_id").agg(F.collect_list(F.struct("at", "start", "stop", "removed", F.col("first.doc_id").alias("keep"), "class_id")).alias("found")))
+    every = runs.groupBy("doc_id").agg(F.collect_list(F.struct("word", "n_words", "start", "stop", "removed")).alias("runs"))
+    kind, names = to_arrow_type(runs.schema["keep_doc_id"].dataType), ["doc_id", "start", "stop", "n_words", "keep_doc_id", "class_id", "removed"]
+    types = [kind, pa.int32(), pa.int32(), pa.int64(), kind, pa.int64(), pa.bool_()]
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("passages")
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                doc, found_, runs_ = (batch.column(batch.schema.get_field_index(c))[i].as_py() for c in ("doc_id", "found", "runs"))
+                out += [(doc, *r) for r in outside(found_, runs_ or [], run, exact)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+
+    plain = runs.drop("word")
+    return found.join(every, "doc_id", "left").mapInArrow(left, plain.select(*names).schema)
+
+
+def outside(found: list[dict], runs: list[dict], run: int, exact: int) -> list[tuple]:
+    """``(start, stop, n_words, keep, class_id, removed)``: the stretches that a document's repeated windows cover
+    outside its runs. Those that go are cut first; those that stay lie outside these as well."""
+    out, taken = [], []
+    for removed in (True, False):
+        stretches = []  # [first word, word after the last, first character, character after the last]
+        own = sorted((w for w in found if w["removed"] == removed), key=lambda w: w["at"])
+        for w in own:
+            if stretches and w["at"] <= stretches[-1][1]:
+                stretches[-1][1::2] = w["at"] + exact, w["stop"]
+            else:
+                stretches.append([w["at"], w["at"] + exact, w["start"], w["stop"]])
+        blocks = sorted(taken + [(r["word"], r["word"] + r["n_words"], r["start"], r["stop"]) for r in runs if r["removed"] or not removed])
+        taken, k, low = [tuple(x) for x in stretches], 0, 0
+        for first, last, start, stop in stretches:
+            while low < len(blocks) and blocks[low][1] <= first:
+                low += 1
+            free = []
+            for b in blocks[low:]:
+                if b[0] >= last:
+                    break
+                if b[1] <= first:
+                    continue
+                if b[0] > first:
+                    free.append((first, b[0], start, b[2]))
+                first, start = b[1], b[3]
+                if first >= last:
+                    break
+            if first < last:
+                free.append((first, last, start, stop))
+            for a, z, begin, end in free:
+                while k + 1 < len(own) and own[k + 1]["at"] <= a:
+                    k += 1
+                if z - a >= run:
+                    out.append((begin, end, z - a, own[k]["keep"], own[k]["class_id"], removed))
+    return out
+
+
 def repeated_passages(docs: DataFrame, run: int = RUN) -> DataFrame:
     """``(doc_id, start, stop, n_words, keep_doc_id, class_id, removed)``: every run of at least ``run`` words of
-    neighbouring repeated paragraphs, places in characters.
+    neighbouring repeated paragraphs, and what lies outside them of passages that are repeated word for word and
+    have EXACT words or more; places in characters.
 
     ``removed`` says whether the run is to go; the run that stays is a row as well. ``keep_doc_id`` is the document
     that keeps the run's first paragraph, ``class_id`` that paragraph's component. Paragraphs too short to compare are
@@ -220,11 +408,13 @@ def repeated_passages(docs: DataFrame, run: int = RUN) -> DataFrame:
     goes_on = F.coalesce((F.lag("unit").over(order) == F.col("unit") - 1) & F.col("joined"), F.lit(False))
     found = found.withColumn("goes_on", goes_on).withColumn("island", F.sum((~F.col("goes_on")).cast("int")).over(order))
     runs = found.groupBy("doc_id", "removed", "island").agg(
-        F.min(F.struct("unit", "start", "keep_doc_id", "class_id")).alias("head"), F.max("stop").alias("stop"),
+        F.min(F.struct("unit", "start", "word", "keep_doc_id", "class_id")).alias("head"), F.max("stop").alias("stop"),
         F.sum(F.col("n_words") + F.when(F.col("goes_on"), F.col("n_short")).otherwise(0)).alias("n_words"))
-    return runs.filter(F.col("n_words") >= run).select(
+    runs = tables.materialize(runs.filter(F.col("n_words") >= run).select(
         "doc_id", F.col("head.start").alias("start"), "stop", "n_words", F.col("head.keep_doc_id").alias("keep_doc_id"),
-        F.col("head.class_id").alias("class_id"), "removed")
+        F.col("head.class_id").alias("class_id"), "removed", F.col("head.word").alias("word")))
+    more = exact_passages(docs, runs, run)
+    return runs.drop("word").unionByName(more)
 
 
 def without_repeats(docs: DataFrame, run: int = RUN) -> DataFrame:
