@@ -78,3 +78,14 @@ def test_windows_share_a_sample():
     for _ in range(200):
         a, b = (passages.sampled(passages.hashed(words(rnd.randrange(60), rnd) + " " + passage + " " + words(rnd.randrange(60), rnd)))[1] for _ in "ab")
         assert set(a.tolist()) & set(b.tolist())
+
+
+def test_passages_in_stretches_without_sentence_end(spark):
+    rnd = random.Random(24)
+    texts = []
+    for n in (50, 51, 60, 80, 100, 300):
+        p = words(n, rnd)
+        texts += [words(rnd.randrange(90, 200), rnd) + " " + p + " " + words(rnd.randrange(90, 200), rnd) for _ in range(2)]
+    rows = assert_found(spark, texts)
+    assert {r["doc_id"] for r in rows if r["removed"]} == {1, 3, 5, 7, 9, 11}
+    assert {r["keep_doc_id"] for r in rows} == {0, 2, 4, 6, 8, 10}
