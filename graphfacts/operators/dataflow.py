@@ -129,10 +129,12 @@ def boolean(nodes: DataFrame, edges: DataFrame, settings: DataFrame, entries: Da
 
 def reaching_definitions(edges: DataFrame, definitions: DataFrame, cut: DataFrame | None = None) -> Flow:
     """Which ``definitions(graph_id, node, target, definition)`` may reach each node: a definition dies at
-    every other definition of its target. ``cut(graph_id, src, dst)`` lists edges nothing crosses (call to
-    return, in the interprocedural form)."""
+    every other definition of its target. ``cut(graph_id, src, dst, label)`` lists edges nothing crosses (call
+    to return, in the interprocedural form); without a label it cuts every edge between the two nodes, with one
+    only the edge so labelled."""
     if cut is not None:
-        edges = edges.join(cut.select(G, "src", "dst"), [G, "src", "dst"], "left_anti")
+        edge = [G, "src", "dst"] + [c for c in ("label",) if c in cut.columns and c in edges.columns]
+        edges = edges.join(cut.select(*edge), edge, "left_anti")
     gen = definitions.select(G, "node", F.col("definition").alias("fact"))
     return killing_flow(edges, gen, definitions.select(G, "node", "target"), definitions.select(G, F.col("definition").alias("fact"), "target"))
 

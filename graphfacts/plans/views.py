@@ -98,8 +98,8 @@ VIEWS: dict[str, str] = {
         SELECT graph_id, id * 10 AS src, id * 10 + 1 AS dst, 'normal' AS label, cast(NULL AS bigint) AS call FROM supp_nodes
         UNION ALL SELECT graph_id, id * 10 + 2, id * 10 + 3, 'normal', NULL FROM supp_nodes
         UNION ALL SELECT graph_id, id * 10 + 4, id * 10 + 5, 'normal', NULL FROM supp_nodes
-        UNION ALL SELECT graph_id, id * 10 + 1, id * 10 + 2, 'call_to_return', NULL FROM supp_rich
-        UNION ALL SELECT graph_id, id * 10 + 3, id * 10 + 4, 'call_to_return', NULL FROM supp_rich
+        UNION ALL SELECT DISTINCT c.graph_id, c.site, c.site + 1, 'call_to_return', cast(NULL AS bigint)
+            FROM call_edges c JOIN supp_rich r ON r.graph_id = c.graph_id AND r.id = c.src
         UNION ALL SELECT n.graph_id, n.id, n.id + 1, 'call_none_to_return', NULL
             FROM (SELECT graph_id, id * 10 + 1 AS id FROM supp_nodes UNION ALL SELECT graph_id, id * 10 + 3 FROM supp_nodes) n
             LEFT JOIN call_edges c ON c.graph_id = n.graph_id AND c.site = n.id WHERE c.site IS NULL

@@ -107,7 +107,7 @@ FARTHEST = "(SELECT graph_id, max(id) AS id FROM supp_low GROUP BY graph_id)"
         SELECT n.graph_id, unnest(range(0, n.d + 1)) AS i, true AS is_edge
         FROM (SELECT h.graph_id, min(CASE WHEN h.id = l.id THEN 0 ELSE d END) AS d FROM supp_high h JOIN supp_low l ON l.graph_id = h.graph_id
               LEFT JOIN t ON t.graph_id = h.graph_id AND t.src = h.id AND t.dst = l.id GROUP BY 1) n WHERE n.d IS NOT NULL) GROUP BY 1""",
-       shortest("t", "succ", "src IN (SELECT id FROM supp_high)"))
+       shortest("t", "succ", "(graph_id, src) IN (SELECT (graph_id, id) FROM supp_high)"))
 def _(s):
     edges = tables.materialize(s.succ)
     p = tables.materialize(paths.shortest_path(edges, s.supp_high, s.supp_low))
@@ -161,8 +161,8 @@ def _(s):
     return paths.simple_paths(s.dag23, sources, root, max_paths=50_000_000)
 
 
-@query("g7_one_path", "SELECT graph_id, CAST(min(d) + 1 AS INTEGER) AS nodes FROM t WHERE dst IN (SELECT id FROM supp_low) GROUP BY 1",
-       shortest("t", "succ", "src IN (SELECT id FROM supp_root)"))
+@query("g7_one_path", "SELECT graph_id, CAST(min(d) + 1 AS INTEGER) AS nodes FROM t WHERE (graph_id, dst) IN (SELECT (graph_id, id) FROM supp_low) GROUP BY 1",
+       shortest("t", "succ", "(graph_id, src) IN (SELECT (graph_id, id) FROM supp_root)"))
 def _(s):
     targets = s.supp_low
     return paths.one_path(s.succ, s.supp_root, targets).select(G, F.size("path").alias("nodes"))
@@ -342,17 +342,22 @@ def _(s):
     return dominance.control_dependence(tables.materialize(s.succ), s.supp_root)
 
 
-@query("g24_colouring", """
-    SELECT n.graph_id, count(DISTINCT n.id) AS nodes, 0::BIGINT AS conflicts, true AS within_degree FROM supp_nodes n GROUP BY 1""")
+# one node of each graph per round, in the order (degree, id): the smallest colour its coloured neighbours leave free
+FIRST_FIT = """
+    pairs AS MATERIALIZED (SELECT graph_id, src, dst FROM succ UNION SELECT graph_id, dst, src FROM succ),
+    ranked AS MATERIALIZED (SELECT n.graph_id, n.id, coalesce(d.degree, 0) AS degree, row_number() OVER (PARTITION BY n.graph_id ORDER BY coalesce(d.degree, 0), n.id) AS rk
+        FROM supp_nodes n LEFT JOIN (SELECT graph_id, src AS id, count(*) AS degree FROM pairs GROUP BY 1, 2) d ON d.graph_id = n.graph_id AND d.id = n.id),
+    paint(graph_id, id, rk, colour) USING KEY (graph_id, id) AS (
+        SELECT graph_id, id, rk, 0::BIGINT FROM ranked WHERE rk = 1
+        UNION SELECT n.graph_id, n.id, n.rk, list_min(list_filter(range(0, n.degree + 1), lambda c: NOT list_contains(coalesce(u.used, []), c)))
+        FROM paint p JOIN ranked n ON n.graph_id = p.graph_id AND n.rk = p.rk + 1
+        LEFT JOIN (SELECT e.graph_id, e.src AS id, list(x.colour) AS used FROM pairs e JOIN recurring.paint x ON x.graph_id = e.graph_id AND x.id = e.dst GROUP BY 1, 2) u
+            ON u.graph_id = n.graph_id AND u.id = n.id)"""
+
+
+@query("g24_colouring", "SELECT graph_id, id, CAST(colour AS INTEGER) AS colour FROM paint", FIRST_FIT)
 def _(s):
-    edges = tables.materialize(s.succ)
-    c = tables.materialize(graph.colour(s.supp_nodes, edges))
-    side = lambda e: c.select(G, F.col("id").alias(e), F.col("colour").alias(f"{e}_colour"))
-    bad = edges.join(side("src"), [G, "src"]).join(side("dst"), [G, "dst"]).groupBy(G).agg(
-        F.count_if(F.col("src_colour") == F.col("dst_colour")).alias("conflicts"))
-    deg = graph.degrees(s.supp_nodes, edges.unionByName(graph.invert(edges)).distinct())
-    ok = c.join(deg, [G, "id"]).groupBy(G).agg(F.count(F.lit(1)).alias("nodes"), F.bool_and(F.col("colour") <= F.col("out_degree")).alias("within_degree"))
-    return ok.join(bad, G).select(G, "nodes", "conflicts", "within_degree")
+    return graph.colour(s.supp_nodes, tables.materialize(s.succ))
 
 
 STEPS = "SELECT graph_id, src, dst, label FROM step_pairs WHERE dst IS NOT NULL"

@@ -8,7 +8,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import __spark_entry__ as entry_point
 
 FOLDER = "/root/testdata/sf0.001"
-SOME = ["f7_quantifiers", "a9_degrees", "g1_reachable", "g10_condensation", "h8_j3_possible_targets", "k2_v2_may_in", "l20_states_in_log", "o2_compare", "x2_descriptors"]
+# COMPARE_ALL=1 compares every registered query with its SQL (some 40 minutes); before a change of the views is committed
+COMPARED = "/root/testdata/sf0.01"
+SOME = ["g5_shortest_path", "g7_one_path", "g24_colouring", "f7_quantifiers", "a9_degrees", "g1_reachable", "g10_condensation", "h8_j3_possible_targets", "k2_v2_may_in", "l20_states_in_log", "o2_compare", "x2_descriptors"]
 
 
 def plain(v):
@@ -24,15 +26,15 @@ def test_every_operator_family_is_registered():
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", sorted(entry_point.oracle_sql()) if os.environ.get("COMPARE_ALL") else SOME)
 def test_query_equals_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     from graphfacts.plans.views import TABLES
 
     con = duckdb.connect()
     for t in TABLES:
-        con.execute(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
-    df = entry_point.queries()[name](spark, FOLDER)
+        con.execute(f"create view {t} as select * from '{COMPARED}/{t}.parquet'")
+    df = entry_point.queries()[name](spark, COMPARED)
     r = con.execute(entry_point.oracle_sql()[name])
     cols = [c[0] for c in r.description]
     assert sorted(cols) == sorted(df.columns)
