@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from graphfacts.llm import bpe, exact, licences, neighbours, packing, passages, quality, repair, sharding, simhash, warc
+from graphfacts.llm import bpe, centroids, exact, licences, neighbours, packing, passages, quality, repair, sharding, simhash, warc
 
 TOKENIZER = corpus_pipeline.TOKENIZER
 
@@ -34,6 +34,7 @@ QUERIES: dict[str, Query] = {
     "op8_passages": _over("documents", passages.repeated_passages),
     "op9_simhash": _over("documents", simhash.near_duplicates),
     "op10_neighbours": _over("embeddings", lambda vectors: neighbours.neighbours(vectors, F.col("vec_id") % 20 == 0)),
+    "op11_centroids": _over("embeddings", centroids.clusters),
     "op13_repair": _over("conversations", repair.structure_repair),
     "pipeline": corpus_pipeline.run,
 }
@@ -43,6 +44,7 @@ ORACLES: dict[str, str] = {
     "op3_warc": warc.SQL,
     "op5_exact_dedup": exact.SQL,
     "op6_sharding": sharding.SQL,
+    "op11_centroids": centroids.sql(),
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
