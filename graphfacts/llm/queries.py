@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from graphfacts.llm import bpe, centroids, exact, licences, neighbours, packing, passages, quality, repair, sharding, simhash, warc
+from graphfacts.llm import bpe, centroids, exact, licences, neighbours, packing, passages, pii, quality, repair, sharding, simhash, warc
 
 TOKENIZER = corpus_pipeline.TOKENIZER
 
@@ -35,6 +35,7 @@ QUERIES: dict[str, Query] = {
     "op9_simhash": _over("documents", simhash.near_duplicates),
     "op10_neighbours": _over("embeddings", lambda vectors: neighbours.neighbours(vectors, F.col("vec_id") % 20 == 0)),
     "op11_centroids": _over("embeddings", centroids.clusters),
+    "op12_pii": _over("documents", pii.personal_data),
     "op13_repair": _over("conversations", repair.structure_repair),
     "pipeline": corpus_pipeline.run,
 }
