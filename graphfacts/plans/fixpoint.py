@@ -54,9 +54,13 @@ class Log:
         self._typed = [F.col(f.name).cast(f.dataType.simpleString()).alias(f.name) for f in first.schema.fields]
         self._picked = [f(c).alias(c) for c, f in self.pick.items()]
         self._df: DataFrame | None = None
+        self._superseded: list[tables.Written] = []
 
     def add(self, run: tables.Written) -> None:
+        """One more run, the last round's rows. Runs that were merged a round ago, which no open plan reads now, are dropped."""
         self._df = None
+        tables.drop(*self._superseded)
+        self._superseded = []
         self.runs.append((0, run))
         self.rows += run.rows
         while len(self.runs) >= FAN_IN:
@@ -66,6 +70,7 @@ class Log:
                 return
             merged = tables.write(self._read(tail))
             self.runs[-FAN_IN:] = [(tier + 1, merged)]
+            self._superseded += [w for _, w in tail]
 
     def _read(self, runs: list[tuple[int, tables.Written]]) -> DataFrame:
         return tables.read_all(self.spark, self.schema, [w.path for _, w in runs])

@@ -4,12 +4,17 @@ A recursive query must cut its lineage now and then. It does so by writing a par
 shared folder named by ``spark.checkpoint.dir`` and reading it back: the table survives the loss of
 executors, its size is known exactly to the planner (so Spark broadcasts it only below
 ``spark.sql.autoBroadcastJoinThreshold``), and the row count comes from the write itself.
+
+Tables live until their :func:`scope` ends or somebody who knows that nothing reads them any more drops them.
 """
 
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -62,7 +67,10 @@ def write(df: DataFrame) -> Written:
     path = f"{work_dir(spark)}/graphfacts/{uuid.uuid4().hex}"
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
-    return Written(path, df.schema, seen.get["n"], spark)
+    done = Written(path, df.schema, seen.get["n"], spark)
+    if scopes := _scopes():
+        scopes[-1].tables.append(done)
+    return done
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -70,6 +78,53 @@ def materialize(df: DataFrame) -> DataFrame:
     return write(df).df
 
 
+def drop(*gone: Written) -> None:
+    """Deletes written tables that nothing will read again, not even a plan that was built but not yet run."""
+    for table in gone:
+        context = table.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Scope:
+    """The tables written while a scope is the innermost one of its thread."""
+
+    def __init__(self) -> None:
+        self.tables: list[Written] = []
+        self.kept: list[Written] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df``, written, which outlives the scope: it belongs to the one outside, if there is one."""
+        done = write(df)
+        self.tables.remove(done)
+        self.kept.append(done)
+        return done.df
+
+
+_open = threading.local()
+
+
+def _scopes() -> list[Scope]:
+    if not hasattr(_open, "scopes"):
+        _open.scopes = []
+    return _open.scopes
+
+
+@contextmanager
+def scope() -> Iterator[Scope]:
+    """Drops, at its end, the tables that were written in it, except those that were kept. What leaves the block must not
+    read the others: return what was kept."""
+    own = Scope()
+    _scopes().append(own)
+    try:
+        yield own
+    finally:
+        _scopes().remove(own)
+        if outer := _scopes():
+            outer[-1].tables += own.kept
+        drop(*own.tables)
+
+
 def read_all(spark: SparkSession, schema: StructType, paths: list[str]) -> DataFrame:
     """One scan over several written tables of the same schema."""
     return spark.read.schema(schema).parquet(*paths)
