@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame
 
 from graphfacts.llm.shared import columns, remembers, text_of, working
 
-#: Words and chunks whose encoding a worker keeps (two generations of each at most), and the longest that is kept.
-KEEP_WORDS, KEEP_CHUNKS, KEEP_CHARS = 120_000, 150_000, 48
+#: Words and chunks whose encoding a worker keeps (two generations of each at most), and the longest that is kept. A
+#: pipeline whose workers hold other things as well names less.
+KEEP, KEEP_CHARS = 250_000, 48
 
 # The word pattern of the tokenizer file restricted to ASCII and Latin-1 letters, where the standard
 # library agrees with it; other chunks go through the file's own normaliser and pre-tokenizer.
@@ -123,7 +124,7 @@ class Codec:
     words (the same ids, sooner); otherwise the segment tree does.
     """
 
-    def __init__(self, path: str, form: Callable, by_library: bool = False):
+    def __init__(self, path: str, form: Callable, by_library: bool = False, keep: int = KEEP):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -134,6 +135,8 @@ class Codec:
         self.tokens = [""] * (max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]) + 1)
         for token, i in vocab.items():
             self.tokens[i] = token
+        if len(self.tokens) > 1 << 16:
+            raise ValueError("token ids are packed in 16 bits")
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for token, i in self.added.items():
             self.tokens[i] = token
@@ -150,8 +153,8 @@ class Codec:
         shown = lambda text: "".join(p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text))
         self.shown = {ord(c): shown(c) for c in map(chr, [*range(33, 127), *range(192, 256)]) if c not in "×÷"}
         self.by_library = by_library
-        self.words = Kept(self._word, KEEP_WORDS)
-        self.chunks = Kept(lambda chunk: form(self._chunk(chunk)), KEEP_CHUNKS)
+        self.words = Kept(self._word, keep)
+        self.chunks = Kept(lambda chunk: form(self._chunk(chunk)), keep)
         self.form = form
 
     def _word(self, piece: str) -> list[int]:
@@ -194,8 +197,10 @@ class Codec:
 
 @lru_cache(maxsize=2)
 def _digest_codec(path: str) -> Codec:
-    def form(ids: list[int]) -> tuple:
-        return (len(ids), " ".join([digits[i] for i in ids]), codec.decode(ids)) if ids else (0, None, None)
+    """Each chunk as the bytes that both digests take of it, and its number of ids; None if it has none."""
+
+    def form(ids: list[int]) -> tuple | None:
+        return (" ".join([digits[i] for i in ids]).encode(), codec.decode(ids).encode(), len(ids)) if ids else None
 
     codec = Codec(path, form)
     digits = [str(i) for i in range(len(codec.tokens))]
@@ -203,9 +208,9 @@ def _digest_codec(path: str) -> Codec:
 
 
 @lru_cache(maxsize=2)
-def id_codec(path: str) -> Codec:
+def id_codec(path: str, keep: int = KEEP) -> Codec:
     """Each chunk as packed 16-bit ids; words are merged by the library."""
-    return Codec(path, lambda ids: array("H", ids).tobytes(), by_library=True)
+    return Codec(path, lambda ids: array("H", ids).tobytes(), by_library=True, keep=keep)
 
 
 def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -261,10 +266,10 @@ def round_trip_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
         for doc, texts in columns(batches, "doc_id", "text"):
             counts, of_ids, of_text = [], [], []
             for t in texts:
-                parts = [p for p in codec.encode(t) if p[0]]
-                counts.append(sum([p[0] for p in parts]))
-                of_ids.append(sha256(" ".join([p[1] for p in parts]).encode()).hexdigest())
-                of_text.append(sha256(" ".join([p[2] for p in parts]).encode()).hexdigest())
+                ids, decoded, n = tuple(zip(*filter(None, codec.encode(t)))) or ((), (), ())
+                counts.append(sum(n))
+                of_ids.append(sha256(b" ".join(ids)).hexdigest())
+                of_text.append(sha256(b" ".join(decoded)).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(doc, kind), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_text)],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 
-from graphfacts.llm.bpe import id_codec
+from graphfacts.llm.bpe import KEEP, id_codec
 from graphfacts.llm.shared import text_of, working
 
 TIERS = (256, 512, 1024, 2048)
@@ -126,18 +126,19 @@ def _pieces(docs: list, ids: list[bytes], kind: pa.DataType, first_sequence: int
     return pa.RecordBatch.from_arrays(arrays, list(FIELDS)), len(packed), max(group) + 1
 
 
-def packed_documents(docs: DataFrame, tokenizer: str, pool: int = POOL) -> DataFrame:
+def packed_documents(docs: DataFrame, tokenizer: str, pool: int = POOL, keep: int = KEEP) -> DataFrame:
     """One row per piece: ``(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_id)``.
 
     ``start`` counts within the document, ``offset`` within the sequence. Null and empty texts are the end token
     alone; texts of any length are cut into full windows first; every input row is packed, repeated rows and null
     identifiers too. ``sequence_id`` and ``step_id`` are unique, not gapless: the partition's number stands in the
-    upper bits. Other columns are ignored; an empty table gives an empty result.
+    upper bits. ``keep`` bounds the memory of recurring words. Other columns are ignored; an empty table gives an empty
+    result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working("bpe")
-        codec, end = id_codec(tokenizer), END.to_bytes(2, "little")
+        codec, end = id_codec(tokenizer, keep), END.to_bytes(2, "little")
         sequence = step = TaskContext.get().partitionId() << 32
         names, ids, held = [], [], 0
         for batch in batches:
