@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphfacts.llm.shared import kept_rows, text_of
+from graphfacts.llm.shared import FIRST, kept_rows, text_key, text_of
 from graphfacts.plans import tables
 
 #: Digests whose winners may be broadcast, and counters of the sketch: both fixed, so the broadcast side is at most
@@ -23,8 +23,9 @@ SPACES = r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]"
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """``(doc_id, digest)``: SHA-256 of each whole text, white space normalised; a null text counts as empty."""
-    return text_of(docs).select("doc_id", F.unhex(F.sha2(F.regexp_replace("text", SPACES, " ").cast("binary"), 256)).alias("digest"))
+    """``(doc_id, text_key, digest)``: SHA-256 of each whole text, white space normalised; a null text counts as empty.
+    ``text_key`` tells texts apart as they are."""
+    return text_of(docs).select("doc_id", text_key(F.col("text")).alias("text_key"), F.unhex(F.sha2(F.regexp_replace("text", SPACES, " ").cast("binary"), 256)).alias("digest"))
 
 
 def frequent(keys: DataFrame, column: str, heavy: int = HEAVY, tracked: int = TRACKED) -> list:
@@ -34,6 +35,21 @@ def frequent(keys: DataFrame, column: str, heavy: int = HEAVY, tracked: int = TR
     return [x["item"] for x in top or [] if x["item"] is not None]
 
 
+def judged(docs: DataFrame, heavy: int = HEAVY, tracked: int = TRACKED) -> DataFrame:
+    """``(doc_id, text_key, digest, first, group_size)``, one row per input row: ``first`` names the row of its group that stays."""
+    rows = tables.materialize(digests(docs)).withColumn("key", F.xxhash64("digest"))
+    hot = frequent(rows, "key", heavy, tracked)
+    winners = (rows.filter(F.col("key").isin(hot)).groupBy("digest")
+               .agg(F.min(F.expr(FIRST)).alias("first"), F.count(F.lit(1)).alias("group_size"), F.lit(True).alias("verified")))
+    # at most one row per frequent digest, computed once; bounded by `heavy`
+    marked = rows.join(F.broadcast(tables.materialize(winners)), "digest", "left")
+    same = Window.partitionBy("digest")
+    names = ["doc_id", "text_key", "digest", "first", "group_size"]
+    rest = (marked.filter("verified IS NULL").select("doc_id", "text_key", "digest")
+            .select("*", F.min(F.expr(FIRST)).over(same).alias("first"), F.count(F.lit(1)).over(same).alias("group_size")))
+    return marked.filter("verified").select(*names).unionByName(rest)
+
+
 def exact_duplicates(docs: DataFrame, heavy: int = HEAVY, tracked: int = TRACKED) -> DataFrame:
     """``(doc_id, keep_id, group_size, kept, text_sha256)``, one row per input row.
 
@@ -43,24 +59,17 @@ def exact_duplicates(docs: DataFrame, heavy: int = HEAVY, tracked: int = TRACKED
     same text are one document: all get the same verdict and all count in ``group_size``. Other columns are ignored;
     an empty table gives an empty result.
     """
-    rows = tables.materialize(digests(docs)).withColumn("key", F.xxhash64("digest"))
-    hot = frequent(rows, "key", heavy, tracked)
-    winners = (rows.filter(F.col("key").isin(hot)).groupBy("digest")
-               .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.lit(True).alias("verified")))
-    # at most one row per frequent digest, computed once; bounded by `heavy`
-    marked = rows.join(F.broadcast(tables.materialize(winners)), "digest", "left")
-    same = Window.partitionBy("digest")
-    names = ["doc_id", "digest", "keep_id", "group_size"]
-    rest = (marked.filter("verified IS NULL").select("doc_id", "digest")
-            .select("doc_id", "digest", F.min("doc_id").over(same).alias("keep_id"), F.count(F.lit(1)).over(same).alias("group_size")))
-    return marked.filter("verified").select(*names).unionByName(rest).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"))
+    keep = F.col("first.doc_id")
+    return judged(docs, heavy, tracked).select(
+        "doc_id", keep.alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns; of rows repeating an identifier, one."""
-    return kept_rows(docs, exact_duplicates(docs).select("doc_id", "kept"))
+    """One row of each group of equal texts, with all its columns: that of the smallest ``doc_id``, null ones last, and if
+    that identifier has several writings of the text, of the smallest ``text_key``. Distinct texts all stay, whether they
+    share an identifier or have none."""
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    return kept_rows(docs, judged(docs).select("doc_id", "text_key", stays.alias("kept")))
 
 
 SQL = r"""

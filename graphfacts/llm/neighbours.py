@@ -14,6 +14,7 @@ coordinate that brings every vector to the greatest length.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import exp
 from typing import NamedTuple
 
@@ -25,7 +26,7 @@ from pyspark.sql.window import Window
 
 from graphfacts.plans import tables
 
-DIMENSIONS, CONFIDENCE, SEED = 10, 0.95, 20
+DIMENSIONS, CONFIDENCE, SEED = 10, 0.97, 20
 #: Rows aimed at in a block, most cells, and the sample of projected vectors that the cells are cut by.
 CELL, CELLS, SAMPLE = 4096, 4096, 20_000
 LEAF, FIRST, QUERY_BLOCKS, CHUNK = 64, 3, 16, 512
@@ -201,20 +202,23 @@ def neighbours(embeddings: DataFrame, asked: Column, k: int = 20, confidence: fl
     product, itself excepted, nearest first, ties to the smaller identifier.
 
     Each true neighbour is missed with a probability of at most about ``1 - confidence``. Vectors that are null, zero or
-    hold null or non-finite components take no part, nor do vectors shorter than the longest. Rows that repeat an
-    identifier count once for each of its distinct vectors, as candidates. Other columns are ignored; with no
-    candidates a query has no rows, and an empty table gives an empty result.
+    hold null or non-finite components take no part. A product exists between vectors of one length only, so each length
+    is searched on its own. Rows that repeat an identifier count once for each of its distinct vectors, as candidates.
+    Other columns are ignored; with no candidates a query has no rows, and an empty table gives an empty result.
 
     The cells are cut by a sample of at most SAMPLE rows; every row is indexed. The driver holds that sample and a box
     and a count for each of at most CELLS cells; cells that outgrow a block are split by hash.
     """
     spark = embeddings.sparkSession
     rows = usable(embeddings).distinct()
-    total, width, longest = rows.agg(
-        F.count(F.lit(1)), F.max(F.size("vector")), F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))).first()
-    if not total:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.filter(F.size("vector") == width)
+    lengths = rows.groupBy(F.size("vector").alias("width")).agg(
+        F.count(F.lit(1)).alias("total"), F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)).alias("longest")).orderBy("width").collect()
+    parts = [_of_one_length(rows.filter(F.size("vector") == n["width"]), asked, k, confidence, dimensions, **n.asDict()) for n in lengths]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _of_one_length(rows: DataFrame, asked: Column, k: int, confidence: float, dimensions: int, width: int, total: int, longest: float) -> DataFrame:
+    spark = rows.sparkSession
     space = Space(np.random.default_rng(SEED).normal(size=(width + 1, dimensions)), float(np.sqrt(longest)))
 
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").toArrow()

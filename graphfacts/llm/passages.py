@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from graphfacts.llm.shared import classes, remembers, sieved, text_of, unused, working
+from graphfacts.llm.shared import classes, remembers, sieved, text_key, text_of, unused, working
 from graphfacts.plans import tables
 
 SHINGLE, SIMILAR, RECALL, ROWS = 5, 0.8, 0.99, 2
@@ -88,10 +88,8 @@ def paragraphs(text: str, least: int = LEAST, long: int = LONG, every: int = EVE
     return [p for p in pieces(text, long, every) if len(p[2]) >= least]
 
 
-def signatures(units: list[list[str]], n_bands: int, rows: int = ROWS, shingle: int = SHINGLE) -> np.ndarray:
-    """The band keys of word lists of at least ``shingle`` words each, one row per list."""
-    sizes = np.array([len(u) for u in units])
-    words = np.array([_hashes[w] for u in units for w in u], np.uint64)
+def signatures(sizes: np.ndarray, words: np.ndarray, n_bands: int, rows: int = ROWS, shingle: int = SHINGLE) -> np.ndarray:
+    """The band keys of word lists of at least ``shingle`` hashed words each, given one after the other, one row per list."""
     mixed = np.zeros(len(words) - shingle + 1, np.uint64)
     for k in range(shingle):  # polynomial in the words, so that order counts
         mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + words[k:len(words) - shingle + 1 + k]
@@ -100,9 +98,9 @@ def signatures(units: list[list[str]], n_bands: int, rows: int = ROWS, shingle:
     begins = ends - sizes
     left = np.repeat(ends, sizes) - np.arange(len(words))  # words from here to the end of the unit
     kept = mixed[left[:len(mixed)] >= shingle]
-    starts = begins - np.arange(len(units)) * (shingle - 1)
+    starts = begins - np.arange(len(sizes)) * (shingle - 1)
     draw = np.random.default_rng(1)
-    keys = np.zeros((len(units), n_bands), np.uint64)
+    keys = np.zeros((len(sizes), n_bands), np.uint64)
     for b in range(n_bands):
         for _ in range(rows):
             a, c = (int(x) for x in draw.integers(1, 1 << 63, 2))
@@ -115,50 +113,94 @@ def signatures(units: list[list[str]], n_bands: int, rows: int = ROWS, shingle:
     return keys.view(np.int64)
 
 
-def units(docs: DataFrame, n_bands: int) -> DataFrame:
-    """Every compared paragraph of every document with an identifier: ``(doc_id, unit, start, stop, word, n_words,
-    n_short, short, class, b0.., body)``; ``unit`` counts the compared paragraphs of a document, ``word`` the words before, ``class`` hashes the normalised
-    ``body``, ``short`` the ``n_short`` words between the compared paragraph before and this one."""
-    fields = ["doc_id", "unit", "start", "stop", "word", "n_words", "n_short", "short", "class", *[f"b{b}" for b in range(n_bands)], "body"]
+PLACES = ("unit", "start", "stop", "word", "n_words", "n_short", "short", "class")
+
+
+def read(docs: DataFrame, n_bands: int) -> DataFrame:
+    """One row for each of :func:`own_texts`, read once: as parallel arrays its compared paragraphs and its sampled windows.
+
+    ``unit`` counts the compared paragraphs of a document, ``word`` the words before, ``class`` hashes the normalised
+    ``body``, ``short`` the ``n_short`` words between the compared paragraph before and this one; ``b0``... are its band keys.
+    ``at``, ``end`` and ``gram`` are :func:`sampled` windows.
+    """
+    ints, longs = ["unit", "start", "stop", "word", "n_words", "n_short"], ["short", "class", *[f"b{b}" for b in range(n_bands)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working("passages")
-        rows, words, held = [], [], 0
+        rows: list[tuple] = []
+        words: list[np.ndarray] = []
+        bodies: list[str] = []
+        grams: list[tuple[np.ndarray, ...]] = []
+        ids, counts, held = [], [], 0
+
+        def lists(values: pa.Array, sizes: list[int]) -> pa.ListArray:
+            return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), values)
 
         def made() -> pa.RecordBatch:
-            keys = signatures(words, n_bands)
-            bodies = [" ".join(w) for w in words]
-            doc, unit, start, stop, word, n_short, short = zip(*rows)
-            ints = [pa.array(x, pa.int32()) for x in (unit, start, stop, word, [len(w) for w in words], n_short)]
+            table = np.array(rows, np.uint64).reshape(-1, 6)
+            sizes = np.array([len(w) for w in words], np.int64)
+            keys = signatures(sizes, np.concatenate(words), n_bands) if words else np.zeros((0, n_bands), np.int64)
             name = np.array([xxhash.xxh64_intdigest(b.encode("utf-8", "surrogatepass")) for b in bodies], np.uint64).view(np.int64)
+            columns_ = [*(pa.array(table[:, c].astype(np.int32)) for c in range(4)), pa.array(sizes.astype(np.int32)), pa.array(table[:, 4].astype(np.int32)),
+                        pa.array(table[:, 5].copy().view(np.int64)), pa.array(name), *[pa.array(k) for k in np.ascontiguousarray(keys.T)], pa.array(bodies, pa.string())]
+            at = [len(g[0]) for g in grams]
+            found = [pa.array(np.concatenate(c)) for c in zip(*grams)]
             return pa.RecordBatch.from_arrays(
-                [pa.array(doc, kind), *ints, pa.array(np.array(short, np.uint64).view(np.int64)), pa.array(name), *[pa.array(k) for k in np.ascontiguousarray(keys.T)], pa.array(bodies)], fields)
+                [pa.array(ids, kind), *[lists(c, counts) for c in columns_], *[lists(c, at) for c in found]],
+                ["doc_id", *ints, *longs, "body", "at", "end", "gram"])
 
         for batch in batches:
             docs_, texts = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text"))
             for i in range(batch.num_rows):
-                doc = docs_[i].as_py()
                 n, word, between = 0, 0, []
-                for start, stop, own in pieces(texts[i].as_py()):
-                    word += len(own)
-                    if len(own) < LEAST:
-                        between += own
+                own = pieces(texts[i].as_py())
+                hashes = np.array([_hashes[w] for _, _, ws in own for w in ws], np.uint64)
+                for start, stop, ws in own:
+                    first, word = word, word + len(ws)
+                    if len(ws) < LEAST:
+                        between += ws
                         continue
-                    short = xxhash.xxh64_intdigest(" ".join(between).encode("utf-8", "surrogatepass"))
-                    rows.append((doc, n, start, stop, word - len(own), len(between), short))
+                    rows.append((n, start, stop, first, len(between), xxhash.xxh64_intdigest(" ".join(between).encode("utf-8", "surrogatepass"))))
                     n, between = n + 1, []
-                    words.append(own)
-                    held += len(own)
-                    if held >= FLUSH:
-                        yield made()
-                        rows, words, held = [], [], 0
-        if rows:
+                    words.append(hashes[first:word])
+                    bodies.append(" ".join(ws))
+                places, keys = sampled(hashes)
+                if n or len(places):
+                    ids.append(docs_[i].as_py())
+                    counts.append(n)
+                    grams.append((places.astype(np.int32), np.minimum(places + EXACT, len(hashes)).astype(np.int32), keys.view(np.int64)))
+                    held += word
+                if held >= FLUSH:
+                    yield made()
+                    rows, words, bodies, grams, ids, counts, held = [], [], [], [], [], [], 0
+        if ids:
             yield made()
 
-    rows_ = text_of(docs).filter("doc_id IS NOT NULL")
+    rows_ = own_texts(docs)
     kind = to_arrow_type(rows_.schema["doc_id"].dataType)
-    types = [rows_.schema["doc_id"].dataType.simpleString(), *["int"] * 6, *["long"] * (n_bands + 2), "string"]
-    return rows_.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in zip(fields, types)))
+    types = [*[f"{c} array<int>" for c in ints], *[f"{c} array<long>" for c in longs], "body array<string>", "at array<int>", "end array<int>", "gram array<long>"]
+    return rows_.mapInArrow(run, f"doc_id {rows_.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"`{t.split()[0]}` {t.split()[1]}" for t in types))
+
+
+def shared_ids(docs: DataFrame) -> tables.Written:
+    """``(id, own)`` of the identifiers that several texts share: the key of the text that takes part under it."""
+    keys = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), text_key(F.col("text")).alias("key"))
+    return tables.write(keys.groupBy("id").agg(F.min("key").alias("own"), F.max("key").alias("last")).filter("own < last").drop("last"))
+
+
+def own_texts(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text)`` of the rows that take part: those with an identifier, and of texts that share one the first by
+    their key."""
+    rows, shared = text_of(docs).filter("doc_id IS NOT NULL"), shared_ids(docs)
+    if not shared.rows:
+        return rows
+    return rows.join(shared.df, F.col("doc_id") == F.col("id"), "left").filter(
+        F.col("own").isNull() | (F.col("own") == text_key(F.col("text")))).select("doc_id", "text")
+
+
+def listed(read_: DataFrame, *names: str) -> DataFrame:
+    """``doc_id`` and the named arrays of :func:`read`, one row for each place in them; no other array is scanned."""
+    return read_.select("doc_id", F.inline(F.arrays_zip(*names)))
 
 
 def shingles(body: Column, shingle: int = SHINGLE) -> Column:
@@ -168,21 +210,21 @@ def shingles(body: Column, shingle: int = SHINGLE) -> Column:
                                         lambda i: F.xxhash64(F.array_join(F.slice(words, i, shingle), " "))))
 
 
-def links(rows: DataFrame, n_bands: int, similar: float = SIMILAR) -> DataFrame:
-    """``(a, b)``: classes whose shingle sets have at least the given Jaccard similarity, of those that collide in a band.
+def links(read_: DataFrame, n_bands: int, similar: float = SIMILAR) -> DataFrame:
+    """``(a, b)``: classes of :func:`read` paragraphs whose shingle sets have at least the given Jaccard similarity, of those that collide in a band.
 
     Equal paragraphs were made one class before, so copies do not meet here; the similarity is part of the join's
     condition, so only linked pairs leave a bucket.
     """
     names = [f"b{b}" for b in range(n_bands)]
-    distinct = rows.groupBy("class").agg(*[F.min(b).alias(b) for b in names])
+    distinct = listed(read_, "class", *names).groupBy("class").agg(*[F.min(b).alias(b) for b in names])
     keyed = distinct.select("class", F.explode(F.array(*names)).alias("key"))
     bucket = Window.partitionBy("key")
     met = (keyed.withColumn("low", F.min("class").over(bucket)).withColumn("high", F.max("class").over(bucket))
            .filter("low <> high").select("key", F.col("class").alias("id")))
     met = tables.materialize(met)
     asked = met.select("id").distinct()
-    maybe, _ = sieved(rows.select("class", "body"), "class", asked)
+    maybe, _ = sieved(listed(read_, "class", "body").drop("doc_id"), "class", asked)
     bodies = maybe.distinct().join(asked, F.col("class") == F.col("id"), "left_semi").groupBy("class").agg(F.min("body").alias("body"))
     sets = tables.materialize(met.join(bodies.select(F.col("class").alias("id"), shingles(F.col("body")).alias("set")), "id"))
     a, b = (sets.select("key", F.col("id").alias(n), F.col("set").alias(f"set_{n}")) for n in "ab")
@@ -195,12 +237,15 @@ def members(docs: DataFrame, similar: float = SIMILAR, recall: float = RECALL) -
     """``(doc_id, unit, start, stop, word, n_words, n_short, class_id, keep_doc_id, removed, joined)``: every paragraph that has
     an equal or similar one. The first of a component, by identifier and place, stays. ``joined`` says that nothing, or
     the same short text as in the first and a further one, stands between the compared paragraph before and this one."""
-    n = bands(similar, recall)
-    rows = tables.materialize(units(docs, n))
-    near = classes(links(rows, n, similar)).select(F.col("id").alias("class"), F.col("component").alias("class_id"))
+    with tables.scope() as own:
+        return own.keep(_members(tables.materialize(read(docs, bands(similar, recall))), similar, recall))
+
+
+def _members(read_: DataFrame, similar: float = SIMILAR, recall: float = RECALL) -> DataFrame:
+    near = classes(links(read_, bands(similar, recall), similar)).select(F.col("id").alias("class"), F.col("component").alias("class_id"))
     near = tables.materialize(near)
-    places = rows.select("doc_id", "unit", "start", "stop", "word", "n_words", "n_short", "short", "class")
-    counts = places.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+    places = listed(read_, *PLACES)
+    counts = listed(read_, "class").groupBy("class").agg(F.count(F.lit(1)).alias("n"))
     repeated = (counts.filter("n > 1").join(near, "class", "full_outer")
                 .select("class", F.coalesce("class_id", "class").alias("class_id")))
     found = tables.materialize(places.join(tables.materialize(repeated), "class").drop("class"))
@@ -295,16 +340,11 @@ def _repeats(rows: DataFrame, name: str) -> DataFrame:
     return rows.join(tables.materialize(first), name)
 
 
-def exact_passages(docs: DataFrame, runs: DataFrame, run: int = RUN, exact: int = EXACT) -> DataFrame:
+def exact_passages(docs: DataFrame, read_: DataFrame, runs: DataFrame, run: int = RUN, exact: int = EXACT) -> DataFrame:
     """What of the passages of at least ``exact`` words that occur word for word at two places lies outside the given
     ``runs``, in stretches of at least ``run`` words and with the columns of ``runs``; of a copy that goes, outside the
     runs that go. Words are compared in lower case and without regard to white space."""
-    texts = text_of(docs).filter("doc_id IS NOT NULL")
-
-    def sample(row: dict) -> tuple:
-        hashes = hashed(row["text"])
-        places, keys = sampled(hashes, exact)
-        return (places.astype(np.int32), np.minimum(places + exact, len(hashes)).astype(np.int32), keys.view(np.int64))
+    texts = own_texts(docs)
 
     def around(row: dict) -> tuple:
         hashes = hashed(row["text"])
@@ -313,9 +353,8 @@ def exact_passages(docs: DataFrame, runs: DataFrame, run: int = RUN, exact: int
         starts, stops = np.array(spans, np.int32).T
         return at.astype(np.int32), starts[at], stops[at + exact - 1], windows(hashes, exact)[at].view(np.int64)
 
-    grams = tables.materialize(_mapped(texts, sample, "at int, end int, gram long"))
-    again = tables.materialize(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"))
-    maybe, _ = sieved(grams, "gram", again)
+    again = tables.materialize(listed(read_, "gram").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"))
+    maybe, _ = sieved(listed(read_, "at", "end", "gram"), "gram", again)
     grams = tables.materialize(maybe)
     later = tables.materialize(_repeats(grams, "gram").filter(F.struct("doc_id", "at") != F.col("first")).select("doc_id", "at", "end", "gram"))
     # Where less than a run lies between two runs that go, or before the first or after the last, nothing can be left.
@@ -401,36 +440,48 @@ def repeated_passages(docs: DataFrame, run: int = RUN) -> DataFrame:
     that keeps the run's first paragraph, ``class_id`` that paragraph's component. Paragraphs too short to compare are
     part of a run that stands on both sides of them only if the same words stand there in the copy that stays; otherwise
     the run ends there. Null and empty texts have no paragraphs; rows that repeat an identifier and its text count as
-    one document; rows without identifier take no part. Other columns are ignored; an empty table gives an empty result.
+    one document; of distinct texts under one identifier the first by its key takes part; rows without identifier
+    take no part. Other columns are ignored; an empty table gives an empty result.
     """
-    found = members(docs).dropDuplicates(["doc_id", "start", "unit"])
+    with tables.scope() as own:
+        read_ = tables.materialize(read(docs, bands()))
+        with tables.scope() as inner:
+            runs = inner.keep(_runs(_members(read_), run))
+        more = own.keep(exact_passages(docs, read_, runs, run))
+        return own.keep(runs.drop("word")).unionByName(more)
+
+
+def _runs(members_: DataFrame, run: int) -> DataFrame:
+    found = members_.dropDuplicates(["doc_id", "start", "unit"])
     order = Window.partitionBy("doc_id", "removed").orderBy("unit", "start")
     goes_on = F.coalesce((F.lag("unit").over(order) == F.col("unit") - 1) & F.col("joined"), F.lit(False))
     found = found.withColumn("goes_on", goes_on).withColumn("island", F.sum((~F.col("goes_on")).cast("int")).over(order))
     runs = found.groupBy("doc_id", "removed", "island").agg(
         F.min(F.struct("unit", "start", "word", "keep_doc_id", "class_id")).alias("head"), F.max("stop").alias("stop"),
         F.sum(F.col("n_words") + F.when(F.col("goes_on"), F.col("n_short")).otherwise(0)).alias("n_words"))
-    runs = tables.materialize(runs.filter(F.col("n_words") >= run).select(
+    return runs.filter(F.col("n_words") >= run).select(
         "doc_id", F.col("head.start").alias("start"), "stop", "n_words", F.col("head.keep_doc_id").alias("keep_doc_id"),
-        F.col("head.class_id").alias("class_id"), "removed", F.col("head.word").alias("word")))
-    more = exact_passages(docs, runs, run)
-    return runs.drop("word").unionByName(more)
+        F.col("head.class_id").alias("class_id"), "removed", F.col("head.word").alias("word"))
 
 
 def without_repeats(docs: DataFrame, run: int = RUN) -> DataFrame:
     """The documents without the runs that are to go, with all their columns; ``n_chars``, if there is one, is counted
-    anew for texts that were cut. Documents of which nothing but white space is left go."""
-    name, runs, new = unused(docs, "_id", "_runs", "_cut")
-    gone = tables.materialize(
-        repeated_passages(docs, run).filter("removed").groupBy(F.col("doc_id").alias(name))
-        .agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias(runs)))  # bounded by the document
+    anew for texts that were cut. Documents of which nothing but white space is left go. Texts that took no part, being
+    without identifier or not the first under theirs, stay whole."""
+    name, runs, new, own = unused(docs, "_id", "_runs", "_cut", "_own")
+    with tables.scope() as written:
+        shared = shared_ids(docs)
+        cuts = (repeated_passages(docs, run).filter("removed").groupBy(F.col("doc_id").alias(name))
+                .agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias(runs)))  # bounded by the document
+        cuts = cuts.join(shared.df, F.col(name) == F.col("id"), "left").select(name, runs, F.col("own").alias(own))
+        gone = written.keep(cuts)
 
     # what lies between the runs, one after the other; places count characters on both sides
     begin = lambda i: F.when(i == 0, 0).otherwise(F.get(runs, i - 1)["stop"])
     end = lambda i: F.when(i == F.size(runs), F.length("text")).otherwise(F.get(runs, i)["start"])
     cut = F.array_join(F.transform(F.sequence(F.lit(0), F.size(runs)), lambda i: F.substring(F.col("text"), begin(i) + 1, end(i) - begin(i))), "")
 
-    whole = F.col(runs).isNull()
+    whole = F.col(runs).isNull() | F.coalesce(F.col(own) != text_key(F.col("text")), F.lit(False))
     maybe, untouched = sieved(docs, "doc_id", gone.select(name))
     cleaned = (maybe.join(gone, F.col("doc_id") == F.col(name), "left")
                .withColumn(new, F.when(whole, F.col("text")).otherwise(cut)))

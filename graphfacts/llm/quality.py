@@ -27,6 +27,8 @@ ALPHA, COST, EPOCHS = 1.0, 0.1, 8
 ACCEPT = 0.7
 
 KEEP_WORDS = 120_000
+#: Longer words, such as a text without white space, are cut into consecutive pieces, each a word of its own.
+LONGEST = 200
 RUNS = re.compile(r"(.)\1+")
 
 
@@ -44,14 +46,14 @@ class Shapes(dict):
 
     def __missing__(self, key: tuple[str, int]) -> int:
         kinds, length = key
-        return crc32(f"shape {RUNS.sub(r'\1+', kinds)[:12]}{length}".encode("utf-8", "surrogatepass"))
+        return crc32(f"shape {RUNS.sub(r'\1+', kinds)}{length}".encode("utf-8", "surrogatepass"))
 
 
 class Codes(dict):
     """The hashes of words and of their shapes, kept for the words that recur."""
 
     def __missing__(self, word: str) -> int:
-        key = (word[:200].translate(_kinds), min(len(word), 24) // 8)
+        key = (word.translate(_kinds), min(len(word), 24) // 8)
         form = _shapes[key]
         if len(word) <= 24:
             _shapes[key] = form
@@ -69,6 +71,8 @@ def indicators(text: str) -> np.ndarray:
     words = text.split()
     if not words:
         return np.array([crc32(b"no words") % FEATURES], np.int32)
+    if len(text) > LONGEST and any(len(w) > LONGEST for w in words):
+        words = [w[at:at + LONGEST] for w in words for at in range(0, len(w), LONGEST)]
     n = len(words)
     if len(_codes) > KEEP_WORDS:
         _codes.clear()

@@ -7,10 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from graphfacts.llm import bpe, centroids, exact, licences, neighbours, packing, passages, pii, quality, repair, sharding, simhash, warc
+from graphfacts.llm import bpe, centroids, exact, licences, neighbours, packing, passages, pii, pipeline, quality, repair, sharding, simhash, warc
 
-TOKENIZER = corpus_pipeline.TOKENIZER
+TOKENIZER = pipeline.TOKENIZER
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,7 +36,7 @@ QUERIES: dict[str, Query] = {
     "op11_centroids": _over("embeddings", centroids.clusters),
     "op12_pii": _over("documents", pii.personal_data),
     "op13_repair": _over("conversations", repair.structure_repair),
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
@@ -47,5 +46,5 @@ ORACLES: dict[str, str] = {
     "op6_sharding": sharding.SQL,
     "op11_centroids": centroids.sql(),
 }
-if corpus_pipeline.ORACLE_SQL:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+if pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = pipeline.ORACLE_SQL

@@ -106,19 +106,29 @@ def classes(links: DataFrame) -> DataFrame:
     return stars.unionByName(stars.select(F.col("component").alias("id"), "component").distinct())
 
 
+def text_key(text: Column) -> Column:
+    """Sixteen bytes that tell the texts of one identifier, or of none, apart; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+
+
+#: Of several rows the first: the smallest ``doc_id``, null ones last, then the smallest ``text_key``.
+FIRST = "struct(doc_id IS NULL AS nameless, doc_id, text_key)"
+
+
 def kept_rows(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` is kept by some row of ``verdicts(doc_id, kept)``, with all their columns;
-    of rows that repeat an identifier, one.
+    """The rows of ``docs`` that stay by ``verdicts(doc_id, text_key, kept)``, with all their columns. A row is what its identifier
+    and its text are together: of equal ones a single one stays, and a row without a verdict stays.
 
-    The identifiers that go are written first: Spark then knows their size and compares them where the documents lie
-    as long as they are few, and shuffles otherwise.
+    The rows that are judged duplicates are written first: Spark then knows their size and compares them where the
+    documents lie as long as they are few, and shuffles otherwise.
     """
-    name, stays = unused(docs, "_id", "_kept")
-    each = verdicts.groupBy(F.col("doc_id").alias(name)).agg(F.bool_or("kept").alias(stays), F.count(F.lit(1)).alias("n"))
-    special = tables.materialize(each.filter(~F.col(stays) | (F.col("n") > 1)).select(name, stays))
-    same = F.col("doc_id").eqNullSafe(F.col(name))
-    return docs.join(special, same, "left_anti").unionByName(
-        docs.join(special.filter(F.col(stays)), same, "left_semi").dropDuplicates(["doc_id"]))
+    name, own, mine, stays = unused(docs, "_id", "_text", "_key", "_kept")
+    each = verdicts.groupBy(F.col("doc_id").alias(name), F.col("text_key").alias(own)).agg(F.bool_or("kept").alias(stays), F.count(F.lit(1)).alias("n"))
+    special = tables.materialize(each.filter(~F.col(stays) | (F.col("n") > 1)).select(name, own, stays))
+    keyed = docs.withColumn(mine, text_key(F.col("text")))
+    same = F.col("doc_id").eqNullSafe(F.col(name)) & (F.col(mine) == F.col(own))
+    return keyed.join(special, same, "left_anti").unionByName(
+        keyed.join(special.filter(F.col(stays)), same, "left_semi").dropDuplicates(["doc_id", mine])).drop(mine)
 
 
 #: Bits of a sieve: half a megabyte, whatever it was built from.

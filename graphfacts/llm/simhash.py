@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphfacts.llm.shared import ASCII_LOWER, classes, columns, kept_rows, text_of, unsigned_hex, working
+from graphfacts.llm.shared import ASCII_LOWER, FIRST, classes, columns, kept_rows, text_key, text_of, unsigned_hex, working
 from graphfacts.plans import tables
 
 SEGMENTS, WIDTH, BUDGET, SHINGLE, SEED = 4, 16, 3, 3, 42
@@ -38,20 +38,21 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp)``: ``fp`` is the fingerprint as a long. One row per input row; null and empty texts have 0."""
+def fingerprints(docs: DataFrame, *more: Column) -> DataFrame:
+    """``(doc_id, fp)`` and the columns given: ``fp`` is the fingerprint as a long. One row per input row; null and empty texts have 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working("simhash")
-        for doc, texts in columns(batches, "doc_id", "text"):
+        for texts, *others in columns(batches, "text", *names):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, kind), pa.array([fingerprint(t) for t in texts], pa.int64())], ["doc_id", "fp"])
+                [pa.array(own, kind) for own, kind in zip(others, kinds)] + [pa.array([fingerprint(t) for t in texts], pa.int64())], [*names, "fp"])
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     rows = text_of(docs)
-    kind = to_arrow_type(rows.schema["doc_id"].dataType)
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    rows = rows.select("doc_id", *more, "text")
+    names, kinds = rows.columns[:-1], [to_arrow_type(f.dataType) for f in rows.schema.fields[:-1]]
+    return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", fp long")
 
 
 def _turned(fp: Column, segment: int) -> Column:
@@ -88,17 +89,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     and are linked like any other. Null identifiers are carried along but never name a component unless it has no
     other. Other columns are ignored; an empty table gives an empty result.
     """
-    rows = tables.materialize(fingerprints(docs))
-    first = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    first = tables.materialize(first)
-    parts = classes(links(first.select("fp")))
-    grouped = first.join(parts.withColumnRenamed("id", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = tables.materialize(grouped.join(least, "component").select("fp", "component_id"))
+    rows, named = grouped(docs)
     return rows.join(named, "fp").select("doc_id", unsigned_hex("fp").alias("fingerprint"), "component_id")
 
 
+def grouped(docs: DataFrame, *more: Column) -> tuple[DataFrame, DataFrame]:
+    """Written rows ``(doc_id, fp)`` with the columns given, and written ``(fp, component, component_id)`` of every fingerprint."""
+    rows = tables.materialize(fingerprints(docs, *more))
+    first = tables.materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    parts = classes(links(first.select("fp")))
+    each = first.join(parts.withColumnRenamed("id", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = each.groupBy("component").agg(F.min("least").alias("component_id"))
+    return rows, tables.materialize(each.join(least, "component").select("fp", "component", "component_id"))
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents with the smallest identifier of their component, with all their columns; of rows repeating an
-    identifier, one."""
-    return kept_rows(docs, near_duplicates(docs).select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
+    """One row of each component of near-equal texts, with all its columns: that of the smallest ``doc_id``, null ones last,
+    and of the smallest ``text_key`` if that identifier has several of its texts. Texts far from all others stay,
+    whether they share an identifier or have none."""
+    rows, named = grouped(docs, text_key(F.col("text")).alias("text_key"))
+    best = rows.join(named, "fp").groupBy("component").agg(F.min(F.expr(FIRST)).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    verdicts = rows.join(named, "fp").join(tables.materialize(best), "component").select("doc_id", "text_key", stays.alias("kept"))
+    return kept_rows(docs, verdicts)

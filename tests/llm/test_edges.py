@@ -84,6 +84,51 @@ def test_stages_keep_columns_and_cases(spark, tmp_path, stage):
         assert left.count(1) == 1 and left.count(5) == 1 and left.count(2) == 1 and left.count(3) == 0
 
 
+PASSAGE = " ".join(f"again{i}" for i in range(60)) + "."
+OTHERS = [" ".join(f"{name}{i}" for i in range(70)) + "." for name in ("one", "two", "three", "four", "five", "six")]
+
+
+@pytest.mark.parametrize("stage", ["exact_dedup", "simhash", "passages"])
+def test_stages_lose_no_distinct_text(spark, tmp_path, stage):
+    """Distinct texts without identifier, or under one, all stay as they are."""
+    rows = [(None, OTHERS[0]), (None, OTHERS[1]), (None, OTHERS[2]), (1, OTHERS[3]), (1, OTHERS[4]), (2, OTHERS[5])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    out = dict(corpus_pipeline.STAGES)[stage](spark, d, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in out) == sorted((i or 0, t) for i, t in rows)
+
+
+@pytest.mark.parametrize("stage", ["exact_dedup", "simhash"])
+def test_copies_go_whatever_their_identifier(spark, tmp_path, stage):
+    rows = [(None, OTHERS[0]), (None, OTHERS[0]), (7, OTHERS[1]), (7, OTHERS[1]), (7, OTHERS[2]), (3, OTHERS[2]), (None, OTHERS[2]), (9, OTHERS[1])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    out = dict(corpus_pipeline.STAGES)[stage](spark, d, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in out) == sorted([(0, OTHERS[0]), (7, OTHERS[1]), (3, OTHERS[2])])
+
+
+def test_passages_of_texts_that_share_an_identifier(spark, tmp_path):
+    """One text of an identifier takes part, the other stays whole; neither is cut at the other's places."""
+    rows = [(1, PASSAGE + " " + OTHERS[0]), (2, PASSAGE + " " + OTHERS[1]), (2, OTHERS[2] + " " + OTHERS[3])]
+    out = dict(corpus_pipeline.STAGES)["passages"](spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()
+    got = {(r["doc_id"], r["text"].strip()) for r in out}
+    assert (1, rows[0][1]) in got and (2, rows[2][1]) in got and len(out) == 3
+    assert got - {rows[0], rows[2]} in ({(2, OTHERS[1])}, {rows[1]})
+
+
+def test_neighbours_of_each_length(spark):
+    rows = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)] + [(60, [1.0, 2.0, 3.0, 4.0])]
+    found = neighbours.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=3).collect()
+    assert {r["query_id"] for r in found} == {0, 20, 40} and len(found) == 9
+    for r in found:
+        assert r["score"] == sum(a * b for a, b in zip(rows[r["query_id"]][1], rows[r["vec_id"]][1]))
+    best = sorted(((-sum(a * b for a, b in zip(rows[20][1], v)), i) for i, v in rows[:60] if i != 20))[:3]
+    assert sorted((r["rank"], r["vec_id"]) for r in found if r["query_id"] == 20) == [(k + 1, i) for k, (_, i) in enumerate(best)]
+
+
+def test_words_of_any_length_are_scored_whole():
+    long = "ab" * 5000
+    assert set(quality.indicators(long)) != set(quality.indicators(long + "XY9" * 400))
+
+
 def test_pages(spark):
     big = "é" * 700  # 1400 bytes
     rows = [(1, "http://a b/", big, "x"), (2, None, big, "x"), (3, "u", None, "x"), (4, "u", "", "x"), (None, "u", big, "x"), (5, "u", "small", "x"), (6, "u", "small", "x"), (2, None, big, "x"),
