@@ -1,61 +1,5 @@
-"""From raw documents to packed token sequences: five of the operators, one after the other.
+"""From raw documents to packed token sequences: the stages of :mod:`graphfacts.llm.pipeline`."""
 
-Each stage works on all that its predecessor kept, written as Parquet and read again.
-"""
+from graphfacts.llm.pipeline import ORACLE_SQL, STAGES, TOKENIZER, run
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-
-from graphfacts.llm import exact, packing, passages, quality, simhash
-from graphfacts.plans import tables
-
-TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-
-
-def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
-    return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-
-
-def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest identifier of every group of equal texts."""
-    return exact.drop_duplicates(docs)
-
-
-def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest identifier of every component of near-equal fingerprints."""
-    return simhash.drop_near_duplicates(docs)
-
-
-def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without the passages that an earlier one holds."""
-    return passages.without_repeats(docs)
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences."""
-    return packing.packed_documents(docs, TOKENIZER)
-
-
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality", keep_quality),
-    ("exact_dedup", drop_exact),
-    ("simhash", drop_near),
-    ("passages", cut_repeats),
-    ("packing", pack),
-]
-
-#: A fitted model, hashes and tokens are beyond SQL; the tests hold the stages against plain Python.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed pieces of the documents in ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = tables.materialize(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "TOKENIZER", "run"]
