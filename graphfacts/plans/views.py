@@ -137,6 +137,41 @@ VIEWS: dict[str, str] = {
     "pt_returns": """SELECT 'heap' AS graph_id, concat('n', cast(n_nationkey AS string)) AS method, concat('p', cast(n_nationkey AS string)) AS var FROM nation""",
     "pt_dispatch": """SELECT 'heap' AS graph_id, concat('P', cast(s_suppkey AS string)) AS type, 'call' AS selector, concat('n', cast(s_nationkey AS string)) AS method FROM supplier""",
     "pt_entries": """SELECT 'heap' AS graph_id, concat('n', cast(min(n_nationkey) AS string)) AS method FROM nation GROUP BY n_regionkey""",
+    # programs for contexts, one per region: nations are methods, their suppliers local variables, the last two statements share a static
+    "cx_homes": """SELECT concat('r', cast(n_regionkey AS string)) AS graph_id, concat('n', cast(s_nationkey AS string)) AS method, s_suppkey, s_acctbal
+                   FROM supplier JOIN nation ON n_nationkey = s_nationkey""",
+    "cx_ends": """SELECT graph_id, method, concat('s', cast(min(s_suppkey) AS string)) AS first_var, concat('s', cast(max(s_suppkey) AS string)) AS last_var
+                  FROM cx_homes GROUP BY graph_id, method""",
+    "cx_next": """SELECT concat('r', cast(n_regionkey AS string)) AS graph_id, concat('n', cast(n_nationkey AS string)) AS method,
+                         concat('n', cast(coalesce(lead(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey), min(n_nationkey) OVER (PARTITION BY n_regionkey)) AS string)) AS target,
+                         n_nationkey = min(n_nationkey) OVER (PARTITION BY n_regionkey) AS is_first, n_nationkey = max(n_nationkey) OVER (PARTITION BY n_regionkey) AS is_last
+                  FROM nation""",
+    "cx_pairs": """SELECT x.graph_id, x.method, flag, a, b, f, x.s_acctbal FROM pt_pairs JOIN cx_homes x ON x.s_suppkey = a JOIN cx_homes y ON y.s_suppkey = b AND y.method = x.method""",
+    "cx_locals": """SELECT graph_id, method, concat('s', cast(s_suppkey AS string)) AS var FROM cx_homes
+                    UNION ALL SELECT graph_id, method, concat('p', method) FROM cx_next UNION ALL SELECT graph_id, method, concat('t', method) FROM cx_next""",
+    "cx_allocs": """SELECT graph_id, method, concat('s', cast(s_suppkey AS string)) AS var, concat('a', cast(s_suppkey AS string)) AS site,
+                           concat('P', cast(s_suppkey AS string)) AS type, s_acctbal < -900 AS is_string, s_acctbal < -800 AS is_throwable, s_acctbal < -750 AS only_primitives
+                    FROM cx_homes WHERE s_acctbal < 0""",
+    "cx_assigns": """SELECT DISTINCT graph_id, method, concat('s', cast(b AS string)) AS dst, concat('s', cast(a AS string)) AS src,
+                            CASE WHEN s_acctbal > 5000 THEN 'P1' END AS cast_type FROM cx_pairs WHERE flag = 'R'
+                     UNION ALL SELECT graph_id, method, first_var, concat('p', method), NULL FROM cx_ends
+                     UNION ALL SELECT graph_id, method, last_var, concat('t', method), NULL FROM cx_ends
+                     UNION ALL SELECT e.graph_id, e.method, concat('g', e.graph_id), first_var, NULL FROM cx_ends e JOIN cx_next n ON n.method = e.method WHERE is_first
+                     UNION ALL SELECT e.graph_id, e.method, last_var, concat('g', e.graph_id), NULL FROM cx_ends e JOIN cx_next n ON n.method = e.method WHERE is_last""",
+    "cx_loads": "SELECT DISTINCT graph_id, concat('s', cast(b AS string)) AS dst, concat('s', cast(a AS string)) AS base, concat('f', cast(f AS string)) AS field FROM cx_pairs WHERE flag = 'A'",
+    "cx_stores": "SELECT DISTINCT graph_id, concat('s', cast(a AS string)) AS base, concat('f', cast(f AS string)) AS field, concat('s', cast(b AS string)) AS src FROM cx_pairs WHERE flag = 'N'",
+    "cx_direct": """SELECT n.graph_id, d.method, d.site, d.target FROM pt_direct d JOIN cx_next n ON n.method = d.method""",
+    "cx_virtual": """SELECT graph_id, method, concat('v', cast(s_suppkey AS string)) AS site, concat('s', cast(s_suppkey AS string)) AS receiver, 'call' AS selector
+                     FROM cx_homes WHERE s_acctbal > 7000""",
+    "cx_args": """SELECT graph_id, site, 1 AS pos, receiver AS var FROM cx_virtual
+                  UNION ALL SELECT d.graph_id, d.site, 1, e.first_var FROM cx_direct d JOIN cx_ends e ON e.method = d.method""",
+    "cx_results": """SELECT graph_id, site, receiver AS var FROM cx_virtual
+                     UNION ALL SELECT d.graph_id, d.site, e.last_var FROM cx_direct d JOIN cx_ends e ON e.method = d.method""",
+    "cx_params": """SELECT graph_id, method, 0 AS pos, concat('t', method) AS var FROM cx_next UNION ALL SELECT graph_id, method, 1, concat('p', method) FROM cx_next""",
+    "cx_returns": "SELECT graph_id, method, last_var AS var FROM cx_ends",
+    "cx_dispatch": """SELECT h.graph_id, concat('P', cast(s_suppkey AS string)) AS type, 'call' AS selector, n.target AS method FROM cx_homes h JOIN cx_next n ON n.method = h.method""",
+    "cx_entries": "SELECT graph_id, method FROM cx_next WHERE is_first",
+    "cx_boxes": "SELECT graph_id, method FROM cx_next WHERE is_last",
     # components: orders, their kind by priority; each line is a callback by its part, and what it holds at its exit
     "component_lines": """
         SELECT concat('O', cast(o_orderkey AS string)) AS component, l_suppkey, l_linestatus, l_discount, l_tax,

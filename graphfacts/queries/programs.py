@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphfacts.operators import dataflow, graph, heap, hierarchy, program, slicing
+from graphfacts.operators import contexts, dataflow, graph, heap, hierarchy, program, slicing
 from graphfacts.operators.graph import G
 from graphfacts.plans import tables
 from graphfacts.queries import query
@@ -172,6 +172,58 @@ def _(s):
     return solved(s).calls
 
 
+# --- contexts --------------------------------------------------------------------------------------------------
+def _contextual(s, policy, containers=True) -> contexts.ContextSensitive:
+    facts = {"locals": s.cx_locals, "allocs": heap.name_objects(s.cx_allocs), "assigns": s.cx_assigns.withColumnRenamed("cast_type", "cast"), "loads": s.cx_loads,
+             "stores": s.cx_stores, "direct_calls": s.cx_direct, "virtual_calls": s.cx_virtual, "args": s.cx_args, "results": s.cx_results,
+             "params": s.cx_params, "returns": s.cx_returns, "dispatch": s.cx_dispatch}
+    above = up_classes(s).select(F.col("cls").alias("sub"), F.col("ancestor").alias("sup"))
+    subtypes = s.cx_allocs.select(G, F.col("type").alias("sub")).distinct().join(above, "sub").select(G, "sub", "sup")
+    return contexts.points_to(facts, s.cx_entries, subtypes, policy, s.cx_boxes if containers else None, clone=containers)
+
+
+INTO = """CASE WHEN {box} THEN concat('@', {obj}) ELSE array_to_string(list_slice(list_prepend({site}, CASE WHEN {ctx} = '' OR starts_with({ctx}, '@') THEN [] ELSE string_split({ctx}, '/') END), 1, 2), '/') END"""
+# rows (g, k, a, ac, b, bc, c) as in `pt`, with the contexts of a and b
+CONTEXTS = CLASSES + f""", f_lc AS MATERIALIZED (SELECT graph_id AS g, method, var FROM cx_locals),
+    f_al AS MATERIALIZED (SELECT a.graph_id AS g, a.method, a.var, a.type, l.var IS NOT NULL AS own, CASE WHEN is_string OR is_throwable OR only_primitives THEN concat('type:', a.type)
+        WHEN n.n > 25 THEN concat('method:', a.method, '/', a.type) ELSE concat('site:', a.site) END AS obj FROM cx_allocs a
+        JOIN (SELECT graph_id, method, type, count(DISTINCT site) AS n FROM cx_allocs GROUP BY 1, 2, 3) n ON n.graph_id = a.graph_id AND n.method = a.method AND n.type = a.type
+        LEFT JOIN f_lc l ON l.g = a.graph_id AND l.method = a.method AND l.var = a.var),
+    f_as AS MATERIALIZED (SELECT a.graph_id AS g, a.method, a.dst, a.src, coalesce(cast_type, '') AS c, d.var IS NOT NULL AS dst_own, r.var IS NOT NULL AS src_own FROM cx_assigns a
+        LEFT JOIN f_lc d ON d.g = a.graph_id AND d.method = a.method AND d.var = a.dst LEFT JOIN f_lc r ON r.g = a.graph_id AND r.method = a.method AND r.var = a.src),
+    f_ld AS MATERIALIZED (SELECT * FROM cx_loads), f_st AS MATERIALIZED (SELECT * FROM cx_stores), f_di AS MATERIALIZED (SELECT * FROM cx_direct),
+    f_vc AS MATERIALIZED (SELECT v.graph_id AS g, v.method, v.site, v.receiver, d.type, d.method AS target, b.method IS NOT NULL AS box FROM cx_virtual v
+        JOIN cx_dispatch d ON d.graph_id = v.graph_id AND d.selector = v.selector LEFT JOIN cx_boxes b ON b.graph_id = d.graph_id AND b.method = d.method),
+    f_pm AS MATERIALIZED (SELECT * FROM cx_params), f_ar AS MATERIALIZED (SELECT * FROM cx_args), f_rs AS MATERIALIZED (SELECT * FROM cx_results), f_rt AS MATERIALIZED (SELECT * FROM cx_returns),
+    ct(g, k, a, ac, b, bc, c) USING KEY (g, k, a, ac, b, bc, c) AS (SELECT graph_id, 'live', method, '', '', '', '' FROM cx_entries UNION
+      SELECT n.* FROM (SELECT DISTINCT * FROM (
+        SELECT t.g, 'pts' AS k, f.var AS a, CASE WHEN f.own THEN t.ac ELSE '' END AS ac, f.obj AS b, CASE WHEN starts_with(f.obj, 'site:') THEN t.ac ELSE '' END AS bc, f.type AS c
+            FROM ct t JOIN f_al f ON t.k = 'live' AND f.g = t.g AND f.method = t.a
+        UNION ALL SELECT t.g, 'flow', f.dst, CASE WHEN f.dst_own THEN t.ac ELSE '' END, f.src, CASE WHEN f.src_own THEN t.ac ELSE '' END, f.c FROM ct t JOIN f_as f ON t.k = 'live' AND f.g = t.g AND f.method = t.a
+        UNION ALL SELECT t.g, 'call', d.site, t.ac, d.target, {INTO.format(box='false', obj="''", site='d.site', ctx='t.ac')}, t.a FROM ct t JOIN f_di d ON t.k = 'live' AND d.graph_id = t.g AND d.method = t.a
+        UNION ALL SELECT f.g, 'pts', f.a, f.ac, p.b, p.bc, p.c FROM ct f JOIN recurring.ct p ON f.k = 'flow' AND p.k = 'pts' AND p.g = f.g AND p.a = f.b AND p.ac = f.bc WHERE f.c = '' OR (p.c, f.c) IN (SELECT (cls, ancestor) FROM an)
+        UNION ALL SELECT f.g, 'pts', f.a, f.ac, p.b, p.bc, p.c FROM recurring.ct f JOIN ct p ON f.k = 'flow' AND p.k = 'pts' AND p.g = f.g AND p.a = f.b AND p.ac = f.bc WHERE f.c = '' OR (p.c, f.c) IN (SELECT (cls, ancestor) FROM an)
+        UNION ALL SELECT p.g, 'flow', l.dst, p.ac, concat(p.b, '.', l.field), p.bc, '' FROM ct p JOIN f_ld l ON p.k = 'pts' AND l.graph_id = p.g AND l.base = p.a
+        UNION ALL SELECT p.g, 'flow', concat(p.b, '.', l.field), p.bc, l.src, p.ac, '' FROM ct p JOIN f_st l ON p.k = 'pts' AND l.graph_id = p.g AND l.base = p.a
+        UNION ALL SELECT p.g, 'call', v.site, p.ac, v.target, {INTO.format(box='v.box', obj='p.b', site='v.site', ctx='p.ac')}, v.method FROM ct p JOIN f_vc v ON p.k = 'pts' AND v.g = p.g AND v.receiver = p.a AND v.type = p.c
+        UNION ALL SELECT p.g, 'pts', r.var, {INTO.format(box='v.box', obj='p.b', site='v.site', ctx='p.ac')}, p.b, p.bc, p.c FROM ct p JOIN f_vc v ON p.k = 'pts' AND v.g = p.g AND v.receiver = p.a AND v.type = p.c
+            JOIN f_pm r ON r.graph_id = p.g AND r.method = v.target AND r.pos = 0
+        UNION ALL SELECT c.g, 'flow', r.var, c.bc, a.var, c.ac, '' FROM ct c JOIN f_ar a ON c.k = 'call' AND a.graph_id = c.g AND a.site = c.a JOIN f_pm r ON r.graph_id = c.g AND r.method = c.b AND r.pos = a.pos AND r.pos > 0
+        UNION ALL SELECT c.g, 'flow', a.var, c.ac, r.var, c.bc, '' FROM ct c JOIN f_rs a ON c.k = 'call' AND a.graph_id = c.g AND a.site = c.a JOIN f_rt r ON r.graph_id = c.g AND r.method = c.b
+        UNION ALL SELECT c.g, 'live', c.b, c.bc, '', '', '' FROM ct c WHERE c.k = 'call')) n
+      WHERE NOT EXISTS (SELECT 1 FROM recurring.ct o WHERE o.g = n.g AND o.k = n.k AND o.a = n.a AND o.ac = n.ac AND o.b = n.b AND o.bc = n.bc AND o.c = n.c))"""
+
+
+@query("p6_points_to_contexts", "SELECT g AS graph_id, a AS pk, ac AS ctx, b AS obj, bc AS obj_ctx, c AS type FROM ct WHERE k = 'pts'", CONTEXTS)
+def _(s):
+    return _contextual(s, contexts.receivers(contexts.call_string(2))).points_to
+
+
+@query("p6_calls_in_context", "SELECT g AS graph_id, a AS site, c AS src, ac AS src_ctx, b AS dst, bc AS dst_ctx FROM ct WHERE k = 'call'", CONTEXTS)
+def _(s):
+    return _contextual(s, contexts.receivers(contexts.call_string(2))).calls
+
+
 NAMED = """SELECT l_returnflag AS graph_id, l_suppkey AS method, l_orderkey AS site, p_type AS type, p_size < 5 AS is_string, p_size > 48 AS is_throwable,
            p_size = 25 AS only_primitives FROM lineitem JOIN part ON p_partkey = l_partkey"""
 
