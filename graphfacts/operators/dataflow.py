@@ -139,6 +139,12 @@ def reaching_definitions(edges: DataFrame, definitions: DataFrame, cut: DataFram
     return killing_flow(edges, gen, definitions.select(G, "node", "target"), definitions.select(G, F.col("definition").alias("fact"), "target"))
 
 
+def defined_before(edges: DataFrame, definitions: DataFrame) -> DataFrame:
+    """``(graph_id, node, target, definition)``: the definitions that reach a node from before it."""
+    into = reaching_definitions(edges, definitions).into.select(G, "node", F.col("fact").alias("definition"))
+    return into.join(definitions.select(G, "definition", "target").distinct(), [G, "definition"]).select(G, "node", "target", "definition")
+
+
 def killing_flow(edges: DataFrame, gen: DataFrame, writes: DataFrame, targets: DataFrame) -> Flow:
     """Union flow in which a node kills all facts about the targets it writes.
 

@@ -187,6 +187,49 @@ def _(s):
     return tabulation.reverse(s.super)
 
 
+# demand, backwards: rich suppliers' exits read the variable of their nation, the second call of those in debt writes theirs; a variable is demanded
+# at a node if a read may follow on a path of matched calls, with no write between
+READ_AT = "SELECT h.graph_id, h.id * 10 + 5 AS src, n.key AS fact FROM supp_high h JOIN supp_nation n ON n.graph_id = h.graph_id AND n.id = h.id"
+WRITTEN_AT = "SELECT l.graph_id, l.id * 10 + 3 AS src, n.key AS fact FROM supp_low l JOIN supp_nation n ON n.graph_id = l.graph_id AND n.id = l.id"
+DEMAND_CALLS = "SELECT p.*, e.dst AS callee FROM {p} p JOIN calls e ON e.graph_id = p.graph_id AND e.src = p.node"
+DEMAND_EXITS = "SELECT p.graph_id, p.entry AS callee, p.d1 AS din, p.d2 AS dout, e.dst AS ret, e.call FROM {p} p JOIN rets e ON e.graph_id = p.graph_id AND e.src = p.node"
+DEMAND_MET = "SELECT c.graph_id, c.entry, c.d1, x.ret, x.dout FROM ({c}) c JOIN ({x}) x ON x.graph_id = c.graph_id AND x.callee = c.callee AND x.din = c.d2 AND x.call = c.node"
+DEMAND = f"""inner_ AS MATERIALIZED (SELECT graph_id, dst AS src, src AS dst FROM super WHERE label NOT IN ('call', 'return')),
+    calls AS MATERIALIZED (SELECT DISTINCT graph_id, dst AS src, src AS dst FROM super WHERE label = 'return'),
+    rets AS MATERIALIZED (SELECT DISTINCT graph_id, dst AS src, src AS dst, src + 1 AS call FROM super WHERE label = 'call'),
+    reads AS MATERIALIZED ({READ_AT}), writes AS MATERIALIZED ({WRITTEN_AT}),
+    pe(graph_id, entry, d1, node, d2) USING KEY (graph_id, entry, d1, node, d2) AS (SELECT graph_id, id * 10 + 5, {ZERO}::BIGINT, id * 10 + 5, {ZERO}::BIGINT FROM supp_root UNION
+        SELECT n.* FROM (SELECT DISTINCT * FROM (
+            SELECT p.graph_id, p.entry, p.d1, e.dst, p.d2 FROM pe p JOIN inner_ e ON e.graph_id = p.graph_id AND e.src = p.node
+                LEFT JOIN writes w ON w.graph_id = p.graph_id AND w.src = p.node AND w.fact = p.d2 WHERE w.src IS NULL
+            UNION ALL SELECT p.graph_id, p.entry, p.d1, e.dst, g.fact FROM pe p JOIN inner_ e ON e.graph_id = p.graph_id AND e.src = p.node
+                JOIN reads g ON g.graph_id = p.graph_id AND g.src = p.node WHERE p.d2 = {ZERO}
+            UNION ALL SELECT c.graph_id, c.callee, c.d2, c.callee, c.d2 FROM ({DEMAND_CALLS.format(p='pe')}) c
+            UNION ALL {DEMAND_MET.format(c=DEMAND_CALLS.format(p='pe'), x=DEMAND_EXITS.format(p='recurring.pe'))}
+            UNION ALL {DEMAND_MET.format(c=DEMAND_CALLS.format(p='recurring.pe'), x=DEMAND_EXITS.format(p='pe'))}) z(graph_id, entry, d1, node, d2)) n
+        WHERE NOT EXISTS (SELECT 1 FROM recurring.pe o WHERE o.graph_id = n.graph_id AND o.entry = n.entry AND o.d1 = n.d1 AND o.node = n.node AND o.d2 = n.d2))"""
+
+
+def _demanded(s):
+    zero = F.lit(ZERO).cast("bigint")
+    at = (F.col("id") * 10 + 5)
+    seeds = s.supp_root.select(G, at.alias("entry"), zero.alias("d1"), at.alias("node"), zero.alias("d2"))
+    flow = tabulation.gen_kill(ZERO, tables.materialize(s.sql(READ_AT)), tables.materialize(s.sql(WRITTEN_AT)))
+    return tabulation.tabulate(tabulation.reverse(tables.materialize(s.super)), seeds, flow=flow).df
+
+
+@query("k13_v3_backward_problem", "SELECT graph_id, entry, d1, node, d2 FROM pe", DEMAND)
+def _(s):
+    return _demanded(s)
+
+
+# what holds at the entries of procedures, given nothing at the exit where the question began
+@query("k14_facts_given", f"SELECT graph_id, node, d2 AS fact FROM pe WHERE (graph_id, entry) IN (SELECT (graph_id, id * 10 + 5) FROM supp_root) AND d1 = {ZERO} AND (graph_id, node) IN (SELECT (graph_id, id * 10) FROM supp_root)", DEMAND)
+def _(s):
+    asked = s.supp_root.select(G, (F.col("id") * 10 + 5).alias("entry"), F.lit(ZERO).cast("bigint").alias("d1"), (F.col("id") * 10).alias("node"))
+    return tabulation.facts_given(_demanded(s), asked).select(G, "node", F.col("d2").alias("fact"))
+
+
 # the entry of a procedure is no return site, so a seeded problem is not solved in three steps; without seeds it is
 @query("k17_bounded_tabulation", "SELECT count(*) = 0 AS complete FROM super_seeds")
 def _(s):

@@ -9,7 +9,9 @@ from graphfacts.operators.graph import G
 from graphfacts.plans import tables
 from graphfacts.queries import query
 from graphfacts.queries.classes import CLASSES, RESOLVED, TARGETS, TYPES, asked, up_classes, up_types
-from graphfacts.queries.graphs import closure, inverse, reach
+from graphfacts.queries.flows import WRITES as DEFINED
+from graphfacts.queries.flows import reaching_sql
+from graphfacts.queries.graphs import AVOID, DOM, closure, inverse, reach
 
 # --- entry points and call graphs -------------------------------------------------------------------------
 ENTRIES = "SELECT graph_id, method FROM methods WHERE is_static AND NOT is_abstract"
@@ -380,38 +382,55 @@ def _(s):
     return heap.heap_reaching_definitions(s.order_flow, s.sql(WRITES), s.sql(EXACT))
 
 
-# dependence edges between suppliers by line status and order position
-DATA = "SELECT graph_id, src, dst FROM succ"
-CONTROL = "SELECT graph_id, dst AS src, src AS dst FROM succ"
-HEAPDEP = "SELECT graph_id, src, dst FROM succ_open"
-BASE = "SELECT graph_id, src, dst FROM succ_filled"
+# dependence of suppliers as statements of a customer's flow: those in debt define a variable, their nation, and write the heap of their region;
+# rich ones read both; deep debt surely overwrites
+USED = "SELECT h.graph_id, h.id AS node, n.key AS target FROM supp_high h JOIN supp_nation n ON n.graph_id = h.graph_id AND n.id = h.id"
+STATED = """SELECT l.graph_id, l.id AS stmt, 'write' AS kind, n.region AS loc FROM supp_low l JOIN supp_nation n ON n.graph_id = l.graph_id AND n.id = l.id
+            UNION ALL SELECT h.graph_id, h.id, 'read', n.region FROM supp_high h JOIN supp_nation n ON n.graph_id = h.graph_id AND n.id = h.id"""
+SURE = f"SELECT t.graph_id, t.stmt, t.loc FROM ({STATED}) t JOIN supplier ON s_suppkey = t.stmt WHERE t.kind = 'write' AND s_acctbal < -500"
+DATA = f"""data_dep AS MATERIALIZED (SELECT DISTINCT f.graph_id, f.fact AS src, e.dst FROM f JOIN ed e ON e.graph_id = f.graph_id AND e.src = f.node
+    JOIN ({USED}) u ON u.graph_id = f.graph_id AND u.node = e.dst AND u.target = f.target)"""
+HEAPDEP = f"""touches AS MATERIALIZED ({STATED}), sure AS MATERIALIZED ({SURE}),
+    hf(graph_id, node, stmt, loc) AS (SELECT graph_id, stmt, stmt, loc FROM touches WHERE kind = 'write' UNION SELECT h.graph_id, e.dst, h.stmt, h.loc FROM hf h
+        JOIN succ e ON e.graph_id = h.graph_id AND e.src = h.node WHERE (e.graph_id, e.dst, h.loc) NOT IN (SELECT (graph_id, stmt, loc) FROM sure)),
+    heap_dep AS MATERIALIZED (SELECT DISTINCT h.graph_id, h.stmt AS src, e.dst FROM hf h JOIN succ e ON e.graph_id = h.graph_id AND e.src = h.node
+        JOIN touches t ON t.graph_id = h.graph_id AND t.kind = 'read' AND t.stmt = e.dst AND t.loc = h.loc)"""
+CONTROL = ", ".join([reach("r", inverse("succ"), "supp_root"), AVOID.format(edges=inverse("succ")), DOM]) + """, control_dep AS MATERIALIZED (
+    SELECT DISTINCT e.graph_id, e.src, d.dominator AS dst FROM succ e JOIN dom d ON d.graph_id = e.graph_id AND d.id = e.dst WHERE (e.graph_id, e.src) IN (SELECT (graph_id, id) FROM r)
+      AND (d.dominator = e.src OR (e.graph_id, e.src, d.dominator) NOT IN (SELECT (graph_id, id, dominator) FROM dom)))"""
+VALUES = reaching_sql("SELECT graph_id, src, dst FROM succ", DEFINED) + ", " + DATA + ", " + HEAPDEP
+BACK = "SELECT graph_id, dst AS src, src AS dst FROM"
 
 
-def _dependence(s, drop=()):
-    return slicing.dependence_graph({"data": s.sql(DATA), "control": s.sql(CONTROL), "heap": s.sql(HEAPDEP), "base_pointer": s.sql(BASE)}, drop)
+def _dependence(s):
+    """The derived edge tables, written: data, heap and control."""
+    parts = slicing.from_facts(s.succ, s.supp_root, s.sql(DEFINED), s.sql(USED), s.sql(STATED), s.sql(SURE))
+    return {k: tables.materialize(v) for k, v in parts.items()}
 
 
-@query("p18_dependence_graph", f"""
-    SELECT graph_id, src, dst, 'data' AS kind FROM ({DATA}) UNION SELECT graph_id, src, dst, 'control' FROM ({CONTROL}) UNION SELECT graph_id, src, dst, 'heap' FROM ({HEAPDEP})""")
+@query("p18_dependence_graph", """
+    SELECT graph_id, src, dst, 'data' AS kind FROM data_dep UNION ALL SELECT graph_id, src, dst, 'heap' FROM heap_dep UNION ALL SELECT graph_id, src, dst, 'control' FROM control_dep""",
+       VALUES + ", " + CONTROL)
 def _(s):
-    return _dependence(s, drop=("base_pointer",)).select(G, "src", "dst", "kind")
+    return slicing.dependence_graph(_dependence(s)).select(G, "src", "dst", "kind")
 
 
-@query("p21_thin_slice", "SELECT * FROM r", f"vf AS MATERIALIZED (SELECT graph_id, dst AS src, src AS dst FROM ({DATA}) UNION SELECT graph_id, dst, src FROM ({HEAPDEP})), " + reach("r", "vf", "supp_low"))
+@query("p21_thin_slice", "SELECT * FROM sl", f"{VALUES}, vf AS MATERIALIZED ({BACK} data_dep UNION {BACK} heap_dep), " + reach("sl", "vf", "supp_high"))
 def _(s):
-    return slicing.thin_slice(_dependence(s), s.sql(HEAPDEP), s.supp_low)
+    parts = _dependence(s)
+    return slicing.thin_slice(slicing.dependence_graph(parts), parts["heap"], s.supp_high)
 
 
-@query("p21_context_insensitive_slice", "SELECT * FROM r",
-       f"vf AS MATERIALIZED (SELECT graph_id, dst AS src, src AS dst FROM (SELECT * FROM ({DATA}) UNION SELECT * FROM ({HEAPDEP}) UNION SELECT * FROM ({CONTROL}) UNION SELECT * FROM ({BASE}))), " + reach("r", "vf", "supp_high"))
+@query("p21_context_insensitive_slice", "SELECT * FROM sl",
+       f"{VALUES}, {CONTROL}, vf AS MATERIALIZED ({BACK} data_dep UNION {BACK} heap_dep UNION {BACK} control_dep), " + reach("sl", "vf", "supp_high"))
 def _(s):
-    return slicing.context_insensitive_slice(_dependence(s), s.sql(HEAPDEP), s.supp_high)
+    parts = _dependence(s)
+    return slicing.context_insensitive_slice(slicing.dependence_graph(parts), parts["heap"], s.supp_high)
 
 
 # context-sensitive slice: reachability through the supergraph along matched calls, from procedure entries
-SLICE = """calls AS MATERIALIZED (SELECT * FROM super WHERE label = 'call'), rets AS MATERIALIZED (SELECT * FROM super WHERE label = 'return'),
-    flat AS MATERIALIZED (SELECT * FROM super WHERE label NOT IN ('call', 'return')),
-    pe(graph_id, entry, node, seeded) USING KEY (graph_id, entry, node) AS (SELECT graph_id, id * 10, id * 10, true FROM supp_root UNION
+SLICE = """calls AS MATERIALIZED ({calls}), rets AS MATERIALIZED ({rets}), flat AS MATERIALIZED ({flat}),
+    pe(graph_id, entry, node, seeded) USING KEY (graph_id, entry, node) AS (SELECT graph_id, id * 10 + {start}, id * 10 + {start}, true FROM supp_root UNION
       SELECT n.* FROM (SELECT graph_id, entry, node, bool_or(seeded) AS seeded FROM (
         SELECT p.graph_id, p.entry, e.dst, p.seeded FROM pe p JOIN flat e ON e.graph_id = p.graph_id AND e.src = p.node
         UNION ALL SELECT p.graph_id, e.dst, e.dst, false FROM pe p JOIN calls e ON e.graph_id = p.graph_id AND e.src = p.node
@@ -423,8 +442,23 @@ SLICE = """calls AS MATERIALIZED (SELECT * FROM super WHERE label = 'call'), ret
       WHERE NOT EXISTS (SELECT 1 FROM recurring.pe o WHERE o.graph_id = n.graph_id AND o.entry = n.entry AND o.node = n.node AND NOT (o.seeded < n.seeded)))"""
 
 
-@query("p20_forward_slice", "SELECT DISTINCT graph_id, node AS id FROM pe", SLICE)
-def _(s):
+FORWARD = SLICE.format(calls="SELECT * FROM super WHERE label = 'call'", rets="SELECT * FROM super WHERE label = 'return'",
+                       flat="SELECT * FROM super WHERE label NOT IN ('call', 'return')", start=0)
+# backwards, calls are entered at their exits, from return sites, and left at their entries, towards the call
+BACKWARD = SLICE.format(calls="SELECT graph_id, dst AS src, src AS dst FROM super WHERE label = 'return'", rets="SELECT graph_id, dst AS src, src AS dst, src + 1 AS call FROM super WHERE label = 'call'",
+                        flat="SELECT graph_id, dst AS src, src AS dst FROM super WHERE label NOT IN ('call', 'return')", start=5)
+
+
+def _sliceable(s):
     kind = F.when(F.col("label") == "call", "param").when(F.col("label") == "return", "return").otherwise("data")
-    dep = s.super.select(G, "src", "dst", kind.alias("kind"), F.when(F.col("label") == "call", F.col("src")).otherwise(F.col("call")).alias("call"))
-    return slicing.forward_slice(tables.materialize(dep), s.supp_root.select(G, (F.col("id") * 10).alias("id")))
+    return tables.materialize(s.super.select(G, "src", "dst", kind.alias("kind"), F.when(F.col("label") == "call", F.col("src")).otherwise(F.col("call")).alias("call")))
+
+
+@query("p20_forward_slice", "SELECT DISTINCT graph_id, node AS id FROM pe", FORWARD)
+def _(s):
+    return slicing.forward_slice(_sliceable(s), s.supp_root.select(G, (F.col("id") * 10).alias("id")))
+
+
+@query("p20_backward_slice", "SELECT DISTINCT graph_id, node AS id FROM pe", BACKWARD)
+def _(s):
+    return slicing.backward_slice(_sliceable(s), s.supp_root.select(G, (F.col("id") * 10 + 5).alias("id")))

@@ -108,3 +108,45 @@ def test_acquire_without_release_is_reported(make):
     e = make.edges({"m": [(1, 2), (2, 3), (2, 4), (3, 5), (4, 5)]})
     ops = make.table([("m", 1, "A", "acquire"), ("m", 1, "B", "acquire"), ("m", 5, "A", "release"), ("m", 3, "B", "release")], f"{G}, block long, lock string, op string")
     assert rows(resource.released_after(e, make.nodes({"m": [5]}), ops), "lock", "released") == [("A", True), ("B", False)]
+
+
+def test_dependence_is_derived_from_what_statements_do(make):
+    """1 writes x and the heap; 2 branches to 3 or 4; 3 writes x anew; 5 reads both; 4 surely overwrites the heap; 6 is the exit."""
+    edge, at = f"{G}, src long, dst long", f"{G}, node long, target string"
+    flow = make.table([("p", *e) for e in ((1, 2), (2, 3), (2, 4), (3, 5), (4, 5), (5, 6))], edge)
+    touched = make.table([("p", 1, "write", "h"), ("p", 4, "write", "h"), ("p", 5, "read", "h"), ("p", 3, "read", "h")], f"{G}, stmt long, kind string, loc string")
+    parts = slicing.from_facts(
+        flow, make.nodes({"p": [6]}), make.table([("p", 1, "x"), ("p", 3, "x")], at), make.table([("p", 5, "x"), ("p", 4, "x")], at), touched,
+        make.table([("p", 4, "h")], f"{G}, stmt long, loc string"), crossing=make.table(TWO_CALLS, EDGE))
+    assert rows(parts["data"], "src", "dst") == [(1, 4), (1, 5), (3, 5)]
+    assert rows(parts["heap"], "src", "dst") == [(1, 3), (1, 5), (4, 5)]
+    assert rows(parts["control"], "src", "dst") == [(2, 3), (2, 4)]
+    assert rows(parts["param"], "src", "dst", "call") == [(2, 10, 2), (4, 10, 4)] and rows(parts["return"], "src", "dst", "call") == [(11, 3, 2), (11, 5, 4)]
+    dep = slicing.dependence_graph({k: v for k, v in parts.items() if k in ("data", "heap", "control")})
+    assert rows(slicing.backward_slice(dep, make.nodes({"p": [5]})), "id") == [(1,), (2,), (3,), (4,), (5,)]
+    assert rows(slicing.thin_slice(dep, parts["heap"], make.nodes({"p": [4]})), "id") == [(1,), (4,)]
+
+
+def test_backward_problem_mirrors_the_forward_one(make):
+    """What reaches 6 from 1 going forward is what 1 is reached by from 6 going backward, calls matched on both ways."""
+    edges = make.table(TWO_CALLS, EDGE)
+    seed = lambda n: make.table([("p", n, 0, n, 0)], f"{G}, entry long, d1 long, node long, d2 long")
+    ahead = tabulation.tabulate(edges, seed(1)).df
+    back = tabulation.tabulate(tabulation.reverse(edges), seed(6)).df
+    assert rows(ahead.filter("entry = 1"), "node") == [(n,) for n in (1, 2, 3, 4, 5, 6)] == rows(back.filter("entry = 6"), "node")
+    # a read at 6 demands variable 7 wherever no write intervenes; 4 writes it
+    at = f"{G}, src long, fact long"
+    flow = tabulation.gen_kill(0, make.table([("p", 6, 7)], at), make.table([("p", 4, 7)], at))
+    found = tabulation.tabulate(tabulation.reverse(edges), seed(6), flow=flow).df
+    assert rows(found.filter("d2 = 7 and entry = 6"), "node") == [(4,), (5,)]
+    asked = make.table([("p", 6, 0, 4), ("p", 6, 0, 1)], f"{G}, entry long, d1 long, node long")
+    assert rows(tabulation.facts_given(found, asked), "node", "d2") == [(1, 0), (4, 0), (4, 7)]
+
+
+def test_flow_function_as_a_table(make):
+    """A relation maps facts edge by edge; what it does not name ends."""
+    edges = make.table(TWO_CALLS, EDGE)
+    seed = make.table([("p", 1, 0, 1, 0)], f"{G}, entry long, d1 long, node long, d2 long")
+    flow = make.table([("p", 1, 2, 0, 5), ("p", 2, 3, 5, 5), ("p", 3, 4, 5, 6)], f"{G}, src long, dst long, d_in long, d_out long")
+    found = tabulation.tabulate(edges, seed, flow=tabulation.relation(flow)).df
+    assert rows(found.filter("entry = 1"), "node", "d2") == [(1, 0), (2, 5), (3, 5), (4, 6)]
