@@ -119,16 +119,17 @@ def kept_rows(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay by ``verdicts(doc_id, text_key, kept)``, with all their columns. A row is what its identifier
     and its text are together: of equal ones a single one stays, and a row without a verdict stays.
 
-    The rows that are judged duplicates are written first: Spark then knows their size and compares them where the
-    documents lie as long as they are few, and shuffles otherwise.
+    The rows that are judged duplicates are written first. A bitmap of their keys keeps the documents that are none of
+    them where they lie; the rest is compared exactly.
     """
-    name, own, mine, stays = unused(docs, "_id", "_text", "_key", "_kept")
+    name, own, mine, stays, both = unused(docs, "_id", "_text", "_key", "_kept", "_both")
     each = verdicts.groupBy(F.col("doc_id").alias(name), F.col("text_key").alias(own)).agg(F.bool_or("kept").alias(stays), F.count(F.lit(1)).alias("n"))
     special = tables.materialize(each.filter(~F.col(stays) | (F.col("n") > 1)).select(name, own, stays))
-    keyed = docs.withColumn(mine, text_key(F.col("text")))
+    keyed = docs.withColumn(mine, text_key(F.col("text"))).withColumn(both, F.xxhash64("doc_id", mine))
+    maybe, none = sieved(keyed, both, special.select(F.xxhash64(name, own).alias(both)))
     same = F.col("doc_id").eqNullSafe(F.col(name)) & (F.col(mine) == F.col(own))
-    return keyed.join(special, same, "left_anti").unionByName(
-        keyed.join(special.filter(F.col(stays)), same, "left_semi").dropDuplicates(["doc_id", mine])).drop(mine)
+    return none.unionByName(maybe.join(special, same, "left_anti")).unionByName(
+        maybe.join(special.filter(F.col(stays)), same, "left_semi").dropDuplicates(["doc_id", mine])).drop(mine, both)
 
 
 #: Bits of a sieve: half a megabyte, whatever it was built from.
