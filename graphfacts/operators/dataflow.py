@@ -207,3 +207,13 @@ def infer_types(flow: DataFrame, known: DataFrame, extends: DataFrame) -> DataFr
     reach = accumulate(flow, known.select(G, F.col("value").alias("node"), F.col("type").alias("fact")))
     return common_superclass(extends, reach.select(G, F.col("node").alias("set"), F.col("fact").alias("member"))).select(
         G, F.col("set").alias("value"), F.col("superclass").alias("type"))
+
+
+def infer_type_sets(flow: DataFrame, known: DataFrame, closure: DataFrame) -> DataFrame:
+    """``(graph_id, value, type)``: as :func:`infer_types` with interfaces. A value of which several lowest common types
+    are known has a row for each; ``closure`` holds superclasses and interfaces."""
+    from graphfacts.operators.hierarchy import common_supertypes
+
+    reach = accumulate(flow, known.select(G, F.col("value").alias("node"), F.col("type").alias("fact")))
+    return common_supertypes(closure, reach.select(G, F.col("node").alias("set"), F.col("fact").alias("member"))).select(
+        G, F.col("set").alias("value"), F.col("supertype").alias("type"))

@@ -81,6 +81,33 @@ def least_common_superclass(extends: DataFrame, pairs: DataFrame) -> DataFrame:
     return common_superclass(extends, sets).select(G, "set.a", "set.b", "superclass")
 
 
+def common_supertypes(closure: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(graph_id, set, supertype)``: the lowest types, classes and interfaces, that are above every ``member`` of a set (a type
+    is above itself). ``closure`` as from :func:`ancestors` over superclasses and interfaces. Common types below which
+    no other common type stands are all returned, one row each; a set without any common type has no row."""
+    sets = sets.select(G, "set", "member").distinct()
+    size = sets.groupBy(G, "set").agg(F.count(F.lit(1)).alias("size"))
+    up = closure.select(G, F.col("cls").alias("member"), "ancestor")
+    common = tables.materialize(sets.join(up, [G, "member"]).groupBy(G, "set", "ancestor").agg(F.count(F.lit(1)).alias("n")).join(
+        size, [G, "set"]).filter("n = size").select(G, "set", F.col("ancestor").alias("supertype")))
+    higher = closure.filter("distance > 0").select(G, F.col("cls").alias("supertype"), "ancestor")
+    covered = common.join(higher, [G, "supertype"]).select(G, "set", F.col("ancestor").alias("supertype"))
+    return common.join(covered, [G, "set", "supertype"], "left_anti")
+
+
+def least_common_supertypes(closure: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(graph_id, a, b, supertype)`` for asked ``pairs(graph_id, a, b)``, one row per lowest common type."""
+    sets = pairs.select(G, F.struct("a", "b").alias("set"), F.explode(F.array("a", "b")).alias("member"))
+    return common_supertypes(closure, sets).select(G, "set.a", "set.b", "supertype")
+
+
+def one_supertype(found: DataFrame, by: list[str], classes: DataFrame) -> DataFrame:
+    """Of several lowest common types the one to show: a class before interfaces, then the smallest name."""
+    kind = classes.select(G, F.col("cls").alias("supertype"), "is_interface")
+    return found.join(kind, [G, "supertype"], "left").groupBy(G, *by).agg(
+        F.min_by("supertype", F.struct(F.coalesce("is_interface", F.lit(False)), "supertype")).alias("supertype"))
+
+
 def resolve(closure: DataFrame, declared: DataFrame, asked: DataFrame, member: str = "method") -> DataFrame:
     """``(graph_id, cls, selector, method, owner)``: the declaration in the nearest class at or above the
     asked ``(graph_id, cls, selector)``. ``declared(graph_id, cls, selector, method)``."""

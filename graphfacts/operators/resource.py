@@ -335,31 +335,56 @@ def released_after(edges: DataFrame, exits: DataFrame, operations: DataFrame) ->
 
 
 def call_conditions(nodes: DataFrame, edges: DataFrame, entry: DataFrame, calls: DataFrame, controlling: DataFrame,
-                    conditions: DataFrame, max_paths: int = 100_000) -> DataFrame:
+                    conditions: DataFrame) -> DataFrame:
     """``(graph_id, call, conditions)``: sets of branch conditions under which a call is made, minimal ones only.
 
-    For every acyclic path from the entry to the call: the conditions ``(graph_id, src, dst, condition)`` on
-    its edges, as far as ``controlling(graph_id, call, src)`` blocks own them. Exceeding ``max_paths`` raises.
+    A way from the entry to the call, without edges inside components, gives the conditions ``(graph_id, src, dst, condition)``
+    on its edges, as far as the blocks that own them control the call. ``controlling(graph_id, call, src)`` names those
+    blocks per call; without a ``call`` column they control every call, and one walk from the entry serves all of them.
+
+    Ways are not listed: a node keeps its minimal sets. A set that contains a smaller one known at the same node is
+    dropped in the round that finds it, so its continuations are never made.
     """
-    ways = tables.materialize(paths.acyclic_paths(nodes, edges, entry, calls, max_paths))
-    ways = ways.withColumn("call", F.element_at("path", -1))
-    arcs = ways.select(G, "call", "path", F.explode(F.arrays_zip(
-        F.slice("path", F.lit(1), F.size("path") - 1).alias("src"), F.slice("path", F.lit(2), F.size("path") - 1).alias("dst"))).alias("e"))
-    owned = arcs.select(G, "call", "path", F.col("e.src").alias("src"), F.col("e.dst").alias("dst")).join(
-        controlling, [G, "call", "src"], "left_semi").join(conditions, [G, "src", "dst"])
-    sets = owned.groupBy(G, "call", "path").agg(F.sort_array(F.collect_set("condition")).alias("conditions"))
-    sets = ways.join(sets, [G, "call", "path"], "left").select(
-        G, "call", F.coalesce("conditions", F.array().cast("array<string>")).alias("conditions")).distinct()
-    sets = tables.materialize(sets)
-    # a set is subsumed by a smaller one, whose every condition it contains: match through the conditions
-    item = sets.select(G, "call", "conditions", F.explode("conditions").alias("c"))
-    small = item.select(G, "call", "c", F.col("conditions").alias("other"))
-    over = item.join(small, [G, "call", "c"]).groupBy(G, "call", "conditions", "other").agg(F.count(F.lit(1)).alias("n")).filter(
-        "n = size(other) and size(other) < size(conditions)").select(G, "call", "conditions").distinct()
-    free = sets.filter("size(conditions) = 0").select(G, "call")
-    kept = sets.join(over, [G, "call", "conditions"], "left_anti")
-    return kept.join(free.withColumn("free", F.lit(True)), [G, "call"], "left").filter(
-        "free is null or size(conditions) = 0").select(G, "call", "conditions")
+    back = graph.cycle_edges(tables.materialize(graph.strong_components(nodes, edges)), edges)
+    names = conditions.groupBy(G, "src", "dst").agg(F.collect_set("condition").alias("names"))
+    arcs = edges.select(G, "src", "dst").distinct().join(back.select(G, "src", "dst"), [G, "src", "dst"], "left_anti").join(
+        names, [G, "src", "dst"], "left")
+    none = F.array().cast("array<string>")
+    per_call = "call" in controlling.columns
+    if per_call:
+        # from each call towards the entry
+        owners = controlling.select(G, "call", F.col("src").alias("to")).distinct().withColumn("owned", F.lit(True))
+        arcs = arcs.select(G, F.col("dst").alias("at"), F.col("src").alias("to"), "names")
+        seed, useful = calls.select(G, F.col("id").alias("call"), F.col("id").alias("at")), graph.reachable(edges, entry)
+    else:
+        arcs = arcs.join(controlling.select(G, "src").distinct().withColumn("owned", F.lit(True)), [G, "src"], "left").select(
+            G, F.col("src").alias("at"), F.col("dst").alias("to"), "names", "owned")
+        seed, useful = entry.select(G, F.col("id").alias("at")), graph.backward_closure(edges, calls)
+    arcs = tables.materialize(arcs.join(useful.select(G, F.col("id").alias("to")), [G, "to"], "left_semi"))
+    place = [c for c in (G, "call", "at") if c in seed.columns]
+
+    def step(new, known):
+        more = new.join(arcs, [G, "at"])
+        if per_call:
+            more = more.join(owners, [G, "call", "to"], "left")
+        added = F.coalesce(F.when(F.col("owned"), F.col("names")), none)
+        more = more.select(*[F.col("to").alias("at") if c == "at" else F.col(c) for c in place],
+                           F.array_sort(F.array_union("conditions", added)).alias("conditions"))
+        old = known.select(*[F.col(c).alias(f"_{c}") for c in place], F.col("conditions").alias("_old"))
+        same = [F.col(c) == F.col(f"_{c}") for c in place]
+        return _minimal_sets(more, place).join(old, [*same, F.size(F.array_except("_old", "conditions")) == 0], "left_anti")
+
+    found = fixpoint(seed.distinct().withColumn("conditions", none), step, distinct=False)
+    ends = (entry if per_call else calls).select(G, F.col("id").alias("at")).distinct()
+    hit = _minimal_sets(found.join(ends, [G, "at"], "left_semi"), place)
+    return hit.select(G, "call" if per_call else F.col("at").alias("call"), "conditions")
+
+
+def _minimal_sets(sets: DataFrame, by: list[str]) -> DataFrame:
+    """Of the sorted sets ``conditions`` of each group those that contain no other one."""
+    alike = sets.groupBy(*by).agg(F.collect_set("conditions").alias("_all"))
+    least = F.filter("_all", lambda s: ~F.exists("_all", lambda o: (F.size(o) < F.size(s)) & (F.size(F.array_except(o, s)) == 0)))
+    return alike.select(*by, F.explode(least).alias("conditions"))
 
 
 # --- event logs ------------------------------------------------------------------------------------------

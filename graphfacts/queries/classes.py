@@ -87,6 +87,34 @@ def _(s):
     return hierarchy.common_superclass(s.extends, s.implements.select(G, F.col("iface").alias("set"), F.col("cls").alias("member")))
 
 
+def lowest(sets: str) -> str:
+    """Tables of common types ``ct(graph_id, key, ancestor)`` and the lowest of them, ``low``, for ``sets(graph_id, key, member)``."""
+    return f"""ms AS MATERIALIZED (SELECT DISTINCT * FROM ({sets})),
+    ct AS MATERIALIZED (SELECT m.graph_id, m.key, x.ancestor FROM ms m JOIN an x ON x.cls = m.member
+        GROUP BY 1, 2, 3 HAVING count(*) = (SELECT count(*) FROM ms n WHERE n.graph_id = m.graph_id AND n.key = m.key)),
+    low AS MATERIALIZED (SELECT c.* FROM ct c WHERE NOT EXISTS (
+        SELECT 1 FROM ct d JOIN an x ON x.cls = d.ancestor AND x.distance > 0 WHERE d.graph_id = c.graph_id AND d.key = c.key AND x.ancestor = c.ancestor))"""
+
+
+PAIRS = """SELECT DISTINCT 'part' AS graph_id, concat('P', cast(a.l_partkey AS string)) AS a, concat('P', cast(b.l_partkey AS string)) AS b
+    FROM lineitem a JOIN lineitem b ON b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber + 1"""
+
+
+# parts of consecutive lines, superclasses and interfaces
+@query("h6_least_common_supertypes", "SELECT graph_id, key.a AS a, key.b AS b, ancestor AS supertype FROM low",
+       TYPES + ", " + lowest(f"SELECT graph_id, {{'a': a, 'b': b}} AS key, unnest([a, b]) AS member FROM ({PAIRS})"))
+def _(s):
+    return hierarchy.least_common_supertypes(up_types(s), s.sql(PAIRS))
+
+
+@query("h6_common_supertype_of_sets", """
+    SELECT l.graph_id, l.key AS set, arg_min(l.ancestor, (coalesce(c.is_interface, false), l.ancestor)) AS supertype
+    FROM low l LEFT JOIN classes c ON c.cls = l.ancestor GROUP BY 1, 2""", TYPES + ", " + lowest("SELECT graph_id, iface AS key, cls AS member FROM implements"))
+def _(s):
+    found = hierarchy.common_supertypes(up_types(s), s.implements.select(G, F.col("iface").alias("set"), F.col("cls").alias("member")))
+    return hierarchy.one_supertype(found, ["set"], s.classes)
+
+
 ASKED = "SELECT DISTINCT graph_id, declared_cls AS cls, selector FROM sites"
 RESOLVED = f"""res AS MATERIALIZED (SELECT q.graph_id, q.cls, q.selector, min_by(m.method, a.distance) AS method, min_by(a.ancestor, a.distance) AS owner
     FROM ({ASKED}) q JOIN an a ON a.cls = q.cls JOIN methods m ON m.cls = a.ancestor AND m.selector = q.selector GROUP BY 1, 2, 3)"""

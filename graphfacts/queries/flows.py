@@ -8,7 +8,7 @@ from graphfacts.operators import dataflow, graph, tabulation
 from graphfacts.operators.graph import G
 from graphfacts.plans import tables
 from graphfacts.queries import query
-from graphfacts.queries.classes import CLASSES
+from graphfacts.queries.classes import CLASSES, TYPES, lowest, up_types
 
 ZERO = -1
 GEN = "SELECT graph_id, id AS node, id AS fact FROM supp_low"
@@ -286,3 +286,10 @@ KNOWN = "SELECT DISTINCT 'part' AS graph_id, id AS value, concat('P', cast(id AS
        CLASSES + f", fl(node, fact) AS (SELECT value, type FROM ({KNOWN}) UNION SELECT e.dst, f.fact FROM fl f JOIN ({VFLOW}) e ON e.src = f.node)")
 def _(s):
     return dataflow.infer_types(s.sql(VFLOW), s.sql(KNOWN), s.extends)
+
+
+@query("k16_infer_type_sets", "SELECT 'part' AS graph_id, key AS value, ancestor AS type FROM low",
+       TYPES + f", fl(node, fact) AS (SELECT value, type FROM ({KNOWN}) UNION SELECT e.dst, f.fact FROM fl f JOIN ({VFLOW}) e ON e.src = f.node), "
+       + lowest("SELECT 'part' AS graph_id, node AS key, fact AS member FROM fl"))
+def _(s):
+    return dataflow.infer_type_sets(s.sql(VFLOW), s.sql(KNOWN), up_types(s))

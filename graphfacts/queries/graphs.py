@@ -149,16 +149,12 @@ def _(s):
     return paths.all_shortest_paths(edges, tables.materialize(paths.distances(edges, s.supp_high)), pairs)
 
 
-BIG = "(SELECT 'part' AS graph_id, p_partkey AS id FROM part WHERE p_size = 50)"
-
-
-@query("g7_simple_paths", "SELECT graph_id, path FROM p WHERE cur = 0",
-       f"""p(graph_id, cur, path) AS (SELECT graph_id, id, [id] FROM {BIG} UNION ALL
-           SELECT p.graph_id, e.dst, list_append(p.path, e.dst) FROM p JOIN dag23 e ON e.src = p.cur WHERE NOT list_contains(p.path, e.dst))""")
+@query("g7_simple_paths", "SELECT graph_id, path FROM p WHERE (graph_id, cur) IN (SELECT (graph_id, id) FROM supp_high)",
+       """p(graph_id, cur, path) AS (SELECT graph_id, id, [id] FROM supp_low UNION ALL
+           SELECT p.graph_id, e.dst, list_append(p.path, e.dst) FROM p JOIN succ e ON e.graph_id = p.graph_id AND e.src = p.cur
+           WHERE NOT list_contains(p.path, e.dst) AND (p.graph_id, p.cur) NOT IN (SELECT (graph_id, id) FROM supp_high))""")
 def _(s):
-    sources = s.sql(f"SELECT * FROM {BIG} b")
-    root = s.sql("SELECT 'part' AS graph_id, min(p_partkey) AS id FROM part")
-    return paths.simple_paths(s.dag23, sources, root, max_paths=50_000_000)
+    return paths.simple_paths(s.succ, s.supp_low, s.supp_high)
 
 
 @query("g7_one_path", "SELECT graph_id, CAST(min(d) + 1 AS INTEGER) AS nodes FROM t WHERE (graph_id, dst) IN (SELECT (graph_id, id) FROM supp_low) GROUP BY 1",

@@ -371,7 +371,7 @@ def _(s):
 
 
 # writes: orders; a flow of a customer's orders, each order writing the location of its priority
-WRITES = "SELECT 'lines' AS graph_id, o_orderkey AS stmt, 'write' AS kind, o_orderpriority AS loc FROM orders WHERE o_orderstatus <> 'O'"
+WRITES = "SELECT 'lines' AS graph_id, o_orderkey AS stmt, 'write' AS kind, o_orderpriority AS loc FROM orders"
 EXACT = "SELECT 'lines' AS graph_id, o_orderkey AS stmt, o_orderpriority AS loc FROM orders WHERE o_orderstatus = 'F'"
 
 

@@ -47,7 +47,7 @@ def _(s):
 
 # one report per customer: every order is a component, its priority the violation tag
 def _reports(s):
-    per_order = s.orders.filter("o_orderstatus <> 'O'").groupBy("o_custkey").agg(
+    per_order = s.orders.groupBy("o_custkey").agg(
         F.map_from_entries(F.collect_list(F.struct(
             F.concat(F.lit("comp"), "o_orderkey"), F.array(F.create_map("o_orderpriority", "o_orderstatus"))))).alias("v"),
         F.collect_list(F.when(F.col("o_orderstatus") == "P", F.lit("PENDING"))).alias("w"),
@@ -65,7 +65,7 @@ def _report_texts(s):
     return _reports(s).select(F.to_json(F.create_map("graph_id", "app")).alias("value"))
 
 
-@query("s3_s4_result_files", "SELECT 'app' || c_custkey AS graph_id, CAST((SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus <> 'O') AS INTEGER) AS components FROM customer")
+@query("s3_s4_result_files", "SELECT 'app' || c_custkey AS graph_id, CAST((SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS INTEGER) AS components FROM customer")
 def _(s):
     path = f"{tables.work_dir(s.spark)}/{uuid.uuid4().hex}"
     results.write_results(_reports(s), f"{path}/run0_results")
@@ -275,7 +275,7 @@ def _(s):
 
 
 @query("a8_fleet_histogram", """
-    WITH o AS (SELECT o_custkey AS app, o_orderpriority AS tag, o_orderstatus AS st FROM orders WHERE o_orderstatus <> 'O'),
+    WITH o AS (SELECT o_custkey AS app, o_orderpriority AS tag, o_orderstatus AS st FROM orders),
          total AS (SELECT count(*) AS t FROM customer),
          rows AS (SELECT 'violation' AS kind, tag, count(DISTINCT app) AS n FROM o GROUP BY tag
                   UNION ALL SELECT 'warning', 'PENDING', count(*) FROM o WHERE st = 'P'
@@ -288,7 +288,7 @@ def _(s):
 @query("a8_resolution", """
     SELECT count(*) FILTER (o_orderstatus = 'F') AS resolved_intents, count(*) AS total_intents,
            count(*) FILTER (o_orderstatus = 'F') AS resolved_runnables, count(*) AS total_runnables,
-           count(*) * 60 + (SELECT count(*) FROM customer) * 1.5::DOUBLE AS elapsed FROM orders WHERE o_orderstatus <> 'O'""")
+           count(*) * 60 + (SELECT count(*) FROM customer) * 1.5::DOUBLE AS elapsed FROM orders""")
 def _(s):
     return results.resolution(results.parse_results(_report_texts(s)))
 
@@ -420,8 +420,8 @@ def _(s):
 
 @query("o5_runs_compared", """
     SELECT 'app' || c_custkey AS graph_id FROM customer
-    WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus <> 'O' AND o_orderpriority = '1-URGENT')
-      AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus <> 'O')""")
+    WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')
+      AND c_custkey IN (SELECT o_custkey FROM orders)""")
 def _(s):
     full = results.parse_results(_report_texts(s))
     urgent = F.map_filter("app.`Violation Report`", lambda k, v: F.exists(v, lambda m: F.map_contains_key(m, "1-URGENT")))

@@ -12,7 +12,7 @@ from graphfacts.plans import tables
 from graphfacts.queries import query
 from graphfacts.queries.classes import CLASSES, TYPES, up_classes, up_types
 from graphfacts.queries.graphs import closure, inverse, reach
-from graphfacts.streaming.resource_state import resource_state_stream
+from graphfacts.streaming.resource_state import closing_mark, resource_state_stream
 
 
 def values(rows, names: str) -> str:
@@ -286,22 +286,37 @@ def _(s):
     return resource.released_after(tables.materialize(s.succ), s.supp_root, ops)
 
 
-BIG = "SELECT 'part' AS graph_id, p_partkey AS id FROM part WHERE p_size = 50"
 CONDITIONS = """SELECT d.graph_id, d.src, d.dst, concat(n.category, CASE WHEN n.size > 25 THEN '+' ELSE '-' END) AS condition FROM dag23_down d JOIN part_nodes n ON n.id = d.src"""
+MINIMAL = "WHERE NOT EXISTS (SELECT 1 FROM cs o WHERE o.call = s.call AND len(o.conditions) < len(s.conditions) AND list_has_all(s.conditions, o.conditions))"
 
 
-@query("l19_call_conditions", """
-    SELECT 'part' AS graph_id, s.call, s.conditions FROM cs s WHERE NOT EXISTS (SELECT 1 FROM cs o WHERE o.call = s.call AND len(o.conditions) < len(s.conditions) AND list_has_all(s.conditions, o.conditions))""",
-       f"""bg AS MATERIALIZED ({BIG}), cd AS MATERIALIZED ({CONDITIONS}),
-       w(call, cur, conds) AS (SELECT id, id, []::VARCHAR[] FROM bg UNION ALL
-          SELECT w.call, c.src, CASE WHEN c.src IN (SELECT id FROM part_promo) THEN list_append(w.conds, c.condition) ELSE w.conds END FROM w JOIN cd c ON c.dst = w.cur
-          WHERE c.src <> c.dst AND (w.cur = w.call OR w.cur NOT IN (SELECT id FROM bg))),
-       cs AS MATERIALIZED (SELECT DISTINCT call, list_sort(list_distinct(conds)) AS conditions FROM w WHERE cur = 0)""")
+# every part is a call
+@query("l19_call_conditions", f"SELECT 'part' AS graph_id, s.call, s.conditions FROM cs s {MINIMAL}",
+       f"""cd AS MATERIALIZED ({CONDITIONS}),
+       cs(call, conditions) AS (SELECT min(p_partkey), []::VARCHAR[] FROM part UNION
+          SELECT c.dst, CASE WHEN c.src IN (SELECT id FROM part_promo) THEN list_sort(list_distinct(list_append(cs.conditions, c.condition))) ELSE cs.conditions END
+          FROM cs JOIN cd c ON c.src = cs.call WHERE c.src <> c.dst)""")
 def _(s):
-    calls = s.sql(BIG)
     root = s.sql("SELECT 'part' AS graph_id, min(p_partkey) AS id FROM part")
-    control = calls.select(G, F.col("id").alias("call")).join(s.part_promo.select(G, F.col("id").alias("src")), G)
-    return resource.call_conditions(s.part_nodes.select(G, "id"), tables.materialize(s.dag23_down), root, calls, control, s.sql(CONDITIONS), max_paths=50_000_000)
+    promo = s.part_promo.select(G, F.col("id").alias("src"))
+    return resource.call_conditions(s.part_nodes.select(G, "id"), tables.materialize(s.dag23_down), root, s.part_nodes.select(G, "id"), promo, s.sql(CONDITIONS))
+
+
+# a call is controlled by the parts of its own type
+@query("l19_conditions_by_call", f"SELECT 'part' AS graph_id, s.call, s.conditions FROM cs s {MINIMAL}",
+       f"""cd AS MATERIALIZED (SELECT d.*, n.category FROM ({CONDITIONS}) d JOIN part_nodes n ON n.id = d.src),
+       w(call, category, cur, conditions) AS (SELECT id, category, id, []::VARCHAR[] FROM part_nodes UNION
+          SELECT w.call, w.category, c.src, CASE WHEN c.category = w.category THEN list_sort(list_distinct(list_append(w.conditions, c.condition))) ELSE w.conditions END
+          FROM w JOIN cd c ON c.dst = w.cur WHERE c.src <> c.dst),
+       cs AS MATERIALIZED (SELECT DISTINCT call, conditions FROM w WHERE cur = (SELECT min(p_partkey) FROM part))""")
+def _(s):
+    root = s.sql("SELECT 'part' AS graph_id, min(p_partkey) AS id FROM part")
+    # blocks that can lie on a way to the call
+    above = graph.reachable_from_each(s.dag23, s.part_nodes.select(G, "id")).withColumnRenamed("source", "call")
+    kind = s.part_nodes.select(G, "id", "category")
+    control = above.join(kind.withColumnRenamed("id", "call"), [G, "call"]).join(
+        kind.withColumnRenamed("category", "other"), [G, "id"]).filter("category = other").select(G, "call", F.col("id").alias("src"))
+    return resource.call_conditions(s.part_nodes.select(G, "id"), tables.materialize(s.dag23_down), root, s.part_nodes.select(G, "id"), control, s.sql(CONDITIONS))
 
 
 # --- event logs ----------------------------------------------------------------------------------------------
@@ -322,20 +337,27 @@ def _(s):
     return resource.open_at_end(s.event_ops, ["user_id"], ["ts", "event_id"]).select("user_id", "op", "event_id")
 
 
-@query("r1_resource_state_stream", f"SELECT user_id, event_id, {STATE} FROM ({LOG}) WHERE event_id IN (SELECT event_id FROM events WHERE date_trunc('milliseconds', ts) < (SELECT date_trunc('milliseconds', max(ts)) FROM events))")
+@query("r1_resource_state_stream", f"SELECT user_id, event_id, {STATE} FROM ({LOG})")
 def _(s):
     spark = s.spark
-    stream = spark.readStream.schema(s.events.schema).parquet(f"{s.folder}/event[s].parquet")
-    op = F.when(F.col("event_type") == "click", "acquire").when(F.col("event_type") == "signup", "timed_acquire").when(F.col("event_type") == "purchase", "release")
-    ops = stream.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), op.alias("op"))
     out = f"{tables.work_dir(spark)}/graphfacts/{uuid.uuid4().hex}"
+    op = F.when(F.col("event_type") == "click", "acquire").when(F.col("event_type") == "signup", "timed_acquire").when(F.col("event_type") == "purchase", "release")
+    stream = spark.readStream.schema(s.events.schema).parquet(f"{s.folder}/event[s].parquet").select(
+        "user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), op.alias("op"))
+    # two runs from one checkpoint: all events, then the mark behind the last one
+    marks = closing_mark(s.events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts")), "user_id", "event_id")
+    folder = f"{out}/marks"
+    marks.limit(0).write.parquet(f"{folder}/none")
+    closing = spark.readStream.schema(marks.schema).parquet(f"{folder}/*")
     name = "spark.sql.streaming.stateStore.providerClass"
     old = spark.conf.get(name)
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        q = resource_state_stream(ops, "0 seconds").writeStream.format("parquet").option("path", f"{out}/rows").option(
-            "checkpointLocation", f"{out}/progress").trigger(availableNow=True).start()
-        q.awaitTermination()
+        for run in ("events", "end"):
+            if run == "end":
+                marks.write.parquet(f"{folder}/end")
+            resource_state_stream(stream.unionByName(closing), "0 seconds").writeStream.format("parquet").option("path", f"{out}/rows").option(
+                "checkpointLocation", f"{out}/progress").trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(name, old)
-    return spark.read.parquet(f"{out}/rows").select("user_id", "event_id", "state")
+    return spark.read.schema("user_id long, event_id long, state string").parquet(f"{out}/rows")
