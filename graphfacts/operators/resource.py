@@ -323,13 +323,12 @@ def warnings(apps: DataFrame, operations: DataFrame, resolved_ops: DataFrame, st
 def released_after(edges: DataFrame, exits: DataFrame, operations: DataFrame) -> DataFrame:
     """``(graph_id, block, lock, released)``: is an acquire post-dominated, for every exit, by a release of the
     same lock? ``operations(graph_id, block, lock, op)`` within one method per ``graph_id``."""
-    post = tables.materialize(dominance.post_dominators(edges, exits))
+    tree = dominance.post_dominator_tree(edges, exits)
     got = operations.filter("op in ('acquire', 'timed_acquire')").select(G, F.col("block").alias("id"), "lock")
     released = operations.filter("op = 'release'").select(G, "lock", F.col("block").alias("dominator")).distinct()
     # from each acquire to the nodes that post-dominate it, and only then to the releases among them
-    exits_met = post.select(G, "exit", "id").distinct().groupBy(G, "id").agg(F.count(F.lit(1)).alias("exits"))
-    hit = got.distinct().join(post, [G, "id"]).join(released, [G, "lock", "dominator"]).groupBy(G, "id", "lock", "dominator").agg(
-        F.count(F.lit(1)).alias("n")).join(exits_met, [G, "id"]).filter("n = exits").select(G, "id", "lock").distinct()
+    hit = got.distinct().join(dominance.above(tree, got.select(G, "id").distinct()), [G, "id"]).join(
+        released, [G, "lock", "dominator"], "left_semi").select(G, "id", "lock").distinct()
     return got.distinct().join(hit.withColumn("ok", F.lit(True)), [G, "id", "lock"], "left").select(
         G, F.col("id").alias("block"), "lock", F.coalesce("ok", F.lit(False)).alias("released"))
 

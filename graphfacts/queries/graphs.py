@@ -282,14 +282,14 @@ IDOM = ("SELECT a.graph_id, a.id, max_by(a.dominator, c.n) AS idom FROM dom a JO
         "ON c.graph_id = a.graph_id AND c.id = a.dominator WHERE a.id <> a.dominator GROUP BY 1, 2")
 
 
-def _dom(s):
+def _tree(s):
     edges = tables.materialize(s.succ)
-    return edges, tables.materialize(dominance.dominators(edges, s.supp_root))
+    return edges, dominance.dominator_tree(edges, s.supp_root)
 
 
 @query("g20_dominators", "SELECT * FROM dom", DOMINATORS)
 def _(s):
-    return _dom(s)[1]
+    return dominance.dominators(s.succ, s.supp_root)
 
 
 @query("g20_dominators_layered", "SELECT 'part' AS graph_id, id, d AS dominator FROM c WHERE NOT EXISTS (SELECT 1 FROM av WHERE av.d = c.d AND av.id = c.id)",
@@ -302,20 +302,20 @@ def _(s):
 
 @query("g20_immediate_dominators", IDOM, DOMINATORS)
 def _(s):
-    return dominance.immediate_dominators(_dom(s)[1])
+    return _tree(s)[1].filter("idom is not null")
 
 
 @query("g20_dominated_by", "SELECT e.graph_id, e.src AS id, e.dst AS dominator, (e.graph_id, e.src, e.dst) IN (SELECT (graph_id, id, dominator) FROM dom) AS holds FROM succ e", DOMINATORS)
 def _(s):
     asked = s.succ.select(G, F.col("src").alias("id"), F.col("dst").alias("dominator"))
-    return dominance.dominated_by(_dom(s)[1], asked)
+    return dominance.dominated_in_tree(_tree(s)[1], asked)
 
 
 @query("g21_dominance_frontiers", """
     SELECT DISTINCT e.graph_id, d.dominator AS id, e.dst AS frontier FROM succ e JOIN dom d ON d.graph_id = e.graph_id AND d.id = e.src
     WHERE d.dominator = e.dst OR (e.graph_id, e.dst, d.dominator) NOT IN (SELECT (graph_id, id, dominator) FROM dom)""", DOMINATORS)
 def _(s):
-    return dominance.frontiers(*_dom(s))
+    return dominance.tree_frontiers(*_tree(s))
 
 
 @query("g22_post_domination", """
@@ -325,8 +325,8 @@ def _(s):
        av(graph_id, exit, d, id) AS (SELECT l.graph_id, l.id, n.id, l.id FROM supp_low l JOIN supp_nodes n ON n.graph_id = l.graph_id WHERE n.id <> l.id UNION
           SELECT a.graph_id, a.exit, a.d, e.src FROM av a JOIN succ e ON e.graph_id = a.graph_id AND e.dst = a.id WHERE e.src <> a.d)""")
 def _(s):
-    post = tables.materialize(dominance.post_dominators(tables.materialize(s.succ), s.supp_low))
-    return dominance.post_dominated(post, s.succ.select(G, F.col("src").alias("id"), F.col("dst").alias("by")))
+    edges = tables.materialize(s.succ)
+    return dominance.post_dominated(edges, s.supp_low, edges.select(G, F.col("src").alias("id"), F.col("dst").alias("by")))
 
 
 @query("g23_control_dependence", """
