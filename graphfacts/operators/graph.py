@@ -275,20 +275,43 @@ def union_find(pairs: DataFrame) -> DataFrame:
     return weak_components(endpoints(pairs), pairs)
 
 
+def _peel(edges: DataFrame, seed: DataFrame, by: Sequence[str] = (G,)) -> DataFrame:
+    """``(*by, id, level)`` of the nodes that a peeling from ``seed(*by, id)`` takes off: a node is ready in the round after
+    its last predecessor, level = that round. A node on a cycle, or behind one, is never ready.
+
+    Predecessors are counted down: an edge of the distinct ``edges(*by, src, dst)`` is followed once, in the round its source is ready,
+    and a round writes only the nodes that were met, with how many of their predecessors were."""
+    need = edges.groupBy(*by, "dst").agg(F.count(F.lit(1)).alias("need"))
+    arcs = tables.materialize(edges.join(need, [*by, "dst"]).select(*by, F.col("src").alias("id"), "dst", "need"))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    now = tables.write(seed.select(*by, "id", zero.alias("met"), zero.alias("need"), F.lit(0).alias("level")), "met = need")
+    rounds = [now]
+    while now.hits:
+        followed = now.df.filter("met = need").select(*by, "id").join(arcs, [*by, "id"]).select(
+            *by, F.col("dst").alias("id"), one.alias("met"), "need")
+        waiting = now.df.filter("met < need").select(*by, "id", "met", "need")
+        now = tables.write(
+            followed.unionByName(waiting).groupBy(*by, "id").agg(F.sum("met").alias("met"), F.max("need").alias("need"))
+            .withColumn("level", F.lit(len(rounds))), "met = need")
+        rounds.append(now)
+    return _read(rounds).filter("met = need").select(*by, "id", "level")
+
+
 def _trim(edges: tables.Written) -> tables.Written:
-    """Drop, round by round, edges at nodes without predecessor or without successor: what is left has
-    every node on or between cycles."""
-    while edges.rows:
-        e = edges.df
-        kept = tables.write(
-            e.join(e.select(G, F.col("dst").alias("src")).distinct(), [G, "src"], "left_semi")
-            .join(e.select(G, F.col("src").alias("dst")).distinct(), [G, "dst"], "left_semi")
-            .select(G, "src", "dst")
-        )
-        if kept.rows == edges.rows:
-            return kept
-        edges = kept
-    return edges
+    """The edges whose ends are on or between cycles. Peeled off are, in one loop, the nodes that no cycle reaches (side ``down``)
+    and those that reach none (side ``up``); what neither side takes is left."""
+    e = edges.df
+    by = (G, "side")
+    sides = e.select(G, F.lit("down").alias("side"), "src", "dst").unionByName(
+        e.select(G, F.lit("up").alias("side"), F.col("dst").alias("src"), F.col("src").alias("dst")))
+    seed = sides.select(*by, F.col("src").alias("id")).distinct().join(
+        sides.select(*by, F.col("dst").alias("id")), [*by, "id"], "left_anti")
+    gone = tables.write(_peel(sides, seed, by).select(G, "id").distinct())
+    if not gone.rows:
+        return edges
+    for end in ("src", "dst"):
+        e = e.join(gone.df.select(G, F.col("id").alias(end)), [G, end], "left_anti")
+    return tables.write(e.select(G, "src", "dst"))
 
 
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -298,7 +321,7 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     namesake the nodes that reach it back inside the colour (a whole component), drop them, repeat.
     """
     left = _trim(tables.write(edges.filter("src <> dst").select(G, "src", "dst").distinct()))
-    found: DataFrame | None = None
+    found: list[tables.Written] = []
     while left.rows:
         e = left.df
         spread = e.withColumnRenamed("src", "id")
@@ -319,16 +342,16 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return new.join(same, [G, "id", "component"]).select(G, F.col("src").alias("id"), "component")
 
         heads = colours.filter("id = colour").select(G, "id", F.col("colour").alias("component"))
-        whole = fixpoint(heads, back, hops=HOPS)
-        found = whole if found is None else found.unionByName(whole)
+        whole = tables.write(fixpoint(heads, back, hops=HOPS))
+        found.append(whole)
         rest = e
         for end in ("src", "dst"):
-            rest = rest.join(whole.select(G, F.col("id").alias(end)), [G, end], "left_anti")
+            rest = rest.join(whole.df.select(G, F.col("id").alias(end)), [G, end], "left_anti")
         left = _trim(tables.write(rest.select(G, "src", "dst")))
     every = nodes.select(G, "id").distinct()
-    if found is None:
+    if not found:
         return every.withColumn("component", F.col("id"))
-    return every.join(found, [G, "id"], "left").withColumn("component", F.coalesce("component", "id"))
+    return every.join(_read(found), [G, "id"], "left").withColumn("component", F.coalesce("component", "id"))
 
 
 def condensation(components: DataFrame, edges: DataFrame) -> DataFrame:
@@ -348,26 +371,11 @@ def topological_levels(nodes: DataFrame, edges: DataFrame, bottom_up: bool = Fal
 def dag_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Longest distance from a root of an acyclic graph, by peeling: a node is ready in the round after
     its last predecessor, so every edge is looked at once. Raises on a cycle."""
-    edges = _ends(edges).df
-    todo = tables.materialize(edges.groupBy(G, F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("need")))
-    ready = tables.write(roots(nodes.select(G, "id").distinct(), edges).withColumn("level", F.lit(0)))
-    levels, gone = [ready], []
-    while ready.rows:
-        hit = tables.write(
-            ready.df.select(G, F.col("id").alias("src")).join(edges, [G, "src"])
-            .groupBy(G, F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n")))
-        gone.append(hit)
-        if len(gone) > 8:
-            gone = [tables.write(_read(gone).groupBy(G, "id").agg(F.sum("n").alias("n")))]
-        fresh = hit.df.select(G, "id")
-        met = _read(gone).join(fresh, [G, "id"], "left_semi").groupBy(G, "id").agg(F.sum("n").alias("n"))
-        ready = tables.write(
-            met.join(todo, [G, "id"]).filter("n = need").select(G, "id", F.lit(len(levels)).alias("level")))
-        levels.append(ready)
-    out = _read(levels)
-    if sum(w.rows for w in levels) != nodes.select(G, "id").distinct().count():
+    edges, nodes = _ends(edges).df, nodes.select(G, "id").distinct()
+    levels = tables.write(_peel(edges, roots(nodes, edges)))
+    if levels.rows != nodes.count():
         raise LimitExceeded("the graph has a cycle: take its condensation first")
-    return out
+    return levels.df
 
 
 def _read(parts: list[tables.Written]) -> DataFrame:

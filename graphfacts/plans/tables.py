@@ -49,25 +49,26 @@ def work_dir(spark: SparkSession) -> str:
 
 @dataclass(frozen=True)
 class Written:
-    """A table on disk: where it is, what it holds, how many rows."""
+    """A table on disk: where it is, what it holds, how many rows, and how many of them the asked condition holds for."""
 
     path: str
     schema: StructType
     rows: int
     spark: SparkSession
+    hits: int = 0
 
     @cached_property
     def df(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
 
-def write(df: DataFrame) -> Written:
-    """Write ``df`` once; the row count is observed during the write."""
+def write(df: DataFrame, hits: str = "false") -> Written:
+    """Write ``df`` once; the row count, and the count of rows with the condition ``hits``, are observed during the write."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/graphfacts/{uuid.uuid4().hex}"
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
-    done = Written(path, df.schema, seen.get["n"], spark)
+    df.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(F.expr(hits)).alias("hits")).write.parquet(path)
+    done = Written(path, df.schema, seen.get["n"], spark, seen.get["hits"])
     if scopes := _scopes():
         scopes[-1].tables.append(done)
     return done
