@@ -65,7 +65,8 @@ def links(fps: DataFrame) -> DataFrame:
     """``(a, b)``, ``a < b``: every two of the distinct longs ``fp`` that differ in at most three bits.
 
     Each fingerprint asks under 68 keys (four starts; the second segment as it is and with each of its bits turned)
-    and is found under four, so the volume is linear; a key holds two whole segments, 32 bits.
+    and is found under four, so the volume is linear; a key holds two whole segments, 32 bits. Spark takes an exploded
+    table for no larger than the one below it, so the join says that neither side is to be broadcast.
     """
     near = F.array(F.lit(0).cast("long"), *[F.lit(1 << (WIDTH + b)).cast("long") for b in range(WIDTH)])
     head = (1 << 2 * WIDTH) - 1
@@ -77,7 +78,7 @@ def links(fps: DataFrame) -> DataFrame:
         "b", "s", "rb", F.col("rb").bitwiseAND(F.lit(head)).bitwiseXOR(F.col("flip")).alias("key"))
     both = F.col("ra").bitwiseXOR(F.col("rb"))
     chain = F.bit_count(both.bitwiseAND(F.lit((1 << 3 * WIDTH) - 1))) <= 3 * BUDGET // SEGMENTS
-    return (found.join(asked, ["key", "s"]).filter((F.col("a") < F.col("b")) & chain & (F.bit_count(both) <= BUDGET))
+    return (found.hint("merge").join(asked, ["key", "s"]).filter((F.col("a") < F.col("b")) & chain & (F.bit_count(both) <= BUDGET))
             .select("a", "b").distinct())
 
 
