@@ -45,7 +45,10 @@ def _(s):
 
 @query("h2_assignable", "SELECT DISTINCT s.graph_id, s.declared_cls AS sub, i.iface AS sup FROM sites s JOIN implements i ON concat(i.cls, '.', s.selector) = s.caller WHERE (s.declared_cls, i.iface) IN (SELECT (cls, ancestor) FROM an)", TYPES)
 def _(s):
-    pairs = s.sql("SELECT DISTINCT s.graph_id, s.declared_cls AS sub, i.iface AS sup FROM sites s JOIN implements i ON concat(i.cls, '.', s.selector) = s.caller")
+    # the calling class as a column of its own: compared as a text put together of both sides, every site would meet every interface
+    calls = s.sites.filter(F.expr("endswith(caller, concat('.', selector))")).select(
+        G, F.col("declared_cls").alias("sub"), F.expr("substring(caller, 1, length(caller) - length(selector) - 1)").alias("cls")).distinct()
+    pairs = calls.join(s.implements.select("cls", F.col("iface").alias("sup")), "cls").select(G, "sub", "sup").distinct()
     return hierarchy.assignable(up_types(s), pairs)
 
 
