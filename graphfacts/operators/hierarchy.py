@@ -90,15 +90,35 @@ def common_supertypes(closure: DataFrame, sets: DataFrame) -> DataFrame:
     up = closure.select(G, F.col("cls").alias("member"), "ancestor")
     common = tables.materialize(sets.join(up, [G, "member"]).groupBy(G, "set", "ancestor").agg(F.count(F.lit(1)).alias("n")).join(
         size, [G, "set"]).filter("n = size").select(G, "set", F.col("ancestor").alias("supertype")))
+    return _lowest(closure, common)
+
+
+def _lowest(closure: DataFrame, common: DataFrame) -> DataFrame:
+    """Of the common types ``(graph_id, set, supertype)`` those below which no other of the set stands."""
     higher = closure.filter("distance > 0").select(G, F.col("cls").alias("supertype"), "ancestor")
     covered = common.join(higher, [G, "supertype"]).select(G, "set", F.col("ancestor").alias("supertype"))
     return common.join(covered, [G, "set", "supertype"], "left_anti")
 
 
 def least_common_supertypes(closure: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``(graph_id, a, b, supertype)`` for asked ``pairs(graph_id, a, b)``, one row per lowest common type."""
-    sets = pairs.select(G, F.struct("a", "b").alias("set"), F.explode(F.array("a", "b")).alias("member"))
-    return common_supertypes(closure, sets).select(G, "set.a", "set.b", "supertype")
+    """``(graph_id, a, b, supertype)`` for asked ``pairs(graph_id, a, b)``, one row per lowest common type.
+
+    The types above a type are one list, as long as the hierarchy is deep at most, so a pair stays one row. Many pairs have the same
+    common types: the lowest are found once for each such list. An unnamed type (null) is common if both know one.
+    """
+    above = tables.materialize(closure.groupBy(G, "cls").agg(
+        F.sort_array(F.collect_list("ancestor")).alias("above"), F.count_if(F.col("ancestor").isNull()).alias("unnamed")))
+    both = pairs.select(G, "a", "b").distinct()
+    for name in "ab":
+        both = both.join(above.select(G, F.col("cls").alias(name), F.col("above").alias(f"_{name}"), F.col("unnamed").alias(f"_n{name}")), [G, name], "left")
+    same, none = F.col("a").eqNullSafe(F.col("b")), F.array().cast(above.schema["above"].dataType)
+    unnamed = F.coalesce("_na", F.lit(0)) + F.when(same, 0).otherwise(F.coalesce("_nb", F.lit(0)))
+    types = F.array_intersect(F.coalesce("_a", none), F.coalesce("_b", none))
+    types = F.when(unnamed == F.when(same, 1).otherwise(2), F.concat(types, F.array(F.lit(None).cast(above.schema["cls"].dataType)))).otherwise(types)
+    both = tables.materialize(both.select(G, "a", "b", types.alias("set")).filter(F.size("set") > 0))
+    lists = both.select(G, "set").distinct()
+    low = tables.materialize(_lowest(closure, tables.materialize(lists.select(G, "set", F.explode("set").alias("supertype")))))
+    return both.join(low, [G, "set"]).select(G, "a", "b", "supertype")
 
 
 def one_supertype(found: DataFrame, by: list[str], classes: DataFrame) -> DataFrame:
