@@ -14,8 +14,9 @@ from graphfacts.llm import exact, packing, passages, quality, simhash
 from graphfacts.plans import tables
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-#: Words that a packing worker remembers, beside what the other stages hold.
-KEEP = 120_000
+#: Words that a packing worker remembers, beside what the other stages hold. Two workers of an executor hold two generations of words
+#: and of chunks each; with 120,000 they took the executor beyond 3000 MB.
+KEEP = 40_000
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
